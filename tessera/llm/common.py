@@ -64,3 +64,28 @@ def numbered(fn: Callable[[Iterator[pa.RecordBatch], int], Iterator[pa.RecordBat
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+#: Numbers that a thinning broadcast holds at most.
+THIN_SLOTS = 1 << 20
+
+
+def _slot(columns: list[str]) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(THIN_SLOTS)).cast("int").alias("__slot")
+
+
+def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of df for which no row of `keys` has the same values (nulls equal) in the columns of `keys`.
+
+    Rows whose hash slot no key has, which at most THIN_SLOTS broadcast numbers tell, pass without a shuffle.
+    """
+    on = keys.columns
+    slots = F.broadcast(keys.select(_slot(on)).distinct())
+    placed = df.select("*", _slot(on))
+    clear = placed.join(slots, "__slot", "left_anti")
+    other = keys.distinct().toDF(*(f"__k{i}" for i in range(len(on))))
+    same = F.lit(True)
+    for i, c in enumerate(on):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    unclear = placed.join(slots, "__slot", "left_semi").join(other, same, "left_anti")
+    return clear.unionByName(unclear).drop("__slot")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import lm_score, quality_rules
+from . import decontaminate, lm_score, near_dedup, quality_rules, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 

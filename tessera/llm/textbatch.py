@@ -117,6 +117,11 @@ def tokenize(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACE, lowe
     last[:-1] = first[1:] | ~word[1:]
     starts = np.flatnonzero(word & first)
     ends = np.flatnonzero(word & last) + 1
+    return Tokens(starts, ends, hash_spans(data, starts, ends, lower), np.searchsorted(starts, bounds))
+
+
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Hashes of data[starts[i]:ends[i]]; spans follow each other and don't overlap."""
     hashes = np.empty(len(starts), U64)
     table = _TABLES[lower]
     at = 0
@@ -125,7 +130,7 @@ def tokenize(data: np.ndarray, bounds: np.ndarray, sep: np.ndarray = SPACE, lowe
         to = max(at + 1, int(np.searchsorted(ends, low + CHUNK, "right")))
         hashes[at:to] = _hash_chunk(data[low : ends[to - 1]], starts[at:to] - low, ends[at:to] - low, table)
         at = to
-    return Tokens(starts, ends, hashes, np.searchsorted(starts, bounds))
+    return hashes
 
 
 def windows(tokens: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
