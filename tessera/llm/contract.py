@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, near_dedup, quality_rules, token_counts
+from . import decontaminate, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
+    "op2_extendible_shards": shard.op2_extendible_shards,
+    "op5_mix_sources": mix_sources.op5_mix_sources,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_extendible_shards": shard.OP2_SQL,
+    "op5_mix_sources": mix_sources.OP5_SQL,
+}
