@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts
+from . import decontaminate, license_scan, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_extendible_shards": shard.op2_extendible_shards,
     "op5_mix_sources": mix_sources.op5_mix_sources,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
@@ -17,4 +18,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op2_extendible_shards": shard.OP2_SQL,
     "op5_mix_sources": mix_sources.OP5_SQL,
+    "op6_license_scan": license_scan.OP6_SQL,
 }

@@ -16,7 +16,7 @@ other.  Repeated rows are counted alike; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents
+from .textbatch import slices
 
 #: Pieces whose counts a worker remembers at most; then it starts afresh.
 REMEMBERED = 400_000
 #: Longer pieces are never remembered.
 LONGEST = 64
+#: Characters of texts whose pieces are counted in portions.
+LONG_TEXT = 1 << 20
+#: Characters of the texts counted together.
+TOGETHER = 1 << 20
 
 
 def _load(path: str):
@@ -59,42 +64,56 @@ class Counter:
     def __init__(self, path: str, pattern: str, whole: frozenset[str], special: list[str]):
         import regex
 
-        self.tok, self.whole = _load(path), whole
-        self.cut = regex.compile(pattern).findall
+        self.whole, self.special = whole, special
+        tok = _load(path)
+        encode = getattr(tok, "encode_batch_fast", tok.encode_batch)  # without the pieces' places, where the library offers it
+        self.merged = lambda pieces: [len(e.ids) for e in encode(pieces, add_special_tokens=False)]
+        pattern_ = regex.compile(pattern)
+        self.cut, self.cut_long = pattern_.findall, pattern_.finditer
         self.split = regex.compile("|".join(map(regex.escape, special))).split if special else None
-        self.special = special
         self.known = dict.fromkeys(whole, 1)
 
-    def counts(self, texts: list[str]) -> Iterator[int]:
-        for text in texts:
-            extra = 0
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        out = [0] * len(texts)
+        pieces: list[list[str]] = [[] for _ in texts]
+        for i, text in enumerate(texts):
             parts = [text]
             if self.split and any(s in text for s in self.special):
                 parts = self.split(text)
-                extra = len(parts) - 1
-            yield extra + sum(map(self._stretch, parts))
-
-    def _stretch(self, text: str) -> int:
+                out[i] = len(parts) - 1
+            for part in parts:
+                if len(part) <= LONG_TEXT:
+                    pieces[i] += self.cut(part)
+                else:
+                    found = (m.group() for m in self.cut_long(part))
+                    while some := list(islice(found, 100_000)):
+                        out[i] += self._sums([some])[0]
+        return [a + b for a, b in zip(out, self._sums(pieces))]
+
+    def _sums(self, pieces: list[list[str]]) -> list[int]:
         known = self.known
-        pieces = self.cut(text)
-        total, rest = 0, {}
-        get = known.get
-        for p in pieces:
-            n = get(p)
-            if n is None:
-                rest[p] = rest.get(p, 0) + 1
-            else:
-                total += n
-        if rest:
-            if len(known) > len(self.whole) + REMEMBERED:
-                self.known = known = dict.fromkeys(self.whole, 1)
-            new = list(rest)
-            for p, e in zip(new, self.tok.encode_batch(new, add_special_tokens=False)):
-                n = len(e.ids)
-                total += n * rest[p]
-                if len(p) <= LONGEST:
-                    known[p] = n
-        return total
+        rest = list(set().union(*pieces).difference(known))
+        long = {}
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for p, n in zip(some, self.merged(some)):
+                (known if len(p) <= LONGEST else long)[p] = n
+        get = known.get if not long else lambda p: known.get(p) or long.get(p)
+        out = [sum(map(get, x)) for x in pieces]
+        if len(known) > len(self.whole) + REMEMBERED:
+            self.known = dict.fromkeys(self.whole, 1)
+        return out
+
+
+_COUNTERS: dict[tuple[str, str], Counter] = {}
+
+
+def _counter(path: str, pattern: str, whole: frozenset[str], special: list[str]) -> Counter:
+    """The worker's counter: it outlives a task, and so do the pieces that it remembers."""
+    if (path, pattern) not in _COUNTERS:
+        _COUNTERS[path, pattern] = Counter(path, pattern, whole, special)
+    return _COUNTERS[path, pattern]
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -102,11 +121,10 @@ def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, id
     shared = docs.sparkSession.sparkContext.broadcast((whole_tokens(path), special_strings(path)))  # no more than the vocabulary
 
     def run(batches):
-        counter = Counter(path, pattern, *shared.value)
+        counter = _counter(path, pattern, *shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n = np.fromiter(counter.counts([t or "" for t in part.column("text").to_pylist()]), np.int64, part.num_rows)
+            for part, _, _ in slices(batch, most=TOGETHER):
+                n = np.array(counter.counts([t or "" for t in part.column("text").to_pylist()]), np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     own = docs.select(F.col(ident).alias("doc_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("text"))
