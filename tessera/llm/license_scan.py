@@ -156,7 +156,7 @@ def _sql() -> str:
     phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in PHRASES.items())
     templates = ", ".join(f"({i}, '{label}', list_distinct(string_split('{t}', ' ')))" for i, (t, label) in enumerate(TEMPLATES))
     return rf"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 ph(phrase, label, n) AS (VALUES {phrases}),
 tp(tid, label, tw) AS (SELECT * FROM (VALUES {templates}) AS v),
 pos AS (SELECT doc_id, ph.label, i - 1 AS place FROM d, ph, range(1, greatest(len(w), 1)) AS r(i)
