@@ -21,6 +21,9 @@ segments and probed there, which gives the same scores.
 Exact counts are needed beside it for the unigram base: the `heavy` most
 frequent tokens at most are broadcast, all others are joined by shuffle.
 
+Tokens are known by 63 bits of hash, pairs by 32 bits of their context and 31 of
+their own: contexts that share those bits share their kept pairs.
+
 Null and empty texts consist of the end token alone.  A null identifier is in
 the training part.  Repeated rows give repeated results.  An empty training part
 has N = V = 0 and every token is unknown.  Other columns are ignored.
@@ -35,19 +38,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import discard, numbered, record, remainder, saved
-from .textbatch import SPACE, U64, Tokens, mix, signed, slices, tokenize
+from .common import numbered, record, remainder, saved
+from .textbatch import U64, Tokens, mix, signed, slices, tokenize
 
 SEGMENT_BITS = 1 << 20
 PROBES = 7
-END = U64(0x5E5E5E5E5E5E5E5D)
-FLUSH = 3_000_000
+END = U64(0x5E5E5E5E5E5E5E5D)  # odd, as all tokens
+FLUSH = 1_000_000
 #: Kinds of entries and the base of each one's scale of counts.
 TOKEN, PAIR, CONTEXT = 0, 1, 2
 BASES = {TOKEN: 1.25, PAIR: 1.5, CONTEXT: 1.25}
 
-COUNTS = pa.schema([("key", pa.int64()), ("ctx", pa.int64()), ("n", pa.int64())])
+COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
 
 @dataclass(frozen=True)
@@ -60,31 +64,30 @@ class Settings:
 
 
 def sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens with each text's end, the token before each, and the first position of each text."""
+    """Tokens (odd numbers) with each text's end, the token before each, and the first position of each text."""
     h, off = tokens.hashes, tokens.offsets
+    h = h | U64(1)
     return np.insert(h, off[1:], END), np.insert(h, off[:-1], END), off + np.arange(len(off))
 
 
 def pair_key(ctx: np.ndarray, cur: np.ndarray) -> np.ndarray:
-    return mix(ctx * U64(0xC2B2AE3D27D4EB4F) + cur)
+    """An even number: 32 bits of the context, then 31 of the pair, so that pairs need no second column for their context."""
+    return (ctx & U64(0xFFFFFFFF00000000)) | ((mix(ctx * U64(0xC2B2AE3D27D4EB4F) + cur) >> U64(32)) & U64(0xFFFFFFFE))
 
 
 def context_key(ctx: np.ndarray) -> np.ndarray:
-    return mix(ctx ^ U64(0x27D4EB2F165667C5))
+    return mix((ctx >> U64(32)) ^ U64(0x27D4EB2F165667C5))
 
 
 def count_ngrams(batches):
-    """Occurrences of tokens (ctx 0) and of pairs (ctx: the token before), summed over up to FLUSH tokens."""
+    """Occurrences of tokens (odd keys) and of pairs (even keys), summed over up to FLUSH tokens."""
     cur, ctx, held = [], [], 0
 
     def flush():
         a, b = np.concatenate(cur), np.concatenate(ctx)
-        keys, n = np.unique(a, return_counts=True)
-        yield record(COUNTS, signed(keys), np.zeros(len(keys), np.int64), n)
-        keys, at, n = np.unique(pair_key(b, a), return_index=True, return_counts=True)
-        for i in range(0, len(keys), 500_000):
-            s = slice(i, i + 500_000)
-            yield record(COUNTS, signed(keys[s]), signed(b[at[s]]), n[s])
+        for keys, n in (np.unique(a, return_counts=True), np.unique(pair_key(b, a), return_counts=True)):
+            for i in range(0, len(keys), 100_000):
+                yield record(COUNTS, signed(keys[i : i + 100_000]), n[i : i + 100_000])
 
     for batch in batches:
         for _, data, bounds in slices(batch):
@@ -146,25 +149,25 @@ def probe(words: np.ndarray, segments: np.ndarray, keys: np.ndarray) -> np.ndarr
 
 
 def ngram_counts(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(key, ctx, n) of all tokens (ctx 0) and of the pairs that occur often enough, written."""
-    raw = texts.select("text").mapInArrow(count_ngrams, "key long, ctx long, n long")
-    return saved(raw.groupBy("key", "ctx").agg(F.sum("n").alias("n")).where((F.col("ctx") == 0) | (F.col("n") >= settings.min_pair)), "ngrams")
+    """(key, n) of all tokens and of the pairs that occur often enough, written."""
+    raw = texts.select("text").mapInArrow(count_ngrams, "key long, n long")
+    return saved(raw.groupBy("key").agg(F.sum("n").alias("n")).where(F.expr("(key & 1) = 1") | (F.col("n") >= settings.min_pair)), "ngrams")
 
 
 def entries(counts: DataFrame, settings: Settings) -> DataFrame:
     """(key, level) of everything that the filter holds."""
-    pairs = counts.where("ctx <> 0")
-    contexts = pairs.groupBy("ctx").agg(F.sum("n").alias("n"))
+    pairs = counts.where(F.expr("(key & 1) = 0"))
+    contexts = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("slot")).agg(F.sum("n").alias("n"))
 
     def keyed(batches):
         for batch in batches:
-            key = context_key(batch.column(0).to_numpy().view(U64))
+            key = context_key(batch.column(0).to_numpy().view(U64) << U64(32))
             yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(1)], names=["key", "level"])
 
     return (
-        counts.where("ctx = 0").select("key", levels(TOKEN, F.col("n")).alias("level"))
+        counts.where(F.expr("(key & 1) = 1")).select("key", levels(TOKEN, F.col("n")).alias("level"))
         .unionByName(pairs.select("key", levels(PAIR, F.col("n"), settings.min_pair).alias("level")))
-        .unionByName(contexts.select("ctx", levels(CONTEXT, F.col("n")).alias("level")).mapInArrow(keyed, "key long, level int"))
+        .unionByName(contexts.select("slot", levels(CONTEXT, F.col("n")).alias("level")).mapInArrow(keyed, "key long, level int"))
     )
 
 
@@ -189,7 +192,7 @@ class Model:
 
     def __init__(self, counts: DataFrame, settings: Settings):
         self.settings = settings
-        tokens = counts.where("ctx = 0").select("key", F.col("n").alias("c"))
+        tokens = counts.where(F.expr("(key & 1) = 1")).select("key", F.col("n").alias("c"))
         self.tokens = tokens
         step = F.floor(F.log2("c") * 8).cast("int")
         scale = sorted(tokens.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect(), reverse=True)
@@ -220,7 +223,7 @@ class Model:
         s, n_seg, n, v = self.settings, self.segments, self.n, self.v
         token_counts, pair_counts, context_counts = typical(TOKEN), typical(PAIR, s.min_pair), typical(CONTEXT)
         floor = n + 0.5 * (v + 1)
-        rows = pa.schema([("row", pa.int64()), ("doc_id", docs.schema["doc_id"].dataType.simpleString() == "string" and pa.string() or pa.int64()), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+        rows = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
         def scored(batches, number):
             heavy_keys, heavy_counts, words = shared.value
@@ -248,7 +251,6 @@ class Model:
                     row = number + np.arange(size)
                     number += size
                     ids, out = part.column(0), part.column(1)
-                    none = np.zeros(size, np.int64)
                     yield record(rows, row, ids, out, np.zeros(size, np.int32), signed(mix(row.astype(U64))), np.diff(off), known, base, score)
                     rare = np.flatnonzero(~frequent)
                     if len(rare):  # equal tokens of a text make one row
@@ -258,7 +260,7 @@ class Model:
                         first = np.flatnonzero(new)
                         times = np.diff(np.append(first, len(order)))
                         o = order[first]
-                        yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), times, none[:0].repeat(0) if not len(o) else np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
+                        yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), times, np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
 
         ddl = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, kind int, key long, n long, known long, base double, score double"
         parts = docs.select("doc_id", "held_out", "text").mapInArrow(numbered(scored), ddl)
@@ -344,4 +346,4 @@ def op1_lm_score(spark, sf_dir):
     return lm_score(documents(spark, sf_dir))
 
 
-__all__ = ["Model", "Settings", "lm_score", "op1_lm_score", "SPACE", "discard"]
+__all__ = ["Model", "Settings", "lm_score", "op1_lm_score"]
