@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts
+from . import decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_extendible_shards": shard.op2_extendible_shards,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_mix_sources": mix_sources.op5_mix_sources,
     "op6_license_scan": license_scan.op6_license_scan,
