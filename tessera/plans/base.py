@@ -9,4 +9,10 @@ from ..sources.crosswalk import run_sql, with_ctes
 def sql(name: str, tables: str, text: str, duck: str | None = None, oracle: bool = True) -> None:
     """Registers a query in SQL over the named tables; `duck` is its DuckDB form where the dialects differ beyond the marks."""
     names = tables.split()
-    query(name, with_ctes(names, duck or text) if oracle else None)(lambda spark, sf_dir: run_sql(spark, sf_dir, names, text))
+
+
+    def run(spark, sf_dir):
+        out = run_sql(spark, sf_dir, names, text)
+        return out.withColumn("place", out["place"].cast("long")) if "place" in out.columns else out  # row_number() is an int here
+
+    query(name, with_ctes(names, duck or text) if oracle else None)(run)

@@ -47,7 +47,7 @@ SELECT concat('e', event_id) AS entry_id, event_id AS seq, concat('sym_', user_i
          WHEN 'error0' THEN 'hazard' WHEN 'error1' THEN 'known_bug' ELSE 'failed_attempt' END AS kind,
        concat(event_type, ' note ', @JSON(props, k)) AS summary, props AS body,
        concat('agent', user_id % 5) AS author, round(least(1.0@D, value / 100.0@D), 6) AS confidence,
-       CASE WHEN CAST(@JSON(props, k) AS INT) % 7 = 0 THEN concat('e', lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id)) END AS supersedes,
+       CASE WHEN CAST(@JSON(props, k) AS INT) % 7 = 0 THEN 'e' || CAST(lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS STRING) END AS supersedes,
        ts AS created_at,
        CASE CAST(@JSON(props, k) AS INT) % 8 WHEN 0 THEN 'stale-api' WHEN 1 THEN 'audit-pending' WHEN 2 THEN 'fast-test' WHEN 3 THEN 'diagnostic-test' END AS role,
        CASE WHEN CAST(@JSON(props, k) AS INT) % 4 = 2 THEN concat('run ', user_id) END AS command
