@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from ..shipping import ship
 from . import decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts, toxicity
 
-QUERIES = {
+_QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
     "op2_extendible_shards": shard.op2_extendible_shards,
     "op3_toxicity": toxicity.op3_toxicity,
@@ -17,6 +18,17 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
+
+def _shipped(run):
+    def query(spark, sf_dir):
+        ship(spark)
+        return run(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _shipped(run) for name, run in _QUERIES.items()}
+
 ORACLES: dict[str, str] = {
     "op2_extendible_shards": shard.OP2_SQL,
     "op5_mix_sources": mix_sources.OP5_SQL,

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 & ~7 | 5  # 5 mod 8: powers repeat as late as possible
 

@@ -1,0 +1,298 @@
+"""Each operator against brute force, and on odd tables: nulls, empty and long texts, repeated rows, no rows, clashing columns."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from tessera.llm import contract, decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, shard, textbatch, token_counts, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key string, node long, size int, bucket long, n long, hash long, source_size string, comp string, slot int"
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice(["ka", "lo", "mi", "ter", "un", "sha", "é"]) for _ in range(r.randint(1, 4))) for _ in range(n))
+
+
+def odd(spark, rows=None):
+    base = prose(1, 120)
+    if rows is None:
+        rows = [
+            (1, None, "en", "a"), (2, "", None, "a"), (3, "word", "en", None), (None, prose(2, 80), "fr", "b"), (5, prose(3, 30_000), "en", "a"),
+            (6, base, "en", "a"), (7, base, "en", "b"), (8, base + " more", "en", "b"), (9, " \n\t ", "en", "a"), (10, prose(4, 70) + "\nAll rights reserved.\nx <|endoftext|> y", "de", "c"),
+            (10, prose(4, 70) + "\nAll rights reserved.\nx <|endoftext|> y", "de", "c"), (11, "tie", "en", "a"), (12, "tie", "en", "a"), (13, "x" * 5000, "en", "a"),
+        ]
+    return spark.createDataFrame([(i, t, a, b, len(t or ""), 1, "k", 2, 3, 4, 5, 6, "s", "c", 7) for i, t, a, b in rows], SCHEMA)
+
+
+BENCH = [(1, "John bought 12 apples and gave 5 of the apples to his sister Mary, how many apples does John have left now?"), (None, "another question about nothing at all in particular here"), (3, None), (4, "")]
+
+
+def bench(spark):
+    return spark.createDataFrame(BENCH, "item_id long, text string")
+
+
+def labels(spark, rows=((5, 1), (6, 0), (7, None), (8, 1))):
+    return spark.createDataFrame(list(rows), "doc_id long, toxic int")
+
+
+OPERATORS = {
+    "lm_score": lambda s, d: lm_score.lm_score(d),
+    "shard": lambda s, d: shard.shard(d, shard.Settings(limit=2000)),
+    "toxicity": lambda s, d: toxicity.toxicity(d, toxicity.fit(d.select("doc_id", "text"), labels(s))),
+    "line_dedup": lambda s, d: line_dedup.line_dedup(d),
+    "mix_sources": lambda s, d: mix_sources.mix_sources(d),
+    "license_scan": lambda s, d: license_scan.license_scan(d),
+    "decontaminate": lambda s, d: decontaminate.decontaminate(d, bench(s)),
+    "token_counts": lambda s, d: _tokens(d),
+    "near_dedup": lambda s, d: near_dedup.near_dedup(d),
+    "quality_rules": lambda s, d: quality_rules.quality_rules(d, d.columns),
+}
+
+
+def _tokens(d):
+    import public_tokenizers as p
+
+    return token_counts.token_counts(d, p.path("byte_bpe_50k.json"), p.PATTERN)
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_odd_tables(spark, name):
+    assert len(OPERATORS[name](spark, odd(spark)).collect()) == 14
+    assert OPERATORS[name](spark, odd(spark, [])).collect() == []
+
+
+@pytest.mark.parametrize("name", ["near", "clean", "mixed"])
+def test_odd_tables_in_filters(spark, name):
+    run = {"near": near_dedup.kept, "clean": lambda d: decontaminate.clean(d, bench(spark)), "mixed": mix_sources.mixed}[name]
+    found = run(odd(spark))
+    assert found.columns == odd(spark).columns
+    ids = Counter(r.doc_id for r in found.collect())
+    if name == "near":
+        assert ids == Counter([1, 2, 3, None, 5, 6, 9, 10, 11, 13])
+    if name == "clean":
+        assert sum(ids.values()) == 14
+    assert run(odd(spark, [])).collect() == []
+
+
+def test_hashes_do_not_depend_on_batching():
+    texts = ["The cat sat", "", "a the\x0bThe é x", "tail " * 3]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    bounds = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = textbatch.tokenize(data, bounds)
+    assert whole.counts.tolist() == [3, 0, 5, 3]
+    small, textbatch.CHUNK = textbatch.CHUNK, 4
+    try:
+        assert textbatch.tokenize(data, bounds).hashes.tolist() == whole.hashes.tolist()
+    finally:
+        textbatch.CHUNK = small
+
+
+def test_lm_base_is_exact_and_both_paths_agree(spark):
+    rows = [(i, prose(i % 7, 60) + " Word end", "en", "a") for i in range(40)]
+    docs = odd(spark, rows)
+    got = {r.doc_id: r for r in lm_score.lm_score(docs).collect()}
+    other = {r.doc_id: r for r in lm_score.lm_score(docs, lm_score.Settings(broadcast_bytes=0, heavy=5)).collect()}
+    count = Counter()
+    tokens = lambda t: [*WORD.findall(lower(t)), None]
+    for i, t, _, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            count.update(tokens(t))
+    n, v = sum(count.values()), len(count)
+    for i, t, _, _ in rows:
+        words = tokens(t)
+        assert got[i].train_tokens == n and got[i].n_tokens == len(words) and got[i].n_known == sum(count[w] > 0 for w in words)
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+        assert other[i].base_score == pytest.approx(got[i].base_score) and other[i].score == pytest.approx(got[i].score)
+        assert got[i].score > got[i].base_score
+
+
+def test_filter_reads_back_levels():
+    keys = textbatch.mix(np.arange(20_000, dtype=np.uint64))
+    level = (np.arange(20_000) % 5).astype(np.int32)
+    bits = np.zeros(lm_score.SEGMENT_BITS, bool)
+    lm_score.insert(bits, keys, level)
+    words = np.packbits(bits, bitorder="little")
+    got = lm_score.probe(words, np.zeros(len(keys), np.int64), keys)
+    assert (got >= level).all() and (got == level).mean() > 0.95
+
+
+def test_shards_fit_and_only_full_ones_are_split(spark):
+    docs = odd(spark, [(i % 50, prose(i, 20), "en", "a") for i in range(300)])
+    got = shard.shard(docs, shard.Settings(limit=3000)).collect()
+    sizes = Counter()
+    for r in got:
+        sizes[r.shard] += r.n_bytes
+    assert len(got) == 300 and all(r.shard_bytes == sizes[r.shard] and (r.shard_bytes <= 3000 or r.shard_rows == 1) for r in got)
+    for prefix in sizes:  # the parent was too large
+        assert not prefix or sum(n for p, n in sizes.items() if p.startswith(prefix[:-1])) > 3000
+
+
+def test_maximal_segments():
+    def brute(s, low, high):
+        best, at = 0, None
+        for i in range(low, high):
+            for j in range(i, high):
+                if (total := sum(s[i : j + 1])) > best + 1e-12:
+                    best, at = total, (i, j)
+        return [] if at is None else [*brute(s, low, at[0]), (*at, round(best, 6)), *brute(s, at[1] + 1, high)]
+
+    r = random.Random(3)
+    for _ in range(400):
+        n = r.randint(1, 14)
+        places = sorted(r.sample(range(n), r.randint(0, n)))
+        scores = [r.choice([1.37, 2.11, 0.73]) + r.random() * 0.01 for _ in places]
+        full = [-0.5001] * n
+        for a, b in zip(places, scores):
+            full[a] = b
+        assert [(a, b, round(x, 6)) for a, b, x in toxicity.maximal_segments(places, scores, 0.5001)] == brute(full, 0, n)
+
+
+def test_toxic_documents_of_the_held_out_part(spark):
+    r = random.Random(5)
+    rows = [(i, prose(i, 80) + (" vile filth scum" * 2 if i % 6 == 0 else "") + " " + prose(r.random(), 20), "en", "a") for i in range(600)]
+    docs = odd(spark, rows)
+    model = toxicity.fit(docs.select("doc_id", "text"), labels(spark, [(i, int(i % 6 == 0)) for i in range(600)]))
+    got = [(r.doc_id, r.predicted) for r in toxicity.toxicity(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(p == (i % 6 == 0) for i, p in got) >= 0.97 * len(got)
+
+
+@pytest.mark.parametrize("crowd", [3, 256])
+def test_line_dedup_against_brute_force(spark, crowd):
+    r = random.Random(7)
+    lines = [prose(i, r.randint(1, 30)) for i in range(60)]
+    rows = []
+    for i in range(80):
+        own = []
+        for _ in range(r.randint(0, 5)):
+            words = r.choice(lines).split()
+            if r.random() < 0.6:
+                words[r.randrange(len(words))] = r.choice(["new", "other", "third"])
+            own.append(" ".join(words))
+        rows.append((i, "\n".join(own), "en", "a"))
+    got = {x.doc_id: x for x in line_dedup.line_dedup(odd(spark, rows), line_dedup.Settings(crowd=crowd)).collect()}
+    before = []
+    for i, t, _, _ in rows:
+        removed = 0
+        for line in t.split("\n"):
+            s = set(WORD.findall(lower(line)))
+            if s:
+                removed += any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in before)
+                before.append(s)
+        assert got[i].n_removed == removed
+
+
+def test_decontamination_checks_slots(spark):
+    rows = [
+        (1, "x y z. Anna bought 37 apples and gave 9 of the apples to his sister Ruth, how many apples does Anna have left now? more", "en", "a"),
+        (2, "Anna bought 37 apples and gave 9 of the apples to his sister Ruth, how many apples does Bob have left now?", "en", "a"),
+        (3, prose(1, 60), "en", "a"),
+        (4, BENCH[0][1].upper().lower(), "en", "a"),
+    ]
+    got = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.decontaminate(odd(spark, rows), bench(spark)).collect()}
+    by_shuffle = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.decontaminate(odd(spark, rows), bench(spark), decontaminate.Settings(broadcast_windows=0)).collect()}
+    assert got[1] == (True, [1]) and got[2] == (False, []) and got[3] == (False, [])
+    assert by_shuffle == got
+    kept = decontaminate.clean(odd(spark, rows), bench(spark))
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in (1, 2, 3, 4) if not got[i][0]]
+
+
+def test_mix_meets_targets(spark):
+    rows = [(i, prose(i, 5 + i % 40), "en", f"s{i % 5}" if i % 50 else None) for i in range(400)]
+    got = mix_sources.mix_sources(odd(spark, rows)).collect()
+    goal = Counter()
+    for r in got:
+        goal[r.source_size, r.target] += r.taken
+        assert 0 <= r.taken <= 3 * r.size
+    assert all(abs(taken - target) <= 1 for (_, target), taken in goal.items())
+    assert sum(t for _, t in goal) == pytest.approx(sum(r.size for r in got))
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mix_sources.mix_sources(odd(spark, rows)).collect()), key=str)
+
+
+def test_license_places(spark):
+    rows = [(1, "cc by nc cc by nc", "en", "a"), (2, "Under the MIT-license; x under THE mit License", "en", "a"), (3, "é under the mit license é", "en", "a"), (4, prose(1, 200) + " Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated files " + prose(2, 100), "en", "a")]
+    got = {r.doc_id: tuple(r)[1:] for r in license_scan.license_scan(odd(spark, rows)).collect()}
+    assert got[1] == (6, 2, 0, 3, "cc-by-nc", "cc-by-nc", 1.0)
+    assert got[2] == (9, 2, 0, 5, "mit", "mit", 1.0)
+    assert got[3] == (6, 1, 1, 1, "mit", "mit", 1.0)
+    assert got[4][1] == 0 and got[4][5] == "mit" and 0.8 <= got[4][6] < 1
+
+
+def test_token_counts_equal_the_library(spark):
+    import public_tokenizers as p
+    from tokenizers import Tokenizer
+
+    path = p.path("byte_bpe_50k.json")
+    r = random.Random(1)
+    texts = ["", "a  b\n\n c", "<|endoftext|>x <|endoftext|> y<|endoftext|>", "it's  we'll 'S", "   x", "x" * 3000, *("".join(r.choice(" \n\t'aAéß日😀!?<|>endoftx019 ́") for _ in range(r.randint(1, 60))) for _ in range(500))]
+    counter = token_counts.Counter(path, p.PATTERN, token_counts.whole_tokens(path), token_counts.special_strings(path))
+    want = [len(e.ids) for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert counter.counts(texts) == want
+    short, token_counts.LONG_TEXT = token_counts.LONG_TEXT, 10
+    try:
+        assert counter.counts(texts) == want
+    finally:
+        token_counts.LONG_TEXT = short
+
+
+def test_near_duplicates_against_brute_force(spark):
+    r = random.Random(11)
+    bases = [prose(i, 150).split() for i in range(12)]
+    rows = []
+    for i in range(150):
+        words = list(r.choice(bases))
+        for _ in range(r.choice([0, 0, 1, 2, 6])):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "a"))
+    docs = odd(spark, rows)
+    settings = near_dedup.Settings(common=1.0)  # all weights are counts
+    got = {x.doc_id: x.class_id for x in near_dedup.near_dedup(docs, settings).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for w in [lower(t).split()] for k in range(len(w) - 4)} for i, t, _, _ in rows}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    assert sum(got[i] != find(i) for i in sets) <= 3
+
+
+def test_samples_agree_as_the_weighted_similarity():
+    h = textbatch.mix(np.arange(300, dtype=np.uint64))
+    w = np.ones(300, np.float32)
+    a = near_dedup.sample(np.zeros(200, np.int64), h[:200], w[:200], 1, 600)
+    b = near_dedup.sample(np.zeros(200, np.int64), h[100:], w[:200] * 2, 1, 600)
+    assert abs((a == b).mean() - 100 / 500) < 0.06
+
+
+def test_quality_counts_and_verdicts(spark):
+    rows = [(i, prose(i, 100), "en", "a") for i in range(200)] + [(900, " ".join(w + "!!%%" for w in prose(5, 100).split()), "en", "a"), (901, "few words", "en", "a"), (902, "same line here\n" * 30, "en", "a")]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(odd(spark, rows), ["doc_id", "lang", "source"]).collect()}
+    for i, t, _, _ in rows:
+        words, lines = WORD.findall(t), [x for x in t.split("\n") if WORD.search(x)]
+        three = Counter(zip(words, words[1:], words[2:]))
+        cover = {k + j for k in range(len(words) - 2) if three[tuple(words[k : k + 3])] > 1 for j in range(3)}
+        f = got[i]["__f"]
+        assert (f.n_words, f.word_chars, f.n_symbols, f.n_dup_lines, f.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover))
+    assert all(got[i]["__kept"] for i in range(200)) and not any(got[i]["__kept"] for i in (900, 901, 902))
+    assert not got[900]["__base_failed"] and got[901]["__base_failed"] and got[902]["__base_failed"]
+
+
+def test_contract_registers_all():
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in contract.QUERIES) == list(range(1, 11))
