@@ -89,3 +89,7 @@ sql("edit_precision", "lineitem", "SELECT l_orderkey, tp, fp, fn, round(CASE WHE
 sql("verify_window", "events", "SELECT a.event_id, count(b.event_id) AS n_near FROM events a LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE WHERE a.event_type = 'error' GROUP BY a.event_id")
 SESSION = "SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS opens FROM events"
 sql("debounce_watch", "events", f"SELECT user_id, session, count(*) AS n, max(ts) AS last_ts FROM (SELECT user_id, ts, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM ({SESSION}) AS s) AS t GROUP BY user_id, session")
+CHECKS = "SELECT b.item_id, substring(b.text, 1, 40) AS query, min(d.doc_id) AS expected, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, substring(b.text, 1, 40)) GROUP BY b.item_id, substring(b.text, 1, 40)"
+sql("probe_bootstrap", "benchmark documents", f"SELECT item_id, query, expected FROM ({CHECKS}) AS c WHERE n > 0")
+sql("probe_assert", "benchmark documents", f"SELECT item_id, n >= 1 AS present, n <= 5 AS few FROM ({CHECKS}) AS c")
+sql("probe_run", "benchmark documents", f"SELECT count(*) AS n_checks, count(CASE WHEN n >= 1 THEN 1 END) AS n_passed FROM ({CHECKS}) AS c")

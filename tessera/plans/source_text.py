@@ -101,3 +101,44 @@ def _language(language: str) -> None:
 
 for _name in OTHERS:
     _language(_name)
+
+
+DIFF = "diff --git a/shop/pay.py b/shop/pay.py\n--- a/shop/pay.py\n+++ b/shop/pay.py\n@@ -3,0 +4,2 @@\n+x\n@@ -10 +12,0 @@\n-y\ndiff --git a/old.py b/new.py\nrename from old.py\nrename to new.py\n+++ b/new.py\n@@ -1 +1,3 @@\n+z\n"
+TRACE = '{"symbol": "shop.pay.Till.charge", "calls": 3, "effects": ["net.out", "log"], "edges": [{"callee": "shop.store.save", "count": 3}]}'
+SWIFT = "class Till {\n  let store: Store\n  var names: [String] = []\n  func total() -> Int { 1 }\n}\n"
+
+
+@query("git_diff_hunks")
+def git_diff_hunks(spark, sf_dir):
+    """(file, first_line, last_line, renamed) of each hunk of a diff without context lines."""
+    diff = spark.createDataFrame([(1, DIFF)], "commit int, text string")
+    parts = diff.select("commit", F.explode(F.split("text", "diff --git ")).alias("part")).where("part <> ''")
+    file = F.regexp_extract("part", r"(?m)^\+\+\+ b/(\S+)", 1)
+    hunks = parts.select("commit", file.alias("file"), F.contains("part", F.lit("rename from")).alias("renamed"), F.explode(F.regexp_extract_all("part", F.lit(r"(?m)^(@@ [^@]* @@)"), 1)).alias("hunk"))
+    first = F.regexp_extract("hunk", r"\+(\d+)", 1).cast("int")
+    n = F.coalesce(F.nullif(F.regexp_extract("hunk", r"\+\d+,(\d+)", 1), F.lit("")).cast("int"), F.lit(1))
+    return hunks.select("commit", "file", "renamed", first.alias("first_line"), (first + F.greatest(n, F.lit(1)) - 1).alias("last_line"))
+
+
+@query("annotate_report")
+def annotate_report(spark, sf_dir):
+    """Symbols of the sample whose span meets a hunk of the diff."""
+    ship(spark)
+    spans = python_source.symbols(files(spark)).select("file", "qname", "start_line", "end_line")
+    hunks = git_diff_hunks(spark, sf_dir).select("file", "first_line", "last_line")
+    return spans.join(hunks, "file").where("start_line <= last_line AND end_line >= first_line").select("file", "qname").distinct()
+
+
+@query("runtime_tracer")
+def runtime_tracer(spark, sf_dir):
+    """A trace report, read: observed effects and edges.  Tracing itself is not the engine's business."""
+    kind = "symbol string, calls long, effects array<string>, edges array<struct<callee: string, count: bigint>>"
+    read = spark.createDataFrame([(TRACE,)], "text string").select(F.from_json("text", kind).alias("t")).select("t.*")
+    return read.select("symbol", "calls", F.explode("effects").alias("effect"), F.size("edges").alias("n_edges"))
+
+
+@query("property_types_sw")
+def property_types_sw(spark, sf_dir):
+    stored = r"^\s*(?:let|var)\s+(\w+)\s*:\s*([\w\[\]?]+)"
+    own = rules.lines(spark.createDataFrame([("till.swift", SWIFT)], "file string, source string"))
+    return own.select("file", F.regexp_extract("text", stored, 1).alias("property"), F.regexp_extract("text", stored, 2).alias("type")).where("property <> ''")
