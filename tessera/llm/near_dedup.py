@@ -6,15 +6,18 @@ document frequency.  The frequency comes from a count sketch of fixed size over
 all documents; it is the full weight up to `common` of the documents and falls
 logarithmically beyond that, so it tells boilerplate from text at any size.
 
-Improved consistent weighted sampling draws rows * bands samples of a document;
-two documents agree in a sample with the probability of their weighted Jaccard
-similarity.  Documents that agree in all samples of a band are candidates.
+Improved consistent weighted sampling draws rows * bands + extra samples of a
+document; two documents agree in a sample with the probability of their weighted
+Jaccard similarity.  Documents that agree in all samples of a band are
+candidates, and worth an exact comparison if they agree in the share `agree` of
+all samples, which lies more than three deviations below the threshold.
 
 Equal texts are one node from the start.  In each band's bucket all nodes are
-compared with two hubs, so a group of any size costs a comparison or two a
+compared with two hubs, the node that shares most buckets with others and the
+least one, so a group of any size costs a comparison or two a
 member; whatever is then connected needs no further comparison.  The rest, pairs
-of one bucket that lie in different components, is compared too: first by the
-agreement of their samples, then exactly.  A bucket in which more than `crowd`
+of one bucket that lie in different components, is compared too, each in the
+first bucket that both have.  A bucket in which more than `crowd`
 nodes are left is keyed once more by each other band before that, as members of
 a pair above the threshold agree in further bands as well.  Every link is verified by
 the weighted Jaccard similarity of the two whole texts, and the classes are the
@@ -52,10 +55,12 @@ class Settings:
     bands: int = 9
     common: float = 0.1
     crowd: int = 512
+    extra: int = 37
+    agree: float = 0.64
 
     @property
     def samples(self) -> int:
-        return self.rows * self.bands
+        return self.rows * self.bands + self.extra
 
 
 _LOG12 = -np.log((np.arange(1 << 12) + 0.5) / (1 << 12)).astype(np.float32)
@@ -173,7 +178,7 @@ def signatures(texts: DataFrame, carry: list[str], settings: Settings, freq: Fre
                 s = sample(owner, h, shared.value.weights(h, count), n, k)
                 none = np.bincount(owner, minlength=n) == 0
                 keys = np.zeros((n, settings.bands), U64)
-                for b in range(settings.bands):
+                for b in range(settings.bands):  # the extra samples belong to no band
                     total = np.full(n, b, U64)
                     for x in s[:, b * r : b * r + r].T:
                         total = mix(total * U64(0xFF51AFD7ED558CCD) + x)
@@ -188,8 +193,8 @@ def signatures(texts: DataFrame, carry: list[str], settings: Settings, freq: Fre
 def _lists(values: np.ndarray, none: np.ndarray) -> pa.Array:
     """The rows of a matrix as lists, null where `none` is true."""
     n, k = values.shape
-    starts = pa.array(np.arange(n + 1, dtype=np.int32) * k, mask=np.append(none, False))
-    return pa.ListArray.from_arrays(starts, pa.array(values.reshape(-1)))
+    starts = pa.array(np.arange(n + 1, dtype=np.int32) * k)
+    return pa.ListArray.from_arrays(starts, pa.array(values.reshape(-1)), mask=pa.array(none))
 
 
 def similarity(a: pa.Array, b: pa.Array, settings: Settings, freq: Frequencies) -> np.ndarray:
@@ -226,7 +231,7 @@ class _Graph:
         self.docs, self.nodes, self.settings, self.freq = docs, nodes, settings, freq
         self.shared = docs.sparkSession.sparkContext.broadcast(freq)
         self.sigs = nodes.select("node", "sig")
-        self.least = settings.samples // 2
+        self.least = int(settings.agree * settings.samples)
 
     def texts(self, pairs: DataFrame) -> DataFrame:
         """(node, text) of the nodes in pairs.  A broadcast of at most FILTER_SLOTS numbers thins the documents before the join."""
@@ -297,22 +302,29 @@ def classes(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc_
     graph = _Graph(keyed, nodes, settings, freq)
 
     members = nodes.select(F.explode("bands").alias("bucket"), "node")
-    hubs = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    shared = saved(members.join(hubs, "bucket"), "members")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    counted = saved(members.join(sizes, "bucket"), "members")
+    central = counted.join(counted.groupBy("node").agg(F.sum("n").alias("reach")), "node")
+    hubs = central.groupBy("bucket").agg(F.min("node").alias("low"), F.max(F.struct("reach", "node")).alias("high")).withColumn("high", F.col("high.node"))
+    shared = saved(counted.join(hubs, "bucket"), "hubs")
     pairs = shared.select("node", F.explode(F.array("low", "high")).alias("hub")).where("node <> hub")
     first = graph.verified(graph.likely(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))))
     comp = components(first)
 
     placed = shared.select("bucket", "node", "low", "high").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
-    left = saved(placed.join(open_.select("bucket", "n"), "bucket").join(graph.sigs, "node"), "left")
+    left = saved(placed.join(open_.select("bucket", "n"), "bucket").join(nodes.select("node", "sig", "bands"), "node"), "left")
     crowded = F.col("n") > settings.crowd
-    finer = left.where(crowded).join(nodes.select("node", "bands"), "node").select("node", "low", "high", "comp", "sig", "bucket", F.explode("bands").alias("other"))
-    finer = finer.where("other <> bucket").select(F.xxhash64("bucket", "other").alias("bucket"), "node", "low", "high", "comp", "sig")
-    rest = left.where(~crowded).select("bucket", "node", "low", "high", "comp", "sig").unionByName(finer)
-    x, y = (rest.select(*(F.col(c).alias(f"{c}_{s}") for c in ("bucket", "node", "low", "high", "comp", "sig"))) for s in "xy")
+    columns = ["bucket", "node", "low", "high", "comp", "sig", "bands"]
+    plain = left.where(~crowded).select(F.lit(False).alias("fine"), *columns)
+    finer = left.where(crowded).select("*", F.explode("bands").alias("other")).where("other <> bucket").withColumn("bucket", F.xxhash64("bucket", "other"))
+    rest = plain.unionByName(finer.select(F.lit(True).alias("fine"), *columns))
+    x, y = (rest.select(*(F.col(c).alias(f"{c}_{s}") for c in rest.columns)) for s in "xy")
     seen = F.col("node_x").isin(F.col("low_x"), F.col("high_x")) | F.col("node_y").isin(F.col("low_x"), F.col("high_x"))
-    cross = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & ~seen & (agreement("sig_x", "sig_y") >= graph.least))
+    both = F.array_intersect("bands_x", "bands_y")
+    own_bucket = F.when(F.col("fine_x"), F.xxhash64(both[0], F.get(both, 1))).otherwise(both[0])
+    apart = (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & ~seen & (F.col("bucket_x") == own_bucket)
+    cross = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("fine_x") == F.col("fine_y")) & apart & (agreement("sig_x", "sig_y") >= graph.least))
     more = graph.verified(cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
     comp = components(saved(first.union(more), "links")) if not more.isEmpty() else comp
 
