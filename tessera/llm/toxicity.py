@@ -100,24 +100,29 @@ class Model:
 
 
 def maximal_segments(places: list[int], scores: list[float], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) of a sequence that scores -drift everywhere but at the given places."""
-    found: list[list] = []  # first, last, total before it, total with it
+    """All maximal scoring segments (first, last, score) of a sequence that scores -drift everywhere but at the given places.
+
+    Each segment knows the last one before it with a smaller total before it, so that the search for one goes from
+    link to link and the whole takes linear time.
+    """
+    found: list[list] = []  # first, last, total before it, total with it, link
     total, before = 0.0, -1
     for place, score in zip(places, scores):
         total -= drift * (place - before - 1)
-        new = [place, place, total, total + score]
+        new = [place, place, total, total + score, -1]
         total += score
         before = place
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= new[3]:
+                new[4] = j
                 found.append(new)
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            new = [found[j][0], new[1], found[j][2], new[3], -1]
             del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def _rate(p: np.ndarray, s: np.ndarray, drift: float) -> float:
