@@ -151,6 +151,7 @@ def probe(words: np.ndarray, segments: np.ndarray, keys: np.ndarray) -> np.ndarr
 def ngram_counts(texts: DataFrame, settings: Settings) -> DataFrame:
     """(key, n) of all tokens and of the pairs that occur often enough, written."""
     raw = texts.select("text").mapInArrow(count_ngrams, "key long, n long")
+    raw = raw.repartition("key")  # counted in Python already: a second map-side sum would fill the executors' memory for little
     return saved(raw.groupBy("key").agg(F.sum("n").alias("n")).where(F.expr("(key & 1) = 1") | (F.col("n") >= settings.min_pair)), "ngrams")
 
 
