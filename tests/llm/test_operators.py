@@ -192,6 +192,25 @@ def test_line_dedup_against_brute_force(spark, crowd):
         assert got[i].n_removed == removed
 
 
+@pytest.mark.parametrize("crowd, nodes", [(3, 16), (256, 1024)])
+def test_line_dedup_counts_all_links(spark, monkeypatch, crowd, nodes):
+    monkeypatch.setattr(line_dedup, "BLOCK_NODES", nodes, raising=False)
+    monkeypatch.setattr(line_dedup, "COLUMNS", 7, raising=False)
+    r = random.Random(9)
+    bases = [[f"b{k}w{i}" for i in range(20)] for k in range(4)]
+    rows = []
+    for i in range(120):
+        words = list(bases[i % 4])
+        for _ in range(r.choice([0, 1, 2, 2])):
+            words[r.randrange(20)] = f"x{r.randrange(12)}"
+        rows.append((i, " ".join(words), "en", "a"))
+    got = {x.doc_id: x.n_links for x in line_dedup.line_dedup(odd(spark, rows), line_dedup.Settings(crowd=crowd)).collect()}
+    sets = {i: frozenset(WORD.findall(t)) for i, t, _, _ in rows}
+    distinct = set(sets.values())
+    want = {i: sum(o != s and len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in distinct) for i, s in sets.items()}
+    assert got == want and max(want.values()) > 10
+
+
 def test_decontamination_checks_slots(spark):
     rows = [
         (1, "x y z. Anna bought 37 apples and gave 9 of the apples to his sister Ruth, how many apples does Anna have left now? more", "en", "a"),
