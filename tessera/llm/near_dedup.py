@@ -18,8 +18,8 @@ least one, so a group of any size costs a comparison or two a
 member; whatever is then connected needs no further comparison.  The rest, pairs
 of one bucket that lie in different components, is compared too, each in the
 first bucket that both have.  A bucket in which more than `crowd`
-nodes are left is keyed once more by each other band before that, as members of
-a pair above the threshold agree in further bands as well.  Every link is verified by
+nodes are left is cut into blocks, and its pairs are found block against block;
+they are the same pairs.  Every link is verified by
 the weighted Jaccard similarity of the two whole texts, and the classes are the
 connected components.
 
@@ -224,6 +224,34 @@ def agreement(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def _in_blocks(least: int):
+    """For applyInArrow: the pairs of two blocks of a bucket (or of one with itself) that lie in different components, have
+    this bucket as their first common one and agree in `least` samples."""
+
+    def lists(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy().reshape(len(flat), -1)
+
+    def run(key, table):
+        bucket, i, j = (k.as_py() for k in key)
+        block, comp = table.column("block").to_numpy(), table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        sig, bands = lists(table.column("sig")), lists(table.column("bands"))
+        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        agree = np.zeros((len(x), len(y)), np.int16)
+        for k in range(sig.shape[1]):
+            agree += sig[x, k][:, None] == sig[y, k][None, :]
+        a, b = np.nonzero((agree >= least) & (comp[x][:, None] != comp[y][None, :]))
+        a, b = x[a], y[b]
+        if i == j:
+            a, b = a[a < b], b[a < b]
+        same = bands[a] == bands[b]
+        own = bands[a, same.argmax(axis=1)] == bucket if len(a) else np.zeros(0, bool)
+        node = table.column("node").combine_chunks()
+        return pa.table({"a": node.take(pa.array(a[own])), "b": node.take(pa.array(b[own]))})
+
+    return run
+
+
 class _Graph:
     """Candidate pairs of nodes, their verification, and the components of the links."""
 
@@ -315,17 +343,21 @@ def classes(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc_
     open_ = placed.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
     left = saved(placed.join(open_.select("bucket", "n"), "bucket").join(nodes.select("node", "sig", "bands"), "node"), "left")
     crowded = F.col("n") > settings.crowd
-    columns = ["bucket", "node", "low", "high", "comp", "sig", "bands"]
-    plain = left.where(~crowded).select(F.lit(False).alias("fine"), *columns)
-    finer = left.where(crowded).select("*", F.explode("bands").alias("other")).where("other <> bucket").withColumn("bucket", F.xxhash64("bucket", "other"))
-    rest = plain.unionByName(finer.select(F.lit(True).alias("fine"), *columns))
+    rest = left.where(~crowded).select("bucket", "node", "low", "high", "comp", "sig", "bands")
     x, y = (rest.select(*(F.col(c).alias(f"{c}_{s}") for c in rest.columns)) for s in "xy")
     seen = F.col("node_x").isin(F.col("low_x"), F.col("high_x")) | F.col("node_y").isin(F.col("low_x"), F.col("high_x"))
-    both = F.array_intersect("bands_x", "bands_y")
-    own_bucket = F.when(F.col("fine_x"), F.xxhash64(both[0], F.get(both, 1))).otherwise(both[0])
+    own_bucket = F.array_intersect("bands_x", "bands_y")[0]
     apart = (F.col("node_x") < F.col("node_y")) & (F.col("comp_x") != F.col("comp_y")) & ~seen & (F.col("bucket_x") == own_bucket)
-    cross = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & (F.col("fine_x") == F.col("fine_y")) & apart & (agreement("sig_x", "sig_y") >= graph.least))
-    more = graph.verified(cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct())
+    cross = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & apart & (agreement("sig_x", "sig_y") >= graph.least))
+    cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+
+    blocks = F.ceil(F.col("n") / settings.crowd).cast("int")
+    large = left.where(crowded & ~F.col("node").isin(F.col("low"), F.col("high"))).withColumn("blocks", blocks)
+    large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig", "bands")
+    found = large.groupBy("bucket", "i", "j").applyInArrow(_in_blocks(graph.least), "a binary, b binary")
+    cross = cross.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+    more = graph.verified(cross.distinct())
     comp = components(saved(first.union(more), "links")) if not more.isEmpty() else comp
 
     named = nodes.select("node", "first_id", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))

@@ -292,6 +292,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert sum(got[i] != find(i) for i in sets) <= 3
 
 
+def test_near_duplicates_do_not_depend_on_crowd(spark):
+    r = random.Random(13)
+    base = prose(5, 150).split()
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for _ in range(r.choice([1, 2, 2, 3, 3])):
+            words[r.randrange(len(words))] = f"w{r.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "a"))
+    docs = odd(spark, rows)
+    found = []
+    for crowd in (1 << 20, 8):
+        settings = near_dedup.Settings(common=1.0, crowd=crowd, rows=6, bands=4, extra=40)  # few common bands
+        found.append({x.doc_id: x.class_id for x in near_dedup.near_dedup(docs, settings).collect()})
+    assert found[0] == found[1]
+
+
 def test_samples_agree_as_the_weighted_similarity():
     h = textbatch.mix(np.arange(300, dtype=np.uint64))
     w = np.ones(300, np.float32)
