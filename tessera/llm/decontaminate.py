@@ -12,11 +12,17 @@ equal values in the document, different ones for different ones.  So a question
 with other numbers or names is found, a text that merely has the same shape is
 not.
 
+Beside these named windows there are folded ones, for which case tells nothing:
+capitalised tokens are literals like others, and a window without enough literals
+is hashed by its values.  So a text in capitals or title case, an item written so,
+and one of few literals are found too.  What is copied word for word, without
+case, counts without a look at other slots.
+
 Benchmark windows up to `broadcast_windows` are broadcast, as hashes only, and thin
 the documents' windows in the scan; a larger benchmark is joined by shuffle
 alone, with the same result.  Items with fewer tokens than a window are one
-window.  Items without enough literals can't be told from others and match
-nothing.  Null and empty texts match nothing; null item ids are an item like
+window; of these, items of fewer than `literals` different tokens can't be told
+from others and match nothing.  Null and empty texts match nothing; null item ids are an item like
 others.  An empty benchmark marks nothing.  Repeated rows are judged alike.
 """
 
@@ -43,6 +49,8 @@ UNITS = (
     "b kb mb gb tb usd eur gbp dollar dollars euro euros cent cents percent pct"
 ).split()
 NUMBER, UNIT, NAME = 1, 2, 3
+#: Added to the hashes of folded windows and of windows of values.
+FOLDED, VALUES = U64(0x2545F4914F6CDD1D), U64(0x5851F42D4C957F2D)
 
 
 @dataclass(frozen=True)
@@ -62,7 +70,7 @@ _UNITS = np.sort(_hash_words(UNITS))
 
 
 class Canonical:
-    """Canonical tokens of texts: value hashes, kinds (0: literal), template hashes, and each text's offset."""
+    """Canonical tokens of texts: value hashes, kinds (0: literal), and each text's offset."""
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray):
         tokens = tokenize(data, bounds, SPACE)
@@ -79,56 +87,71 @@ class Canonical:
         at = np.minimum(np.searchsorted(_UNITS, self.values), len(_UNITS) - 1)
         self.kinds[_UNITS[at] == self.values] = UNIT
         self.kinds[digits[last] > digits[first]] = NUMBER
-        self.template = np.where(self.kinds == 0, self.values, self.kinds.astype(U64))
 
-    def windows(self, n: int, literals: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(hash, text's index, first token, tokens) of the windows; a text of fewer tokens is a window if `short`."""
+    def windows(self, n: int, literals: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(hash, text's index, first token, tokens, folded) of the windows; a text of fewer tokens is a window if `short`."""
+        named, folded = (self._windows(n, literals, short, f) for f in (False, True))
+        out = [np.concatenate(c) for c in zip(named, folded)]
+        return (*out, np.repeat([False, True], [len(named[0]), len(folded[0])]))
+
+    def _windows(self, n: int, literals: int, short: bool, folded: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        kinds = np.where(self.kinds == NAME, 0, self.kinds) if folded else self.kinds
+        template = np.where(kinds == 0, self.values, kinds.astype(U64))
         count = np.diff(self.offsets)
         owner = np.repeat(np.arange(len(count)), count)
         h, at = np.zeros(0, U64), np.zeros(0, np.int64)
         if len(owner) >= n:
             at = np.flatnonzero(np.arange(len(owner)) + n <= np.repeat(self.offsets[1:], count))
-            enough = self._literals(n)[at] >= literals
-            at = at[enough]
-            h = combine(self.template, n)[at]
+            enough = self._literals(n, kinds, template) >= literals
+            h = combine(template, n)
+            if folded:
+                h = np.where(enough, h + FOLDED, combine(self.values, n) + VALUES)
+            else:
+                at = at[enough[at]]
+            h = h[at]
         size = np.full(len(at), n)
         if short:
             for i in np.flatnonzero((count > 0) & (count < n)):
                 a, b = self.offsets[i], self.offsets[i + 1]
-                if len(np.unique(self.template[a:b][self.kinds[a:b] == 0])) >= literals:
-                    h, at, size = np.append(h, combine(self.template[a:b], b - a)), np.append(at, a), np.append(size, b - a)
+                enough = len(np.unique(template[a:b][kinds[a:b] == 0])) >= literals
+                if not enough and not (folded and len(np.unique(self.values[a:b])) >= literals):
+                    continue
+                own = combine((template if enough else self.values)[a:b], b - a)
+                if folded:
+                    own = own + (FOLDED if enough else VALUES)
+                h, at, size = np.append(h, own), np.append(at, a), np.append(size, b - a)
         return h, owner[at], at, size
 
-    def _literals(self, n: int) -> np.ndarray:
+    def _literals(self, n: int, kinds: np.ndarray, template: np.ndarray) -> np.ndarray:
         """Different literals in each run of n tokens."""
-        total = np.zeros(len(self.template) - n + 1, np.int8)
+        total = np.zeros(len(template) - n + 1, np.int8)
         for k in range(n):
-            new = self.kinds[k : k + len(total)] == 0
+            new = kinds[k : k + len(total)] == 0
             for j in range(k):
-                new &= self.template[k : k + len(total)] != self.template[j : j + len(total)]
+                new &= template[k : k + len(total)] != template[j : j + len(total)]
             total += new
         return total
 
 
 def item_windows(benchmark: DataFrame, settings: Settings, ident: str, text: str) -> DataFrame:
-    """(hash, item_row, item_id, at, total, vals, slots): each usable window of the items, with its tokens' values and kinds."""
+    """(hash, item_row, item_id, at, total, folded, vals, slots): each usable window of the items, with its tokens' values and kinds."""
     kind = dict((f.name, f.dataType.simpleString()) for f in benchmark.schema)[ident]
 
     def run(batches, number):
         for batch in batches:
             for part, data, bounds in slices(batch):
                 c = Canonical(data, bounds)
-                h, owner, at, size = c.windows(settings.window, settings.literals, short=True)
+                h, owner, at, size, folded = c.windows(settings.window, settings.literals, short=True)
                 total = np.diff(c.offsets)[owner]
                 yield pa.RecordBatch.from_pydict({
                     "hash": pa.array(signed(h)), "item_row": pa.array(number + owner), "item_id": part.column("id").take(pa.array(owner)),
-                    "at": pa.array(at - c.offsets[owner], pa.int32()), "total": pa.array(total, pa.int32()),
+                    "at": pa.array(at - c.offsets[owner], pa.int32()), "total": pa.array(total, pa.int32()), "folded": pa.array(folded),
                     "vals": pa.array([signed(c.values[a : a + n]) for a, n in zip(at, size)], pa.list_(pa.int64())), "slots": pa.array([c.kinds[a : a + n].astype(np.int32) for a, n in zip(at, size)], pa.list_(pa.int32())),
                 })
                 number += part.num_rows
 
     own = benchmark.select(F.col(ident).alias("id"), F.col(text).alias("text"))
-    return own.mapInArrow(numbered(run), f"hash long, item_row long, item_id {kind}, at int, total int, vals array<long>, slots array<int>")
+    return own.mapInArrow(numbered(run), f"hash long, item_row long, item_id {kind}, at int, total int, folded boolean, vals array<long>, slots array<int>")
 
 
 def document_windows(docs: DataFrame, known: np.ndarray | None, sizes: list[int], settings: Settings) -> DataFrame:
@@ -144,7 +167,7 @@ def document_windows(docs: DataFrame, known: np.ndarray | None, sizes: list[int]
                 n = part.num_rows
                 yield rows(part, np.zeros(0, U64), np.arange(n), np.zeros(n, np.int64), np.zeros(n, np.int64), c, number, True)
                 for size in sizes:
-                    h, owner, at, length = c.windows(size, settings.literals, short=False)
+                    h, owner, at, length, _ = c.windows(size, settings.literals, short=False)
                     if keys is not None:
                         hit = np.zeros(len(h), bool)
                         if len(keys):
@@ -165,6 +188,17 @@ def document_windows(docs: DataFrame, known: np.ndarray | None, sizes: list[int]
     return docs.select("doc_id", "text").mapInArrow(numbered(run), f"row long, doc_id {kind}, hash long, at int, vals array<long>")
 
 
+def _covered(matches: list[dict]) -> tuple[set[int], bool]:
+    """The item's tokens in the matches, and whether the slots are consistent; names are slots in named windows only."""
+    seen, there, back, fits = set(), {}, {}, True
+    for m in matches:
+        for i, (slot, ours, theirs) in enumerate(zip(m["slots"], m["vals"], m["d_vals"])):
+            seen.add(m["at"] + i)
+            if slot and not (m["folded"] and slot == NAME):
+                fits = fits and there.setdefault((slot, ours), theirs) == theirs and back.setdefault((slot, theirs), ours) == ours
+    return seen, fits
+
+
 def _aligned(settings: Settings):
     """For mapInArrow: which groups of matches cover enough of their item with consistent slots."""
 
@@ -172,14 +206,11 @@ def _aligned(settings: Settings):
         for batch in batches:
             cover, ok = [], []
             for total, matches in zip(batch.column("total").to_pylist(), batch.column("matches").to_pylist()):
-                seen, there, back, fits = set(), {}, {}, True
-                for m in matches:
-                    for i, (slot, ours, theirs) in enumerate(zip(m["slots"], m["vals"], m["d_vals"])):
-                        seen.add(m["at"] + i)
-                        if slot:
-                            fits = fits and there.setdefault((slot, ours), theirs) == theirs and back.setdefault((slot, theirs), ours) == ours
-                cover.append(len(seen) / total)
-                ok.append(fits and len(seen) >= settings.cover * total)
+                same = [m for m in matches if m["vals"] == m["d_vals"]]
+                found = [len(seen) for seen, fits in map(_covered, ([m for m in matches if not m["folded"]], matches)) if fits]
+                found.append(len({m["at"] + i for m in same for i in range(len(m["vals"]))}))
+                cover.append(max(found) / total)
+                ok.append(max(found) >= settings.cover * total)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "item_id")), pa.array(cover, pa.float64()), pa.array(ok, pa.bool_())], names=["row", "item_id", "cover", "ok"])
 
     return run
@@ -194,7 +225,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     own = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     found = saved(document_windows(own, known, sizes, settings), "windows")
     hits = found.where("hash is not null").select("row", "hash", F.col("at").alias("d_at"), F.col("vals").alias("d_vals")).join(items, "hash").where(F.size("vals") == F.size("d_vals"))
-    groups = hits.groupBy("row", "item_row", (F.col("d_at") - F.col("at")).alias("diagonal")).agg(F.first("item_id").alias("item_id"), F.first("total").alias("total"), F.collect_list(F.struct("at", "vals", "slots", "d_vals")).alias("matches"))
+    groups = hits.groupBy("row", "item_row", (F.col("d_at") - F.col("at")).alias("diagonal")).agg(F.first("item_id").alias("item_id"), F.first("total").alias("total"), F.collect_list(F.struct("at", "folded", "vals", "slots", "d_vals")).alias("matches"))
     kind = items.schema["item_id"].dataType.simpleString()
     judged = groups.select("row", "item_id", "total", "matches").mapInArrow(_aligned(settings), f"row long, item_id {kind}, cover double, ok boolean").where("ok")
     marked = judged.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("cover").alias("cover"))

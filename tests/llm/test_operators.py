@@ -226,6 +226,19 @@ def test_decontamination_checks_slots(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [i for i in (1, 2, 3, 4) if not got[i][0]]
 
 
+def test_decontamination_finds_copies_in_any_case(spark):
+    items = [(1, BENCH[0][1]), (2, BENCH[1][1]), (3, "WHICH OF THE RIVERS OF FRANCE IS THE LONGEST AND WHERE DOES IT END"), (4, "10 20 30 40 50 60 70 80 90 100"), (5, "WHO WROTE HAMLET")]
+    rows = []
+    for i, t in items:
+        rows += [(10 * i + k, f"{prose(i, 20)} {form} {prose(-i, 20)}", "en", "a") for k, form in enumerate([t, t.upper(), t.lower(), t.title()])]
+    rows += [(90, items[0][1].upper().replace("12", "37").replace("5", "9"), "en", "a"), (91, prose(3, 80).upper(), "en", "a"), (92, "11 22 33 44 55 66 77 88 99 111", "en", "a")]
+    found = []
+    for settings in (decontaminate.Settings(), decontaminate.Settings(broadcast_windows=0)):
+        marked = decontaminate.decontaminate(odd(spark, rows), spark.createDataFrame(items, "item_id long, text string"), settings)
+        found.append({r.doc_id: list(r["items"]) for r in marked.collect()})
+    assert found[0] == found[1] == {**{10 * i + k: [i] for i, _ in items for k in range(4)}, 90: [1], 91: [], 92: []}
+
+
 def test_mix_meets_targets(spark):
     rows = [(i, prose(i, 5 + i % 40), "en", f"s{i % 5}" if i % 50 else None) for i in range(400)]
     got = mix_sources.mix_sources(odd(spark, rows)).collect()
