@@ -1,28 +1,29 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
-The filter holds the quantised counts of the corpus' tokens and token pairs: an
-n-gram whose count lies in the q-th step of a geometric scale is inserted q
-times, each time with its level.  A count is read back by probing level 1, 2, …
-until one is absent.  Three kinds of entries share it: tokens, pairs that occur
-at least `min_pair` times, and for each context the occurrences of its kept
-pairs.  The smoothed probability of a token w after v is
+The filter holds the quantised counts of the corpus' tokens and of all its token
+pairs: an n-gram whose count lies in the q-th step of a geometric scale is
+inserted q times, each time with its level.  As all levels up to an n-gram's own
+are present, a count is read back by probing levels 1, 2, 4, … until one is
+absent and halving the gap.  The smoothed probability of a token w after v is
 
-    share * c(v w) / c(v) + (1 - share * kept(v) / c(v)) * (c(w) + 0.5) / (N + 0.5 (V + 1))
+    (c(v w) + prior * P(w)) / (c(v) + prior),   P(w) = (c(w) + 0.5) / (N + 0.5 (V + 1))
 
 which sums to one over the vocabulary and the unknown token up to quantisation.
 A text's end is a token and serves as the context of its first word.
 
-The filter has `bits_per_key` bits for each insertion and so grows with the
-corpus.  It is cut into segments of a fixed size, each built by one group of a
-shuffle.  As long as all of them take no more than `broadcast_bytes` together
-they are broadcast; beyond that the texts' distinct n-grams are shuffled to the
-segments and probed there, which gives the same scores.
+The corpus is counted in parts by ranges of the hash: workers send a part's keys
+packed, and one pass over a part sums them, sets the part's bits (`bits_per_key`
+for each insertion, so the filter grows with the corpus) and hands out the exact
+counts of tokens.  A part holds different n-grams only, each once a worker's
+portion, so no frequent n-gram makes one large.  As long as the filter takes no
+more than `broadcast_bytes` it is broadcast; beyond that the texts' n-grams are
+shuffled to the parts and probed there, which gives the same scores.
 
-Exact counts are needed beside it for the unigram base: the `heavy` most
-frequent tokens at most are broadcast, all others are joined by shuffle.
+The `heavy` most frequent tokens at most, and as many pairs of these, are
+broadcast with their exact counts; so what is shuffled has no hot keys.  The
+unigram base is exact: the other tokens' counts are joined by shuffle.
 
-Tokens are known by 63 bits of hash, pairs by 32 bits of their context and 31 of
-their own: contexts that share those bits share their kept pairs.
+Tokens and pairs are known by 63 bits of hash.
 
 Null and empty texts consist of the end token alone.  A null identifier is in
 the training part.  Repeated rows give repeated results.  An empty training part
@@ -43,24 +44,30 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import numbered, record, remainder, saved
 from .textbatch import U64, Tokens, mix, signed, slices, tokenize
 
-SEGMENT_BITS = 1 << 20
 PROBES = 7
 END = U64(0x5E5E5E5E5E5E5E5D)  # odd, as all tokens
-FLUSH = 1_000_000
-#: Kinds of entries and the base of each one's scale of counts.
-TOKEN, PAIR, CONTEXT = 0, 1, 2
-BASES = {TOKEN: 1.25, PAIR: 1.5, CONTEXT: 1.25}
+FLUSH = 2_000_000
+#: Parts to which the texts' n-grams are dealt at once.
+WIDE = 1 << 13
+#: Kinds of n-grams and the base of each one's scale of counts.
+TOKEN, PAIR = 0, 1
+BASES = {TOKEN: 1.25, PAIR: 1.5}
+#: Kinds of rows of a counted corpus: tokens and frequent pairs with their counts, and the filter's bits.
+TOKENS, PAIRS, BITS = 0, 1, 2
+#: The least count of a pair that may be broadcast.
+FREQUENT = 64
 
-COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+COUNTED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 
 
 @dataclass(frozen=True)
 class Settings:
-    min_pair: int = 2
-    share: float = 0.8
+    prior: float = 16.0
     bits_per_key: int = 12
     broadcast_bytes: int = 128 << 20
-    heavy: int = 1 << 20
+    heavy: int = 1 << 19
+    part_bytes: int = 1 << 20
 
 
 def sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,202 +78,315 @@ def sequence(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair_key(ctx: np.ndarray, cur: np.ndarray) -> np.ndarray:
-    """An even number: 32 bits of the context, then 31 of the pair, so that pairs need no second column for their context."""
-    return (ctx & U64(0xFFFFFFFF00000000)) | ((mix(ctx * U64(0xC2B2AE3D27D4EB4F) + cur) >> U64(32)) & U64(0xFFFFFFFE))
+    """An even number that stands for two tokens in order."""
+    return mix(ctx * U64(0xC2B2AE3D27D4EB4F) + cur) & ~U64(1)
 
 
-def context_key(ctx: np.ndarray) -> np.ndarray:
-    return mix((ctx >> U64(32)) ^ U64(0x27D4EB2F165667C5))
+def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each key; it grows with the key."""
+    return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def count_ngrams(batches):
-    """Occurrences of tokens (odd keys) and of pairs (even keys), summed over up to FLUSH tokens."""
-    cur, ctx, held = [], [], 0
+def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and the sum of n for each."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
 
-    def flush():
-        a, b = np.concatenate(cur), np.concatenate(ctx)
-        for keys, n in (np.unique(a, return_counts=True), np.unique(pair_key(b, a), return_counts=True)):
-            for i in range(0, len(keys), 100_000):
-                yield record(COUNTS, signed(keys[i : i + 100_000]), n[i : i + 100_000])
 
-    for batch in batches:
-        for _, data, bounds in slices(batch):
-            a, b, _ = sequence(tokenize(data, bounds))
-            cur.append(a)
-            ctx.append(b)
-            held += len(a)
-            if held >= FLUSH:
-                yield from flush()
-                cur, ctx, held = [], [], 0
-    if held:
-        yield from flush()
+def packed(keys: np.ndarray, n: np.ndarray, parts: int):
+    """Record batches of the keys and counts of each part; keys are in order.  A count beyond 32 bits takes several places."""
+    while len(keys):
+        part = part_of(keys, parts)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(first[1:], len(keys))
+        here = np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
+        for i in range(0, len(first), 4096):
+            some = [slice(x, y) for x, y in zip(first[i : i + 4096], ends[i : i + 4096])]
+            yield record(PACKED, part[first[i : i + 4096]], [keys[s].tobytes() for s in some], [here[s].tobytes() for s in some])
+        n = n - here
+        keys, n = keys[n > 0], n[n > 0]
 
 
-def levels(kind: int, count, first: int = 1):
-    """Column: the step of the kind's scale in which a count lies, from 1; `first` is the least count there is."""
-    return (F.floor(F.log(count / F.lit(float(first))) / F.lit(math.log(BASES[kind])) + F.lit(1e-9)) + 1).cast("int")
+def count_ngrams(parts: int):
+    """For mapInArrow: the keys of each part and their counts, packed, over up to FLUSH tokens."""
 
+    def run(batches):
+        cur, ctx, held = [], [], 0
 
-def typical(kind: int, first: int = 1) -> np.ndarray:
+        def flush():
+            a, b = np.concatenate(cur), np.concatenate(ctx)
+            for keys in (a, pair_key(b, a)):
+                yield from packed(*np.unique(keys, return_counts=True), parts)
+
+        for batch in batches:
+            for _, data, bounds in slices(batch):
+                a, b, _ = sequence(tokenize(data, bounds))
+                cur.append(a)
+                ctx.append(b)
+                held += len(a)
+                if held >= FLUSH:
+                    yield from flush()
+                    cur, ctx, held = [], [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def levels(kind: int, count: np.ndarray) -> np.ndarray:
+    """The step of the kind's scale in which a count lies, from 1."""
+    return (np.floor(np.log(count) / math.log(BASES[kind]) + 1e-9) + 1).astype(np.int32)
+
+
+def typical(kind: int) -> np.ndarray:
     """The count that stands for each level; 0 for level 0."""
-    steps = first * BASES[kind] ** np.arange(0, 200)
+    steps = BASES[kind] ** np.arange(0, 250)
     low, high = np.ceil(steps[:-1] - 1e-9), np.maximum(np.ceil(steps[1:] - 1e-9) - 1, np.ceil(steps[:-1] - 1e-9))
     return np.concatenate([[0.0], np.sqrt(low * high)])
 
 
-def bit_positions(keys: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
-    """The bit, inside its segment, that a probe of an entry's level looks at."""
+def _hashed(keys: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(keys + np.asarray(level, U64) * U64(0x9E3779B97F4A7C15))
-    return ((h & U64(0xFFFFFFFF)) + U64(probe) * ((h >> U64(32)) | U64(1))) % U64(SEGMENT_BITS)
+    return h & U64(0xFFFFFFFF), (h >> U64(32)) | U64(1)
 
 
-def segment_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return (mix(keys ^ U64(0xA0761D6478BD642F)) >> U64(16)) % U64(n)
+def _bit(low: np.ndarray, high: np.ndarray, probe: int, size: np.ndarray | int) -> np.ndarray:
+    """The bit, inside its part, that a probe of an entry's level looks at."""
+    return (((low + U64(probe) * high) & U64(0xFFFFFFFF)) * np.asarray(size, U64) >> U64(32)).astype(np.int64)
 
 
 def insert(bits: np.ndarray, keys: np.ndarray, level: np.ndarray) -> None:
-    """Sets an entry's bits for its levels 1 to `level` in one segment, a boolean for each bit."""
+    """Sets an entry's bits for its levels 1 to `level` in one part, a boolean for each bit."""
     for j in range(1, int(level.max(initial=0)) + 1):
         keys = keys[level >= j]
         level = level[level >= j]
+        low, high = _hashed(keys, j)
         for p in range(PROBES):
-            bits[bit_positions(keys, j, p)] = True
-
-
-def probe(words: np.ndarray, segments: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The level of each key: the number of consecutive levels present.  words: the segments' bits in bytes."""
-    out = np.zeros(len(keys), np.int16)
-    at = np.arange(len(keys))
-    base = segments.astype(np.int64) * (SEGMENT_BITS // 8)
-    level = 0
-    while len(at):
-        level += 1
+            bits[_bit(low, high, p, len(bits))] = True
+
+
+class Filter:
+    """The bits of the parts in `found` (part, bits), one after another, and an empty byte for parts that have none."""
+
+    def __init__(self, found: pa.Table, parts: int):
+        self.parts = parts
+        bits = found.column("bits").combine_chunks().cast(pa.large_binary())
+        _, offsets, data = bits.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[bits.offset : bits.offset + len(bits) + 1] if len(bits) else np.zeros(1, np.int64)
+        own = np.frombuffer(data, np.uint8)[: offsets[-1]] if len(bits) else np.zeros(0, np.uint8)
+        self.words = np.append(own, np.uint8(0))
+        self.sizes, self.starts = np.full(parts, 8, U64), np.full(parts, offsets[-1], np.int64)
+        at = found.column("part").to_numpy()
+        self.sizes[at], self.starts[at] = (8 * np.diff(offsets)).astype(U64), offsets[:-1]
+
+    def has(self, keys: np.ndarray, level: np.ndarray | int, size: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which keys have the level, as indexes."""
+        at = np.arange(len(keys))
+        low, high = _hashed(keys, level)
         for p in range(PROBES):
-            bit = bit_positions(keys[at], level, p).astype(np.int64)
-            at = at[(words[base[at] + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0]
-        out[at] = level
-    return out
-
-
-def ngram_counts(texts: DataFrame, settings: Settings) -> DataFrame:
-    """(key, n) of all tokens and of the pairs that occur often enough, written."""
-    raw = texts.select("text").mapInArrow(count_ngrams, "key long, n long")
-    raw = raw.repartition("key")  # counted in Python already: a second map-side sum would fill the executors' memory for little
-    return saved(raw.groupBy("key").agg(F.sum("n").alias("n")).where(F.expr("(key & 1) = 1") | (F.col("n") >= settings.min_pair)), "ngrams")
-
+            bit = _bit(low, high, p, size)
+            hit = (self.words[start + (bit >> 3)] >> (bit & 7).astype(np.uint8)) & 1 > 0
+            at, low, high, size, start = at[hit], low[hit], high[hit], size[hit], start[hit]
+        return at
+
+    def probe(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key: levels 1, 2, 4, … are probed until one is absent, then the levels between."""
+        part = part_of(keys, self.parts)
+        size, start = self.sizes[part], self.starts[part]
+        low = np.zeros(len(keys), np.int64)  # present
+        high = np.ones(len(keys), np.int64)  # absent, once found
+        at, step = np.arange(len(keys)), 1
+        while len(at):
+            hit = self.has(keys[at], step, size[at], start[at])
+            high[at] = step
+            at = at[hit]
+            low[at] = step
+            step *= 2
+        while len(at := np.flatnonzero(high - low > 1)):
+            mid = (low[at] + high[at]) // 2
+            hit = np.zeros(len(at), bool)
+            hit[self.has(keys[at], mid, size[at], start[at])] = True
+            low[at[hit]], high[at[~hit]] = mid[hit], mid[~hit]
+        return low
+
+
+def parts_for(docs: DataFrame, settings: Settings) -> int:
+    """The number of parts, by the size that Spark knows of the input; by the shuffle's where it knows none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(16, size // settings.part_bytes), 1 << 30)
+
+
+def regrouped(parts: int):
+    """For mapInArrow: packed rows of few wide parts as packed rows of many."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            keys = np.frombuffer(b"".join(k for k, _ in held), U64)
+            yield from packed(*sums(keys, np.frombuffer(b"".join(c for _, c in held), np.uint32).astype(np.int64)), parts)
 
-def entries(counts: DataFrame, settings: Settings) -> DataFrame:
-    """(key, level) of everything that the filter holds."""
-    pairs = counts.where(F.expr("(key & 1) = 0"))
-    contexts = pairs.groupBy(F.shiftrightunsigned("key", 32).alias("slot")).agg(F.sum("n").alias("n"))
-
-    def keyed(batches):
         for batch in batches:
-            key = context_key(batch.column(0).to_numpy().view(U64) << U64(32))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(key)), batch.column(1)], names=["key", "level"])
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
+                held.append((keys, counts))
+                size += len(counts) // 4
+                if size >= FLUSH:
+                    yield from flush()
+                    held, size = [], 0
+        if held:
+            yield from flush()
 
-    return (
-        counts.where(F.expr("(key & 1) = 1")).select("key", levels(TOKEN, F.col("n")).alias("level"))
-        .unionByName(pairs.select("key", levels(PAIR, F.col("n"), settings.min_pair).alias("level")))
-        .unionByName(contexts.select("slot", levels(CONTEXT, F.col("n")).alias("level")).mapInArrow(keyed, "key long, level int"))
-    )
+    return run
 
 
-def build_segments(keys: DataFrame, n: int) -> DataFrame:
-    """(segment, bits) of the filter in n segments; each is built from the entries that fall into it."""
+def count_parts(texts: DataFrame, parts: int, settings: Settings) -> DataFrame:
+    """(kind, part, key, n, bits) of the corpus, written: exact counts of tokens, those of frequent pairs, and the filter."""
 
-    def placed(batches):
+    def gathered(batches):
+        held: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            seg = segment_of(batch.column(0).to_numpy().view(U64), n).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(seg), *batch.columns], names=["segment", "key", "level"])
-
-    def built(key, table):
-        bits = np.zeros(SEGMENT_BITS, bool)
-        insert(bits, table.column("key").to_numpy().view(U64), table.column("level").to_numpy())
-        return pa.table({"segment": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    return keys.mapInArrow(placed, "segment int, key long, level int").groupBy("segment").applyInArrow(built, "segment int, bits binary")
+            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, []).append((keys, counts))
+        for part in sorted(held):
+            some = held.pop(part)
+            keys, n = sums(np.frombuffer(b"".join(k for k, _ in some), U64), np.frombuffer(b"".join(c for _, c in some), np.uint32).astype(np.int64))
+            odd = keys & U64(1) > 0
+            level = np.where(odd, levels(TOKEN, n), levels(PAIR, n))
+            bits = np.zeros(max(8, -(-int(level.sum()) * settings.bits_per_key // 8) * 8), bool)
+            insert(bits, keys, level)
+            yield record(COUNTED, [BITS], [part], pa.nulls(1, pa.int64()), [len(keys)], [np.packbits(bits, bitorder="little").tobytes()])
+            for kind, pick in ((TOKENS, odd), (PAIRS, ~odd & (n >= FREQUENT))):
+                for i in range(0, int(pick.sum()), 100_000):
+                    k, c = keys[pick][i : i + 100_000], n[pick][i : i + 100_000]
+                    yield record(COUNTED, np.full(len(k), kind, np.int32), np.full(len(k), part, np.int32), signed(k), c, pa.nulls(len(k), pa.binary()))
+
+    ddl = "part int, keys binary, counts binary"
+    raw = texts.select("text").mapInArrow(count_ngrams(min(parts, WIDE)), ddl)
+    if parts > WIDE:  # else a row would hold few keys
+        raw = raw.repartition(WIDE, "part").mapInArrow(regrouped(parts), ddl)
+    dealt = raw.repartition(max(1, parts // 4), "part")
+    return saved(dealt.mapInArrow(gathered, "kind int, part int, key long, n long, bits binary"), "ngrams")
+
+
+def most_frequent(counts: DataFrame, settings: Settings, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """(keys in order, counts, step) of whole steps of a scale from the top, as long as they have `heavy` rows at most and reach `least`."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    kept, last = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect(), reverse=True):  # some hundred rows
+        if (kept := kept + r.v) > settings.heavy or (least is not None and r.step < least):
+            break
+        last = r.step
+    if last is None:
+        return np.zeros(0, U64), np.zeros(0), None
+    found = counts.where(step >= last).select("key", "n").toArrow()
+    keys = found.column("key").to_numpy().view(U64)
+    order = np.argsort(keys)
+    return keys[order], found.column("n").to_numpy()[order].astype(np.float64), last
+
+
+def look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each wanted key (0 where there is none), and whether there is one."""
+    if not len(keys):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    hit = keys[at] == wanted
+    return np.where(hit, values[at], 0.0), hit
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys in order, and for each key its place among them."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[new], inverse
 
 
 class Model:
-    """A fitted model: exact token counts, N, V, and the filter, broadcast or as a table of segments."""
+    """A fitted model: exact token counts, N, V, and the filter, broadcast or as a table of parts."""
 
-    def __init__(self, counts: DataFrame, settings: Settings):
+    def __init__(self, texts: DataFrame, settings: Settings):
         self.settings = settings
-        tokens = counts.where(F.expr("(key & 1) = 1")).select("key", F.col("n").alias("c"))
-        self.tokens = tokens
-        step = F.floor(F.log2("c") * 8).cast("int")
-        scale = sorted(tokens.groupBy(step.alias("step")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect(), reverse=True)
-        self.v, self.n = sum(r.v for r in scale), sum(r.n for r in scale)
-        kept, least = 0, None
-        for r in scale:  # whole steps from the top, as long as they fit
-            if (kept := kept + r.v) > settings.heavy:
-                break
-            least = r.step
-        heavy = tokens.where(step >= least).toArrow() if least is not None else tokens.limit(0).toArrow()
-        order = np.argsort(keys := heavy.column("key").to_numpy().view(U64))
-        self.heavy = keys[order], heavy.column("c").to_numpy()[order].astype(np.float64)
-        held = entries(counts, settings)
-        inserted = held.agg(F.sum("level")).first()[0] or 0
-        self.segments = max(1, math.ceil(inserted * settings.bits_per_key / SEGMENT_BITS))
-        self.filter = build_segments(held, self.segments)
-        self.small = self.segments * SEGMENT_BITS // 8 <= settings.broadcast_bytes
+        self.parts = parts_for(texts, settings)
+        counted = count_parts(texts, self.parts, settings)
+        self.tokens = counted.where(F.col("kind") == TOKENS).select("key", "n")
+        total = self.tokens.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+        self.v, self.n = total.v, total.n
+        *heavy, step = most_frequent(self.tokens, settings)
+        # a pair's tokens are at least as frequent as the pair, so those of a heavy pair are heavy
+        pairs = most_frequent(counted.where(F.col("kind") == PAIRS), settings, step)[:2] if step is not None else (np.zeros(0, U64), np.zeros(0))
+        self.heavy = (*heavy, *pairs)
+        self.filter = counted.where(F.col("kind") == BITS).select("part", "bits")
+        size = self.filter.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+        self.small = size <= settings.broadcast_bytes
+        self.bits = None
         if self.small:
-            words = np.zeros((self.segments, SEGMENT_BITS // 8), np.uint8)
-            for i, b in zip(*(c.to_pylist() for c in self.filter.toArrow().columns)):
-                words[i] = np.frombuffer(b, np.uint8)
-            self.words = words.reshape(-1)
+            self.bits = Filter(self.filter.toArrow(), self.parts)
+
+    @property
+    def floor(self) -> float:
+        return self.n + 0.5 * (self.v + 1)
 
     def score(self, docs: DataFrame) -> DataFrame:
         """docs (doc_id, held_out, text) with n_tokens, n_known, base_score, score."""
         spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast((*self.heavy, self.words if self.small else None))
-        s, n_seg, n, v = self.settings, self.segments, self.n, self.v
-        token_counts, pair_counts, context_counts = typical(TOKEN), typical(PAIR, s.min_pair), typical(CONTEXT)
-        floor = n + 0.5 * (v + 1)
+        shared = spark.sparkContext.broadcast((*self.heavy, self.bits))
+        n, floor, prior, small = self.n, self.floor, self.settings.prior, self.small
+        token_counts, pair_counts = typical(TOKEN), typical(PAIR)
         rows = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
         def scored(batches, number):
-            heavy_keys, heavy_counts, words = shared.value
+            tokens, times, pairs, pair_times, bits = shared.value
             for batch in batches:
-                for part, data, bounds in slices(batch):
+                for part, data, bounds in slices(batch, most=4 << 20):
                     cur, ctx, off = sequence(tokenize(data, bounds))
                     size = part.num_rows
                     owner = np.repeat(np.arange(size), np.diff(off))
-                    uniq, inv = np.unique(cur, return_inverse=True)
-                    at = np.minimum(np.searchsorted(heavy_keys, uniq), max(len(heavy_keys) - 1, 0))
-                    is_heavy = heavy_keys[at] == uniq if len(heavy_keys) else np.zeros(len(uniq), bool)
-                    logs = np.where(is_heavy, np.log10(((heavy_counts[at] if len(heavy_keys) else 0) + 0.5) / floor), 0.0)
+                    uniq, inv = grouped(cur)
+                    count, is_heavy = look_up(tokens, times, uniq)
+                    logs = np.where(is_heavy, np.log10((count + 0.5) / floor), 0.0)
                     frequent = is_heavy[inv]
                     base = np.bincount(owner, logs[inv], size)
                     known = np.bincount(owner[frequent], minlength=size)
                     score = np.zeros(size)
-                    if words is not None:
-                        c_token = token_counts[probe(words, segment_of(uniq, n_seg), uniq)]
-                        keys = context_key(uniq)
-                        c_kept = context_counts[probe(words, segment_of(keys, n_seg), keys)]
-                        keys = pair_key(ctx, cur)
-                        c_pair = pair_counts[probe(words, segment_of(keys, n_seg), keys)]
-                        before = np.searchsorted(uniq, ctx)
-                        score = np.bincount(owner, _log_prob(s.share, c_pair, c_token[before], c_kept[before], c_token[inv], floor), size)
+                    if small:
+                        rare = np.flatnonzero(~is_heavy)
+                        count[rare] = token_counts[bits.probe(uniq[rare])]
+                        # the token before: that of the place before, or the end
+                        c_ctx = np.empty(len(cur))
+                        c_ctx[1:] = count[inv[:-1]]
+                        c_ctx[off[:-1]] = count[np.searchsorted(uniq, END)]
+                        keys, back = grouped(pair_key(ctx, cur))
+                        c_pair, hit = look_up(pairs, pair_times, keys)
+                        rest = np.flatnonzero(~hit)
+                        c_pair[rest] = pair_counts[bits.probe(keys[rest])]
+                        score = np.bincount(owner, log_prob(prior, c_pair[back], c_ctx, count[inv], floor), size)
                     row = number + np.arange(size)
                     number += size
                     ids, out = part.column(0), part.column(1)
                     yield record(rows, row, ids, out, np.zeros(size, np.int32), signed(mix(row.astype(U64))), np.diff(off), known, base, score)
                     rare = np.flatnonzero(~frequent)
                     if len(rare):  # equal tokens of a text make one row
-                        order = rare[np.lexsort((cur[rare], owner[rare]))]
+                        order = rare[np.lexsort((inv[rare], owner[rare]))]
                         new = np.ones(len(order), bool)
-                        new[1:] = (cur[order[1:]] != cur[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+                        new[1:] = (inv[order[1:]] != inv[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
                         first = np.flatnonzero(new)
-                        times = np.diff(np.append(first, len(order)))
+                        again = np.diff(np.append(first, len(order)))
                         o = order[first]
-                        yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), times, np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
+                        yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), again, np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
 
         ddl = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, kind int, key long, n long, known long, base double, score double"
         parts = docs.select("doc_id", "held_out", "text").mapInArrow(numbered(scored), ddl)
         rare = F.col("kind") == 1
-        counted = parts.join(self.tokens.withColumnsRenamed({"key": "t_key"}), rare & (F.col("key") == F.col("t_key")), "left")
+        counted = parts.join(self.tokens.toDF("t_key", "c"), rare & (F.col("key") == F.col("t_key")), "left")
         out = counted.groupBy("row").agg(
             F.first("doc_id").alias("doc_id"),
             F.first("held_out").alias("held_out"),
@@ -277,58 +397,86 @@ class Model:
             F.sum("score").alias("score"),
         )
         if not self.small:
-            out = out.drop("score").join(self._shuffled(docs, floor), "row")
+            out = out.drop("score").join(self._shuffled(docs), "row")
         return out
 
-    def _shuffled(self, docs: DataFrame, floor: float) -> DataFrame:
-        """(row, score) by probes at the segments' place, for a filter too large to broadcast."""
-        s, n_seg = self.settings, self.segments
-        token_counts, pair_counts, context_counts = typical(TOKEN), typical(PAIR, s.min_pair), typical(CONTEXT)
-        grams = pa.schema([("row", pa.int64()), ("ctx", pa.int64()), ("cur", pa.int64()), ("pair", pa.int64()), ("kept", pa.int64()), ("n", pa.int64())])
+    def _shuffled(self, docs: DataFrame) -> DataFrame:
+        """(row, score) by probes at the parts' place, for a filter too large to broadcast.
+
+        Heavy pairs and tokens are resolved by the broadcast counts, so a key that is shuffled is no more frequent than they are.
+        """
+        shared = docs.sparkSession.sparkContext.broadcast(self.heavy)
+        floor, prior, parts = self.floor, self.settings.prior, self.parts
+        token_counts, pair_counts = typical(TOKEN), typical(PAIR)
+        grams = pa.schema([("row", pa.int64()), ("pair", pa.int64()), ("ctx", pa.int64()), ("cur", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
 
         def split(batches, number):
+            tokens, times, pairs, pair_times = shared.value
             for batch in batches:
                 for part, data, bounds in slices(batch):
                     cur, ctx, off = sequence(tokenize(data, bounds))
-                    owner = np.repeat(np.arange(part.num_rows), np.diff(off))
+                    size = part.num_rows
+                    owner = np.repeat(np.arange(size), np.diff(off))
                     key = pair_key(ctx, cur)
-                    _, at, times = np.unique(np.stack([owner.astype(U64), key]), axis=1, return_index=True, return_counts=True)
-                    yield record(grams, number + owner[at], signed(ctx[at]), signed(cur[at]), signed(key[at]), signed(context_key(ctx[at])), times)
-                    number += part.num_rows
+                    c_pair, hit = look_up(pairs, pair_times, key)
+                    logs = log_prob(prior, c_pair[hit], look_up(tokens, times, ctx[hit])[0], look_up(tokens, times, cur[hit])[0], floor)
+                    none = pa.nulls(size, pa.int64())
+                    yield record(grams, number + np.arange(size), none, none, none, np.zeros(size, np.int64), np.bincount(owner[hit], logs, size))
+                    rest = np.flatnonzero(~hit)
+                    order = rest[np.lexsort((key[rest], owner[rest]))]
+                    new = np.ones(len(order), bool)
+                    new[1:] = (key[order[1:]] != key[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+                    first = np.flatnonzero(new)
+                    at = order[first]
+                    yield record(grams, number + owner[at], signed(key[at]), signed(ctx[at]), signed(cur[at]), np.diff(np.append(first, len(order))), np.zeros(len(at)))
+                    number += size
+
+        def resolved(batches):
+            """The counts of heavy tokens, null for the others."""
+            tokens, times, _, _ = shared.value
+            for batch in batches:
+                counts = []
+                for name in ("ctx", "cur"):
+                    c, hit = look_up(tokens, times, batch.column(name).to_numpy().view(U64))
+                    counts.append(pa.array(c, mask=~hit))
+                yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("ctx"), batch.column("cur"), *counts], names=["pair", "ctx", "cur", "n_ctx", "n_cur"])
 
         def placed(batches):
             for batch in batches:
-                seg = segment_of(batch.column(0).to_numpy().view(U64), n_seg).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(seg), *batch.columns], names=["segment", "key"])
-
-        def probed(key, left, right):
-            keys = left.column("key").to_numpy().view(U64)
-            bits = right.column("bits").to_pylist()
-            level = probe(np.frombuffer(bits[0], np.uint8), np.zeros(len(keys), np.int64), keys) if bits else np.zeros(len(keys), np.int16)
-            return pa.table({"key": left.column("key"), "level": pa.array(level, pa.int32())})
-
-        rows = docs.select("doc_id", "held_out", "text").mapInArrow(numbered(split), "row long, ctx long, cur long, pair long, kept long, n long")
-        keys = rows.select(F.explode(F.array("ctx", "cur", "pair", "kept")).alias("key")).distinct()
-        found = keys.mapInArrow(placed, "segment int, key long").groupBy("segment").cogroup(self.filter.groupBy("segment")).applyInArrow(probed, "key long, level int")
+                part = part_of(batch.column(0).to_numpy().view(U64), parts).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0)], names=["part", "key"])
+
+        def probed(left, right):
+            own = Filter(pa.table({"part": pa.array(np.zeros(right.num_rows, np.int32)), "bits": right.column("bits")}), 1)
+            return pa.table({"key": left.column("key"), "level": pa.array(own.probe(left.column("key").to_numpy().view(U64)), pa.int32())})
+
+        rows = saved(docs.select("doc_id", "held_out", "text").mapInArrow(numbered(split), "row long, pair long, ctx long, cur long, n long, score double"), "grams")
+        own = rows.where("pair is not null").groupBy("pair").agg(F.first("ctx").alias("ctx"), F.first("cur").alias("cur"))
+        own = saved(own.mapInArrow(resolved, "pair long, ctx long, cur long, n_ctx double, n_cur double"), "pairs")
+        open_ = lambda c: F.when(F.col(f"n_{c}").isNull(), F.col(c))
+        keys = own.select(F.explode(F.array_compact(F.array("pair", open_("ctx"), open_("cur")))).alias("key")).distinct()
+        found = keys.mapInArrow(placed, "part int, key long").groupBy("part").cogroup(self.filter.groupBy("part")).applyInArrow(probed, "key long, level int")
         found = saved(found.where("level > 0"), "levels")
-        for name in ("ctx", "cur", "pair", "kept"):
-            rows = rows.join(found.select(F.col("key").alias(name), F.col("level").alias(f"q_{name}")), name, "left")
-
-        def summed(batches):
+        own = own.join(found.toDF("pair", "q_pair"), "pair", "left")
+        for c in ("ctx", "cur"):
+            # resolved rows are dealt by their pair and match nothing
+            known = found.toDF(f"k_{c}", f"q_{c}")
+            own = own.withColumn(f"j_{c}", F.coalesce(open_(c), "pair"))
+            own = own.join(known, F.col(f"n_{c}").isNull() & (F.col(f"j_{c}") == F.col(f"k_{c}")), "left").drop(f"j_{c}", f"k_{c}")
+
+        def judged(batches):
             for batch in batches:
-                q = {c: batch.column(c).fill_null(0).to_numpy() for c in ("q_ctx", "q_cur", "q_pair", "q_kept")}
-                logs = _log_prob(s.share, pair_counts[q["q_pair"]], token_counts[q["q_ctx"]], context_counts[q["q_kept"]], token_counts[q["q_cur"]], floor)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(logs * batch.column("n").to_numpy())], names=["row", "score"])
+                q = {c: batch.column(f"q_{c}").fill_null(0).to_numpy() for c in ("pair", "ctx", "cur")}
+                c_ctx, c_cur = (np.where(np.isnan(x := batch.column(f"n_{c}").to_numpy(zero_copy_only=False).astype(np.float64)), token_counts[q[c]], x) for c in ("ctx", "cur"))
+                yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(log_prob(prior, pair_counts[q["pair"]], c_ctx, c_cur, floor))], names=["pair", "logs"])
 
-        return rows.mapInArrow(summed, "row long, score double").groupBy("row").agg(F.sum("score").alias("score"))
+        logs = own.select("pair", "q_pair", "q_ctx", "q_cur", "n_ctx", "n_cur").mapInArrow(judged, "pair long, logs double")
+        rest = rows.where("pair is not null").join(logs, "pair").select("row", (F.col("n") * F.col("logs")).alias("score"))
+        return rows.where("pair is null").select("row", "score").unionByName(rest).groupBy("row").agg(F.sum("score").alias("score"))
 
 
-def _log_prob(share, c_pair, c_ctx, c_kept, c_cur, floor):
-    plain = (c_cur + 0.5) / floor
-    total = np.maximum(c_ctx, 1e-9)
-    seen = np.where(c_ctx > 0, share * np.minimum(c_pair / total, 1.0), 0.0)
-    kept = np.where(c_ctx > 0, share * np.clip(np.maximum(c_kept, c_pair) / total, 0.0, 1.0), 0.0)
-    return np.log10(seen + (1.0 - kept) * plain)
+def log_prob(prior: float, c_pair: np.ndarray, c_ctx: np.ndarray, c_cur: np.ndarray, floor: float) -> np.ndarray:
+    return np.log10((np.minimum(c_pair, c_ctx) + prior * ((c_cur + 0.5) / floor)) / (c_ctx + prior))
 
 
 def lm_score(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc_id", text: str = "text", part: int = 1) -> DataFrame:
@@ -337,8 +485,7 @@ def lm_score(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc
     Returns a row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     own = docs.select(F.col(ident).alias("doc_id"), F.coalesce(remainder(F.col(ident)) == part, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    counts = ngram_counts(own.where(~F.col("held_out")), settings)
-    return Model(counts, settings).score(own).drop("row")
+    return Model(own.where(~F.col("held_out")).select("text"), settings).score(own).drop("row")
 
 
 def op1_lm_score(spark, sf_dir):
@@ -347,4 +494,4 @@ def op1_lm_score(spark, sf_dir):
     return lm_score(documents(spark, sf_dir))
 
 
-__all__ = ["Model", "Settings", "lm_score", "op1_lm_score"]
+__all__ = ["Filter", "Model", "Settings", "lm_score", "op1_lm_score"]

@@ -102,6 +102,7 @@ def test_lm_base_is_exact_and_both_paths_agree(spark):
     rows = [(i, prose(i % 7, 60) + " Word end", "en", "a") for i in range(40)]
     docs = odd(spark, rows)
     got = {r.doc_id: r for r in lm_score.lm_score(docs).collect()}
+    few = {r.doc_id: r for r in lm_score.lm_score(docs, lm_score.Settings(heavy=5)).collect()}
     other = {r.doc_id: r for r in lm_score.lm_score(docs, lm_score.Settings(broadcast_bytes=0, heavy=5)).collect()}
     count = Counter()
     tokens = lambda t: [*WORD.findall(lower(t)), None]
@@ -113,18 +114,53 @@ def test_lm_base_is_exact_and_both_paths_agree(spark):
         words = tokens(t)
         assert got[i].train_tokens == n and got[i].n_tokens == len(words) and got[i].n_known == sum(count[w] > 0 for w in words)
         assert got[i].base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
-        assert other[i].base_score == pytest.approx(got[i].base_score) and other[i].score == pytest.approx(got[i].score)
+        assert other[i].base_score == pytest.approx(got[i].base_score) and other[i].score == pytest.approx(few[i].score)
         assert got[i].score > got[i].base_score
 
 
+@pytest.mark.parametrize("wide", [4, 1 << 13])
+def test_lm_score_against_brute_force(spark, monkeypatch, wide):
+    monkeypatch.setattr(lm_score, "WIDE", wide)
+    r = random.Random(21)
+    words = [prose(i, 1) for i in range(30)]
+    rows = [(i, " ".join(r.choice(words[: r.randint(2, 30)]) for _ in range(r.randint(0, 40))), "en", "a") for i in range(120)]
+    single, pair = Counter(), Counter()
+    tokens = lambda t: [None, *WORD.findall(lower(t)), None]
+    for i, t, _, _ in rows:
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            single.update(tokens(t)[1:])
+            pair.update(zip(tokens(t), tokens(t)[1:]))
+    n, v, scales = sum(single.values()), len(single), [lm_score.typical(k) for k in (lm_score.TOKEN, lm_score.PAIR)]
+    level = lambda k, c: scales[k][lm_score.levels(k, np.array([c]))[0]] if c else 0.0
+    for settings in (lm_score.Settings(), lm_score.Settings(heavy=0), lm_score.Settings(heavy=0, broadcast_bytes=0), lm_score.Settings(broadcast_bytes=0)):
+        exact = settings.heavy > 0
+        got = {x.doc_id: x.score for x in lm_score.lm_score(odd(spark, rows), settings).collect()}
+        near = 0
+        for i, t, _, _ in rows:
+            want = 0.0
+            for a, b in zip(tokens(t), tokens(t)[1:]):
+                c_ctx, c_cur = (single[x] if exact else level(0, single[x]) for x in (a, b))
+                c_pair = pair[a, b] if exact and pair[a, b] >= lm_score.FREQUENT else level(1, pair[a, b])
+                want += math.log10((min(c_pair, c_ctx) + settings.prior * (c_cur + 0.5) / (n + 0.5 * (v + 1))) / (c_ctx + settings.prior))
+            near += got[i] == pytest.approx(want)
+            assert got[i] == pytest.approx(want, rel=0.05)  # the filter has false positives
+        assert near >= 0.6 * len(rows)
+
+
 def test_filter_reads_back_levels():
+    import pyarrow as pa
+
     keys = textbatch.mix(np.arange(20_000, dtype=np.uint64))
-    level = (np.arange(20_000) % 5).astype(np.int32)
-    bits = np.zeros(lm_score.SEGMENT_BITS, bool)
-    lm_score.insert(bits, keys, level)
-    words = np.packbits(bits, bitorder="little")
-    got = lm_score.probe(words, np.zeros(len(keys), np.int64), keys)
-    assert (got >= level).all() and (got == level).mean() > 0.95
+    level = (np.arange(20_000) % 9).astype(np.int32)
+    part = lm_score.part_of(keys, 3)
+    found = []
+    for i in (0, 2):
+        bits = np.zeros(1 << 20, bool)
+        lm_score.insert(bits, keys[part == i], level[part == i])
+        found.append(np.packbits(bits, bitorder="little").tobytes())
+    got = lm_score.Filter(pa.table({"part": pa.array([0, 2], pa.int32()), "bits": pa.array(found, pa.binary())}), 3).probe(keys)
+    there = part != 1
+    assert (got[there] >= level[there]).all() and (got[there] == level[there]).mean() > 0.95 and not got[~there].any()
 
 
 def test_shards_fit_and_only_full_ones_are_split(spark):
