@@ -74,6 +74,20 @@ def _slot(columns: list[str]) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(THIN_SLOTS)).cast("int").alias("__slot")
 
 
+def thinned(df: DataFrame, on: list[str], keys: DataFrame, their: list[str]) -> DataFrame:
+    """The rows of df whose hash slot in the columns `on` is that of a row of keys; at most THIN_SLOTS numbers are broadcast."""
+    slots = F.broadcast(keys.select(_slot(their)).distinct())
+    return df.select("*", _slot(on)).join(slots, "__slot", "left_semi").drop("__slot")
+
+
+def parts_for(df: DataFrame, part_bytes: int) -> int:
+    """The number of parts of about so many bytes, by the size that Spark knows of the input; by the shuffle's where it knows none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 60:
+        return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(16, size // part_bytes), 1 << 30)
+
+
 def without(df: DataFrame, keys: DataFrame) -> DataFrame:
     """The rows of df for which no row of `keys` has the same values (nulls equal) in the columns of `keys`.
 

@@ -41,10 +41,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import numbered, record, remainder, saved
+from .common import numbered, parts_for, record, remainder, saved
 from .textbatch import U64, Tokens, mix, signed, slices, tokenize
 
-PROBES = 7
+PROBES = 6
 END = U64(0x5E5E5E5E5E5E5E5D)  # odd, as all tokens
 FLUSH = 2_000_000
 #: Parts to which the texts' n-grams are dealt at once.
@@ -64,7 +64,7 @@ PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.b
 @dataclass(frozen=True)
 class Settings:
     prior: float = 16.0
-    bits_per_key: int = 12
+    bits_per_key: int = 10
     broadcast_bytes: int = 128 << 20
     heavy: int = 1 << 19
     part_bytes: int = 1 << 20
@@ -214,14 +214,6 @@ class Filter:
         return low
 
 
-def parts_for(docs: DataFrame, settings: Settings) -> int:
-    """The number of parts, by the size that Spark knows of the input; by the shuffle's where it knows none."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 60:
-        return 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(max(16, size // settings.part_bytes), 1 << 30)
-
-
 def regrouped(parts: int):
     """For mapInArrow: packed rows of few wide parts as packed rows of many."""
 
@@ -315,7 +307,7 @@ class Model:
 
     def __init__(self, texts: DataFrame, settings: Settings):
         self.settings = settings
-        self.parts = parts_for(texts, settings)
+        self.parts = parts_for(texts, settings.part_bytes)
         counted = count_parts(texts, self.parts, settings)
         self.tokens = counted.where(F.col("kind") == TOKENS).select("key", "n")
         total = self.tokens.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
@@ -343,45 +335,47 @@ class Model:
         token_counts, pair_counts = typical(TOKEN), typical(PAIR)
         rows = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
-        def scored(batches, number):
+        def one(part, data, bounds, number):  # what a slice takes is free before the next one
             tokens, times, pairs, pair_times, bits = shared.value
+            cur, ctx, off = sequence(tokenize(data, bounds))
+            size = part.num_rows
+            owner = np.repeat(np.arange(size), np.diff(off))
+            uniq, inv = grouped(cur)
+            count, is_heavy = look_up(tokens, times, uniq)
+            logs = np.where(is_heavy, np.log10((count + 0.5) / floor), 0.0)
+            frequent = is_heavy[inv]
+            base = np.bincount(owner, logs[inv], size)
+            known = np.bincount(owner[frequent], minlength=size)
+            row, ids, out = number + np.arange(size), part.column(0), part.column(1)
+            rare = np.flatnonzero(~frequent)
+            if len(rare):  # equal tokens of a text make one row
+                order = rare[np.lexsort((inv[rare], owner[rare]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (inv[order[1:]] != inv[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
+                first = np.flatnonzero(new)
+                again = np.diff(np.append(first, len(order)))
+                o = order[first]
+                yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), again, np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
+            score = np.zeros(size)
+            if small:
+                rare = np.flatnonzero(~is_heavy)
+                count[rare] = token_counts[bits.probe(uniq[rare])]
+                # the token before: that of the place before, or the end
+                c_ctx = np.empty(len(cur))
+                c_ctx[1:] = count[inv[:-1]]
+                c_ctx[off[:-1]] = count[np.searchsorted(uniq, END)]
+                keys, back = grouped(pair_key(ctx, cur))
+                c_pair, hit = look_up(pairs, pair_times, keys)
+                rest = np.flatnonzero(~hit)
+                c_pair[rest] = pair_counts[bits.probe(keys[rest])]
+                score = np.bincount(owner, log_prob(prior, c_pair[back], c_ctx, count[inv], floor), size)
+            yield record(rows, row, ids, out, np.zeros(size, np.int32), signed(mix(row.astype(U64))), np.diff(off), known, base, score)
+
+        def scored(batches, number):
             for batch in batches:
-                for part, data, bounds in slices(batch, most=4 << 20):
-                    cur, ctx, off = sequence(tokenize(data, bounds))
-                    size = part.num_rows
-                    owner = np.repeat(np.arange(size), np.diff(off))
-                    uniq, inv = grouped(cur)
-                    count, is_heavy = look_up(tokens, times, uniq)
-                    logs = np.where(is_heavy, np.log10((count + 0.5) / floor), 0.0)
-                    frequent = is_heavy[inv]
-                    base = np.bincount(owner, logs[inv], size)
-                    known = np.bincount(owner[frequent], minlength=size)
-                    score = np.zeros(size)
-                    if small:
-                        rare = np.flatnonzero(~is_heavy)
-                        count[rare] = token_counts[bits.probe(uniq[rare])]
-                        # the token before: that of the place before, or the end
-                        c_ctx = np.empty(len(cur))
-                        c_ctx[1:] = count[inv[:-1]]
-                        c_ctx[off[:-1]] = count[np.searchsorted(uniq, END)]
-                        keys, back = grouped(pair_key(ctx, cur))
-                        c_pair, hit = look_up(pairs, pair_times, keys)
-                        rest = np.flatnonzero(~hit)
-                        c_pair[rest] = pair_counts[bits.probe(keys[rest])]
-                        score = np.bincount(owner, log_prob(prior, c_pair[back], c_ctx, count[inv], floor), size)
-                    row = number + np.arange(size)
-                    number += size
-                    ids, out = part.column(0), part.column(1)
-                    yield record(rows, row, ids, out, np.zeros(size, np.int32), signed(mix(row.astype(U64))), np.diff(off), known, base, score)
-                    rare = np.flatnonzero(~frequent)
-                    if len(rare):  # equal tokens of a text make one row
-                        order = rare[np.lexsort((inv[rare], owner[rare]))]
-                        new = np.ones(len(order), bool)
-                        new[1:] = (inv[order[1:]] != inv[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-                        first = np.flatnonzero(new)
-                        again = np.diff(np.append(first, len(order)))
-                        o = order[first]
-                        yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), again, np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
+                for part, data, bounds in slices(batch):
+                    yield from one(part, data, bounds, number)
+                    number += part.num_rows
 
         ddl = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, kind int, key long, n long, known long, base double, score double"
         parts = docs.select("doc_id", "held_out", "text").mapInArrow(numbered(scored), ddl)
