@@ -16,6 +16,7 @@ other.  Repeated rows are counted alike; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from itertools import islice
 
 import numpy as np
@@ -36,23 +37,24 @@ LONG_TEXT = 1 << 20
 TOGETHER = 1 << 20
 
 
-def _load(path: str):
+def _load(file: bytes | str):
+    """The library's tokenizer, from a file's bytes or its path."""
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(path)
+    out = Tokenizer.from_file(file) if isinstance(file, str) else Tokenizer.from_buffer(file)
     out.no_padding()
     out.no_truncation()
     return out
 
 
-def special_strings(path: str) -> list[str]:
+def special_strings(file: bytes | str) -> list[str]:
     """Strings that the library takes for one token before it cuts a text."""
-    return sorted((t.content for t in _load(path).get_added_tokens_decoder().values()), key=len, reverse=True)
+    return sorted((t.content for t in _load(file).get_added_tokens_decoder().values()), key=len, reverse=True)
 
 
-def whole_tokens(path: str) -> frozenset[str]:
+def whole_tokens(file: bytes | str) -> frozenset[str]:
     """The vocabulary's strings that the library encodes alone as exactly one token."""
-    tok = _load(path)
+    tok = _load(file)
     strings = [tok.decode([i], skip_special_tokens=False) for i in range(tok.get_vocab_size())]
     strings = [s for s in strings if s and "�" not in s]
     return frozenset(s for s, e in zip(strings, tok.encode_batch(strings, add_special_tokens=False)) if len(e.ids) == 1)
@@ -61,11 +63,11 @@ def whole_tokens(path: str) -> frozenset[str]:
 class Counter:
     """Counts tokens of texts with one tokenizer file."""
 
-    def __init__(self, path: str, pattern: str, whole: frozenset[str], special: list[str]):
+    def __init__(self, file: bytes | str, pattern: str, whole: frozenset[str], special: list[str]):
         import regex
 
         self.whole, self.special = whole, special
-        tok = _load(path)
+        tok = _load(file)
         encode = getattr(tok, "encode_batch_fast", tok.encode_batch)  # without the pieces' places, where the library offers it
         self.merged = lambda pieces: [len(e.ids) for e in encode(pieces, add_special_tokens=False)]
         pattern_ = regex.compile(pattern)
@@ -109,19 +111,22 @@ class Counter:
 _COUNTERS: dict[tuple[str, str], Counter] = {}
 
 
-def _counter(path: str, pattern: str, whole: frozenset[str], special: list[str]) -> Counter:
+def _counter(name: str, file: bytes, pattern: str, whole: frozenset[str], special: list[str]) -> Counter:
     """The worker's counter: it outlives a task, and so do the pieces that it remembers."""
-    if (path, pattern) not in _COUNTERS:
-        _COUNTERS[path, pattern] = Counter(path, pattern, whole, special)
-    return _COUNTERS[path, pattern]
+    if (name, pattern) not in _COUNTERS:
+        _COUNTERS[name, pattern] = Counter(file, pattern, whole, special)
+    return _COUNTERS[name, pattern]
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, limit: int = 1024, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per document: doc_id, n_bytes, n_tokens, over_limit."""
-    shared = docs.sparkSession.sparkContext.broadcast((whole_tokens(path), special_strings(path)))  # no more than the vocabulary
+    with open(path, "rb") as f:  # the driver's file: executors get its bytes
+        file = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((file, pattern, whole_tokens(file), special_strings(file)))  # no more than the vocabulary
+    name = hashlib.sha256(file).hexdigest()
 
     def run(batches):
-        counter = _counter(path, pattern, *shared.value)
+        counter = _counter(name, *shared.value)
         for batch in batches:
             for part, _, _ in slices(batch, most=TOGETHER):
                 n = np.array(counter.counts([t or "" for t in part.column("text").to_pylist()]), np.int64)
