@@ -6,7 +6,8 @@ measurement a unit placeholder, a capitalised token a name placeholder; all
 others stay as lower-cased literals.  Windows of `window` canonical tokens with
 at least `literals` different literals are joined by hash between documents and
 benchmark items.  Matches of one item on one diagonal (document position minus
-item position) are an aligned copy.  The copy counts if it covers `cover` of the
+item position) or on diagonals at most `shift` apart, as words put in or left out
+make them, are an aligned copy.  The copy counts if it covers `cover` of the
 item's tokens and its slots are consistent: equal values of the item stand for
 equal values in the document, different ones for different ones.  So a question
 with other numbers or names is found, a text that merely has the same shape is
@@ -55,10 +56,12 @@ FOLDED, VALUES = U64(0x2545F4914F6CDD1D), U64(0x5851F42D4C957F2D)
 
 @dataclass(frozen=True)
 class Settings:
-    window: int = 8
+    window: int = 6
     literals: int = 3
     cover: float = 0.5
+    shift: int = 12
     broadcast_windows: int = 1 << 20
+    broadcast_items: int = 1 << 16
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -206,9 +209,12 @@ def _aligned(settings: Settings):
         for batch in batches:
             cover, ok = [], []
             for total, matches in zip(batch.column("total").to_pylist(), batch.column("matches").to_pylist()):
-                same = [m for m in matches if m["vals"] == m["d_vals"]]
-                found = [len(seen) for seen, fits in map(_covered, ([m for m in matches if not m["folded"]], matches)) if fits]
-                found.append(len({m["at"] + i for m in same for i in range(len(m["vals"]))}))
+                found = [0]
+                own = [[m for m in matches if m["diagonal"] == d] for d in {m["diagonal"] for m in matches}]
+                for some in [matches, *own] if len(own) > 1 else own:
+                    same = [m for m in some if m["vals"] == m["d_vals"]]
+                    found += [len(seen) for seen, fits in map(_covered, ([m for m in some if not m["folded"]], some)) if fits]
+                    found.append(len({m["at"] + i for m in same for i in range(len(m["vals"]))}))
                 cover.append(max(found) / total)
                 ok.append(max(found) >= settings.cover * total)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "item_id")), pa.array(cover, pa.float64()), pa.array(ok, pa.bool_())], names=["row", "item_id", "cover", "ok"])
@@ -224,8 +230,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
     known = np.unique(items.select("hash").distinct().toArrow().column(0).to_numpy().view(U64)) if n <= settings.broadcast_windows else None
     own = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
     found = saved(document_windows(own, known, sizes, settings), "windows")
-    hits = found.where("hash is not null").select("row", "hash", F.col("at").alias("d_at"), F.col("vals").alias("d_vals")).join(items, "hash").where(F.size("vals") == F.size("d_vals"))
-    groups = hits.groupBy("row", "item_row", (F.col("d_at") - F.col("at")).alias("diagonal")).agg(F.first("item_id").alias("item_id"), F.first("total").alias("total"), F.collect_list(F.struct("at", "folded", "vals", "slots", "d_vals")).alias("matches"))
+    # few items are joined where the documents' windows are, so that no shape that many texts have meets in one task
+    theirs = F.broadcast(items) if n <= settings.broadcast_items else items
+    hits = found.where("hash is not null").select("row", "hash", F.col("at").alias("d_at"), F.col("vals").alias("d_vals")).join(theirs, "hash").where(F.size("vals") == F.size("d_vals"))
+    # diagonals at most `shift` apart share a band of twice that width; each lies in two bands
+    hits = hits.withColumn("diagonal", F.col("d_at") - F.col("at")).withColumn("band", F.explode(F.array(*(F.floor(F.col("diagonal") / settings.shift) - k for k in (0, 1)))))
+    groups = hits.groupBy("row", "item_row", "band").agg(F.first("item_id").alias("item_id"), F.first("total").alias("total"), F.collect_list(F.struct("at", "diagonal", "folded", "vals", "slots", "d_vals")).alias("matches"))
     kind = items.schema["item_id"].dataType.simpleString()
     judged = groups.select("row", "item_id", "total", "matches").mapInArrow(_aligned(settings), f"row long, item_id {kind}, cover double, ok boolean").where("ok")
     marked = judged.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("cover").alias("cover"))
