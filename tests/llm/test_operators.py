@@ -175,6 +175,25 @@ def test_shards_fit_and_only_full_ones_are_split(spark):
         assert not prefix or sum(n for p, n in sizes.items() if p.startswith(prefix[:-1])) > 3000
 
 
+def test_shards_are_written_with_their_texts(spark, tmp_path):
+    docs = odd(spark, [(i % 50, prose(i, 20), "en", "a") for i in range(300)] + [(7, None, None, None)])
+    found = shard.write_shards(docs, str(tmp_path / "out"), shard.Settings(limit=3000)).collect()
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted((x.doc_id, x.text or "") for x in back.collect()) == sorted((x.doc_id, x.text or "") for x in docs.collect())
+    sizes = Counter()
+    for x in back.collect():
+        sizes[x.shard[1:]] += len((x.text or "").encode())
+    assert {x.shard: x.shard_bytes for x in found} == dict(sizes) and len(found) > 1
+    assert shard.write_shards(odd(spark, []), str(tmp_path / "none")).collect() == []
+
+
+def test_mix_buckets_are_even(spark):
+    rows = [(i, prose(i, 3) + " #$%" * (i % 9), "en", "a") for i in range(4000)]
+    bucket = mix_sources.bucketed(odd(spark, rows), mix_sources.Settings(buckets=8)).groupBy("source", "bucket").count()
+    n = sorted(x["count"] for x in bucket.collect())
+    assert n[-1] <= 0.05 * 4000
+
+
 def test_maximal_segments():
     def brute(s, low, high):
         best, at = 0, None
@@ -274,12 +293,16 @@ def test_decontamination_checks_slots(spark):
         (3, prose(1, 60), "en", "a"),
         (4, BENCH[0][1].upper().lower(), "en", "a"),
     ]
+    few = BENCH[0][1].split()
+    rows += [(5 + k, " ".join(w for j, x in enumerate(few) for w in ([x, "really"] if j in places else [x])), "en", "a") for k, places in enumerate([(10,), (7, 14), (9, 18)])]
+    rows.append((8, " ".join(few[:4] + few[5:]), "en", "a"))
     got = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.decontaminate(odd(spark, rows), bench(spark)).collect()}
-    by_shuffle = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.decontaminate(odd(spark, rows), bench(spark), decontaminate.Settings(broadcast_windows=0)).collect()}
+    by_shuffle = {r.doc_id: (r.contaminated, list(r["items"])) for r in decontaminate.decontaminate(odd(spark, rows), bench(spark), decontaminate.Settings(broadcast_windows=0, broadcast_items=0)).collect()}
+    assert got[4] == (True, [1]) and all(got[i] == (True, [1]) for i in (5, 6, 7, 8))  # in lower case; with words put in or left out
     assert got[1] == (True, [1]) and got[2] == (False, []) and got[3] == (False, [])
     assert by_shuffle == got
     kept = decontaminate.clean(odd(spark, rows), bench(spark))
-    assert sorted(r.doc_id for r in kept.collect()) == [i for i in (1, 2, 3, 4) if not got[i][0]]
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(1, 9) if not got[i][0]]
 
 
 def test_decontamination_finds_copies_in_any_case(spark):
@@ -316,6 +339,40 @@ def test_license_places(spark):
     assert got[4][1] == 0 and got[4][5] == "mit" and 0.8 <= got[4][6] < 1
 
 
+def test_licenses_are_told_apart(spark):
+    texts = [
+        "released under the Apache license", "licensed under CC BY 4.0", "He was released under bail; the driver held a valid license", "the mit press was " + prose(5, 30) + " released under a license",
+        "x Released under the MIT License.", "y Licensed under the Apache License, Version 2.0 z", "see: all rights reserved", "Licensed under CC-BY-NC 4.0", prose(9, 100) + " This work is licensed under the GNU General Public License, version 3 " + prose(8, 40),
+    ]
+    got = {r.doc_id: r.labels for r in license_scan.license_scan(odd(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert [got[i] for i in range(9)] == ["", "", "", "", "mit", "apache-2", "all-rights-reserved", "cc-by-nc", "gpl"]
+
+
+def test_license_scan_against_brute_force(spark):
+    r = random.Random(31)
+    words = sorted({w for t, *_ in license_scan.TEMPLATES for w in t.split()})
+    rows = []
+    for i in range(60):
+        own = []
+        for _ in range(r.randint(0, 6)):
+            t = r.choice(license_scan.TEMPLATES)[0].split()
+            own += [w for w in t if r.random() < 0.9] + [r.choice(words + ["filler"]) for _ in range(r.randint(0, 40))]
+        rows.append((i, " ".join(own), "en", "a"))
+    got = {x.doc_id: (x.labels, x.base_labels) for x in license_scan.license_scan(odd(spark, rows)).collect()}
+    for i, t, _, _ in rows:
+        w = t.split()
+        labels = set(filter(None, got[i][1].split(",")))
+        for text, label, marks in license_scan.TEMPLATES:
+            n, span = set(text.split()), min(2 * len(text.split()), 32)
+            for b in range(0, len(w), 32):
+                raw = w[b : b + 64]
+                for k in range(max(len(raw) - span, 0) + 1):
+                    run = set(raw[k : k + span])
+                    if set(marks.split()) <= run and len(run & n) >= 0.8 * len(n) - 1e-9:
+                        labels.add(label)
+        assert got[i][0] == ",".join(sorted(labels))
+
+
 def test_token_counts_equal_the_library(spark):
     import public_tokenizers as p
     from tokenizers import Tokenizer
