@@ -1,60 +1,10 @@
-"""From raw documents to training shards, in five stages.
+"""The corpus pipeline: quality rules, near duplicates, benchmark passages, mix of sources, shards.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
-as Parquet and read again as the next one's docs.  All but the last return the
-columns of `documents`.
+The stages are those of tessera.llm.pipeline, where their handling of nulls, ties and empty tables is stated.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from tessera.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from tessera.llm import decontaminate, mix_sources, near_dedup, quality_rules, shard
-from tessera.llm.common import DOCUMENT, documents, saved
-from tessera.shipping import ship
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and their group's thresholds."""
-    return quality_rules.quality_rules(docs, DOCUMENT).where("__kept").select(DOCUMENT)
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the least identifier."""
-    return near_dedup.kept(docs.select(DOCUMENT))
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminate.clean(docs.select(DOCUMENT), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
-    return mix_sources.mixed(docs.select(DOCUMENT))
-
-
-def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per document with its shard."""
-    return shard.shard(docs)
-
-
-def _shipped(stage):
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        ship(spark)
-        return stage(spark, docs, sf_dir)
-
-    return run
-
-
-STAGES = [(name, _shipped(stage)) for name, stage in (("quality", quality), ("near_dedup", dedup), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding))]
-
-#: Sketches and samplings of consistent weights have no equal in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
