@@ -16,9 +16,10 @@ and lambda S - log(words of the text) is what the Gumbel law of the maximum
 depends on.  The values of a text's significant segments are added up, and a
 logistic curve fitted on the training rows turns the sum into a probability.
 
-Labels come from at most `sample` labelled training rows, those of the least hash; the lexicon
-has at most `lexicon` forms, the most significant ones.  Both bounds are
-parameters; the scan covers all words of all texts.
+Labels come from at most `sample` labelled training rows, those of the least hash, a bound that
+is a parameter.  The lexicon has every significant form; as one occurrence isn't
+significant, they are fewer than half of the words of those rows' toxic texts.  The
+scan covers all words of all texts.
 
 Null and empty texts have no segment.  A document with several labels is toxic if one
 says so; null labels are none.  Without labels of both classes the lexicon is
@@ -48,7 +49,6 @@ class Settings:
     least_z: float = 3.0
     drift: float = 0.5
     sample: int = 50_000
-    lexicon: int = 1 << 16
 
 
 #: Bytes of the beginnings that count as forms.
@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), par
     odds = F.log((F.col("t") + a) / (nt + mass - F.col("t") - a)) - F.log((F.col("n") + a) / (nn + mass - F.col("n") - a))
     error = F.sqrt(1 / (F.col("t") + a) + 1 / (F.col("n") + a))
     lexicon = counts.select("word", "n", odds.alias("odds"), error.alias("error")).where(F.col("odds") >= settings.least_z * F.col("error"))
-    lexicon = lexicon.orderBy((F.col("odds") / F.col("error")).desc(), "word").limit(settings.lexicon).toArrow()
+    lexicon = lexicon.toArrow()
     counts.unpersist()
     words = lexicon.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
