@@ -1,14 +1,16 @@
 """Quality rules whose cutoffs follow the data.
 
 Fixed cutoffs reject whole languages or sources that merely differ.  Here each
-(language, source) gets a mergeable quantile sketch (KLL) of every feature; the
-sketches are merged to languages and to the whole corpus for groups too small to
-speak for themselves.  A feature's upper cutoff is its group's median plus
-`spread` times the distance from the median to the upper quartile, and at least
-`margin` above the median, so that features which hardly vary don't reject
-ordinary documents.  The cutoffs are joined to the documents by language and
-source.  A document is kept if it passes the fixed base and no feature is beyond
-its cutoff.
+(language, source) gets a mergeable quantile sketch of every feature: counts of
+geometric buckets, whose borders differ by the factor `growth`, so a quantile is
+known up to that factor, and merging is adding.  Equal rows give equal sketches in
+any order and on any number of machines.  The sketches are merged to languages
+and to the whole corpus for groups too small to speak for themselves.  A
+feature's upper cutoff is its group's median plus `spread` times the distance
+from the median to the upper quartile, and at least `margin` above the median, so
+that features which hardly vary don't reject ordinary documents.  The cutoffs are
+joined to the documents by language and source.  A document is kept if it passes
+the fixed base and no feature is beyond its cutoff.
 
 Null texts count as empty and fail the base, as every text under 50 words does;
 null languages and sources form groups of their own.  Repeated rows are judged
@@ -22,10 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, saved
 from .textbatch import NEWLINE, SPACE, combine, slices, tokenize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -40,7 +42,10 @@ class Settings:
     spread: float = 6.0
     margins: dict = field(default_factory=lambda: dict(MARGINS))
     min_group: int = 100
-    k: int = 400
+    growth: float = 1.02
+    least: float = 1e-5
+    broadcast_groups: int = 100_000
+    salts: int = 32
 
 
 def _table(chars: bytes) -> np.ndarray:
@@ -124,43 +129,68 @@ def features(docs: DataFrame, carry: list[str], text: str = "text") -> DataFrame
     return own.mapInArrow(run, ddl)
 
 
-def thresholds(measured: DataFrame, settings: Settings = Settings(), lang: str = "lang", source: str = "source") -> DataFrame:
-    """(lang, source, cutoffs) from sketches of each group, merged upwards where a group has too few documents."""
-    shares = list(settings.margins)
-    group = measured.where(F.col("__f.n_words") > 0).groupBy(F.col(lang).alias("__lang"), F.col(source).alias("__source")).agg(
-        F.count("*").alias("n"), *(F.kll_sketch_agg_double(F.col(f"__f.{c}"), settings.k).alias(c) for c in shares)
-    )
+def bucket(value: Column, settings: Settings) -> Column:
+    """The geometric bucket of a value; 0 for all up to `least`."""
+    return F.when(value <= settings.least, 0).otherwise(F.ceil(F.log(value / settings.least) / F.log(F.lit(settings.growth)))).cast("int")
+
+
+def middle(place: Column, settings: Settings) -> Column:
+    """The value that stands for a bucket, within half of the growth of all in it."""
+    return F.when(place == 0, 0.0).otherwise(F.lit(2 * settings.least / (settings.growth + 1)) * F.pow(F.lit(settings.growth), place))
 
-    def merged(df: DataFrame, prefix: str, *by: str) -> DataFrame:
-        return df.groupBy(*by).agg(F.sum("n").alias(f"{prefix}_n"), *(F.kll_merge_agg_double(c, settings.k).alias(f"{prefix}_{c}") for c in shares))
 
-    langs = merged(group, "lang", "__lang").withColumnRenamed("__lang", "__l")
-    whole = merged(group, "all")
-    wide = group.join(langs, F.col("__lang").eqNullSafe(F.col("__l"))).join(whole, how="left")
+def sketches(measured: DataFrame, settings: Settings, lang: str, source: str) -> DataFrame:
+    """(__lang, __source, feature, bucket, n): the documents with words, counted by bucket; a few thousand rows a group at most."""
+    pairs = F.array(*(F.struct(F.lit(i).alias("feature"), bucket(F.col(f"__f.{c}"), settings).alias("bucket")) for i, c in enumerate(settings.margins)))
+    own = measured.where(F.col("__f.n_words") > 0).select(F.col(lang).alias("__lang"), F.col(source).alias("__source"), F.explode(pairs).alias("__p"))
+    return own.groupBy("__lang", "__source", "__p.feature", "__p.bucket").agg(F.count("*").alias("n"))
 
-    def cutoff(c: str):
-        sketch = F.when(F.col("n") >= settings.min_group, F.col(c)).when(F.col("lang_n") >= settings.min_group, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}"))
-        mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.5, 0.75))
-        return (mid + F.greatest(settings.spread * (high - mid), F.lit(settings.margins[c]))).alias(c)
 
-    return wide.select("__lang", "__source", F.struct(*(cutoff(c) for c in shares)).alias("__cut"))
+def _cuts(counts: DataFrame, by: list[str], settings: Settings) -> DataFrame:
+    """(by, n, cuts): for each group of sketches its documents and its cutoffs by feature."""
+    merged = counts.groupBy(*by, "feature", "bucket").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy(*by, "feature")
+    ranked = merged.withColumns({"upto": F.sum("n").over(whole.orderBy("bucket")), "total": F.sum("n").over(whole)})
+    quantile = lambda q: middle(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket"))), settings)
+    per = ranked.groupBy(*by, "feature").agg(F.max("total").alias("n"), quantile(0.5).alias("mid"), quantile(0.75).alias("high"))
+    margin = F.element_at(F.array(*(F.lit(float(m)) for m in settings.margins.values())), F.col("feature") + 1)
+    cut = F.col("mid") + F.greatest(settings.spread * (F.col("high") - F.col("mid")), margin)
+    features_ = [F.max(F.when(F.col("feature") == i, cut)).alias(c) for i, c in enumerate(settings.margins)]
+    return per.groupBy(*by).agg(F.max("n").alias("n"), *features_).select(*by, "n", F.struct(*settings.margins).alias("cuts"))
+
+
+def thresholds(measured: DataFrame, settings: Settings = Settings(), lang: str = "lang", source: str = "source") -> DataFrame:
+    """(__lang, __source, __cut) from sketches of each group, merged upwards where a group has too few documents; written."""
+    counts = saved(sketches(measured, settings, lang, source), "sketches")
+    group = _cuts(counts, ["__lang", "__source"], settings)
+    langs = _cuts(counts, ["__lang"], settings).toDF("__l", "lang_n", "lang_cuts")
+    whole = _cuts(counts.withColumn("__all", F.lit(True)), ["__all"], settings).select("__all", F.col("cuts").alias("all_cuts"))  # one row
+    wide = group.withColumn("__all", F.lit(True)).join(langs, F.col("__lang").eqNullSafe(F.col("__l"))).join(F.broadcast(whole), "__all")
+    cut = F.when(F.col("n") >= settings.min_group, F.col("cuts")).when(F.col("lang_n") >= settings.min_group, F.col("lang_cuts")).otherwise(F.col("all_cuts"))
+    return saved(wide.select("__lang", "__source", cut.alias("__cut")), "cutoffs")
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, settings: Settings = Settings(), lang: str = "lang", source: str = "source") -> DataFrame:
-    """`measured` with __base_failed and __kept."""
+    """`measured` with __base_failed and __kept.  Up to `broadcast_groups` cutoffs are broadcast; more are joined by salted shuffle."""
     f = F.col("__f")
     base = (f["n_words"] < settings.min_words) | (100 * f["n_repeat_words"] > settings.max_repeat_percent * f["n_words"])
     beyond = F.lit(False)
     for c in settings.margins:
         beyond = beyond | F.coalesce(f[c] > F.col("__cut")[c], F.lit(False))
-    joined = measured.join(cutoffs, F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source")), "left")
+    same = F.col(lang).eqNullSafe(F.col("__lang")) & F.col(source).eqNullSafe(F.col("__source"))
+    if cutoffs.count() <= settings.broadcast_groups:
+        joined = measured.join(F.broadcast(cutoffs), same, "left")
+    else:
+        salted = cutoffs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(settings.salts - 1))))
+        own = measured.withColumn("__own", F.pmod(F.xxhash64("__f"), F.lit(settings.salts)).cast("int"))
+        joined = own.join(salted, same & (F.col("__own") == F.col("__salt")), "left").drop("__own", "__salt")
     return joined.withColumns({"__base_failed": base, "__kept": ~base & ~beyond}).drop("__lang", "__source", "__cut")
 
 
 def quality_rules(docs: DataFrame, carry: list[str], settings: Settings = Settings(), lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
     """The columns in `carry` (language and source among them), the features as __f, __base_failed and __kept."""
-    cutoffs = thresholds(features(docs, [lang, source], text), settings, lang, source)
-    return judge(features(docs, carry, text), cutoffs, settings, lang, source)
+    measured = saved(features(docs, carry, text), "features")
+    return judge(measured, thresholds(measured, settings, lang, source), settings, lang, source)
 
 
 def op10_quality_rules(spark, sf_dir):
@@ -168,4 +198,4 @@ def op10_quality_rules(spark, sf_dir):
     return out.select("doc_id", *(F.col(f"__f.{c}").alias(c) for c in COUNTS), F.col("__base_failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-__all__ = ["Settings", "features", "thresholds", "judge", "quality_rules", "op10_quality_rules"]
+__all__ = ["Settings", "features", "judge", "op10_quality_rules", "quality_rules", "sketches", "thresholds"]
