@@ -3,8 +3,10 @@
 A document is the weighted set of its runs of `words` consecutive words
 (lower-cased ASCII): a shingle weighs its count in the text times an inverse
 document frequency.  The frequency comes from a count sketch of fixed size over
-all documents; it is the full weight up to `common` of the documents and falls
-logarithmically beyond that, so it tells boilerplate from text at any size.
+all documents; the weight falls with the logarithm of the share of documents that
+have the shingle, log(1 + 1 / share), from `common` on.  Below that it is constant:
+else the shingles that a group of copies shares would weigh less than those in
+which its members differ, and large groups would fall apart.
 
 Improved consistent weighted sampling draws rows * bands + extra samples of a
 document; two documents agree in a sample with the probability of their weighted
@@ -17,11 +19,13 @@ compared with two hubs, the node that shares most buckets with others and the
 least one, so a group of any size costs a comparison or two a
 member; whatever is then connected needs no further comparison.  The rest, pairs
 of one bucket that lie in different components, is compared too, each in the
-first bucket that both have.  A bucket in which more than `crowd`
-nodes are left is cut into blocks, and its pairs are found block against block;
-they are the same pairs.  Every link is verified by
-the weighted Jaccard similarity of the two whole texts, and the classes are the
-connected components.
+first bucket that both have.  Buckets in which more than `crowd` nodes are left
+are cut into blocks, whose nodes get `fine` more samples each; pairs are found
+block against block and compared if they agree in the share `fine_agree` of these
+too, about three deviations below the threshold.  So of a large group whose
+members are all somewhat alike only pairs near the threshold are compared.  Every
+link is verified by the weighted Jaccard similarity of the two whole texts, and
+the classes are the connected components.
 
 A text of fewer than `words` words is one shingle.  Null and empty texts are
 nobody's duplicate: such a row is its own class.  Null identifiers count as larger than
@@ -53,10 +57,13 @@ class Settings:
     threshold: float = 0.8
     rows: int = 3
     bands: int = 9
-    common: float = 0.1
-    crowd: int = 512
+    common: float = 0.01
+    crowd: int = 64
+    block: int = 512
     extra: int = 37
     agree: float = 0.64
+    fine: int = 256
+    fine_agree: float = 0.73
 
     @property
     def samples(self) -> int:
@@ -142,15 +149,15 @@ def frequencies(texts: DataFrame, settings: Settings) -> Frequencies:
     return Frequencies(total.reshape(2, SLOTS).astype(np.float64), n, settings.common)
 
 
-def sample(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, k: int) -> np.ndarray:
-    """k consistent weighted samples of each text, as 64-bit hashes; 0 for a text without shingles."""
+def sample(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, k: int, begin: int = 0) -> np.ndarray:
+    """k consistent weighted samples of each text, from number `begin` on, as 64-bit hashes; 0 for a text without shingles."""
     out = np.zeros((texts, k), U64)
     if not len(h):
         return out
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     sizes = np.diff(np.append(first, len(h)))
     log_w = np.log(weight)
-    for j in range(k):
+    for j in range(begin, begin + k):
         x = mix(h + U64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF))
         r = _LOG12[(x & U64(0xFFF)).astype(np.int16)] + _LOG12[((x >> U64(12)) & U64(0xFFF)).astype(np.int16)]
         beta = ((x >> U64(24)) & U64(0xFFF)).astype(np.float32) * np.float32(1 / 4096)
@@ -161,7 +168,7 @@ def sample(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, k:
         hit = np.flatnonzero(score == np.repeat(least, sizes))
         which, at = np.unique(owner[hit], return_index=True)
         hit = hit[at]
-        out[which, j] = mix(h[hit] ^ mix(t[hit].astype(np.int64).view(U64) + U64(j)))
+        out[which, j - begin] = mix(h[hit] ^ mix(t[hit].astype(np.int64).view(U64) + U64(j)))
     return out
 
 
@@ -224,30 +231,36 @@ def agreement(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _in_blocks(least: int):
+def _in_blocks(least: int, fine_least: int):
     """For applyInArrow: the pairs of two blocks of a bucket (or of one with itself) that lie in different components, have
-    this bucket as their first common one and agree in `least` samples."""
+    this bucket as their first common one and agree in `least` samples and `fine_least` further ones."""
 
     def lists(column: pa.ChunkedArray) -> np.ndarray:
         flat = column.combine_chunks()
         return flat.flatten().to_numpy().reshape(len(flat), -1)
 
+    def agreeing(samples: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(y)), np.int16)
+        for k in range(samples.shape[1]):
+            out += samples[x, k][:, None] == samples[y, k][None, :]
+        return out
+
     def run(key, table):
         bucket, i, j = (k.as_py() for k in key)
         block, comp = table.column("block").to_numpy(), table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        sig, bands = lists(table.column("sig")), lists(table.column("bands"))
+        sig, fine, bands = (lists(table.column(c)) for c in ("sig", "fine", "bands"))
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        agree = np.zeros((len(x), len(y)), np.int16)
-        for k in range(sig.shape[1]):
-            agree += sig[x, k][:, None] == sig[y, k][None, :]
-        a, b = np.nonzero((agree >= least) & (comp[x][:, None] != comp[y][None, :]))
+        a, b = np.nonzero((agreeing(sig, x, y) >= least) & (comp[x][:, None] != comp[y][None, :]))
         a, b = x[a], y[b]
         if i == j:
             a, b = a[a < b], b[a < b]
-        same = bands[a] == bands[b]
-        own = bands[a, same.argmax(axis=1)] == bucket if len(a) else np.zeros(0, bool)
+        first = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 14):
+            p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
+            same = bands[p] == bands[q]
+            first[at : at + (1 << 14)] = (bands[p, same.argmax(axis=1)] == bucket) & ((fine[p] == fine[q]).sum(axis=1) >= fine_least)
         node = table.column("node").combine_chunks()
-        return pa.table({"a": node.take(pa.array(a[own])), "b": node.take(pa.array(b[own]))})
+        return pa.table({"a": node.take(pa.array(a[first])), "b": node.take(pa.array(b[first]))})
 
     return run
 
@@ -259,12 +272,11 @@ class _Graph:
         self.docs, self.nodes, self.settings, self.freq = docs, nodes, settings, freq
         self.shared = docs.sparkSession.sparkContext.broadcast(freq)
         self.sigs = nodes.select("node", "sig")
-        self.least = int(settings.agree * settings.samples)
+        self.least, self.fine_least = int(settings.agree * settings.samples), int(settings.fine_agree * settings.fine)
 
-    def texts(self, pairs: DataFrame) -> DataFrame:
-        """(node, text) of the nodes in pairs.  A broadcast of at most FILTER_SLOTS numbers thins the documents before the join."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(self.nodes.select("node", "first_id"), "node")
-        wanted = wanted.toDF("w_node", "w_id")
+    def texts(self, some: DataFrame) -> DataFrame:
+        """(node, text) of some different nodes.  A broadcast of at most FILTER_SLOTS numbers thins the documents before the join."""
+        wanted = some.join(self.nodes.select("node", "first_id"), "node").toDF("w_node", "w_id")
 
         def slot(column: str) -> Column:
             return F.pmod(F.xxhash64(column), F.lit(FILTER_SLOTS)).cast("int").alias("slot")
@@ -277,7 +289,7 @@ class _Graph:
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose similarity reaches the threshold."""
         pairs = saved(pairs, "pairs")
-        texts = self.texts(pairs)
+        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         settings, shared = self.settings, self.shared
 
         def run(batches):
@@ -295,6 +307,21 @@ class _Graph:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
 
+    def finer(self, some: DataFrame) -> DataFrame:
+        """(node, fine): the further samples of some different nodes."""
+        settings, shared = self.settings, self.shared
+
+        def run(batches):
+            for batch in batches:
+                for part, data, bounds in slices(batch, most=1 << 20):
+                    owner, h, count = shingles(data, bounds, settings.words)
+                    n = part.num_rows
+                    s = sample(owner, h, shared.value.weights(h, count), n, settings.fine, settings.samples)
+                    lists = _lists((s & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.zeros(n, bool))
+                    yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "fine"])
+
+        return saved(self.texts(some).select("node", "text").mapInArrow(run, "node binary, fine array<int>"), "fine")
+
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs whose samples agree often enough to be worth a comparison."""
         s = self.sigs
@@ -351,11 +378,12 @@ def classes(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc_
     cross = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & apart & (agreement("sig_x", "sig_y") >= graph.least))
     cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
-    blocks = F.ceil(F.col("n") / settings.crowd).cast("int")
+    blocks = F.ceil(F.col("n") / settings.block).cast("int")
     large = left.where(crowded & ~F.col("node").isin(F.col("low"), F.col("high"))).withColumn("blocks", blocks)
+    large = large.join(graph.finer(large.select("node").distinct()), "node")
     large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig", "bands")
-    found = large.groupBy("bucket", "i", "j").applyInArrow(_in_blocks(graph.least), "a binary, b binary")
+    large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig", "fine", "bands")
+    found = large.groupBy("bucket", "i", "j").applyInArrow(_in_blocks(graph.least, graph.fine_least), "a binary, b binary")
     cross = cross.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
     more = graph.verified(cross.distinct())
     comp = components(saved(first.union(more), "links")) if not more.isEmpty() else comp
