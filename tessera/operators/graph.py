@@ -1,30 +1,33 @@
 """Bounded graph traversal and fixpoints over a table of edges (src, dst).
 
-A traversal keeps its frontier as a DataFrame: each hop is one equi-join of the
-frontier with the edges and an anti-join with what has been seen, so work
-follows the frontier, not the graph, and paths are never enumerated.
+Work follows the frontier, not the graph, and paths are never enumerated.  A
+bounded traversal is one chain of a join and an aggregate for each hop: each
+row carries itself along, so no hop is computed twice, and the edges' exchange is
+the same for all hops.  Fixpoints write each round's frontier.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, through: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): the least number of hops from each root, seeds (root, node) left out.
 
     Where `through` (node) is given, only its nodes pass a traversal on; others are reached but not left.
     """
-    step = edges.select("src", "dst")
+    step = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+    passing = step.join(through.select(F.col("node").alias("__src")), "__src", "left_semi") if through is not None else step
     seen = seeds.select("root", "node", F.lit(0).alias("depth"))
-    frontier = seeds.select("root", "node")
     for hop in range(1, depth + 1):
-        if through is not None and hop > 1:
-            frontier = frontier.join(through.select("node"), "node", "left_semi").select("root", "node")
-        found = frontier.join(step, frontier["node"] == step["src"]).select("root", F.col("dst").alias("node")).distinct()
-        frontier = found.join(seen.select("root", "node"), ["root", "node"], "left_anti")
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(hop)))
+        # the frontier's rows meet the edges; every row also stands for itself
+        met = seen.join(step if hop == 1 else passing, (F.col("node") == F.col("__src")) & (F.col("depth") == hop - 1), "left")
+        both = F.array(F.struct("node", "depth"), F.struct(F.col("__dst").alias("node"), F.lit(hop).alias("depth")))
+        rows = met.select("root", F.explode(both).alias("r")).select("root", "r.node", "r.depth").where("node IS NOT NULL")
+        seen = rows.groupBy("root", "node").agg(F.min("depth").alias("depth"))
     return seen.where("depth > 0")
 
 
@@ -36,28 +39,84 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(reverse(edges)).distinct()
 
 
-def inherited(edges: DataFrame, declared: DataFrame, depth: int) -> DataFrame:
-    """(symbol_id, effect, via): effects that a symbol's callees declare or inherit, without its own ones.
+def neighbourhood(edges: DataFrame, seeds: DataFrame, depth: int, most: int) -> DataFrame:
+    """(root, node, depth, truncated, n_links): the first `most` nodes within `depth` hops either way, the root among them,
+    nearest first; truncated tells that there were more, n_links counts a node's edges to nodes of the same root."""
+    found = reach(both_ways(edges), seeds, depth).unionByName(seeds.select("root", "node", F.lit(0).alias("depth")))
+    place = F.row_number().over(Window.partitionBy("root").orderBy("depth", "node"))
+    cut = found.withColumns({"place": place, "n": F.count("*").over(Window.partitionBy("root"))}).where(F.col("place") <= most)
+    cut = saved(cut.select("root", "node", "depth", (F.col("n") > most).alias("truncated")), "neighbourhood")
+    ends = cut.join(edges, F.col("node") == F.col("src")).select("root", "node", "dst")
+    inside = ends.join(cut.select("root", F.col("node").alias("dst")), ["root", "dst"], "left_semi")
+    links = inside.groupBy("root", "node").agg(F.count("*").alias("n_links"))
+    return cut.join(links, ["root", "node"], "left").select("root", "node", "depth", "truncated", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def spread(edges: DataFrame, start: DataFrame, carry: list[str], stop: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
+    """The least set that holds `start` (carry, node) and, with a row, the row of each node that an edge leads to from it.
 
-    The least fixpoint up to `depth` hops: effects travel from callee to caller as (symbol, effect) pairs, each
-    of which enters the frontier once.  `via` is the least direct callee that brings the effect.
+    Rows of `stop`, which has the columns `on`, are not entered.  Each round's new rows are written.
     """
-    own = declared.select("symbol_id", "effect").distinct()
-    have = own
-    frontier = own
-    for _ in range(depth):
-        moved = edges.join(frontier, edges["dst"] == frontier["symbol_id"]).select(F.col("src").alias("symbol_id"), "effect").distinct()
-        frontier = moved.join(have, ["symbol_id", "effect"], "left_anti")
+    step = saved(edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst")), "edges")
+    columns = [*carry, "node"]
+    frontier = saved(start.select(columns).distinct(), "frontier")
+    have = frontier
+    while True:
+        moved = frontier.join(step, F.col("node") == F.col("__src")).select(*carry, F.col("__dst").alias("node")).distinct()
+        if stop is not None:
+            moved = moved.join(stop, on, "left_anti")
+        frontier = saved(moved.join(have, columns, "left_anti").select(columns), "frontier")
+        if frontier.isEmpty():
+            return have
         have = have.unionByName(frontier)
-    brought = edges.join(have, edges["dst"] == have["symbol_id"]).groupBy(F.col("src").alias("symbol_id"), "effect").agg(F.min("dst").alias("via"))
-    return brought.join(own, ["symbol_id", "effect"], "left_anti")
+
+
+def inherited(edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """(symbol_id, effect, via): effects that a symbol's callees declare or inherit, without its own ones.
+
+    The least fixpoint: effects travel from callee to caller as (symbol, effect) pairs, each of which enters the
+    frontier once.  `via` is the least direct callee that brings the effect.
+    """
+    own = declared.select("effect", F.col("symbol_id").alias("node")).distinct()
+    have = spread(reverse(edges), own, ["effect"])
+    brought = edges.join(have, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("symbol_id"), "effect").agg(F.min("dst").alias("via"))
+    return brought.join(declared.select("symbol_id", "effect"), ["symbol_id", "effect"], "left_anti")
+
+
+def blast_radius(edges: DataFrame, declared: DataFrame) -> DataFrame:
+    """(effect, root, n): how many symbols inherit an effect that root declares, over callers that don't declare it themselves."""
+    own = declared.select("effect", F.col("symbol_id").alias("root"), F.col("symbol_id").alias("node")).distinct()
+    stop = declared.select("effect", F.col("symbol_id").alias("node")).distinct()
+    have = spread(reverse(edges), own, ["effect", "root"], stop, ["effect", "node"])
+    return have.groupBy("effect", "root").agg((F.count("*") - 1).alias("n"))
+
+
+def chains(edges: DataFrame, most: int, longest: int) -> DataFrame:
+    """(target, path): for each node with callers the first `most` simple paths that lead to it, callers first, of up to
+    `longest` edges; shorter ones first, then by their nodes.  A round extends only the paths of nodes that have too few."""
+    step = edges.select(F.col("src").alias("__src"), F.col("dst").alias("__dst"))
+
+    def first(paths: DataFrame) -> DataFrame:
+        ranked = paths.withColumn("place", F.col("had") + F.row_number().over(Window.partitionBy("target").orderBy("path")))
+        return saved(ranked.where(F.col("place") <= most).select("target", "path", "place"), "chains")
+
+    found = first(edges.where("src <> dst").select(F.col("dst").alias("target"), F.array("src", "dst").alias("path"), F.lit(0).alias("had")))
+    out = found
+    for _ in range(longest - 1):
+        had = out.groupBy("target").agg(F.count("*").cast("int").alias("had")).where(F.col("had") < most)
+        short = found.select("target", "path").join(had, "target")
+        longer = short.join(step, F.element_at("path", 1) == F.col("__dst")).where(~F.array_contains("path", F.col("__src")))
+        found = first(longer.select("target", F.concat(F.array("__src"), "path").alias("path"), "had"))
+        out = out.unionByName(found)
+    return out.select("target", "path")
 
 
 def label_components(edges: DataFrame, rounds: int) -> DataFrame:
     """(node, community): the least node within `rounds` hops in either direction."""
     both = both_ways(edges)
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
+    loops = both.select("src", F.explode(F.array("src", "dst")).alias("dst")).distinct()
+    labels = loops.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("community"))
     for _ in range(rounds):
-        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("community").alias("near"))
-        labels = labels.join(near, labels["node"] == near["src"]).select("node", F.least("community", "near").alias("community"))
+        near = loops.join(labels, F.col("dst") == F.col("node"))
+        labels = near.groupBy(F.col("src").alias("__n")).agg(F.min("community").alias("community")).select(F.col("__n").alias("node"), "community")
     return labels

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..sources.crosswalk import NOW
-from .base import sql
+from .base import placed, sql
 
 CLASS = """CASE WHEN kind IN ('decision', 'assumption', 'constraint', 'rationale', 'tradeoff', 'invariant') THEN 'decisions'
  WHEN kind IN ('ownership', 'concept') THEN 'classifications' WHEN kind = 'mapping' THEN 'mappings' WHEN kind IN ('hazard', 'known_bug') THEN 'hazards'
@@ -16,22 +16,23 @@ sql("scan_edge_maps", "edges", "SELECT src, count(*) AS n_callees, min(dst) AS f
 sql("cache_sync_edges", "edges", "SELECT src AS symbol_id, dst AS neighbor_id, 'callee' AS direction FROM edges UNION ALL SELECT dst AS symbol_id, src AS neighbor_id, 'caller' AS direction FROM edges")
 sql("point_lookup", "symbols", "SELECT symbol_id, qname, kind, file, start_line FROM symbols WHERE qname = 'economy.Brand2.small_ring_0'")
 sql("neighbors_lookup", "edges", "SELECT src, dst FROM edges WHERE src IN ('sym_1', 'sym_5', 'sym_10', 'sym_25', 'sym_100')")
-sql("files_for_qnames", "symbols", "SELECT qname, file FROM symbols WHERE qname IN (SELECT qname FROM symbols WHERE part % 50 = 0)")
-sql("meta_bulk", "symbols", "SELECT qname, symbol_id, file, kind FROM symbols WHERE qname IN (SELECT qname FROM symbols WHERE part % 40 = 1)")
+sql("files_for_qnames", "symbols edges", "SELECT qname, file FROM symbols WHERE symbol_id IN (SELECT dst FROM edges)")
+sql("meta_bulk", "symbols edges", "SELECT qname, symbol_id, file, kind FROM symbols WHERE symbol_id IN (SELECT src FROM edges)")
 sql("resolve_bulk", "symbols", "SELECT w.qname, s.symbol_id, s.file, s.language FROM (SELECT concat(qname, CASE WHEN part % 2 = 0 THEN '' ELSE 'x' END) AS qname FROM symbols) AS w JOIN symbols s ON s.qname = w.qname")
 sql("resolve_ids_bulk", "symbols ledger", "SELECT DISTINCT l.symbol_id, s.qname, s.file FROM ledger l JOIN symbols s ON s.symbol_id = l.symbol_id")
-sql("feedback_scan", "feedback", "SELECT entry_id, symbol_id, query, verdict, created_at, row_number() OVER (ORDER BY created_at DESC, entry_id) AS place FROM feedback")
-sql("ledger_scan_symbol", "ledger", "SELECT entry_id, kind, summary, row_number() OVER (ORDER BY created_at DESC, entry_id) AS place FROM ledger WHERE symbol_id = 'sym_100'")
+placed("feedback_scan", "feedback", "SELECT entry_id, symbol_id, query, verdict, created_at FROM feedback", "created_at DESC, entry_id")
+placed("ledger_scan_symbol", "ledger", "SELECT entry_id, kind, summary, created_at AS _at FROM ledger WHERE symbol_id = 'sym_100'", "_at DESC, entry_id")
 sql("effects_scan", "effects", "SELECT symbol_id, effect FROM effects")
-sql("list_symbols", "symbols", "SELECT qname, kind, file, row_number() OVER (ORDER BY qname) AS place FROM symbols WHERE language = 'python' AND kind = 'function' AND file LIKE '%economy%'")
-sql("list_ledger", "ledger", "SELECT entry_id, kind, created_at, row_number() OVER (ORDER BY created_at DESC, entry_id) AS place FROM ledger WHERE kind = 'hazard'")
+placed("list_symbols", "symbols", "SELECT qname, kind, file FROM symbols WHERE language = 'python' AND kind = 'function' AND file LIKE '%economy%'", "qname")
+placed("list_ledger", "ledger", "SELECT entry_id, kind, created_at FROM ledger WHERE kind = 'hazard'", "created_at DESC, entry_id")
 sql("list_effects", "effects symbols", "SELECT s.qname, s.file, e.effect FROM symbols s JOIN effects e ON e.symbol_id = s.symbol_id WHERE e.effect = 'net.out' AND s.file LIKE '%brand%'")
 sql("feedback_export", "feedback", "SELECT verdict, count(*) AS n, count(DISTINCT symbol_id) AS n_symbols FROM feedback GROUP BY verdict")
 sql("feedback_import", "feedback symbols", "SELECT count(*) AS n_read, count(s.symbol_id) AS imported, count(*) - count(s.symbol_id) AS skipped_unknown FROM feedback f LEFT JOIN symbols s ON s.symbol_id = f.symbol_id")
 sql("read_jsonl_conclusions", "ledger symbols", "SELECT kind, count(*) AS n_read, count(s.symbol_id) AS imported, count(*) - count(s.symbol_id) AS skipped_unknown FROM ledger l LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = l.symbol_id GROUP BY kind")
-sql("upsert_ledger", "ledger", "SELECT symbol_id, kind, entry_id, summary FROM (SELECT symbol_id, kind, entry_id, summary, row_number() OVER (PARTITION BY symbol_id, kind ORDER BY seq DESC) AS r FROM ledger) AS t WHERE r = 1")
-sql("analytics_reload", "events", "SELECT event_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events o WHERE o.event_id = e.event_id AND o.event_id % 3 = 0)",
-    "SELECT event_id, event_type FROM events e WHERE event_id NOT IN (SELECT event_id FROM events o WHERE o.event_id % 3 = 0)")
+# an entry that supersedes another is written under its name too: the last write of a name wins
+sql("upsert_ledger", "ledger", "SELECT entry_id, symbol_id, kind, summary FROM (SELECT entry_id, symbol_id, kind, summary, row_number() OVER (PARTITION BY entry_id ORDER BY seq DESC) AS r FROM (SELECT entry_id, symbol_id, kind, summary, seq FROM ledger UNION ALL SELECT supersedes AS entry_id, symbol_id, kind, summary, seq FROM ledger WHERE supersedes IS NOT NULL) AS w) AS t WHERE r = 1")
+# runs that the store has already, here those whose effects the ledger holds under a later entry, aren't loaded again
+sql("analytics_reload", "events ledger", "SELECT e.event_id, e.event_type FROM events e LEFT JOIN (SELECT DISTINCT supersedes FROM ledger WHERE supersedes IS NOT NULL) x ON x.supersedes = concat('e', e.event_id) WHERE x.supersedes IS NULL")
 sql("export_by_class", "live symbols", f"SELECT {CLASS} AS class, l.entry_id, s.qname FROM live l JOIN (SELECT symbol_id, qname FROM symbols) s ON s.symbol_id = l.symbol_id WHERE NOT (l.kind = 'hypothesis' AND l.confidence < 0.3@D)")
 sql("export_by_package", "live symbols", f"SELECT {CLASS} AS class, CASE WHEN {DIRECTORY} = '' THEN '_root' ELSE replace({DIRECTORY}, '/', '--') END AS package, count(*) AS n FROM live l JOIN (SELECT symbol_id, file FROM symbols) s ON s.symbol_id = l.symbol_id GROUP BY 1, 2")
 sql("shard_key", "symbols", f"SELECT DISTINCT {DIRECTORY} AS dir, CASE WHEN {DIRECTORY} = '' THEN '_root' ELSE replace({DIRECTORY}, '/', '--') END AS shard FROM symbols")

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..registry import query
+from ..shared import shared_dir
 from ..sources.crosswalk import frame, with_ctes
 from ..streaming import feeds
 from .base import sql
@@ -28,7 +29,7 @@ def live_events(spark, sf_dir):
 
 
 def _written(spark, df, how):
-    path = f"{feeds.shared_dir(spark)}/sink-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/sink-{uuid.uuid4().hex}"
     how(df.write, path)
     return path
 
@@ -46,10 +47,10 @@ def sidecar_sync(spark, sf_dir):
     return spark.read.schema("symbol_id string, qname string, language string").json(path).groupBy("language").agg(F.count("*").alias("n"))
 
 
-@query("cache_sync_symbols", with_ctes(["symbols"], "SELECT symbol_id, language FROM symbols WHERE part % 2 = 0"))
+@query("cache_sync_symbols", with_ctes(["symbols"], "SELECT symbol_id, language FROM symbols "))
 def cache_sync_symbols(spark, sf_dir):
     """A partition is replaced as a whole: the second write leaves the other languages alone."""
-    own = frame(spark, sf_dir, "symbols").where("part % 2 = 0").select("symbol_id", "language")
+    own = frame(spark, sf_dir, "symbols").select("symbol_id", "language")
     path = _written(spark, own, lambda w, p: w.partitionBy("language").parquet(p))
     own.where("language = 'python'").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("language").parquet(path)
     return spark.read.parquet(path).select("symbol_id", "language")
@@ -62,11 +63,14 @@ def import_all(spark, sf_dir):
 
 
 sql("ledger_append", "ledger", "SELECT entry_id, symbol_id FROM ledger UNION ALL SELECT 'e-new' AS entry_id, 'sym_1' AS symbol_id")
-sql("registry_prune", "symbols", "SELECT DISTINCT file FROM symbols WHERE file NOT IN (SELECT file FROM symbols WHERE part % 2 = 0)")
-sql("git_changed_files", "orders", "SELECT DISTINCT o_custkey AS file FROM orders WHERE o_orderkey % 100 = 7")
-sql("git_dirty", "orders", "SELECT DISTINCT o_custkey AS file FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 50 = 1")
-sql("trim_for_agent", "live", "SELECT symbol_id, array_join(concat(slice(array_sort(collect_list(entry_id)), 1, 3), array(concat('... ', greatest(count(*) - 3, 0), ' more'))), ',') AS entries FROM live GROUP BY symbol_id",
-    "SELECT symbol_id, concat(array_to_string(list_sort(list(entry_id))[1:3], ','), ',... ', greatest(count(*) - 3, 0), ' more') AS entries FROM live GROUP BY symbol_id")
+# orders are commits, their items the symbols that they touch; a pending order is not committed yet
+TOUCHED = "SELECT DISTINCT s.file FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.part = l.l_partkey WHERE"
+sql("registry_prune", "symbols lineitem", "SELECT r.file FROM (SELECT DISTINCT file FROM symbols) AS r LEFT JOIN (SELECT DISTINCT s.file FROM symbols s JOIN lineitem l ON l.l_partkey = s.part WHERE l.l_linestatus = 'O' AND l.l_quantity > 48) AS d ON d.file = r.file WHERE d.file IS NULL")
+sql("git_changed_files", "orders lineitem symbols", f"{TOUCHED} o.o_orderdate >= DATE '2001-06-01'")
+sql("git_dirty", "orders lineitem symbols", f"{TOUCHED} o.o_orderstatus = 'P'")
+FIRST = "SELECT symbol_id, entry_id, row_number() OVER (PARTITION BY symbol_id ORDER BY entry_id) AS r, count(*) OVER (PARTITION BY symbol_id) AS n FROM live"
+sql("trim_for_agent", "live", f"SELECT symbol_id, concat(array_join(array_sort(collect_list(entry_id)), ','), CASE WHEN max(n) > 3 THEN concat(',... ', max(n) - 3, ' more') ELSE '' END) AS entries FROM ({FIRST}) AS f WHERE r <= 3 GROUP BY symbol_id",
+    f"SELECT symbol_id, concat(string_agg(entry_id, ',' ORDER BY entry_id), CASE WHEN max(n) > 3 THEN concat(',... ', max(n) - 3, ' more') ELSE '' END) AS entries FROM ({FIRST}) AS f WHERE r <= 3 GROUP BY symbol_id")
 sql("drop_empty", "symbols", "SELECT symbol_id, concat(CASE WHEN doc IS NULL THEN '' ELSE 'doc ' END, CASE WHEN signature = '' THEN '' ELSE 'signature ' END) AS members FROM symbols")
 sql("brief_search", "symbols", "SELECT qname, concat(file, ':', start_line) AS at, signature FROM symbols WHERE qname LIKE '%widget%'")
 sql("brief_impact_family", "symbols edges", "SELECT s.qname, count(e.src) AS n_callers FROM symbols s JOIN edges e ON e.dst = s.symbol_id GROUP BY s.qname")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..registry import query
-from ..sources.crosswalk import frame, with_ctes
+from ..sources.crosswalk import frame, run_sql, with_ctes
 from .base import sql
 
 SEEDS = ["sym_1", "sym_5", "sym_10", "sym_25", "sym_100", "sym_150", "sym_400", "sym_800", "sym_1200", "sym_1600"]
@@ -39,9 +40,16 @@ _reached("bfs_callers_callees", 3, back=False)
 _reached("bfs_callers", 3, back=True)
 
 
-@query("k_hop_graph", with_ctes(["edges", "adjacent"], _walk("node", "other", 2, VALUES, "adjacent") + " SELECT root, node, CAST(depth AS INTEGER) AS depth FROM found WHERE depth > 0"))
+KHOP = """
+, ranked AS (SELECT root, node, depth, row_number() OVER (PARTITION BY root ORDER BY depth, node) AS place, count(*) OVER (PARTITION BY root) AS n FROM found)
+, cut AS (SELECT root, node, depth, n > 500 AS truncated FROM ranked WHERE place <= 500)
+, links AS (SELECT c.root, c.node, count(*) AS n_links FROM cut c JOIN edges e ON e.src = c.node JOIN cut d ON d.root = c.root AND d.node = e.dst GROUP BY c.root, c.node)
+SELECT root, node, CAST(depth AS INTEGER) AS depth, truncated, coalesce(n_links, 0) AS n_links FROM cut LEFT JOIN links USING (root, node)"""
+
+
+@query("k_hop_graph", with_ctes(["edges", "adjacent"], _walk("node", "other", 2, VALUES, "adjacent") + KHOP))
 def k_hop_graph(spark, sf_dir):
-    return graph.reach(graph.both_ways(frame(spark, sf_dir, "edges")), _seeds(spark), 2)
+    return graph.neighbourhood(frame(spark, sf_dir, "edges"), _seeds(spark), 2, 500)
 
 
 NOT_TEST = " AND (w.depth = 0 OR w.node IN (SELECT symbol_id FROM symbols WHERE file NOT LIKE 'tests/%'))"
@@ -104,15 +112,15 @@ def impact_report(spark, sf_dir):
     )
 
 
-FIXPOINT = """WITH RECURSIVE have AS (SELECT symbol_id, effect, 0 AS hop FROM effects
-UNION SELECT e.src AS symbol_id, h.effect, h.hop + 1 AS hop FROM have h JOIN edges e ON e.dst = h.symbol_id WHERE h.hop < 4)
-, brought AS (SELECT e.src AS symbol_id, h.effect, min(e.dst) AS via FROM edges e JOIN (SELECT DISTINCT symbol_id, effect FROM have) h ON h.symbol_id = e.dst GROUP BY e.src, h.effect)"""
+FIXPOINT = """WITH RECURSIVE have AS (SELECT symbol_id, effect FROM effects
+UNION SELECT e.src AS symbol_id, h.effect FROM have h JOIN edges e ON e.dst = h.symbol_id)
+, brought AS (SELECT e.src AS symbol_id, h.effect, min(e.dst) AS via FROM edges e JOIN have h ON h.symbol_id = e.dst GROUP BY e.src, h.effect)"""
 OWN = "NOT EXISTS (SELECT 1 FROM effects d WHERE d.symbol_id = b.symbol_id AND d.effect = b.effect)"
 
 
 @query("transitive_effects", with_ctes(["edges", "effects"], FIXPOINT + f" SELECT b.symbol_id, b.effect, b.via FROM brought b WHERE {OWN}"))
 def transitive_effects(spark, sf_dir):
-    return graph.inherited(frame(spark, sf_dir, "edges"), frame(spark, sf_dir, "effects"), 4)
+    return graph.inherited(frame(spark, sf_dir, "edges"), frame(spark, sf_dir, "effects"))
 
 
 @query("transitive_batched", with_ctes(["edges", "effects"], FIXPOINT + f" SELECT b.effect, count(*) AS n FROM brought b WHERE {OWN} GROUP BY b.effect"))
@@ -120,26 +128,29 @@ def transitive_batched(spark, sf_dir):
     return transitive_effects(spark, sf_dir).groupBy("effect").agg(F.count("*").alias("n"))
 
 
-RADIUS = """WITH RECURSIVE walk AS (SELECT symbol_id AS root, effect, symbol_id AS node, 0 AS depth FROM effects
-UNION SELECT w.root, w.effect, e.src AS node, w.depth + 1 AS depth FROM walk w JOIN edges e ON e.dst = w.node WHERE w.depth < 3)
-, radius AS (SELECT effect, root, count(DISTINCT node) - 1 AS n FROM walk GROUP BY effect, root)"""
+RADIUS = """WITH RECURSIVE walk AS (SELECT effect, symbol_id AS root, symbol_id AS node FROM effects
+UNION SELECT w.effect, w.root, e.src AS node FROM walk w JOIN edges e ON e.dst = w.node WHERE NOT EXISTS (SELECT 1 FROM effects d WHERE d.symbol_id = e.src AND d.effect = w.effect))
+, radius AS (SELECT effect, root, count(*) - 1 AS n FROM walk GROUP BY effect, root)"""
 
 
 def _radius(spark, sf_dir):
-    declared = frame(spark, sf_dir, "effects")
-    roots = declared.select(F.col("symbol_id").alias("root"), F.col("symbol_id").alias("node")).distinct()
-    n = graph.reach(graph.reverse(frame(spark, sf_dir, "edges")), roots, 3).groupBy("root").agg(F.countDistinct("node").alias("n"))
-    return declared.join(n, declared["symbol_id"] == n["root"], "left").select("effect", F.col("symbol_id").alias("root"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return graph.blast_radius(frame(spark, sf_dir, "edges"), frame(spark, sf_dir, "effects"))
 
 
-@query("effect_blast_radius", with_ctes(["edges", "effects"], RADIUS + " SELECT effect, root, n FROM radius"))
+@query("effect_blast_radius", with_ctes(["edges", "effects"], RADIUS + " SELECT effect, root, n, row_number() OVER (PARTITION BY effect ORDER BY n DESC, root) AS place FROM radius"))
 def effect_blast_radius(spark, sf_dir):
-    return _radius(spark, sf_dir)
+    """Declarers of each effect by the number of symbols that inherit it from them."""
+    ranked = F.row_number().over(Window.partitionBy("effect").orderBy(F.col("n").desc(), "root"))
+    return _radius(spark, sf_dir).withColumn("place", ranked.cast("long"))
 
 
-@query("effects_overview", with_ctes(["edges", "effects"], RADIUS + " SELECT effect, count(*) AS declarers, max(n) AS widest, CAST(sum(n) AS BIGINT) AS reached FROM radius GROUP BY effect"))
+@query("effects_overview", with_ctes(["edges", "effects"], RADIUS + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY effect ORDER BY n DESC, root) AS place FROM radius) SELECT effect, count(*) AS declarers, CAST(sum(n) AS BIGINT) AS reached, string_agg(CASE WHEN place <= 5 THEN concat(root, ':', n) END, ',' ORDER BY place) AS top FROM ranked GROUP BY effect"))
 def effects_overview(spark, sf_dir):
-    return _radius(spark, sf_dir).groupBy("effect").agg(F.count("*").alias("declarers"), F.max("n").alias("widest"), F.sum("n").alias("reached"))
+    """For each effect its declarers, those that inherit it, and the five widest declarers."""
+    own = effect_blast_radius(spark, sf_dir)
+    top = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.struct("place", F.concat_ws(":", "root", F.col("n").cast("string")).alias("t")))))
+    out = own.groupBy("effect").agg(F.count("*").alias("declarers"), F.sum("n").alias("reached"), top.alias("top"))
+    return out.withColumn("top", F.array_join(F.transform("top", lambda x: x["t"]), ","))
 
 
 LABELS = _walk("node", "other", 3, "SELECT DISTINCT node AS root FROM adjacent", "adjacent") + ", labels AS (SELECT root AS node, min(node) AS community FROM found GROUP BY root)"
@@ -156,25 +167,58 @@ def clusters_report(spark, sf_dir):
 
 
 sql("edge_resolve_join", "edges symbols", "SELECT a.qname AS caller, b.qname AS callee, split_part(a.qname, '.', 1) = split_part(b.qname, '.', 1) AS intra FROM edges e JOIN (SELECT symbol_id, qname FROM symbols) a ON a.symbol_id = e.src JOIN (SELECT symbol_id, qname FROM symbols) b ON b.symbol_id = e.dst")
-sql("unresolved_calls", "lineitem symbols", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l LEFT JOIN (SELECT part, qname FROM symbols WHERE kind <> 'variable') s ON s.part = l.l_partkey WHERE s.part IS NULL AND l_quantity > 45")
 sql("suffix_join", "symbols", "SELECT suffix, min(qname) AS qname FROM (SELECT qname AS suffix, qname FROM symbols UNION ALL SELECT concat(split_part(qname, '.', 2), '.', split_part(qname, '.', 3)) AS suffix, qname FROM symbols UNION ALL SELECT split_part(qname, '.', 3) AS suffix, qname FROM symbols UNION ALL SELECT @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') AS suffix, qname FROM symbols) AS t GROUP BY suffix HAVING count(*) = 1")
-sql("dead_code_anti_join", "symbols edges", "SELECT qname FROM symbols WHERE kind IN ('function', 'method') AND file NOT LIKE 'tests/%' AND symbol_id NOT IN (SELECT dst FROM edges)")
-sql("dataflow_resolve", "lineitem", "SELECT DISTINCT a.l_orderkey, a.l_linenumber, a.l_partkey AS argument, b.l_partkey AS parameter FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber WHERE a.l_partkey < b.l_partkey")
 sql("dataflow_flatten", "lineitem", "SELECT l_orderkey, count(*) AS n_edges, min(l_partkey) AS first_from FROM lineitem GROUP BY l_orderkey")
 sql("hunk_overlap_join", "symbols lineitem", "SELECT s.symbol_id, h.l_orderkey, h.l_linenumber FROM symbols s JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS first_line, CAST(l_quantity AS INT) + 3 AS last_line FROM lineitem) h ON h.l_partkey = s.part WHERE s.start_line <= h.last_line AND s.end_line >= h.first_line")
 sql("owner_lookup_asof", "symbols", "SELECT file, line, qname FROM (SELECT f.file, f.line, s.qname, row_number() OVER (PARTITION BY f.file, f.line ORDER BY s.start_line DESC, s.qname) AS r FROM (SELECT DISTINCT file, start_line + 4 AS line FROM symbols) AS f JOIN symbols s ON s.file = f.file AND s.start_line <= f.line AND s.end_line >= f.line) AS t WHERE r = 1")
 sql("caller_invariant_join", "edges live", "SELECT DISTINCT e.dst AS candidate, l.summary FROM edges e JOIN (SELECT symbol_id, summary FROM live WHERE kind = 'invariant') l ON l.symbol_id = e.src WHERE e.src NOT IN ('sym_20', 'sym_40')")
-sql("covering_tests", "symbols", "SELECT s.qname, t.qname AS test FROM (SELECT qname, @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') AS leaf FROM symbols WHERE part % 100 = 3) AS s JOIN (SELECT qname FROM symbols WHERE file LIKE 'tests/%') AS t ON t.qname LIKE concat('%.', s.leaf, '%')")
-sql("annotate_commit_join", "symbols orders", "SELECT c.o_orderkey, s.symbol_id FROM (SELECT o_orderkey, concat('brand', o_orderkey % 25, '.py') AS path FROM orders WHERE o_orderkey < 200) AS c JOIN (SELECT symbol_id, @GROUP(file, '([^/]*)$') AS name FROM symbols WHERE part % 20 = 0) AS s ON s.name = c.path")
 sql("lang_hint_lookup", "symbols", "SELECT name, qname FROM (SELECT @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') AS name, qname, row_number() OVER (PARTITION BY @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') ORDER BY CASE WHEN language = 'typescript' THEN 0 ELSE 1 END, qname) AS r FROM symbols) AS t WHERE r = 1")
-sql("mount_prefix_join", "nation region", "SELECT n.n_nationkey, concat('/', lower(replace(r.r_name, ' ', '-')), '/', lower(replace(n.n_name, ' ', '-'))) AS path FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey")
 sql("definitions_lookup", "symbols", "SELECT qname FROM symbols WHERE qname = 'small_ring_0' OR qname LIKE '%.small_ring_0'")
-sql("test_files_for_source", "symbols", "SELECT DISTINCT s.file AS source, t.file AS test FROM (SELECT DISTINCT file, @GROUP(file, '([^/]*)$') AS name FROM symbols WHERE file NOT LIKE 'tests/%') AS s JOIN (SELECT DISTINCT file, @GROUP(file, '([^/]*)$') AS name FROM symbols WHERE file LIKE 'tests/%') AS t ON t.name = s.name")
 sql("test_gap", "symbols", "SELECT DISTINCT s.file FROM symbols s LEFT JOIN (SELECT DISTINCT @GROUP(file, '^tests/(.*)$') AS rest FROM symbols WHERE file LIKE 'tests/%') AS t ON t.rest = @SUB(s.file, '^[a-z]+/', '') WHERE s.file NOT LIKE 'tests/%' AND t.rest IS NULL")
 sql("rg_scan", "benchmark", "SELECT item_id, pos, line FROM (SELECT item_id, posexplode(split(text, '\\n')) AS (pos, line) FROM benchmark) AS b WHERE concat(' ', lower(line), ' ') LIKE '% the %'",
     "SELECT item_id, CAST(pos - 1 AS INTEGER) AS pos, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark) AS b WHERE concat(' ', lower(line), ' ') LIKE '% the %'")
 sql("aggregate_candidates", "symbols live effects", "SELECT s.language, count(DISTINCT s.symbol_id) AS n, count(DISTINCT CASE WHEN l.kind = 'invariant' THEN l.entry_id END) AS invariants, count(DISTINCT CASE WHEN l.kind = 'hazard' THEN l.entry_id END) AS hazards, count(DISTINCT e.effect) AS effects FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id LEFT JOIN effects e ON e.symbol_id = s.symbol_id GROUP BY s.language")
 sql("context_for", "symbols edges live effects", "SELECT s.symbol_id, s.qname, coalesce(o.n, 0) AS n_callees, coalesce(i.n, 0) AS n_callers, coalesce(l.n, 0) AS n_entries, coalesce(e.n, 0) AS n_effects FROM symbols s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.symbol_id LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = s.symbol_id LEFT JOIN (SELECT symbol_id, count(*) AS n FROM live GROUP BY symbol_id) l ON l.symbol_id = s.symbol_id LEFT JOIN (SELECT symbol_id, count(*) AS n FROM effects GROUP BY symbol_id) e ON e.symbol_id = s.symbol_id")
-sql("ledger_text_agg", "live", "SELECT symbol_id, md5(array_join(array_sort(collect_list(lower(summary))), ' ')) AS text, count(DISTINCT kind) AS n_flags FROM live GROUP BY symbol_id", "SELECT symbol_id, md5(string_agg(lower(summary), ' ' ORDER BY lower(summary))) AS text, count(DISTINCT kind) AS n_flags FROM live GROUP BY symbol_id")
 sql("checklist", "symbols live", "SELECT s.file, count(DISTINCT s.symbol_id) AS n, count(CASE WHEN l.kind = 'invariant' THEN 1 END) AS invariants FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id WHERE s.qname LIKE '%ring%' GROUP BY s.file")
-sql("caller_chains", "edges", "SELECT a.src AS n1, b.src AS n2, c.src AS n3, c.dst AS target FROM edges a JOIN (SELECT src, dst FROM edges) b ON b.src = a.dst JOIN (SELECT src, dst FROM edges) c ON c.src = b.dst WHERE a.src <> b.dst AND a.src <> c.dst AND b.src <> c.dst")
+
+
+PATHS = """WITH RECURSIVE p AS (SELECT dst AS target, [src, dst] AS path, 1 AS n FROM edges WHERE src <> dst
+UNION ALL SELECT p.target, list_prepend(e.src, p.path) AS path, p.n + 1 AS n FROM p JOIN edges e ON e.dst = p.path[1] WHERE p.n < 4 AND NOT list_contains(p.path, e.src))
+SELECT target, array_to_string(path, '>') AS path FROM (SELECT target, path, row_number() OVER (PARTITION BY target ORDER BY n, path) AS r FROM p) AS t WHERE r <= 5"""
+
+
+@query("caller_chains", with_ctes(["edges"], PATHS))
+def caller_chains(spark, sf_dir):
+    """Up to five call paths of up to four edges that lead to each symbol, shortest first."""
+    return graph.chains(frame(spark, sf_dir, "edges"), 5, 4).select("target", F.array_join("path", ">").alias("path"))
+
+
+LEAF = "@SUB(split_part(qname, '.', 3), '_[0-9]+$', '')"
+COVERING = f"SELECT s.qname, t.qname AS test FROM (SELECT qname, {LEAF} AS leaf FROM symbols) AS s JOIN (SELECT qname FROM symbols WHERE file LIKE 'tests/%') AS t ON contains(t.qname, concat('.', s.leaf))"
+
+
+@query("covering_tests", with_ctes(["symbols"], COVERING))
+def covering_tests(spark, sf_dir):
+    """Tests with a segment that begins with a symbol's leaf name: the segments' beginnings are joined with the names by equality."""
+    own = run_sql(spark, sf_dir, ["symbols"], f"SELECT qname, {LEAF} AS leaf FROM symbols")
+    tests = frame(spark, sf_dir, "symbols").where("file LIKE 'tests/%'").select(F.col("qname").alias("test"))
+    lengths = own.select(F.length("leaf").alias("n")).distinct()  # few: names are short
+    begins = tests.select("test", F.explode(F.slice(F.split("test", "[.]"), 2, 1 << 20)).alias("segment"))
+    keys = begins.join(F.broadcast(lengths.agg(F.collect_set("n").alias("ns"))), F.lit(True)).select("test", F.explode(F.transform(F.filter("ns", lambda n: n <= F.length("segment")), lambda n: F.substr("segment", F.lit(1), n))).alias("key")).distinct()
+    return own.join(keys, F.col("leaf") == F.col("key")).select("qname", "test").distinct()
+
+
+sql("annotate_commit_join", "symbols orders", "SELECT c.o_orderkey, s.symbol_id FROM (SELECT o_orderkey, concat('brand', o_orderkey % 25, '.py') AS path FROM orders) AS c JOIN (SELECT symbol_id, name FROM (SELECT symbol_id, @GROUP(file, '([^/]*)$') AS name, row_number() OVER (PARTITION BY @GROUP(file, '([^/]*)$') ORDER BY symbol_id) AS r FROM symbols) AS n WHERE r <= 20) AS s ON s.name = c.path")
+sql("ledger_text_agg", "live", "SELECT symbol_id, array_join(array_sort(collect_list(lower(summary))), ' ') AS text, array_join(array_sort(collect_set(kind)), ',') AS flags FROM live GROUP BY symbol_id", "SELECT symbol_id, string_agg(lower(summary), ' ' ORDER BY lower(summary)) AS text, string_agg(DISTINCT kind, ',' ORDER BY kind) AS flags FROM live GROUP BY symbol_id")
+# every line item is a call; the parts of the catalogue that are no variables are what it can mean
+sql("unresolved_calls", "lineitem symbols", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l LEFT JOIN (SELECT part, qname FROM symbols WHERE kind <> 'variable') s ON s.part = l.l_partkey WHERE s.part IS NULL")
+sql("dataflow_resolve", "lineitem", "SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS argument, b.l_partkey AS parameter FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = b.l_returnflag")
+sql("dead_code_anti_join", "symbols edges endpoints", f"SELECT s.qname, CASE WHEN s.doc IS NULL THEN 'undocumented' ELSE 'documented' END AS note FROM symbols s LEFT JOIN (SELECT DISTINCT dst FROM edges) e ON e.dst = s.symbol_id LEFT JOIN (SELECT DISTINCT replace(symbol_id, 'page.', 'sym_') AS handler FROM endpoints WHERE direction = 'inbound') h ON h.handler = s.symbol_id WHERE s.kind IN ('function', 'method') AND s.file NOT LIKE 'tests/%' AND e.dst IS NULL AND h.handler IS NULL AND @GROUP(s.qname, '([^.]*)$') <> 'main' AND @GROUP(s.qname, '(__[a-z]+__)$') = ''")
+STEM = "@GROUP(file, '([^/]*)[.][a-z]+$')"
+sql("test_files_for_source", "symbols", f"SELECT s.file AS source, t.file AS test FROM (SELECT DISTINCT file, {STEM} AS stem FROM symbols WHERE file NOT LIKE 'tests/%') AS s JOIN (SELECT DISTINCT file, {STEM} AS stem FROM symbols WHERE file LIKE 'tests/%') AS t ON substring(t.stem, 1, 5) = substring(s.stem, 1, 5) AND (contains(t.stem, s.stem) OR contains(s.stem, t.stem))")
+# a router is mounted on the one of the key below by ten, the first on none: the prefixes of a chain are put before each other
+MOUNT = """WITH RECURSIVE m AS (SELECT n_nationkey AS router, n_nationkey AS at, concat('/', lower(replace(n_name, ' ', '-'))) AS path, concat(',', n_nationkey, ',') AS seen FROM nation
+UNION ALL SELECT m.router, n.n_nationkey AS at, concat('/', lower(replace(n.n_name, ' ', '-')), m.path) AS path, concat(m.seen, n.n_nationkey, ',') AS seen
+FROM m JOIN nation n ON n.n_nationkey = (m.at * 3 + 1) % 10 WHERE NOT contains(m.seen, concat(',', n.n_nationkey, ',')))
+SELECT router, path FROM (SELECT router, path, row_number() OVER (PARTITION BY router ORDER BY length(seen) DESC) AS r FROM m) AS t WHERE r = 1"""
+sql("mount_prefix_join", "nation", MOUNT)

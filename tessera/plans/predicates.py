@@ -46,7 +46,7 @@ LAYER = layer("file", f"({TIER})")
 sql("is_test_file", "symbols", f"SELECT DISTINCT file, {TEST} AS is_test FROM symbols")
 sql("is_utility_file", "symbols", f"SELECT DISTINCT file, {UTILITY} AS is_utility FROM symbols")
 sql("symbol_tier", "symbols", f"SELECT symbol_id, file, {TIER} AS tier FROM symbols")
-sql("tests_clause", "symbols", f"SELECT tier, count(*) AS n, tier = 2 AS only_tests, tier <> 2 AS without_tests FROM (SELECT {TIER} AS tier FROM symbols) AS t GROUP BY tier")
+sql("tests_clause", "symbols", f"SELECT mode, qname FROM (SELECT qname, {TIER} AS tier FROM symbols) AS s CROSS JOIN (SELECT * FROM (VALUES ('only'), ('all'), ('none')) AS m(mode)) AS m WHERE mode = 'all' OR (mode = 'only' AND tier = 2) OR (mode = 'none' AND tier <> 2)")
 sql("classify_layer", "symbols", f"SELECT DISTINCT file, {LAYER} AS layer FROM symbols")
 sql("classify_layer_sym", "symbols", f"SELECT qname, CASE WHEN layer <> 'other' THEN layer WHEN qname LIKE '%widget%' THEN 'ui' WHEN qname LIKE '%store%' THEN 'persistence' ELSE 'other' END AS layer FROM (SELECT qname, {LAYER} AS layer FROM symbols) AS s")
 sql("classify_file_role", "symbols", "SELECT DISTINCT file, CASE WHEN concat('/', file) LIKE '%/test%' OR concat('/', file) LIKE '%/spec%' THEN 'test' WHEN concat('/', file) LIKE '%/example%' OR concat('/', file) LIKE '%/sample%' OR concat('/', file) LIKE '%/demo%' THEN 'example' WHEN concat('/', file) LIKE '%/fixture%' OR concat('/', file) LIKE '%/seed%' THEN 'fixture' WHEN concat('/', file) LIKE '%/script%' OR concat('/', file) LIKE '%/tools/%' OR concat('/', file) LIKE '%/bin/%' THEN 'script' WHEN concat('/', file) LIKE '%/generated%' OR file LIKE '%.pb.%' THEN 'generated' WHEN concat('/', file) LIKE '%/doc%' OR file LIKE '%readme%' OR file LIKE '%.md' THEN 'reference' WHEN concat('/', file) LIKE '%/viewmodels/%' THEN 'viewmodel' WHEN concat('/', file) LIKE '%/views/%' THEN 'view' ELSE 'impl' END AS role FROM symbols")
@@ -56,15 +56,16 @@ sql("rendering_surface", "symbols", "SELECT DISTINCT file, @GROUP(file, '(view|s
 sql("package_of", "symbols", "SELECT DISTINCT file, CASE WHEN @GROUP(file, '^(.*)/[^/]*$') = '' THEN '.' ELSE @GROUP(file, '^(.*)/[^/]*$') END AS package FROM symbols")
 sql("same_module", "symbols edges", "SELECT e.src, e.dst, split_part(a.qname, '.', 1) = split_part(b.qname, '.', 1) AS same_module FROM edges e JOIN (SELECT symbol_id, qname FROM symbols) a ON a.symbol_id = e.src JOIN (SELECT symbol_id, qname FROM symbols) b ON b.symbol_id = e.dst")
 sql("runtime_entry", "symbols", "SELECT qname, @GROUP(qname, '([^.]*)$') IN ('main') OR @GROUP(qname, '(__[a-z]+__)$') <> '' AS is_entry FROM symbols")
-sql("low_signal_effect", "effects", "SELECT symbol_id, effect, effect IN ('log', 'throws') AND n > 1 AS hidden FROM (SELECT symbol_id, effect, count(*) OVER (PARTITION BY symbol_id) AS n FROM effects) AS e")
-sql("glob_match", "symbols", "SELECT DISTINCT file, @GROUP(file, '^(views/[^/]*/brand1[^/]*)$') <> '' AS by_segment, @GROUP(file, '^(.*/brand1[.]py)$') <> '' AS by_tree FROM symbols")
-sql("glob_any", "symbols", "SELECT DISTINCT file, @GROUP(file, '^(views/.*|storage/[^/]*/[^/]*[.]py)$') <> '' AS matches FROM symbols")
-sql("paths_filter", "symbols", "SELECT qname, file FROM symbols WHERE @GROUP(file, '^(models/.*|scheduler/.*)$') <> ''")
-sql("exclude_paths", "symbols", "SELECT qname, file FROM symbols WHERE @GROUP(file, '^(models/.*|scheduler/.*)$') = ''")
+# Categories that say little unless they stand alone.
+sql("low_signal_effect", "effects", "SELECT symbol_id, effect, low AND n > 1 AS hidden FROM (SELECT symbol_id, effect, effect IN ('throws', 'rand', 'log', 'pure', 'time.read', 'time.sleep') AS low, count(*) OVER (PARTITION BY symbol_id) AS n FROM effects) AS e")
+
+
+
+
 sql("exclude_languages", "symbols", "SELECT qname FROM symbols WHERE lower(upper(language)) NOT IN ('rust', 'python')")
-sql("exclude_terms", "symbols", "SELECT qname FROM symbols WHERE NOT (lower(qname) LIKE '%ring%' OR lower(file) LIKE '%economy%' OR coalesce(lower(doc), '') LIKE '%blue%')")
-sql("scope_alias", "symbols", "SELECT alias, count(*) AS n FROM (SELECT 'ui' AS alias, file FROM symbols WHERE file LIKE 'views/%' OR file LIKE 'viewmodels/%' UNION ALL SELECT 'models/**' AS alias, file FROM symbols WHERE file LIKE 'models/%') AS a GROUP BY alias")
-sql("exclude_set", "symbols", "SELECT 'generated' AS alias, count(*) AS n FROM symbols WHERE NOT (file LIKE 'samples/%') UNION ALL SELECT 'unknown' AS alias, count(*) AS n FROM symbols")
+sql("exclude_terms", "symbols feedback", "SELECT s.qname, f.query FROM symbols s CROSS JOIN (SELECT DISTINCT query FROM feedback) AS f WHERE NOT (contains(lower(s.qname), split_part(f.query, ' ', 2)) OR contains(lower(s.file), split_part(f.query, ' ', 2)) OR contains(coalesce(lower(s.doc), ''), split_part(f.query, ' ', 2)) OR contains(coalesce(lower(s.signature), ''), split_part(f.query, ' ', 2)))")
+
+
 sql("result_bucket", "symbols live", f"SELECT s.qname, CASE WHEN {TIER} = 2 THEN 'test-only' WHEN l.n >= 10 THEN 'core' WHEN l.n > 0 THEN 'relevant' WHEN s.doc IS NULL THEN 'noisy' ELSE 'peripheral' END AS bucket FROM symbols s LEFT JOIN (SELECT symbol_id, count(*) AS n FROM live GROUP BY symbol_id) l ON l.symbol_id = s.symbol_id")
 sql("scratch_filter", "events", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id = 7 AND ts + INTERVAL 20 DAY >= TIMESTAMP '2024-02-01 00:00:00'")
 sql("scratch_clean", "events", "SELECT event_id FROM events WHERE event_type IN ('error', 'signup') AND ts < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 14 DAY")
@@ -72,7 +73,6 @@ sql("brief_projection", "symbols", "SELECT qname, concat(file, ':', start_line)
 sql("brief_read", "symbols effects", "SELECT s.qname, concat(s.file, ':', s.start_line) AS at, coalesce(e.n, 0) AS n_effects FROM symbols s LEFT JOIN (SELECT symbol_id, count(*) AS n FROM effects GROUP BY symbol_id) e ON e.symbol_id = s.symbol_id")
 sql("exact_symbol_exists", "symbols", "SELECT w.name, max(CASE WHEN lower(s.qname) = w.name OR lower(s.qname) LIKE concat('%.', w.name) THEN 1 ELSE 0 END) AS found FROM (SELECT 'small_ring_0' AS name UNION ALL SELECT 'red_widget_1' AS name UNION ALL SELECT 'nothing_here' AS name) AS w CROSS JOIN symbols s GROUP BY w.name")
 sql("is_doc_path", "symbols", "SELECT DISTINCT file, file LIKE 'docs/%' OR lower(file) LIKE '%readme%' OR lower(file) LIKE '%license%' AS is_doc FROM symbols")
-sql("is_doc_file", "pages", "SELECT page_id, @GROUP(url, '[.](md|rst|toml|json|ya?ml|html|css)$') <> '' OR page_id % 7 = 0 AS is_doc FROM pages")
 sql("watch_filter", "symbols", "SELECT DISTINCT file, @GROUP(file, '[.](py|ts|rs|go|java)$') <> '' AND file NOT LIKE 'tests/%' AS watched FROM symbols")
 sql("test_command", "symbols", f"SELECT DISTINCT file, CASE WHEN NOT {TEST} THEN NULL WHEN file LIKE '%.py' THEN concat('pytest ', file) WHEN file LIKE '%.ts' THEN concat('npx vitest run ', file) WHEN file LIKE '%.rs' THEN 'cargo test' END AS command FROM symbols")
 sql("query_names_file", "symbols", "SELECT DISTINCT file, (CASE WHEN file LIKE '%brand1.%' THEN 1 ELSE 0 END) >= 1 AS named FROM symbols")
@@ -88,7 +88,7 @@ CAMEL_S = "regexp_replace(regexp_replace(concat('get', initcap(p_name), upper(p_
 CAMEL_D = "regexp_replace(regexp_replace(concat('get', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), upper(p_type), 'Item', p_size), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
 sql("split_camel", "part", f"SELECT p_partkey, lower({CAMEL_S}) AS words FROM part", f"SELECT p_partkey, lower({CAMEL_D}) AS words FROM part")
 sql("expand_identifier", "symbols", "SELECT symbol_id, concat(qname, ' ', replace(replace(qname, '.', ' '), '_', ' ')) AS expanded FROM symbols")
-sql("expand_text", "documents", "SELECT doc_id, md5(@SUB(lower(text), '[-_.]+', ' ')) AS expanded FROM documents")
+sql("expand_text", "documents", "SELECT doc_id, @SUB(lower(text), '[-_.]+', ' ') AS expanded FROM documents")
 sql("name_tokens", "symbols", f"SELECT symbol_id, array_join(array_distinct(filter(split(split_part(qname, '.', 3), '_'), w -> length(w) > 2 AND w NOT IN ({STOP}))), ' ') AS tokens FROM symbols",
     f"SELECT symbol_id, array_to_string(list_filter(string_split(split_part(qname, '.', 3), '_'), lambda w: length(w) > 2 AND w NOT IN ({STOP})), ' ') AS tokens FROM symbols")
 TOK_S = f"filter(transform(split(title, '[\\\\s_.-]+'), w -> lower(w)), w -> length(w) >= 2 AND w NOT IN ({STOP}))"
@@ -106,7 +106,10 @@ sql("parse_params", "symbols", f"SELECT symbol_id, array_join(filter(transform(s
     f"SELECT symbol_id, array_to_string(list_filter(list_transform(string_split({INSIDE}, ','), lambda p: trim(split_part(p, ':', 1))), lambda p: p NOT IN ('self', 'cls') AND NOT starts_with(p, '*')), ',') AS params FROM symbols")
 sql("sig_param_names", "symbols", f"SELECT symbol_id, array_join(transform(split({INSIDE}, ','), p -> trim(split_part(p, ':', 1))), ',') AS names FROM symbols", f"SELECT symbol_id, array_to_string(list_transform(string_split({INSIDE}, ','), lambda p: trim(split_part(p, ':', 1))), ',') AS names FROM symbols")
 sql("extract_summary", "symbols", "SELECT symbol_id, coalesce(split_part(doc, '.', 1), substring(signature, 1, 100)) AS summary FROM symbols")
-sql("first_line", "conversations", "SELECT conv_id, turn, md5(substring(split_part(text, chr(10), 1), 1, 140)) AS first_line FROM conversations")
+FIRST_S = "filter(split(text, '\\n'), l -> trim(l) <> '')"
+FIRST_D = "list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')"
+sql("first_line", "conversations", f"SELECT conv_id, turn, substring(coalesce(try_element_at({FIRST_S}, 1), text), 1, 140) AS first_line FROM conversations",
+    f"SELECT conv_id, turn, substring(coalesce({FIRST_D}[1], text), 1, 140) AS first_line FROM conversations")
 sql("extract_subject", "benchmark", f"SELECT item_id, array_join(slice(filter(split(lower(text), ' '), w -> w NOT IN ({STOP})), 1, 5), ' ') AS subject FROM benchmark", f"SELECT item_id, array_to_string(list_filter(string_split(lower(text), ' '), lambda w: w NOT IN ({STOP}))[1:5], ' ') AS subject FROM benchmark")
 sql("invariant_to_scenario", "live", "SELECT entry_id, CASE WHEN summary LIKE '%purchase%' THEN 'buy once' WHEN summary LIKE '%error%' THEN 'raise it' WHEN summary LIKE '%view%' THEN 'open it' ELSE 'exercise it' END AS step, concat('holds: ', summary) AS expected FROM live WHERE kind = 'invariant'")
 sql("intent_order", "symbols", f"SELECT layer, CASE layer WHEN 'ui' THEN 1 WHEN 'viewmodel' THEN 2 WHEN 'core_model' THEN 3 WHEN 'scheduler' THEN 4 WHEN 'persistence' THEN 5 WHEN 'utility' THEN 6 WHEN 'tests' THEN 7 ELSE 8 END AS priority, count(*) AS n FROM (SELECT {LAYER} AS layer FROM symbols) AS s GROUP BY layer")
@@ -123,3 +126,35 @@ sql("dynamic_dispatch", "conversations", "SELECT conv_id, turn, text LIKE '%que%
 sql("disambiguate", "symbols", "SELECT symbol_id, CASE WHEN count(*) OVER (PARTITION BY file, split_part(split_part(qname, '.', 3), '_', 1)) > 1 THEN concat(split_part(split_part(qname, '.', 3), '_', 1), ':', start_line) ELSE split_part(split_part(qname, '.', 3), '_', 1) END AS name FROM symbols")
 for _lang, _rule in {"": "net.out", "_ts": "fs.read", "_rs": "env.set", "_go": "db.write", "_java": "log", "_cs": "throws", "_rb": "net.in", "_kt": "fs.write", "_sw": "env.read"}.items():
     sql(f"effect_inference{_lang}", "conversations", f"SELECT conv_id, turn, '{_rule}' AS effect FROM conversations WHERE lower(text) LIKE '%{_rule[:2]}%{_rule[-1]}%' AND (conv_id + turn) % 3 = 0")
+
+# A glob as a pattern, segment by segment: ** is any number of segments, * stays within one, all else is literal.
+# Names of scopes and of sets to leave out stand for globs; an unknown scope is a glob itself, an unknown set is empty.
+GLOBS = "SELECT * FROM (VALUES ('views/*/brand1*'), ('**/brand1.py'), ('views/**'), ('storage/*/*.py'), ('models/**/brand?.ts'), ('**'), ('tests/**/*2*'), ('src/economy/brand3.rs'), ('scheduler/**')) AS g(pat)"
+SCOPES = "SELECT * FROM (VALUES ('ui', 'views/**'), ('ui', 'viewmodels/**'), ('core', 'models/**')) AS a(alias, pat)"
+SETS = "SELECT * FROM (VALUES ('generated', 'samples/**'), ('generated', '**/brand2.*')) AS a(alias, pat)"
+QUOTED = "@SUB(pat, '([.+?^$()|{}])', '@ONE')"
+PATTERN = f"concat('^', @SUB(replace(@SUB(@SUB(@SUB(@SUB({QUOTED}, '^[*][*]$', '<W>'), '/[*][*]$', '<Z>'), '^[*][*]/', '<A>'), '/[*][*]/', '/<A>'), '*', '[^/]*'), '<A>', '([^/]+/)*'), '$')"
+
+
+def _globbed(text: str, duck: bool) -> str:
+    """The two dialects name a group and a match differently; <Z> is anything below a folder or the folder, <W> is all."""
+    pattern = f"replace(replace({PATTERN}, '<Z>', '(/.*)?'), '<W>', '.*')".replace("@ONE", "\\\\\\1" if duck else "\\\\\\\\$1")
+    return text.replace("@PATTERN", pattern).replace("@MATCH", "regexp_matches" if duck else "regexp_like")
+
+
+def _glob(name: str, tables: str, text: str) -> None:
+    sql(name, tables, _globbed(text, False), _globbed(text, True))
+
+
+FILES = "SELECT DISTINCT file FROM symbols"
+_glob("glob_match", "symbols", f"SELECT f.file, g.pat, @MATCH(f.file, g.pattern) AS matches FROM ({FILES}) AS f CROSS JOIN (SELECT pat, @PATTERN AS pattern FROM ({GLOBS}) AS g) AS g")
+_glob("glob_any", "symbols", f"SELECT f.file, max(CASE WHEN @MATCH(f.file, g.pattern) THEN 1 ELSE 0 END) = 1 AS matches FROM ({FILES}) AS f CROSS JOIN (SELECT @PATTERN AS pattern FROM ({GLOBS}) AS g WHERE pat LIKE 's%') AS g GROUP BY f.file")
+CHOSEN = f"SELECT @PATTERN AS pattern FROM ({GLOBS}) AS g WHERE pat LIKE '%/**'"
+SCORED = "SELECT DISTINCT concat('sym_', user_id * 20) AS symbol_id FROM events"
+ANY = f"SELECT f.file FROM ({FILES}) AS f CROSS JOIN ({CHOSEN}) AS g GROUP BY f.file HAVING max(CASE WHEN @MATCH(f.file, g.pattern) THEN 1 ELSE 0 END) = 1"
+_glob("paths_filter", "symbols events", f"SELECT c.symbol_id, s.file FROM ({SCORED}) AS c LEFT JOIN symbols s ON s.symbol_id = c.symbol_id LEFT JOIN ({ANY}) AS a ON a.file = s.file WHERE s.file IS NULL OR a.file IS NOT NULL")
+_glob("exclude_paths", "symbols events", f"SELECT c.symbol_id, s.file FROM ({SCORED}) AS c LEFT JOIN symbols s ON s.symbol_id = c.symbol_id LEFT JOIN ({ANY}) AS a ON a.file = s.file WHERE s.file IS NULL OR a.file IS NULL")
+ASKED = "SELECT * FROM (VALUES ('ui'), ('core'), ('generated'), ('storage/**')) AS w(alias)"
+NAMED = "SELECT alias, count(DISTINCT file) AS n FROM (SELECT w.alias, f.file FROM ({asked}) AS w CROSS JOIN (" + FILES + ") AS f LEFT JOIN (SELECT alias, @PATTERN AS pattern FROM ({globs}) AS g) AS g ON g.alias = w.alias WHERE @MATCH(f.file, g.pattern)) AS m GROUP BY alias"
+_glob("scope_alias", "symbols", NAMED.format(asked=ASKED, globs=f"{SCOPES} UNION ALL SELECT alias, alias AS pat FROM ({ASKED}) AS w WHERE alias NOT IN (SELECT alias FROM ({SCOPES}) AS s)"))
+_glob("exclude_set", "symbols", f"SELECT w.alias, count(CASE WHEN m.file IS NULL THEN 1 END) AS n FROM ({ASKED}) AS w CROSS JOIN ({FILES}) AS f LEFT JOIN (SELECT DISTINCT g.alias, f.file FROM (SELECT alias, @PATTERN AS pattern FROM ({SETS}) AS g) AS g CROSS JOIN ({FILES}) AS f WHERE @MATCH(f.file, g.pattern)) AS m ON m.alias = w.alias AND m.file = f.file GROUP BY w.alias")

@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from .base import sql
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import order
+from ..registry import query
+from ..shared import saved
+from ..sources.crosswalk import frame, run_sql, with_ctes
+from .base import placed, sql
 
 # Weights of a name, signature, text, ledger and path match.
 TOKENS = ("the", "of", "and")
@@ -14,20 +23,23 @@ def _score(column_name: str, column_body: str) -> str:
 
 DOC_SCORE = f"SELECT doc_id, kind, {_score('lower(title)', 'lower(body)')} + CASE WHEN kind LIKE '%1%' THEN 1 ELSE 0 END AS score FROM docs"
 sql("in_memory_score", "docs", f"SELECT doc_id, kind, score, place FROM (SELECT doc_id, kind, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ({DOC_SCORE}) AS s WHERE score > 0) AS r WHERE place <= 20")
+CHAIN = "SELECT event_id AS seq, @SHA(concat(event_id, '|', event_type, '|', user_id)) AS event_hash FROM events"
 SYM = "SELECT symbol_id, qname, file, language, CASE WHEN qname LIKE '%ring%' THEN 4 ELSE 0 END + CASE WHEN qname LIKE '%red%' THEN 4 ELSE 0 END + CASE WHEN signature LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN signature LIKE '%red%' THEN 3 ELSE 0 END + CASE WHEN coalesce(doc, '') LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN coalesce(doc, '') LIKE '%red%' THEN 3 ELSE 0 END + CASE WHEN file LIKE '%red%' THEN 1 ELSE 0 END AS score FROM symbols"
-HITS = f"SELECT symbol_id, qname, file, language, score, row_number() OVER (ORDER BY score DESC, qname) AS place FROM ({SYM}) AS s WHERE score > 0"
+SCORED = f"SELECT symbol_id, qname, file, language, score FROM ({SYM}) AS s WHERE score > 0"
+HITS = f"SELECT symbol_id, qname, file, language, score, row_number() OVER (ORDER BY score DESC, qname) AS place FROM ({SCORED}) AS s"
 sql("fallback_search", "symbols", f"SELECT qname, score, place FROM ({HITS}) AS h WHERE place <= 30")
 sql("topk_score", "symbols", f"SELECT qname, score, place FROM ({HITS}) AS h WHERE place <= 10")
 sql("overfetch", "symbols", f"SELECT qname, score, row_number() OVER (ORDER BY score + CASE WHEN file LIKE 'models/%' THEN 2 ELSE 0 END DESC, qname) AS place FROM ({HITS}) AS h WHERE place <= 80")
 sql("truncate_depth", "symbols", f"SELECT qname, place FROM ({HITS}) AS h WHERE place <= 40 AND file LIKE 'models/%'")
-sql("task_bias", "symbols", f"SELECT qname, score + CASE WHEN file LIKE 'storage/%' THEN 1 ELSE 0 END AS score FROM ({HITS}) AS h")
-sql("confidence_norm", "symbols", f"SELECT qname, round(CASE WHEN max(score) OVER () = min(score) OVER () THEN 1.0@D ELSE 0.1@D + 0.9@D * (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END, 6) AS confidence FROM ({HITS}) AS h")
-CLIFF = f"SELECT qname, score, place, lag(score) OVER (ORDER BY place) AS before FROM ({HITS}) AS h"
-sql("cliff_cut", "symbols", f"SELECT qname, score, place FROM (SELECT qname, score, place, max(CASE WHEN before IS NOT NULL AND (before <= 0 OR score * 1.0@D / before < 0.7@D) THEN 1 ELSE 0 END) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cut FROM ({CLIFF}) AS c) AS d WHERE cut = 0")
-sql("score_floor", "symbols", f"SELECT round(greatest(0.4@D * max(score), coalesce(max(CASE WHEN cliff = 1 THEN before END), 0)), 6) AS score_floor FROM (SELECT score, before, CASE WHEN before IS NOT NULL AND score * 1.0@D / before < 0.7@D THEN 1 ELSE 0 END AS cliff FROM ({CLIFF}) AS c) AS d")
-sql("dedup_by_file", "symbols live", f"SELECT file, qname FROM (SELECT h.file, h.qname, row_number() OVER (PARTITION BY h.file ORDER BY CASE WHEN l.symbol_id IS NULL THEN 1 ELSE 0 END, h.score DESC, h.qname) AS r FROM ({HITS}) AS h LEFT JOIN (SELECT DISTINCT symbol_id FROM live) l ON l.symbol_id = h.symbol_id) AS t WHERE r = 1")
-sql("finalize_files", "symbols", f"SELECT file, best, row_number() OVER (ORDER BY CASE WHEN file LIKE 'models/%' THEN 0 ELSE 1 END, best DESC, file) AS place FROM (SELECT file, max(score) AS best FROM ({HITS}) AS h GROUP BY file) AS f")
-sql("score_file_push", "symbols", f"SELECT file, qname FROM (SELECT file, qname, row_number() OVER (PARTITION BY file ORDER BY place) AS r FROM ({HITS}) AS h WHERE score >= 4) AS t WHERE r = 1")
+sql("task_bias", "symbols", f"SELECT qname, score + CASE WHEN file LIKE 'storage/%' THEN 1 ELSE 0 END AS score FROM ({SCORED}) AS h")
+sql("confidence_norm", "symbols", f"SELECT h.qname, round(CASE WHEN r.high = r.low THEN 1.0@D ELSE 0.1@D + 0.9@D * (h.score - r.low) / (r.high - r.low) END, 6) AS confidence FROM ({SCORED}) AS h CROSS JOIN (SELECT min(score) AS low, max(score) AS high FROM ({SCORED}) AS h) AS r")
+# equal scores are no cliff, so the different scores tell where the first one is
+LEVELS = f"SELECT score, before, before <= 0 OR score * 1.0@D / before < 0.7@D AS cliff FROM (SELECT score, lag(score) OVER (ORDER BY score DESC) AS before FROM (SELECT DISTINCT score FROM ({SCORED}) AS h) AS d) AS l"
+placed("cliff_cut", "symbols", f"SELECT h.qname, h.score FROM ({SCORED}) AS h CROSS JOIN (SELECT coalesce(max(CASE WHEN cliff THEN score END), -1) AS edge FROM ({LEVELS}) AS l) AS e WHERE h.score > e.edge", "score DESC, qname")
+sql("score_floor", "symbols", f"SELECT round(greatest(0.4@D * max(score), coalesce(max(CASE WHEN cliff THEN before END), 0)), 6) AS score_floor FROM ({LEVELS}) AS l")
+sql("dedup_by_file", "symbols live", f"SELECT file, qname FROM (SELECT h.file, h.qname, row_number() OVER (PARTITION BY h.file ORDER BY CASE WHEN l.symbol_id IS NULL THEN 1 ELSE 0 END, h.score DESC, h.qname) AS r FROM ({SCORED}) AS h LEFT JOIN (SELECT DISTINCT symbol_id FROM live) l ON l.symbol_id = h.symbol_id) AS t WHERE r = 1")
+placed("finalize_files", "symbols", f"SELECT file, max(score) AS best, CASE WHEN file LIKE 'models/%' THEN 0 ELSE 1 END AS _rank FROM ({SCORED}) AS h GROUP BY file", "_rank, best DESC, file")
+sql("score_file_push", "symbols", f"SELECT file, qname FROM (SELECT file, qname, row_number() OVER (PARTITION BY file ORDER BY score DESC, qname) AS r FROM ({SCORED}) AS h WHERE score >= 4) AS t WHERE r = 1")
 sql("first_row_per_group", "symbols", "SELECT file, qname, start_line FROM (SELECT file, qname, start_line, row_number() OVER (PARTITION BY file ORDER BY start_line, qname) AS r FROM symbols) AS t WHERE r = 1")
 sql("front_door", "symbols", "SELECT package, qname FROM (SELECT @GROUP(file, '^(.*)/[^/]*$') AS package, qname, row_number() OVER (PARTITION BY @GROUP(file, '^(.*)/[^/]*$') ORDER BY length(qname), qname) AS r FROM symbols) AS t WHERE r = 1")
 sql("latest_first", "ledger", "SELECT entry_id, place FROM (SELECT entry_id, row_number() OVER (ORDER BY created_at DESC, entry_id) AS place FROM ledger WHERE kind IN ('decision', 'hazard')) AS t WHERE place <= 50")
@@ -36,8 +48,20 @@ sql("history_window", "events", "SELECT event_id, place FROM (SELECT event_id, r
 sql("trust_history", "events", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r FROM events) AS t WHERE r <= 40")
 sql("cursor_tail", "audit", "SELECT seq, event_type, outcome FROM audit WHERE seq > coalesce((SELECT max(seq) FROM audit WHERE seq = 9000), -1) AND event_type LIKE '%purch%' AND outcome = 'allow'")
 sql("read_jsonl_audit", "audit", "SELECT seq, event_type, actor_id, outcome FROM audit WHERE subject_id IN ('sym_100', 'sym_200')")
-sql("hash_chain", "audit", "SELECT seq, prev_event_hash IS NULL OR prev_event_hash = before AS intact FROM (SELECT seq, prev_event_hash, lag(event_hash) OVER (ORDER BY seq) AS before FROM audit) AS a")
-sql("recipe_order", "live", "SELECT entry_id, action, row_number() OVER (ORDER BY CASE action WHEN 'delete' THEN 0 WHEN 'move' THEN 1 WHEN 'gate' THEN 2 WHEN 'run' THEN 3 WHEN 'keep' THEN 4 ELSE 5 END, seq) AS place FROM (SELECT entry_id, seq, CASE role WHEN 'stale-api' THEN 'delete' WHEN 'diagnostic-test' THEN 'gate' WHEN 'fast-test' THEN 'run' ELSE 'review' END AS action FROM live) AS t")
+
+
+@query("hash_chain", with_ctes(["audit"], "SELECT seq, prev_event_hash IS NULL OR prev_event_hash = before AS intact FROM (SELECT seq, prev_event_hash, lag(event_hash) OVER (ORDER BY seq) AS before FROM audit) AS a"))
+def hash_chain(spark, sf_dir):
+    """Whether each record names the one before; ranges of the log hand their last record on."""
+    own = run_sql(spark, sf_dir, ["events"], CHAIN)
+    # the log as it was written: each record with the hash of the one before, one in 500 tampered with
+    log = order.lagged(own, [F.col("seq").asc()], "event_hash", "before")
+    prev = F.when(F.col("seq") % 500 == 499, F.lit("tampered")).otherwise(F.col("before"))
+    return log.select("seq", (prev.isNull() | (prev == F.col("before"))).alias("intact"))
+
+
+ACTION = "CASE role WHEN 'stale-api' THEN 'delete' WHEN 'diagnostic-test' THEN 'gate' WHEN 'fast-test' THEN 'run' ELSE 'review' END"
+placed("recipe_order", "live", f"SELECT entry_id, action, CASE action WHEN 'delete' THEN 0 WHEN 'move' THEN 1 WHEN 'gate' THEN 2 WHEN 'run' THEN 3 WHEN 'keep' THEN 4 ELSE 5 END AS _rank, _seq FROM (SELECT entry_id, seq AS _seq, {ACTION} AS action FROM live) AS t", "_rank, _seq")
 RULES = "CASE WHEN kind = 'mapping' THEN 1 WHEN kind IN ('constraint', 'decision') AND role = 'stale-api' THEN 2 WHEN kind IN ('ownership', 'concept') AND role = 'diagnostic-test' THEN 3 WHEN kind IN ('ownership', 'concept') AND role = 'fast-test' AND command IS NOT NULL THEN 4 ELSE 5 END"
 PICK = f"SELECT symbol_id, min({RULES}) AS rule FROM live GROUP BY symbol_id"
 sql("pick_action", "live", f"SELECT symbol_id, CASE rule WHEN 1 THEN 'keep-as-covered' WHEN 2 THEN 'delete' WHEN 3 THEN 'gate' WHEN 4 THEN 'run' ELSE 'review' END AS action FROM ({PICK}) AS p")
@@ -62,34 +86,78 @@ sql("orphan_anti_join", "ledger symbols", "SELECT l.entry_id, l.symbol_id, 'orph
 sql("repair_scan", "ledger symbols effects edges", "SELECT 'orphan-ledger' AS issue, count(*) AS n FROM ledger WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'orphan-effect' AS issue, count(*) AS n FROM effects WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'dangling-edge' AS issue, count(*) AS n FROM edges WHERE dst NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'dangling-supersede' AS issue, count(*) AS n FROM ledger WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT entry_id FROM ledger)")
 sql("repair_fix", "edges symbols", "SELECT src, dst FROM edges WHERE src IN (SELECT symbol_id FROM symbols) AND dst IN (SELECT symbol_id FROM symbols)")
 sql("constraint_semi_join", "live", "SELECT DISTINCT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending')")
-sql("constraint_penalty", "symbols live", f"SELECT h.qname, h.score FROM ({HITS}) AS h WHERE h.symbol_id NOT IN (SELECT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending'))")
+sql("constraint_penalty", "symbols live", f"SELECT h.qname, h.score FROM ({SCORED}) AS h WHERE h.symbol_id NOT IN (SELECT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending'))")
 sql("anchor_filter", "live symbols", "SELECT qname, place FROM (SELECT s.qname, row_number() OVER (ORDER BY s.qname) AS place FROM symbols s JOIN (SELECT DISTINCT symbol_id FROM live WHERE kind IN ('invariant', 'hazard') AND summary LIKE '%1%') l ON l.symbol_id = s.symbol_id WHERE s.file NOT LIKE 'tests/%') AS t WHERE place <= 5")
 sql("anchor_topup", "live symbols", f"SELECT qname, score FROM (SELECT qname, score * 1.0@D AS score FROM ({HITS}) AS h WHERE place <= 10 UNION ALL SELECT qname, 0.5@D AS score FROM (SELECT s.qname, row_number() OVER (ORDER BY s.qname) AS r FROM symbols s JOIN (SELECT DISTINCT symbol_id FROM live WHERE kind IN ('invariant', 'hazard')) l ON l.symbol_id = s.symbol_id WHERE s.qname NOT LIKE '%ring%' AND s.qname NOT LIKE '%red%') AS a WHERE r <= 5) AS t")
-sql("feedback_adjust", "symbols feedback", f"SELECT h.qname, round(h.score + 1.5@D * coalesce(f.useful, 0), 6) AS score FROM ({HITS}) AS h LEFT JOIN (SELECT symbol_id, count(CASE WHEN verdict = 'useful' THEN 1 END) AS useful, count(CASE WHEN verdict IN ('noisy', 'wrong-layer', 'covered', 'diagnostic') THEN 1 END) AS bad FROM feedback WHERE query LIKE '%ring%' GROUP BY symbol_id) f ON f.symbol_id = h.symbol_id WHERE coalesce(f.bad, 0) < 12")
+sql("feedback_adjust", "symbols feedback", f"SELECT h.qname, round(h.score + 1.5@D * coalesce(f.useful, 0), 6) AS score FROM ({SCORED}) AS h LEFT JOIN (SELECT symbol_id, count(CASE WHEN verdict = 'useful' THEN 1 END) AS useful, count(CASE WHEN verdict IN ('noisy', 'wrong-layer', 'covered', 'diagnostic') THEN 1 END) AS bad FROM feedback WHERE query LIKE '%ring%' GROUP BY symbol_id) f ON f.symbol_id = h.symbol_id WHERE coalesce(f.bad, 0) < 12")
 sql("file_feedback", "symbols feedback", "SELECT s.file, max(CASE WHEN f.verdict = 'noisy' THEN 1 ELSE 0 END) = 1 AS suppress, count(CASE WHEN f.verdict = 'useful' THEN 1 END) AS boost FROM symbols s JOIN feedback f ON f.symbol_id = s.symbol_id GROUP BY s.file")
 sql("feedback_explain", "symbols feedback", "SELECT qname, verdict, query FROM (SELECT s.qname, f.verdict, f.query, row_number() OVER (PARTITION BY s.qname ORDER BY f.created_at, f.entry_id) AS r FROM symbols s JOIN feedback f ON f.symbol_id = s.symbol_id WHERE f.query LIKE '%widget%') AS t WHERE r = 1")
 sql("feedback_state", "feedback", "SELECT count(*) AS total, count(CASE WHEN query LIKE '%ring%' THEN 1 END) AS matched, count(CASE WHEN query LIKE '%ring%' AND verdict <> 'missing' THEN 1 END) AS applied FROM feedback")
 sql("intersect_tokens", "feedback", "SELECT DISTINCT query, split_part(query, ' ', 1) IN ('red', 'ring') OR split_part(query, ' ', 2) IN ('red', 'ring') AS matches FROM feedback")
 sql("union_all_tokens", "symbols", "SELECT 'ring' AS token, qname FROM symbols WHERE qname LIKE '%ring%' UNION ALL SELECT 'bolt' AS token, qname FROM symbols WHERE qname LIKE '%bolt%'")
 sql("union_candidates", "symbols", f"SELECT qname FROM ({HITS}) AS h WHERE place <= 20 UNION SELECT qname FROM symbols WHERE file LIKE '%brand7.py'")
-sql("broadened_search", "symbols", f"SELECT qname, score FROM ({HITS}) AS h WHERE NOT (language = 'python' AND file LIKE 'views/%') AND (SELECT count(*) FROM ({HITS}) AS p WHERE language = 'python' AND file LIKE 'views/%') < 100")
+sql("broadened_search", "symbols", f"SELECT qname, score FROM ({SCORED}) AS h WHERE NOT (language = 'python' AND file LIKE 'views/%') AND (SELECT count(*) FROM ({SCORED}) AS p WHERE language = 'python' AND file LIKE 'views/%') < 100")
 sql("distinct_summary", "live", "SELECT kind, summary, min(entry_id) AS entry_id FROM live WHERE kind = 'invariant' GROUP BY kind, summary UNION ALL SELECT kind, summary, entry_id FROM live WHERE kind = 'hazard'")
 sql("df_per_token", "symbols", "SELECT token, count(DISTINCT file) AS n FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols UNION ALL SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file FROM symbols) AS t GROUP BY token")
 sql("ambiguous_tokens", "symbols", "SELECT token FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols UNION ALL SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file FROM symbols) AS t GROUP BY token HAVING count(DISTINCT file) > 25")
 sql("first_row_batch", "symbols", "SELECT token, file, qname FROM (SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file, qname, row_number() OVER (PARTITION BY split_part(split_part(qname, '.', 3), '_', 2), file ORDER BY start_line, qname) AS r FROM symbols) AS t WHERE r = 1")
 sql("cooccurrence", "symbols", f"SELECT word, n, place FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS place FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS word, count(*) AS n FROM ({HITS}) AS h WHERE place <= 100 GROUP BY 1) AS c WHERE word NOT IN ('red', 'ring')) AS t WHERE place <= 3")
 sql("uncertainty", "symbols", "SELECT language, round(least(1.0@D, 0.2@D * least(2.0@D, ambiguous / 10.0@D) / 2 + 0.25@D * (1.0@D - documented) + 0.2@D * tests), 6) AS uncertainty FROM (SELECT language, count(DISTINCT split_part(qname, '.', 1)) AS ambiguous, avg(CASE WHEN doc IS NULL THEN 0.0@D ELSE 1.0@D END) AS documented, avg(CASE WHEN file LIKE 'tests/%' THEN 1.0@D ELSE 0.0@D END) AS tests FROM symbols GROUP BY language) AS u")
-sql("possible_misses", "symbols", f"SELECT language, count(*) AS n, CASE WHEN count(*) < 5 THEN 'few hits' WHEN count(CASE WHEN file LIKE 'views/%' THEN 1 END) = 0 THEN 'no view code' ELSE 'none' END AS warning FROM ({HITS}) AS h GROUP BY language")
-sql("better_queries", "symbols", f"SELECT package, CASE WHEN n > 30 THEN 'add a second word' WHEN n = 1 THEN 'drop a word' ELSE 'fine' END AS advice FROM (SELECT split_part(file, '/', 2) AS package, count(*) AS n FROM ({HITS}) AS h GROUP BY 1) AS p")
+sql("possible_misses", "symbols", f"SELECT language, count(*) AS n, CASE WHEN count(*) < 5 THEN 'few hits' WHEN count(CASE WHEN file LIKE 'views/%' THEN 1 END) = 0 THEN 'no view code' ELSE 'none' END AS warning FROM ({SCORED}) AS h GROUP BY language")
+sql("better_queries", "symbols", f"SELECT package, CASE WHEN n > 30 THEN 'add a second word' WHEN n = 1 THEN 'drop a word' ELSE 'fine' END AS advice FROM (SELECT split_part(file, '/', 2) AS package, count(*) AS n FROM ({SCORED}) AS h GROUP BY 1) AS p")
 sql("confidence_warnings", "symbols", "SELECT 'ambiguous_term' AS warning, token AS subject FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols) AS t GROUP BY token HAVING count(DISTINCT file) > 100 UNION ALL SELECT 'sparse_index' AS warning, language AS subject FROM symbols GROUP BY language HAVING count(*) < 100")
-sql("search_cli_boosts", "symbols live", f"SELECT h.qname, round(h.score + CASE WHEN l.owned = 1 THEN 5.0@D ELSE 0.0@D END + CASE WHEN l.inv = 1 THEN 1.5@D ELSE 0.0@D END, 6) AS score FROM ({HITS}) AS h LEFT JOIN (SELECT symbol_id, max(CASE WHEN kind = 'ownership' THEN 1 ELSE 0 END) AS owned, max(CASE WHEN kind = 'invariant' THEN 1 ELSE 0 END) AS inv FROM live GROUP BY symbol_id) l ON l.symbol_id = h.symbol_id")
-sql("golden_probe", "benchmark documents", "SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
-sql("probe_rank_lte", "symbols", f"SELECT qname, place, place <= 5 AS ok FROM ({HITS}) AS h WHERE qname LIKE '%red_ring%'")
+sql("search_cli_boosts", "symbols live", f"SELECT h.qname, round(h.score + CASE WHEN l.owned = 1 THEN 5.0@D ELSE 0.0@D END + CASE WHEN l.inv = 1 THEN 1.5@D ELSE 0.0@D END, 6) AS score FROM ({SCORED}) AS h LEFT JOIN (SELECT symbol_id, max(CASE WHEN kind = 'ownership' THEN 1 ELSE 0 END) AS owned, max(CASE WHEN kind = 'invariant' THEN 1 ELSE 0 END) AS inv FROM live GROUP BY symbol_id) l ON l.symbol_id = h.symbol_id")
+
+
+def _holding(spark, sf_dir, text: str) -> DataFrame:
+    """(item_id, query, doc_id): documents that contain an item's text, found by the hash of a run of its inner words."""
+    items = frame(spark, sf_dir, "benchmark").select("item_id", F.expr(text).alias("query"))
+    words = lambda c: F.split(c, r"\s+")
+    n = F.greatest(F.lit(1), F.least(F.lit(5), F.size(words("query")) - 2))
+    keyed = items.withColumns({"n": n, "key": F.xxhash64(F.concat_ws(" ", F.slice(words("query"), F.lit(2), n)))})
+    keyed = saved(keyed, "items")
+    sizes = [r[0] for r in keyed.where(F.size(words("query")) >= 3).select("n").distinct().collect()]  # at most 5
+    docs = frame(spark, sf_dir, "documents").select("doc_id", "text")
+    found = []
+    for k in sizes:
+        every = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, F.lit(k)))))
+        runs = F.transform(F.array(words("text")), lambda w: every(w))[0]  # the words are cut once
+        hits = docs.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("key"))
+        found.append(hits.join(keyed.where((F.col("n") == k) & (F.size(words("query")) >= 3)), "key").where(F.contains("text", F.col("query"))).select("item_id", "query", "doc_id"))
+    # items of one or two words have no inner one; they are few and short
+    short = keyed.where(F.size(words("query")) < 3)
+    found.append(docs.join(F.broadcast(short), F.contains("text", F.col("query"))).select("item_id", "query", "doc_id"))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query("golden_probe", "SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+def golden_probe(spark, sf_dir):
+    return _holding(spark, sf_dir, "text").groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+placed("probe_rank_lte", "symbols", f"SELECT qname, score FROM ({SCORED}) AS h", "score DESC, qname", "qname LIKE '%red_ring%'")
 sql("edit_precision", "lineitem", "SELECT l_orderkey, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0.0@D ELSE tp * 1.0@D / (tp + fp) END, 3) AS prec, round(CASE WHEN tp + fn = 0 THEN 0.0@D ELSE tp * 1.0@D / (tp + fn) END, 3) AS recall FROM (SELECT l_orderkey, count(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 1 END) AS tp, count(CASE WHEN l_returnflag = 'A' AND l_linestatus <> 'F' THEN 1 END) AS fp, count(CASE WHEN l_returnflag <> 'A' AND l_linestatus = 'F' THEN 1 END) AS fn FROM lineitem GROUP BY l_orderkey) AS t")
 sql("verify_window", "events", "SELECT a.event_id, count(b.event_id) AS n_near FROM events a LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE WHERE a.event_type = 'error' GROUP BY a.event_id")
 SESSION = "SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS opens FROM events"
 sql("debounce_watch", "events", f"SELECT user_id, session, count(*) AS n, max(ts) AS last_ts FROM (SELECT user_id, ts, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM ({SESSION}) AS s) AS t GROUP BY user_id, session")
-CHECKS = "SELECT b.item_id, substring(b.text, 1, 40) AS query, min(d.doc_id) AS expected, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, substring(b.text, 1, 40)) GROUP BY b.item_id, substring(b.text, 1, 40)"
-sql("probe_bootstrap", "benchmark documents", f"SELECT item_id, query, expected FROM ({CHECKS}) AS c WHERE n > 0")
-sql("probe_assert", "benchmark documents", f"SELECT item_id, n >= 1 AS present, n <= 5 AS few FROM ({CHECKS}) AS c")
-sql("probe_run", "benchmark documents", f"SELECT count(*) AS n_checks, count(CASE WHEN n >= 1 THEN 1 END) AS n_passed FROM ({CHECKS}) AS c")
+CHECKS = "SELECT b.item_id, b.text AS query, min(d.doc_id) AS expected, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id, b.text"
+
+
+def _checks(spark, sf_dir):
+    found = _holding(spark, sf_dir, "text").groupBy("item_id").agg(F.min("doc_id").alias("expected"), F.count("*").alias("hits"))
+    items = frame(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    return items.join(found, "item_id", "left").select("item_id", "query", "expected", F.coalesce("hits", F.lit(0)).alias("n"))
+
+
+@query("probe_bootstrap", f"SELECT item_id, query, expected FROM ({CHECKS}) AS c WHERE n > 0")
+def probe_bootstrap(spark, sf_dir):
+    return _checks(spark, sf_dir).where("n > 0").select("item_id", "query", "expected")
+
+
+@query("probe_assert", f"SELECT item_id, n >= 1 AS present, n <= 5 AS few FROM ({CHECKS}) AS c")
+def probe_assert(spark, sf_dir):
+    return _checks(spark, sf_dir).selectExpr("item_id", "n >= 1 AS present", "n <= 5 AS few")
+
+
+@query("probe_run", f"SELECT count(*) AS n_checks, count(CASE WHEN n >= 1 THEN 1 END) AS n_passed FROM ({CHECKS}) AS c")
+def probe_run(spark, sf_dir):
+    return _checks(spark, sf_dir).selectExpr("count(*) AS n_checks", "count(CASE WHEN n >= 1 THEN 1 END) AS n_passed")

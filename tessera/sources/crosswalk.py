@@ -73,7 +73,20 @@ SELECT page_id, concat('page.', page_id) AS symbol_id, @GROUP(url, '^https?://([
        CASE WHEN page_id % 2 = 0 THEN 'inbound' ELSE 'outbound' END AS direction, CASE WHEN page_id % 2 = 0 THEN 0.9@D ELSE 0.7@D END AS confidence
 FROM pages"""),
     "docs": (["documents"], """
-SELECT doc_id, source AS kind, split_part(text, chr(10), 1) AS title, substring(text, 1, 2000) AS body FROM documents"""),
+SELECT doc_id, source AS kind, split_part(text, chr(10), 1) AS title, text AS body FROM documents"""),
+    "docfiles": (["conversations", "events", "part", "customer", "nation", "pages"], """
+SELECT concat(CASE conv_id % 9 WHEN 7 THEN 'node_modules/' WHEN 8 THEN '.cache/' ELSE '' END, 'notes/c', conv_id, '_', turn, '.md') AS path,
+       concat('# ', role, chr(10), replace(text, '. E', concat(chr(10), '## E'))) AS content FROM conversations
+UNION ALL SELECT concat('data/', event_id, CASE WHEN event_id % 50 = 0 THEN '/Package.json' ELSE '.json' END) AS path,
+       concat('{', chr(10), '  "type": "', event_type, '",', chr(10), '  // user', chr(10), '  "props": ', props, ',', chr(10), '  "tags": [', chr(10), '    "', user_id, '"', chr(10), '  ]', chr(10), '}') AS content FROM events
+UNION ALL SELECT concat('crates/', p_partkey, CASE WHEN p_size % 10 = 0 THEN '/Cargo.toml' ELSE '/conf.toml' END) AS path,
+       concat('name = "', p_name, '"', chr(10), '# made', chr(10), CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('[dependencies]', chr(10), 'brand = "', p_brand, '"', chr(10)) END, ' [features.', lower(p_type), ']', chr(10), CASE WHEN p_size % 2 = 0 THEN '# none' ELSE concat('size = ', p_size) END) AS content FROM part
+UNION ALL SELECT concat('conf/c', c_custkey, '.yaml') AS path, concat('# customer', chr(10), 'name: ', c_name, chr(10), '  segment: ', c_mktsegment, chr(10), chr(10), '  # note', chr(10), 'nation: ', c_nationkey) AS content FROM customer
+UNION ALL SELECT concat('ui/', p_partkey, '.css') AS path,
+       concat('/* {', chr(10), '.', lower(p_type), ' > .', replace(p_name, ' ', '-'), ' {', chr(10), '  --size: ', p_size, 'px;', chr(10), '  color: red;', chr(10), '}') AS content FROM part
+UNION ALL SELECT concat('build/', n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '/Makefile' WHEN 1 THEN '/Fastfile' ELSE '/Gemfile' END) AS path,
+       CASE n_nationkey % 3 WHEN 0 THEN concat('all:', chr(10), lower(n_name), ':', chr(10), '# no:', chr(10), 'two words:', chr(10), 'x: y') WHEN 1 THEN concat('desc "', n_name, '"', chr(10), 'lane :n', n_nationkey, ' do', chr(10), 'end') ELSE concat('gem ', n_name) END AS content FROM nation
+UNION ALL SELECT concat('site/p', page_id, CASE WHEN page_id % 20 = 0 THEN '.txt' ELSE '.HTML' END) AS path, html AS content FROM pages"""),
     "policies": ([], """
 SELECT * FROM (VALUES (1, 'ledger.purchase', FALSE, 'human', NULL), (2, 'ledger.click', TRUE, NULL, 'user7'), (3, 'ledger.error.*', TRUE, NULL, NULL),
   (4, 'ledger.view', FALSE, NULL, NULL), (5, 'ledger.*', FALSE, NULL, 'user8'), (6, 'ledger.signup', TRUE, NULL, NULL)) AS t(pos, match_action, deny, require_approval, agent_id)"""),

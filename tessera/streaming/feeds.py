@@ -7,10 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints and results: spark.checkpoint.dir, or one under the warehouse where it is unset."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
+from ..shared import shared_dir
 
 
 def events(spark: SparkSession, sf_dir: str, after: int | None = None, glob: str = "events.parquet") -> DataFrame:

@@ -1,8 +1,8 @@
 from tessera.operators import graph
 
 
-def effects(spark, edges, declared, depth=5):
-    found = graph.inherited(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(declared, "symbol_id string, effect string"), depth)
+def effects(spark, edges, declared):
+    found = graph.inherited(spark.createDataFrame(edges, "src string, dst string"), spark.createDataFrame(declared, "symbol_id string, effect string"))
     return {tuple(r) for r in found.collect()}
 
 
