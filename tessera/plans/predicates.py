@@ -11,8 +11,22 @@ STOPWORDS = (
 ).split()
 STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
 
-TEST = "(file LIKE 'tests/%' OR file LIKE '%/tests/%' OR file LIKE '%/test/%' OR file LIKE '%/spec/%' OR file LIKE '%_test.%' OR file LIKE '%/test_%' OR file LIKE '%.spec.%' OR file LIKE '%.test.%')"
-UTILITY = "(file LIKE 'samples/%' OR file LIKE '%/samples/%' OR file LIKE '%/mocks/%' OR file LIKE '%/fixtures/%' OR file LIKE '%/generated/%' OR file LIKE '%preview%' OR file LIKE '%/demo/%')"
+
+
+def found(column: str, pattern: str) -> str:
+    """SQL: whether a pattern occurs."""
+    return f"@GROUP({column}, '({pattern})') <> ''"
+
+
+# Folders and file names of tests, then of samples, stand-ins and generated code.
+PATH = "replace(lower(file), chr(92), '/')"
+TEST = "(" + " OR ".join(found(PATH, x) for x in (
+    "(^|/)(tests|test|specs|spec|__tests__|__mocks__|testing|testcases)/", "(^|/)test_[^/]*$", "_test[.](py|go|rs)$", "(tests|spec)[.]swift$", "[.](test|spec)[.][^/]*$", "_spec[.]rb$", "tests?[.](java|kt|cs)$",
+)) + ")"
+UTILITY = "(" + " OR ".join(found(PATH, x) for x in (
+    "(^|/)(previews|preview|samples|sample|sampledata|examples|example|mocks|mock|stubs|stub|fixtures|fixture|demo|demos|editor|editors|generated|gen|sandbox|playground|playgrounds)/",
+    "(^|/)(mock|stub|fake|sample|preview|generated)[^/]*/", "(preview|sampledata|sample_data|[.]generated[.]|[.]g[.]|_mock[.]|_stub[.]|_fake[.])[^/]*$", "generated[.]swift$", "(^|/)(mock|stub|fake)[^/]*$", "[.]playground$",
+)) + ")"
 TIER = f"CASE WHEN {TEST} THEN 2 WHEN {UTILITY} THEN 1 ELSE 0 END"
 # Directories that name a layer, in the order in which layers are tried.
 LAYERS = {
@@ -43,16 +57,20 @@ def layer(file: str, tier: str) -> str:
 
 
 LAYER = layer("file", f"({TIER})")
-sql("is_test_file", "symbols", f"SELECT DISTINCT file, {TEST} AS is_test FROM symbols")
-sql("is_utility_file", "symbols", f"SELECT DISTINCT file, {UTILITY} AS is_utility FROM symbols")
-sql("symbol_tier", "symbols", f"SELECT symbol_id, file, {TIER} AS tier FROM symbols")
+ALL_FILES = "SELECT file FROM symbols UNION SELECT file FROM paths"
+sql("is_test_file", "symbols paths", f"SELECT file, {TEST} AS is_test FROM ({ALL_FILES}) AS f")
+sql("is_utility_file", "symbols paths", f"SELECT file, {UTILITY} AS is_utility FROM ({ALL_FILES}) AS f")
+sql("symbol_tier", "symbols paths", f"SELECT file, {TIER} AS tier FROM ({ALL_FILES}) AS f")
 sql("tests_clause", "symbols", f"SELECT mode, qname FROM (SELECT qname, {TIER} AS tier FROM symbols) AS s CROSS JOIN (SELECT * FROM (VALUES ('only'), ('all'), ('none')) AS m(mode)) AS m WHERE mode = 'all' OR (mode = 'only' AND tier = 2) OR (mode = 'none' AND tier <> 2)")
 sql("classify_layer", "symbols", f"SELECT DISTINCT file, {LAYER} AS layer FROM symbols")
 sql("classify_layer_sym", "symbols", f"SELECT qname, CASE WHEN layer <> 'other' THEN layer WHEN qname LIKE '%widget%' THEN 'ui' WHEN qname LIKE '%store%' THEN 'persistence' ELSE 'other' END AS layer FROM (SELECT qname, {LAYER} AS layer FROM symbols) AS s")
 sql("classify_file_role", "symbols", "SELECT DISTINCT file, CASE WHEN concat('/', file) LIKE '%/test%' OR concat('/', file) LIKE '%/spec%' THEN 'test' WHEN concat('/', file) LIKE '%/example%' OR concat('/', file) LIKE '%/sample%' OR concat('/', file) LIKE '%/demo%' THEN 'example' WHEN concat('/', file) LIKE '%/fixture%' OR concat('/', file) LIKE '%/seed%' THEN 'fixture' WHEN concat('/', file) LIKE '%/script%' OR concat('/', file) LIKE '%/tools/%' OR concat('/', file) LIKE '%/bin/%' THEN 'script' WHEN concat('/', file) LIKE '%/generated%' OR file LIKE '%.pb.%' THEN 'generated' WHEN concat('/', file) LIKE '%/doc%' OR file LIKE '%readme%' OR file LIKE '%.md' THEN 'reference' WHEN concat('/', file) LIKE '%/viewmodels/%' THEN 'viewmodel' WHEN concat('/', file) LIKE '%/views/%' THEN 'view' ELSE 'impl' END AS role FROM symbols")
 sql("view_layer", "symbols", f"SELECT qname, {LAYER} IN ('ui', 'viewmodel') AS is_view FROM symbols")
-sql("view_like", "symbols", f"SELECT DISTINCT file, {LAYER} IN ('ui', 'viewmodel') OR file LIKE '%view.%' AS view_like FROM symbols")
-sql("rendering_surface", "symbols", "SELECT DISTINCT file, @GROUP(file, '(view|screen|page|cell|panel|sheet|canvas|overlay)[.][a-z]+$') <> '' AS surface FROM symbols")
+STEM = "@SUB(@GROUP(file, '([^/]*)$'), '[.][^.]*$', '')"
+# Endings and parts of names of views.
+VIEWS = "(View|Screen|Widget|Panel|Cell|Button|Label|Row|Canvas|Overlay|Surface|Roll|Sheet|Layer|Renderer|Drawable|Page|Fragment)$|ViewController|Renderer"
+sql("view_like", "symbols paths", f"SELECT file, layer, layer = 'view' OR {found('stem', VIEWS)} AS view_like FROM (SELECT file, {STEM} AS stem, {LAYER.replace('file', 'lower(file)')} AS layer FROM ({ALL_FILES}) AS f) AS v")
+sql("rendering_surface", "symbols paths", f"SELECT file, {found(STEM, '(Canvas|Overlay|Surface|Roll|Sheet|Layer|Renderer|Drawable)$')} AS surface FROM ({ALL_FILES}) AS f")
 sql("package_of", "symbols", "SELECT DISTINCT file, CASE WHEN @GROUP(file, '^(.*)/[^/]*$') = '' THEN '.' ELSE @GROUP(file, '^(.*)/[^/]*$') END AS package FROM symbols")
 sql("same_module", "symbols edges", "SELECT e.src, e.dst, split_part(a.qname, '.', 1) = split_part(b.qname, '.', 1) AS same_module FROM edges e JOIN (SELECT symbol_id, qname FROM symbols) a ON a.symbol_id = e.src JOIN (SELECT symbol_id, qname FROM symbols) b ON b.symbol_id = e.dst")
 sql("runtime_entry", "symbols", "SELECT qname, @GROUP(qname, '([^.]*)$') IN ('main') OR @GROUP(qname, '(__[a-z]+__)$') <> '' AS is_entry FROM symbols")
@@ -66,7 +84,6 @@ sql("exclude_languages", "symbols", "SELECT qname FROM symbols WHERE lower(upper
 sql("exclude_terms", "symbols feedback", "SELECT s.qname, f.query FROM symbols s CROSS JOIN (SELECT DISTINCT query FROM feedback) AS f WHERE NOT (contains(lower(s.qname), split_part(f.query, ' ', 2)) OR contains(lower(s.file), split_part(f.query, ' ', 2)) OR contains(coalesce(lower(s.doc), ''), split_part(f.query, ' ', 2)) OR contains(coalesce(lower(s.signature), ''), split_part(f.query, ' ', 2)))")
 
 
-sql("result_bucket", "symbols live", f"SELECT s.qname, CASE WHEN {TIER} = 2 THEN 'test-only' WHEN l.n >= 10 THEN 'core' WHEN l.n > 0 THEN 'relevant' WHEN s.doc IS NULL THEN 'noisy' ELSE 'peripheral' END AS bucket FROM symbols s LEFT JOIN (SELECT symbol_id, count(*) AS n FROM live GROUP BY symbol_id) l ON l.symbol_id = s.symbol_id")
 sql("scratch_filter", "events", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id = 7 AND ts + INTERVAL 20 DAY >= TIMESTAMP '2024-02-01 00:00:00'")
 sql("scratch_clean", "events", "SELECT event_id FROM events WHERE event_type IN ('error', 'signup') AND ts < TIMESTAMP '2024-02-01 00:00:00' - INTERVAL 14 DAY")
 sql("brief_projection", "symbols", "SELECT qname, concat(file, ':', start_line) AS place_in_file, signature, split_part(coalesce(doc, ''), '.', 1) AS first_line FROM symbols")
@@ -75,8 +92,14 @@ sql("exact_symbol_exists", "symbols", "SELECT w.name, max(CASE WHEN lower(s.qnam
 sql("is_doc_path", "symbols", "SELECT DISTINCT file, file LIKE 'docs/%' OR lower(file) LIKE '%readme%' OR lower(file) LIKE '%license%' AS is_doc FROM symbols")
 sql("watch_filter", "symbols", "SELECT DISTINCT file, @GROUP(file, '[.](py|ts|rs|go|java)$') <> '' AND file NOT LIKE 'tests/%' AS watched FROM symbols")
 sql("test_command", "symbols", f"SELECT DISTINCT file, CASE WHEN NOT {TEST} THEN NULL WHEN file LIKE '%.py' THEN concat('pytest ', file) WHEN file LIKE '%.ts' THEN concat('npx vitest run ', file) WHEN file LIKE '%.rs' THEN 'cargo test' END AS command FROM symbols")
-sql("query_names_file", "symbols", "SELECT DISTINCT file, (CASE WHEN file LIKE '%brand1.%' THEN 1 ELSE 0 END) >= 1 AS named FROM symbols")
-sql("propose_test_path", "symbols", "SELECT DISTINCT file, concat('tests/', @SUB(file, '^src/', ''), '.Tests') AS test_path FROM symbols")
+# words of a stem are cut at _, - and dots: it is in lower case before it is cut
+WORDS_S = f"filter(split(lower({STEM}), '[_.-]+'), w -> w <> '')"
+WORDS_D = f"list_filter(regexp_split_to_array(lower({STEM}), '[_.-]+'), lambda w: w <> '')"
+ASKS = "SELECT DISTINCT query FROM feedback"
+sql("query_names_file", "paths feedback", f"SELECT file, query, size(filter(words, w -> array_contains(split(query, ' '), w))) >= least(2, size(words)) AS named FROM (SELECT file, {WORDS_S} AS words FROM paths) AS p CROSS JOIN ({ASKS}) AS q",
+    f"SELECT file, query, len(list_filter(words, lambda w: list_contains(string_split(query, ' '), w))) >= least(2, len(words)) AS named FROM (SELECT file, {WORDS_D} AS words FROM paths) AS p CROSS JOIN ({ASKS}) AS q")
+MOVED = "replace(replace(replace(file, '/Sources/', '/Tests/'), '/Source/', '/Tests/'), '/src/', '/tests/')"
+sql("propose_test_path", "symbols paths", f"SELECT file, concat(CASE WHEN {MOVED} <> file THEN @SUB({MOVED}, '/[^/]*$', '') ELSE 'Tests' END, '/', {STEM}, 'Tests.', @GROUP(file, '[.]([^./]*)$')) AS test_path FROM ({ALL_FILES}) AS f")
 sql("test_role", "symbols", f"SELECT DISTINCT file, CASE WHEN {TEST} AND file LIKE '%brand1%' THEN 'diagnostic-test' WHEN {TEST} THEN 'fast-test' END AS role FROM symbols")
 sql("default_name", "pages", "SELECT page_id, @SUB(lower(@GROUP(url, '^https?://([^/?#]+)')), '[^a-z0-9_-]+', '-') AS name FROM pages")
 sql("clean_path", "symbols", "SELECT DISTINCT file, @SUB(@SUB(file, '[^A-Za-z0-9._-]+', '_'), '^_+', '') AS clean FROM symbols")
@@ -84,13 +107,27 @@ sql("snake_case", "symbols", "SELECT part, lower(regexp_replace(replace(initcap(
     "SELECT part, lower(regexp_replace(array_to_string(list_transform(string_split(split_part(qname, '.', 3), '_'), lambda w: upper(w[1]) || lower(w[2:])), ''), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM symbols")
 sql("pascal_case", "symbols", "SELECT part, array_join(transform(split(split_part(qname, '.', 3), '[_-]'), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '') AS pascal FROM symbols",
     "SELECT part, array_to_string(list_transform(string_split_regex(split_part(qname, '.', 3), '[_-]'), lambda w: upper(w[1]) || w[2:]), '') AS pascal FROM symbols")
-CAMEL_S = "regexp_replace(regexp_replace(concat('get', initcap(p_name), upper(p_type), 'Item', p_size), '([a-z0-9])([A-Z])', '$1 $2'), '([A-Z])([A-Z][a-z])', '$1 $2')"
-CAMEL_D = "regexp_replace(regexp_replace(concat('get', array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' '), upper(p_type), 'Item', p_size), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g')"
-sql("split_camel", "part", f"SELECT p_partkey, lower({CAMEL_S}) AS words FROM part", f"SELECT p_partkey, lower({CAMEL_D}) AS words FROM part")
-sql("expand_identifier", "symbols", "SELECT symbol_id, concat(qname, ' ', replace(replace(qname, '.', ' '), '_', ' ')) AS expanded FROM symbols")
-sql("expand_text", "documents", "SELECT doc_id, @SUB(lower(text), '[-_.]+', ' ') AS expanded FROM documents")
-sql("name_tokens", "symbols", f"SELECT symbol_id, array_join(array_distinct(filter(split(split_part(qname, '.', 3), '_'), w -> length(w) > 2 AND w NOT IN ({STOP}))), ' ') AS tokens FROM symbols",
-    f"SELECT symbol_id, array_to_string(list_filter(string_split(split_part(qname, '.', 3), '_'), lambda w: length(w) > 2 AND w NOT IN ({STOP})), ' ') AS tokens FROM symbols")
+# a word begins after a small letter or digit, and before the last capital of a run that goes on in small letters
+def camel(x: str, duck: bool) -> str:
+    one, two = ("\\1", "\\2") if duck else ("$1", "$2")
+    every = ", 'g'" if duck else ""
+    return f"regexp_replace(regexp_replace({x}, '([a-z0-9])([A-Z])', '{one} {two}'{every}), '([A-Z])([A-Z][a-z])', '{one} {two}'{every})"
+
+
+sql("split_camel", "names", f"SELECT part, split({camel('ident', False)}, ' ') AS words FROM names", f"SELECT part, string_split({camel('ident', True)}, ' ') AS words FROM names")
+SEG_S = f"flatten(transform(split(ident, '[.]'), s -> concat(array(lower(s)), filter(transform(split({camel('s', False)}, ' '), w -> lower(w)), w -> length(w) >= 2))))"
+SEG_D = f"flatten(list_transform(string_split(ident, '.'), lambda s: list_concat([lower(s)], list_filter(list_transform(string_split({camel('s', True)}, ' '), lambda w: lower(w)), lambda w: length(w) >= 2))))"
+# only neighbours that are equal are left out
+NEXT_S = "array_join(element_at(transform(array({0}), a -> filter(a, (x, i) -> i = 0 OR x <> get(a, i - 1))), 1), ' ')"
+NEXT_D = "array_to_string(list_filter({0}, lambda x, i: i = 1 OR x <> {0}[i - 1]), ' ')"
+sql("expand_identifier", "names", f"SELECT part, {NEXT_S.format('parts')} AS expanded FROM (SELECT part, concat(array(ident), {SEG_S}) AS parts FROM names) AS n", f"SELECT part, {NEXT_D.format('parts')} AS expanded FROM (SELECT part, list_concat([ident], {SEG_D}) AS parts FROM names) AS n")
+CUT_S = f"flatten(transform(filter(split(text, '[^\\\\p{{L}}\\\\p{{N}}]+'), t -> octet_length(t) >= 2), t -> concat(array(lower(t)), filter(transform(split({camel('t', False)}, ' '), w -> lower(w)), w -> octet_length(w) >= 2))))"
+CUT_D = f"flatten(list_transform(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda t: strlen(t) >= 2), lambda t: list_concat([lower(t)], list_filter(list_transform(string_split({camel('t', True)}, ' '), lambda w: lower(w)), lambda w: strlen(w) >= 2))))"
+sql("expand_text", "conversations", f"SELECT conv_id, turn, {NEXT_S.format('parts')} AS expanded FROM (SELECT conv_id, turn, concat(array(text), {CUT_S}) AS parts FROM conversations) AS n", f"SELECT conv_id, turn, {NEXT_D.format('parts')} AS expanded FROM (SELECT conv_id, turn, list_concat([text], {CUT_D}) AS parts FROM conversations) AS n")
+# every capital but the first letter begins a token here
+LAST = "@GROUP(ident, '([^.:]*)$')"
+sql("name_tokens", "names", f"SELECT part, array_join(array_sort(array_distinct(filter(split(lower(@SUB({LAST}, '([A-Z])', '_$1')), '_'), w -> length(w) > 2 AND w NOT IN ({STOP})))), ' ') AS tokens FROM names",
+    f"SELECT part, array_to_string(list_sort(list_distinct(list_filter(string_split(lower(@SUB({LAST}, '([A-Z])', '_\\1')), '_'), lambda w: length(w) > 2 AND w NOT IN ({STOP})))), ' ') AS tokens FROM names")
 TOK_S = f"filter(transform(split(title, '[\\\\s_.-]+'), w -> lower(w)), w -> length(w) >= 2 AND w NOT IN ({STOP}))"
 TOK_D = f"list_filter(list_transform(regexp_split_to_array(title, '[\\s_.-]+'), lambda w: lower(w)), lambda w: length(w) >= 2 AND w NOT IN ({STOP}))"
 sql("query_tokenize", "docs", f"SELECT doc_id, array_join({TOK_S}, ' ') AS tokens FROM docs", f"SELECT doc_id, array_to_string({TOK_D}, ' ') AS tokens FROM docs")
@@ -100,7 +137,7 @@ sql("parse_query", "docs", f"SELECT doc_id, cast(size(filter({Q_S}, w -> NOT sta
     f"SELECT doc_id, len(list_filter({Q_D}, lambda w: NOT starts_with(w, '-') AND w <> '')) AS n_tokens, array_to_string(list_filter({Q_D}, lambda w: starts_with(w, '-') AND length(w) > 1), ' ') AS exclusions FROM docs")
 sql("fb_tokens", "feedback", f"SELECT DISTINCT query, array_join(array_distinct(filter(split(lower(query), '[^a-z]+'), w -> length(w) > 2 AND w NOT IN ({STOP}))), ' ') AS tokens FROM feedback",
     f"SELECT DISTINCT query, array_to_string(list_filter(regexp_split_to_array(lower(query), '[^a-z]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP})), ' ') AS tokens FROM feedback")
-sql("identifier_words", "symbols", "SELECT symbol_id, array_join(filter(split(split_part(qname, '.', 3), '[_-]'), w -> length(w) > 1), ' ') AS words FROM symbols", "SELECT symbol_id, array_to_string(list_filter(string_split_regex(split_part(qname, '.', 3), '[_-]'), lambda w: length(w) > 1), ' ') AS words FROM symbols")
+sql("identifier_words", "names", f"SELECT part, array_join(filter(split(@SUB({LAST}, '([A-Z])', '_$1'), '[_-]'), w -> length(w) > 1), ' ') AS words FROM names", f"SELECT part, array_to_string(list_filter(string_split_regex(@SUB({LAST}, '([A-Z])', '_\\1'), '[_-]'), lambda w: length(w) > 1), ' ') AS words FROM names")
 INSIDE = "@GROUP(signature, '[(](.*)[)]')"
 sql("parse_params", "symbols", f"SELECT symbol_id, array_join(filter(transform(split({INSIDE}, ','), p -> trim(split_part(p, ':', 1))), p -> p NOT IN ('self', 'cls') AND NOT startswith(p, '*')), ',') AS params FROM symbols",
     f"SELECT symbol_id, array_to_string(list_filter(list_transform(string_split({INSIDE}, ','), lambda p: trim(split_part(p, ':', 1))), lambda p: p NOT IN ('self', 'cls') AND NOT starts_with(p, '*')), ',') AS params FROM symbols")
@@ -110,14 +147,90 @@ FIRST_S = "filter(split(text, '\\n'), l -> trim(l) <> '')"
 FIRST_D = "list_filter(string_split(text, chr(10)), lambda l: trim(l) <> '')"
 sql("first_line", "conversations", f"SELECT conv_id, turn, substring(coalesce(try_element_at({FIRST_S}, 1), text), 1, 140) AS first_line FROM conversations",
     f"SELECT conv_id, turn, substring(coalesce({FIRST_D}[1], text), 1, 140) AS first_line FROM conversations")
-sql("extract_subject", "benchmark", f"SELECT item_id, array_join(slice(filter(split(lower(text), ' '), w -> w NOT IN ({STOP})), 1, 5), ' ') AS subject FROM benchmark", f"SELECT item_id, array_to_string(list_filter(string_split(lower(text), ' '), lambda w: w NOT IN ({STOP}))[1:5], ' ') AS subject FROM benchmark")
-sql("invariant_to_scenario", "live", "SELECT entry_id, CASE WHEN summary LIKE '%purchase%' THEN 'buy once' WHEN summary LIKE '%error%' THEN 'raise it' WHEN summary LIKE '%view%' THEN 'open it' ELSE 'exercise it' END AS step, concat('holds: ', summary) AS expected FROM live WHERE kind = 'invariant'")
+# Words of a rule, in the order in which they are tried, and what a scenario for it does and expects.
+SCENARIOS = (
+    ("must not|never|cannot|forbidden", "Trigger conditions that would violate: {s}", "System rejects or prevents the violation — «{t}» holds"),
+    ("must|shall|always", "Exercise the happy path for: {s}", "Observe that «{t}» is satisfied after execution"),
+    ("ensure|guarantee", "Run the scenario that exercises: {s}", "Post-condition confirmed: «{t}»"),
+    ("require", "Attempt to call without satisfying the precondition for: {s}", "Guard fires or error raised before violating «{t}»"),
+    ("only|prevent", "Attempt a bypass around: {s}", "Prevention still enforced — «{t}»"),
+    ("", "Verify the observable behaviour of: {s}", "Constraint «{t}» holds after the change"),
+)
+SKIP = "the a an this that it must never cannot shall always only not no should will would is are be been require ensure prevent guarantee invariant".split()
+SKIPPED = ", ".join(f"'{w}'" for w in SKIP)
+RULE = "concat(CASE entry_seq % 7 WHEN 0 THEN 'It must not be that ' WHEN 1 THEN 'Always: ' WHEN 2 THEN 'Ensure ' WHEN 3 THEN 'We require ' WHEN 4 THEN 'Only ' WHEN 5 THEN 'The ' ELSE 'is not ' END, summary, ' of a ', author)"
+RULES_OF = f"SELECT entry_id, {RULE} AS rule FROM (SELECT entry_id, seq AS entry_seq, summary, author FROM live WHERE kind = 'invariant') AS l"
+
+
+def _case(part: int, subject: str) -> str:
+    out = "CASE"
+    for words, *texts in SCENARIOS:
+        head, tail = texts[part].replace("{s}", "{t}").split("{t}")
+        text = f"concat('{head}', {subject if part == 0 else 'rule'}, '{tail}')"
+        out += f" WHEN {found('lower(rule)', words)} THEN {text}" if words else f" ELSE {text} END"
+    return out
+
+
+SUBJECT_S = f"array_join(slice(filter(split(trim(rule), ' +'), w -> @SUB(lower(w), '[^a-z]', '') NOT IN ({SKIPPED})), 1, 5), ' ')"
+SUBJECT_D = f"array_to_string(list_filter(regexp_split_to_array(trim(rule), ' +'), lambda w: @SUB(lower(w), '[^a-z]', '') NOT IN ({SKIPPED}))[1:5], ' ')"
+sql("extract_subject", "benchmark", f"SELECT item_id, {SUBJECT_S} AS subject FROM (SELECT item_id, text AS rule FROM benchmark) AS b", f"SELECT item_id, {SUBJECT_D} AS subject FROM (SELECT item_id, text AS rule FROM benchmark) AS b")
+SCENARIO = f"SELECT entry_id, {_case(0, 'subject')} AS step, {_case(1, 'subject')} AS expected FROM (SELECT entry_id, rule, coalesce(nullif(SUBJECT, ''), rule) AS subject FROM ({RULES_OF}) AS r) AS s"
+sql("invariant_to_scenario", "live", SCENARIO.replace("SUBJECT", SUBJECT_S), SCENARIO.replace("SUBJECT", SUBJECT_D))
 sql("intent_order", "symbols", f"SELECT layer, CASE layer WHEN 'ui' THEN 1 WHEN 'viewmodel' THEN 2 WHEN 'core_model' THEN 3 WHEN 'scheduler' THEN 4 WHEN 'persistence' THEN 5 WHEN 'utility' THEN 6 WHEN 'tests' THEN 7 ELSE 8 END AS priority, count(*) AS n FROM (SELECT {LAYER} AS layer FROM symbols) AS s GROUP BY layer")
-sql("test_stub", "symbols", "SELECT symbol_id, CASE language WHEN 'python' THEN concat('def test_', replace(split_part(qname, '.', 3), '.', '_'), '():') WHEN 'typescript' THEN concat('test(', split_part(qname, '.', 3), ')') ELSE concat('#[test] fn ', split_part(qname, '.', 3), '()') END AS stub FROM symbols")
+# What a test to fill in looks like in each language; {s} is the name in snake case, {p} in Pascal case.
+STUBS = {
+    "py": 'def test_{s}():\n    # arrange\n    # act\n    # assert\n    raise NotImplementedError("test_{s}: fill in")\n',
+    "ts": "test('{s}', () => <\n  // arrange\n  // act\n  // assert\n  throw new Error('test {s}: fill in');\n>);\n",
+    "rs": '#[test]\nfn {s}() <\n    // arrange\n    // act\n    // assert\n    todo!("{s}: fill in");\n>\n',
+    "go": 'func Test{p}(t *testing.T) <\n    // arrange\n    // act\n    // assert\n    t.Fatal("Test{p}: fill in")\n>\n',
+    "java": '@Test\npublic void test{p}() <\n    // arrange\n    // act\n    // assert\n    fail("test{p}: fill in");\n>\n',
+    "cs": '[Test]\npublic void {p}_Should() <\n    // arrange\n    // act\n    // assert\n    Assert.Fail("{p}_Should: fill in");\n>\n',
+    "rb": 'def test_{s}\n  # arrange\n  # act\n  # assert\n  flunk("test_{s}: fill in")\nend\n',
+    "kt": '@Test\nfun `{s}`() <\n    // arrange\n    // act\n    // assert\n    fail("{s}: fill in")\n>\n',
+    "swift": 'func test{p}() throws <\n    // arrange\n    // act\n    // assert\n    XCTFail("test{p}: fill in")\n>\n',
+}
+STUB = "CASE extension" + "".join(" WHEN '%s' THEN '%s'" % (x, t.replace("'", "@Q").replace("\n", "@N")) for x, t in STUBS.items()) + " END"
+SNAKE = {False: "lower(@SUB(@GROUP(ident, '([^.]*)$'), '([a-z0-9])([A-Z])', '$1_$2'))", True: "lower(@SUB(@GROUP(ident, '([^.]*)$'), '([a-z0-9])([A-Z])', '\\1_\\2'))"}
+PASCAL = {
+    False: "array_join(transform(split(@GROUP(ident, '([^.]*)$'), '[_-]'), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '')",
+    True: "array_to_string(list_transform(string_split_regex(@GROUP(ident, '([^.]*)$'), '[_-]'), lambda w: concat(upper(substring(w, 1, 1)), substring(w, 2))), '')",
+}
+
+
+def _stubs(duck: bool) -> str:
+    rows = f"SELECT part, CASE part % 9 {' '.join(f'WHEN {i} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(STUBS))} END AS extension, {SNAKE[duck]} AS snake, {PASCAL[duck]} AS pascal FROM names"
+    text = f"replace(replace(replace(replace(replace(replace({STUB}, '@N', chr(10)), '@Q', chr(39)), '<', chr(123)), '>);', concat(chr(125), ');')), concat(chr(10), '>'), concat(chr(10), chr(125))), '=@', '=')"
+    return f"SELECT part, extension, replace(replace({text}, concat(chr(123), 's', chr(125)), snake), concat(chr(123), 'p', chr(125)), pascal) AS stub FROM ({rows}) AS n"
+
+
+sql("test_stub", "names", _stubs(False), _stubs(True))
 sql("effect_badge", "effects events", "SELECT e.symbol_id, e.effect, CASE WHEN c.no > c.yes THEN 'contested' WHEN c.yes > 0 THEN 'runtime-verified' ELSE 'static' END AS badge FROM effects e LEFT JOIN (SELECT concat('sym_', user_id) AS s, count(CASE WHEN value < 10 THEN 1 END) AS yes, count(CASE WHEN value > 40 THEN 1 END) AS no FROM events GROUP BY 1) c ON c.s = e.symbol_id")
-sql("cold_hints", "symbols", "SELECT symbol_id, concat(CASE WHEN doc IS NULL THEN 'verify purpose;' ELSE '' END, CASE WHEN signature LIKE '%size%' THEN 'verify size;' ELSE '' END, CASE WHEN qname LIKE '%widget%' THEN 'verify view;' ELSE '' END) AS hints FROM symbols")
-sql("explain_match", "symbols", "SELECT symbol_id, concat(CASE WHEN qname LIKE '%ring%' THEN 'name:ring ' WHEN file LIKE '%ring%' THEN 'file:ring ' WHEN signature LIKE '%ring%' THEN 'sig:ring ' WHEN coalesce(doc, '') LIKE '%ring%' THEN 'doc:ring ' ELSE '' END, CASE WHEN qname LIKE '%economy%' THEN 'name:economy ' WHEN file LIKE '%economy%' THEN 'file:economy ' WHEN signature LIKE '%economy%' THEN 'sig:economy ' WHEN coalesce(doc, '') LIKE '%economy%' THEN 'doc:economy ' ELSE '' END) AS reasons FROM symbols")
-sql("confidence_reason", "symbols live", "SELECT s.symbol_id, CASE WHEN l.n > 20 THEN 'well annotated' WHEN l.n > 0 THEN 'annotated' WHEN s.doc IS NOT NULL THEN 'documented' ELSE 'name only' END AS reason FROM symbols s LEFT JOIN (SELECT symbol_id, count(*) AS n FROM live GROUP BY symbol_id) l ON l.symbol_id = s.symbol_id")
+FIRST_SENTENCE = "trim(split_part(trim(split_part(coalesce(doc, ''), chr(10), 1)), '.', 1))"
+LEAF = "@GROUP(qname, '([^.:/]*)$')"
+PARAMS_S = "filter(transform(split(@GROUP(signature, '[(](.*)[)]'), ','), p -> trim(split_part(p, ':', 1))), p -> p NOT IN ('self', 'cls', ''))"
+PARAMS_D = "list_filter(list_transform(string_split(@GROUP(signature, '[(](.*)[)]'), ','), lambda p: trim(split_part(p, ':', 1))), lambda p: p NOT IN ('self', 'cls', ''))"
+LEAVES_S, LEAVES_D = f"filter(split({LEAF}, '[_-]'), w -> length(w) > 1)", f"list_filter(string_split_regex({LEAF}, '[_-]'), lambda w: length(w) > 1)"
+HINTS = """SELECT symbol_id, concat_ws('; ', CASE WHEN length(sentence) > 12 THEN concat('verify: ', lower(sentence)) END,
+  CASE WHEN n >= 2 THEN concat('verify ', lower(words), ' behavior') WHEN n = 1 AND length(sentence) <= 12 THEN concat('verify ', lower(words), ' is correct') END,
+  CASE WHEN k BETWEEN 1 AND 4 THEN concat('verify effect of ', params, ' on output') END) AS hints FROM (ROWS) AS h"""
+sql("cold_hints", "symbols", HINTS.replace("ROWS", f"SELECT symbol_id, {FIRST_SENTENCE} AS sentence, size({LEAVES_S}) AS n, array_join({LEAVES_S}, ' ') AS words, size({PARAMS_S}) AS k, array_join({PARAMS_S}, ', ') AS params FROM symbols"),
+    HINTS.replace("ROWS", f"SELECT symbol_id, {FIRST_SENTENCE} AS sentence, len({LEAVES_D}) AS n, array_to_string({LEAVES_D}, ' ') AS words, len({PARAMS_D}) AS k, array_to_string({PARAMS_D}, ', ') AS params FROM symbols"))
+# each word of a query has the first of name, file, signature and doc that holds it; then come the ledger's and recent edits' reasons
+QUERIES_OF = "SELECT DISTINCT query FROM feedback"
+WHERE_FOUND = "CASE WHEN contains(lower(s.qname), {w}) THEN concat('name:', {w}) WHEN contains(lower(s.file), {w}) THEN concat('file:', {w}) WHEN contains(coalesce(lower(s.signature), ''), {w}) THEN concat('sig:', {w}) WHEN contains(coalesce(lower(s.doc), ''), {w}) THEN concat('doc:', {w}) END"
+NOTES = "SELECT symbol_id, count(CASE WHEN kind = 'invariant' THEN 1 END) AS inv, count(CASE WHEN kind = 'hazard' THEN 1 END) AS haz, min(CASE WHEN kind = 'ownership' THEN summary END) AS owns, count(*) AS n FROM live GROUP BY symbol_id"
+HOT = "SELECT DISTINCT concat('sym_', l_partkey) AS symbol_id, 1 AS hot FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 49"
+REASONS = f"""SELECT s.symbol_id, s.file, q.query, coalesce(l.n, 0) > 0 AS has_ledger, h.hot IS NOT NULL AS is_hot, concat_ws(' ', {WHERE_FOUND.format(w="split_part(q.query, ' ', 1)")}, {WHERE_FOUND.format(w="split_part(q.query, ' ', 2)")},
+  CASE WHEN l.inv > 0 THEN concat('invariant-attached:', l.inv) END, CASE WHEN l.haz > 0 THEN concat('ledger:', l.haz, CASE WHEN l.haz = 1 THEN ' hazard' ELSE ' hazards' END) END,
+  CASE WHEN contains(lower(l.owns), split_part(q.query, ' ', 1)) OR contains(lower(l.owns), split_part(q.query, ' ', 2)) THEN concat('ownership:', replace(l.owns, ' ', '-')) END, CASE WHEN h.hot = 1 THEN 'recent-edit' END) AS reasons
+  FROM symbols s CROSS JOIN ({QUERIES_OF}) AS q LEFT JOIN ({NOTES}) AS l ON l.symbol_id = s.symbol_id LEFT JOIN ({HOT}) AS h ON h.symbol_id = s.symbol_id"""
+sql("explain_match", "symbols feedback live lineitem", f"SELECT symbol_id, query, reasons FROM ({REASONS}) AS r")
+HAS = {k: f"contains(concat(' ', reasons), ' {k}:')" for k in ("name", "file", "sig", "doc", "invariant-attached", "ledger", "ownership")}
+LABEL = f"""CASE WHEN {HAS['name']} AND {HAS['invariant-attached']} THEN 'strong: name match + invariant-attached' WHEN {HAS['name']} AND {HAS['ownership']} THEN 'strong: name match + ownership declaration'
+  WHEN {HAS['name']} AND {HAS['ledger']} THEN 'strong: name match + hazard ledger entry' WHEN {HAS['name']} AND has_ledger THEN 'strong: name match + ledger entry' WHEN {HAS['name']} AND is_hot THEN 'moderate: name match + recently edited' WHEN {HAS['name']} THEN 'moderate: name match only'
+  WHEN has_ledger AND {HAS['sig']} THEN 'moderate: signature match + ledger entry' WHEN has_ledger THEN 'moderate: ledger entry (indirect match)' WHEN {HAS['sig']} THEN 'weak: signature match only' WHEN {HAS['doc']} THEN 'weak: doc-only match' WHEN {HAS['file']} THEN 'weak: file path match only' ELSE 'weak: low-signal indirect match' END"""
+sql("confidence_reason", "symbols feedback live lineitem", f"SELECT symbol_id, query, {LABEL} AS reason FROM ({REASONS}) AS r")
+sql("result_bucket", "symbols feedback live lineitem", f"SELECT symbol_id, query, CASE WHEN {TIER} = 2 THEN 'test-only' WHEN has_ledger AND ({HAS['name']} OR is_hot) THEN 'core' WHEN has_ledger OR {HAS['name']} THEN 'relevant' WHEN is_hot OR {HAS['doc']} OR {HAS['file']} THEN 'peripheral' ELSE 'noisy' END AS bucket FROM ({REASONS}) AS r")
 sql("route_decorators", "pages", "SELECT page_id, upper(@GROUP(line, '^@[a-z]+[.]([a-z]+)[(]')) AS method, @GROUP(line, '[(].([^)]*).[)]') AS path FROM (SELECT page_id, concat('@app.', CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'delete' END, '(/items/', page_id, '/)') AS line FROM pages) AS p")
 sql("client_calls", "pages", "SELECT page_id, upper(@GROUP(line, 'requests[.]([a-z]+)[(]')) AS method, @GROUP(line, '(https?://[^) ]+)') AS url FROM (SELECT page_id, concat('r = requests.', CASE page_id % 2 WHEN 0 THEN 'get' ELSE 'put' END, '(', url, ' )') AS line FROM pages) AS p")
 sql("celery_emits", "events", "SELECT event_id, concat('topic:', @GROUP(line, '^([a-z_]+)[.](delay|apply_async)[(]')) AS topic FROM (SELECT event_id, concat(event_type, CASE event_id % 2 WHEN 0 THEN '.delay(' ELSE '.apply_async(' END, user_id, ')') AS line FROM events) AS e")

@@ -87,6 +87,14 @@ UNION ALL SELECT concat('ui/', p_partkey, '.css') AS path,
 UNION ALL SELECT concat('build/', n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN '/Makefile' WHEN 1 THEN '/Fastfile' ELSE '/Gemfile' END) AS path,
        CASE n_nationkey % 3 WHEN 0 THEN concat('all:', chr(10), lower(n_name), ':', chr(10), '# no:', chr(10), 'two words:', chr(10), 'x: y') WHEN 1 THEN concat('desc "', n_name, '"', chr(10), 'lane :n', n_nationkey, ' do', chr(10), 'end') ELSE concat('gem ', n_name) END AS content FROM nation
 UNION ALL SELECT concat('site/p', page_id, CASE WHEN page_id % 20 = 0 THEN '.txt' ELSE '.HTML' END) AS path, html AS content FROM pages"""),
+    "names": (["part"], """
+SELECT p_partkey AS part, concat(lower(p_type), '.', replace(p_brand, '#', ''), '.get', upper(substring(split_part(p_name, ' ', 1), 1, 1)), substring(split_part(p_name, ' ', 1), 2),
+  CASE WHEN p_size % 3 = 0 THEN '_' ELSE '' END, upper(p_type), upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2), p_size) AS ident FROM part"""),
+    "paths": (["part"], """
+SELECT DISTINCT concat(CASE p_size % 13 WHEN 0 THEN 'App/Sources/' WHEN 1 THEN 'lib/src/' WHEN 2 THEN 'Tests/unit/' WHEN 3 THEN 'pkg/__tests__/' WHEN 4 THEN 'MockData/' WHEN 5 THEN 'ui/views/' WHEN 6 THEN 'a/samples/' WHEN 7 THEN 'core/' WHEN 8 THEN 'x/Source/y/' WHEN 9 THEN 'playgrounds/' WHEN 10 THEN 'contest/' WHEN 11 THEN 'specs/' ELSE '' END,
+  CASE p_partkey % 17 WHEN 0 THEN 'Till' WHEN 1 THEN 'test_till' WHEN 2 THEN 'till_test' WHEN 3 THEN 'TillTests' WHEN 4 THEN 'TillTest' WHEN 5 THEN 'till.spec' WHEN 6 THEN 'TillSpec' WHEN 7 THEN 'till_spec' WHEN 8 THEN 'TillView' WHEN 9 THEN 'TillPreview' WHEN 10 THEN 'till.generated'
+    WHEN 11 THEN 'MockTill' WHEN 12 THEN 'till_fake' WHEN 13 THEN 'TillViewControllerBase' WHEN 14 THEN 'TillOverlay' WHEN 15 THEN 'Contest' ELSE lower(replace(p_name, ' ', '_')) END,
+  CASE p_partkey % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.rs' WHEN 3 THEN '.go' WHEN 4 THEN '.java' WHEN 5 THEN '.cs' WHEN 6 THEN '.rb' WHEN 7 THEN '.kt' ELSE '.swift' END) AS file FROM part"""),
     "policies": ([], """
 SELECT * FROM (VALUES (1, 'ledger.purchase', FALSE, 'human', NULL), (2, 'ledger.click', TRUE, NULL, 'user7'), (3, 'ledger.error.*', TRUE, NULL, NULL),
   (4, 'ledger.view', FALSE, NULL, NULL), (5, 'ledger.*', FALSE, NULL, 'user8'), (6, 'ledger.signup', TRUE, NULL, NULL)) AS t(pos, match_action, deny, require_approval, agent_id)"""),
