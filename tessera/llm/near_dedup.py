@@ -330,18 +330,23 @@ class _Graph:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node that links (a, b) connect each node to, by spreading minima and jumping."""
-    both = saved(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("comp")), "labels")
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        spread = labels.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "m").alias("comp"), F.col("comp").alias("old"))
-        spread = saved(spread, "spread")
-        jump = spread.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        new = saved(spread.join(jump, "comp", "left").select("node", F.least("comp", F.coalesce("further", "comp")).alias("comp"), "old"), "labels")
-        if new.where(F.col("comp") != F.col("old")).isEmpty():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+    """(node, comp): the least node that links (a, b) connect each node to.
+
+    In each round a node goes over to its least neighbour, and on to that one's; then only the links between what is
+    left are kept, so the rounds after the first see few of them.
+    """
+    edges = saved(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
+    labels = saved(ends.distinct().withColumn("comp", F.col("node")), "labels")
+    while not edges.isEmpty():
+        least = edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to"))  # those that have a smaller neighbour
+        least = saved(least, "least")
+        moves = saved(least.join(least.toDF("to", "on"), "to", "left").select("node", F.coalesce("on", "to").alias("to")), "moves")
+        mapped = edges.join(moves.toDF("a", "to_a"), "a", "left").join(moves.toDF("b", "to_b"), "b")  # the larger end always moves
+        ends_ = mapped.select(F.coalesce("to_a", "a").alias("a"), F.col("to_b").alias("b")).where("a <> b")
+        edges = saved(ends_.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        labels = saved(labels.join(moves.toDF("comp", "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")), "labels")
+    return labels
 
 
 def classes(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc_id", text: str = "text") -> DataFrame:

@@ -458,3 +458,21 @@ def test_quality_counts_and_verdicts(spark):
 
 def test_contract_registers_all():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in contract.QUERIES) == list(range(1, 11))
+
+
+def test_components_against_brute_force(spark):
+    r = random.Random(41)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, i) for i in range(1001, 1100)] + [(2000 + (i * 37) % 64, 2000 + ((i + 1) * 37) % 64) for i in range(63)]
+    parent = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    got = {x.node: x.comp for x in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
+    assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
