@@ -1,6 +1,7 @@
 """Each operator against brute force, and on odd tables: nulls, empty and long texts, repeated rows, no rows, clashing columns."""
 
 import math
+import os
 import random
 import re
 import zlib
@@ -476,3 +477,75 @@ def test_components_against_brute_force(spark):
     got = {x.node: x.comp for x in near_dedup.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for pair in links if pair[0] != pair[1] for x in pair}
     assert near_dedup.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_similarities_by_matrices_equal_the_pairwise_ones(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "COLUMNS", 50)
+    r = random.Random(43)
+    texts = [prose(i % 5, 40) + " " + " ".join(["again and again we say so"] * (i % 4)) + " " + prose(i, r.randint(0, 30)) for i in range(30)] + ["", "one two"]
+    settings = near_dedup.Settings()
+    counts = np.zeros((2, near_dedup.SLOTS))
+    counts[:, ::3] = 25
+    freq = near_dedup.Frequencies(counts, 32, settings.common)
+    x, y = np.arange(0, 32), np.arange(5, 32)
+    got = near_dedup.similarities(pa.array(texts), x, y, settings, freq)
+    for i in x:
+        want = near_dedup.similarity(pa.array([texts[i]] * len(y)), pa.array([texts[j] for j in y]), settings, freq)
+        assert got[i][y != i] == pytest.approx(want[y != i], abs=1e-6)  # a text is never compared with itself
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_near_duplicates_of_the_tables_are_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    settings = near_dedup.Settings()
+    freq = near_dedup.frequencies(docs.select("text"), settings)
+    got = {x.doc_id: x.class_id for x in near_dedup.near_dedup(docs, settings).collect()}
+    rows = docs.where(r"text RLIKE '[^\\x20\\x09-\\x0D]'").toArrow()
+    ids, every = rows.column("doc_id").to_pylist(), np.arange(rows.num_rows)
+    near = near_dedup.similarities(rows.column("text").combine_chunks(), every, every, settings, freq) >= settings.threshold - 1e-9
+    links = [(ids[a], ids[b]) for a, b in np.argwhere(np.triu(near, 1))]
+    assert len(links) > 50 and sum(got[a] == got[b] for a, b in links) >= 0.98 * len(links)
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((find(a), find(b)))
+        parent[y] = x
+    assert all(find(i) == find(got[i]) for i in ids)  # no class holds what no links connect
+
+
+def test_quality_verdicts_against_brute_force(spark):
+    r = random.Random(47)
+    rows = [(i, prose(i, r.randint(40, 120)) + " !?#$"[: r.randint(0, 5)] * r.randint(0, 12), r.choice(["en", "de", None]), r.choice(["a", "a", "a", "b", None])) for i in range(500)]
+    settings = quality_rules.Settings(min_group=60)
+    runs = []
+    for n in (1, 5):
+        found = quality_rules.quality_rules(odd(spark, rows).repartition(n), ["doc_id", "lang", "source"], settings).collect()
+        runs.append({x.doc_id: (x["__f"], x["__kept"]) for x in found})
+    assert runs[0] == runs[1]
+    group = {i: (a, b) for i, _, a, b in rows}
+    step = lambda v: 0 if v <= settings.least else math.ceil(math.log(v / settings.least) / math.log(settings.growth))
+    value = lambda k: 0.0 if k == 0 else 2 * settings.least / (settings.growth + 1) * settings.growth**k
+
+    def cutoff(feature, members):
+        places = sorted(step(runs[0][i][0][feature]) for i in members)
+        mid, high = (value(places[math.ceil(q * len(places)) - 1]) for q in (0.5, 0.75))
+        return mid + max(settings.spread * (high - mid), settings.margins[feature])
+
+    def members(i):
+        own = [j for j in group if group[j] == group[i]]
+        lang = [j for j in group if group[j][0] == group[i][0]]
+        return own if len(own) >= settings.min_group else lang if len(lang) >= settings.min_group else list(group)
+
+    cuts = {}
+    for i, (f, kept) in runs[0].items():
+        if group[i] not in cuts:
+            cuts[group[i]] = {c: cutoff(c, members(i)) for c in settings.margins}
+        base = f.n_words < 50 or 100 * f.n_repeat_words > 50 * f.n_words
+        assert kept == (not base and all(f[c] <= cuts[group[i]][c] for c in settings.margins)), i
