@@ -12,7 +12,9 @@ THINKING = "('hypothesis', 'mental_model', 'failed_attempt', 'open_question')"
 DIRECTORY = "@GROUP(file, '^(.*)/[^/]*$')"
 
 sql("scan_id_map", "symbols", "SELECT symbol_id, qname, file FROM symbols")
-sql("scan_edge_maps", "edges", "SELECT src, count(*) AS n_callees, min(dst) AS first_callee, max(dst) AS last_callee FROM edges GROUP BY src")
+# a symbol's callees and its callers, each as a list in order
+sql("scan_edge_maps", "edges", "SELECT 'callees' AS direction, src AS node, array_join(array_sort(collect_set(dst)), ',') AS others FROM edges GROUP BY src UNION ALL SELECT 'callers' AS direction, dst AS node, array_join(array_sort(collect_set(src)), ',') AS others FROM edges GROUP BY dst",
+    "SELECT 'callees' AS direction, src AS node, string_agg(DISTINCT dst, ',' ORDER BY dst) AS others FROM edges GROUP BY src UNION ALL SELECT 'callers' AS direction, dst AS node, string_agg(DISTINCT src, ',' ORDER BY src) AS others FROM edges GROUP BY dst")
 sql("cache_sync_edges", "edges", "SELECT src AS symbol_id, dst AS neighbor_id, 'callee' AS direction FROM edges UNION ALL SELECT dst AS symbol_id, src AS neighbor_id, 'caller' AS direction FROM edges")
 sql("point_lookup", "symbols", "SELECT symbol_id, qname, kind, file, start_line FROM symbols WHERE qname = 'economy.Brand2.small_ring_0'")
 sql("neighbors_lookup", "edges", "SELECT src, dst FROM edges WHERE src IN ('sym_1', 'sym_5', 'sym_10', 'sym_25', 'sym_100')")
@@ -36,9 +38,16 @@ sql("analytics_reload", "events ledger", "SELECT e.event_id, e.event_type FROM e
 sql("export_by_class", "live symbols", f"SELECT {CLASS} AS class, l.entry_id, s.qname FROM live l JOIN (SELECT symbol_id, qname FROM symbols) s ON s.symbol_id = l.symbol_id WHERE NOT (l.kind = 'hypothesis' AND l.confidence < 0.3@D)")
 sql("export_by_package", "live symbols", f"SELECT {CLASS} AS class, CASE WHEN {DIRECTORY} = '' THEN '_root' ELSE replace({DIRECTORY}, '/', '--') END AS package, count(*) AS n FROM live l JOIN (SELECT symbol_id, file FROM symbols) s ON s.symbol_id = l.symbol_id GROUP BY 1, 2")
 sql("shard_key", "symbols", f"SELECT DISTINCT {DIRECTORY} AS dir, CASE WHEN {DIRECTORY} = '' THEN '_root' ELSE replace({DIRECTORY}, '/', '--') END AS shard FROM symbols")
-sql("check_budget", "ledger", f"SELECT {CLASS} AS shard, CAST(sum(length(summary) + 1) AS BIGINT) AS bytes, sum(length(summary) + 1) > 20480 AS over_budget FROM ledger GROUP BY 1")
+# Bytes a shard and all shards together may take.
+PER_SHARD, TOTAL = 204800, 1048576
+SHARDS = f"SELECT {CLASS} AS shard, CAST(sum(OCTETS + 1) AS BIGINT) AS bytes FROM ledger GROUP BY 1"
+BUDGET = f"SELECT shard, bytes, bytes > {PER_SHARD} AS over_budget FROM ({SHARDS}) AS s UNION ALL SELECT '*' AS shard, CAST(sum(bytes) AS BIGINT) AS bytes, sum(bytes) > {TOTAL} OR max(bytes) > {PER_SHARD} AS over_budget FROM ({SHARDS}) AS s"
+LINE = "concat(entry_id, symbol_id, kind, summary, body, author)"
+sql("check_budget", "ledger", BUDGET.replace("OCTETS", f"octet_length({LINE})"), BUDGET.replace("OCTETS", f"strlen({LINE})"))
 sql("sidecar_prune", "ledger symbols", "SELECT DISTINCT symbol_id FROM ledger WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols)")
-sql("sidecar_hydrate", "ledger symbols", "SELECT coalesce(s.symbol_id, 'sym_0') AS symbol_id, count(*) AS n FROM ledger l LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = l.symbol_id GROUP BY 1")
+# entries of symbols that moved are bound to where they went, those of unknown symbols wait
+MOVES = "SELECT concat('sym_', user_id * 20) AS old_id, max(concat('sym_', user_id * 20 + 1)) AS new_id FROM events WHERE event_type = 'signup' GROUP BY 1"
+sql("sidecar_hydrate", "ledger symbols events", f"SELECT CASE WHEN s.symbol_id IS NULL THEN 'waiting' WHEN m.old_id IS NOT NULL THEN 'rebound' ELSE 'loaded' END AS status, coalesce(m.new_id, l.symbol_id) AS symbol_id, count(*) AS n FROM ledger l LEFT JOIN ({MOVES}) m ON m.old_id = l.symbol_id LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = coalesce(m.new_id, l.symbol_id) GROUP BY 1, 2")
 sql("hydrate_verify", "ledger live", "SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, CASE WHEN b.entry_id IS NULL THEN 'missing' WHEN a.entry_id IS NULL THEN 'extra' ELSE 'differs' END AS problem FROM ledger a FULL OUTER JOIN (SELECT entry_id, CASE WHEN seq % 90 = 0 THEN 'changed' ELSE summary END AS summary FROM live) b ON a.entry_id = b.entry_id WHERE a.entry_id IS NULL OR b.entry_id IS NULL OR a.summary <> b.summary")
 sql("count_rows", "symbols", "SELECT count(*) AS n FROM symbols")
 sql("annotated_count", "live", "SELECT count(DISTINCT symbol_id) AS n FROM live")
@@ -74,9 +83,14 @@ sql("feedback_breakdown", "feedback", "SELECT symbol_id, count(CASE WHEN verdict
 WORDS = "SELECT symbol_id, entry_id, split_part(query, ' ', 1) AS token FROM feedback WHERE verdict IN ('noisy', 'wrong-layer') UNION ALL SELECT symbol_id, entry_id, split_part(query, ' ', 2) AS token FROM feedback WHERE verdict IN ('noisy', 'wrong-layer')"
 sql("recurring_fp", "feedback", f"SELECT symbol_id, token, count(DISTINCT entry_id) AS n FROM ({WORDS}) AS w GROUP BY symbol_id, token HAVING count(DISTINCT entry_id) >= 2")
 sql("beta_confidence", "events", "SELECT user_id, n_yes, n_no, round((0.5@D * 2 + n_yes) / (2.0@D + n_yes + n_no), 6) AS confidence FROM (SELECT user_id, count(CASE WHEN value < 10 THEN 1 END) AS n_yes, count(CASE WHEN value > 40 THEN 1 END) AS n_no FROM events GROUP BY user_id) AS t")
-sql("trace_fold", "events", "SELECT user_id, count(CASE WHEN value > 40 THEN 1 END) AS contradictions, count(CASE WHEN value < 10 THEN 1 END) AS confirmations, min(CASE WHEN value > 40 OR value < 10 THEN event_id END) AS first_observed, max(CASE WHEN value > 40 OR value < 10 THEN event_id END) AS last_trace FROM events GROUP BY user_id")
-sql("edge_confirm", "edges events", "SELECT e.src, e.dst, count(v.event_id) AS confirmations, round(CASE WHEN count(v.event_id) > 0 THEN greatest(0.5@D, 0.7@D) ELSE 0.5@D END, 6) AS prior FROM edges e LEFT JOIN (SELECT event_id, concat('sym_', user_id) AS s FROM events WHERE event_type = 'view') v ON v.s = e.src GROUP BY e.src, e.dst")
-sql("edge_evidence_left_join", "edges events", "SELECT e.src, e.dst, coalesce(v.n, 0) AS confirmations, v.n IS NOT NULL AS observed FROM edges e LEFT JOIN (SELECT concat('sym_', user_id) AS s, count(*) AS n FROM events GROUP BY 1) v ON v.s = e.dst")
+# a contradiction goes before a confirmation; the first observation that is neither neutral freezes the prior
+OUTCOME = "CASE WHEN value > 40 THEN 'contradiction' WHEN value < 10 THEN 'confirmation' ELSE 'neutral' END"
+sql("trace_fold", "events", f"SELECT user_id, count(CASE WHEN outcome = 'contradiction' THEN 1 END) AS contradictions, count(CASE WHEN outcome = 'confirmation' THEN 1 END) AS confirmations, count(CASE WHEN outcome = 'neutral' THEN 1 END) AS neutral, min(CASE WHEN outcome <> 'neutral' THEN event_id END) AS first_observed, max(event_id) AS last_trace, min_by(round(value / 100.0@D, 6), CASE WHEN outcome <> 'neutral' THEN event_id END) AS prior FROM (SELECT user_id, event_id, value, {OUTCOME} AS outcome FROM events) AS o GROUP BY user_id")
+# a static edge that was observed is raised to 0.7 at least, others keep what they had
+sql("edge_confirm", "edges events", "SELECT src, dst, confirmations, last_seen, round(CASE WHEN confirmations > 0 AND source = 'static' THEN greatest(prior, 0.7@D) ELSE prior END, 6) AS prior FROM (SELECT e.src, e.dst, CASE WHEN length(e.dst) % 2 = 0 THEN 'static' ELSE 'runtime' END AS source, 0.4@D + 0.1@D * (length(e.src) % 5) AS prior, count(v.event_id) AS confirmations, max(v.ts) AS last_seen FROM edges e LEFT JOIN (SELECT event_id, ts, concat('sym_', user_id) AS s FROM events WHERE event_type = 'view') v ON v.s = e.src GROUP BY e.src, e.dst) AS c")
+# observed calls are the pairs of events of a user that follow each other; those that no static edge has are listed apart
+OBSERVED = "SELECT src, dst, count(*) AS n FROM (SELECT concat('sym_', user_id) AS src, concat('sym_', event_id % 50) AS dst FROM events) AS v GROUP BY src, dst"
+sql("edge_evidence_left_join", "edges events", f"SELECT e.src, e.dst, coalesce(v.n, 0) AS confirmations, 'static' AS source FROM edges e LEFT JOIN ({OBSERVED}) v ON v.src = e.src AND v.dst = e.dst UNION ALL SELECT v.src, v.dst, v.n AS confirmations, 'runtime-only' AS source FROM ({OBSERVED}) v LEFT JOIN edges e ON e.src = v.src AND e.dst = v.dst WHERE e.src IS NULL")
 sql("verify_mismatch", "effects lineitem", "SELECT coalesce(d.symbol_id, i.symbol_id) AS symbol_id, coalesce(d.effect, i.effect) AS effect, CASE WHEN i.effect IS NULL THEN 'declared-only' ELSE 'inferred-only' END AS mismatch FROM effects d FULL OUTER JOIN (SELECT DISTINCT concat('sym_', l_partkey) AS symbol_id, CASE l_linenumber % 3 WHEN 0 THEN 'fs.read' WHEN 1 THEN 'net.out' ELSE 'log' END AS effect FROM lineitem WHERE l_quantity > 48) i ON i.symbol_id = d.symbol_id AND i.effect = d.effect WHERE d.effect IS NULL OR i.effect IS NULL")
 sql("set_difference", "effects", "SELECT symbol_id, effect FROM effects EXCEPT SELECT symbol_id, effect FROM effects WHERE effect = 'log'")
 sql("conclusion_class", "ledger", f"SELECT kind, {CLASS} AS class, count(*) AS n FROM ledger GROUP BY 1, 2")
@@ -93,7 +107,8 @@ sql("ttl_parse", "events", "SELECT event_id, ttl, CASE WHEN ttl LIKE '%d' THEN C
 sql("json_extract", "events", "SELECT event_id, CAST(@JSON(props, k) AS BIGINT) AS k, @JSON(props, role) AS role FROM events")
 sql("mapping_move_to", "ledger", "SELECT entry_id, @JSON(body, move_to) AS move_to, @JSON(body, k) AS k FROM ledger WHERE kind = 'mapping'")
 sql("token_estimate", "documents", "SELECT doc_id, CAST(floor((octet_length(text) + 3) / 4) AS BIGINT) AS tokens FROM documents", "SELECT doc_id, CAST(floor((octet_length(encode(text)) + 3) / 4) AS BIGINT) AS tokens FROM documents")
-sql("stale_severity", "documents", "SELECT source, n, CASE WHEN n = 0 THEN 'critical' WHEN age > 20 THEN 'soft' ELSE 'none' END AS severity FROM (SELECT source, count(*) AS n, min(doc_id) % 40 AS age FROM documents GROUP BY source) AS d")
+# the index of a source is as old as its last event; a source without events was never rebuilt
+sql("stale_severity", "customer events", f"SELECT c_custkey AS index_id, CASE WHEN e.n IS NULL THEN 'critical' WHEN e.failed THEN 'critical' WHEN e.last_ts < {NOW} - INTERVAL 40 HOUR THEN 'soft' ELSE 'none' END AS severity FROM (SELECT c_custkey FROM customer) AS c LEFT JOIN (SELECT user_id, count(*) AS n, max(ts) AS last_ts, max_by(event_type, event_id) = 'error' AS failed FROM events GROUP BY user_id) e ON e.user_id = c.c_custkey")
 sql("git_log_scan", "orders", f"SELECT o_custkey AS file, max(o_orderdate) AS last_touch, max(o_orderdate) >= TIMESTAMP '2001-06-01 00:00:00' AS hot FROM orders GROUP BY o_custkey")
 sql("git_recent_touches", "orders", "SELECT o_custkey AS file, o_orderkey AS touch, r AS place FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) AS t WHERE r <= 3")
 sql("contract_drift", "endpoints", "SELECT symbol_id, repo_id, contract FROM endpoints WHERE direction = 'outbound' AND contract NOT IN (SELECT contract FROM endpoints WHERE direction = 'inbound')")
@@ -102,7 +117,8 @@ sql("contract_match_join", "endpoints", MATCH)
 sql("federated_join", "endpoints", f"SELECT * FROM ({MATCH}) AS m WHERE cross_repo")
 sql("federated_impact", "endpoints live", f"SELECT DISTINCT m.contract, m.from_symbol, coalesce(h.n, 0) AS n_hazards FROM ({MATCH}) AS m LEFT JOIN (SELECT replace(symbol_id, 'sym_', 'page.') AS s, count(*) AS n FROM live WHERE kind IN ('hazard', 'invariant') GROUP BY 1) AS h ON h.s = m.from_symbol")
 sql("endpoints_flatten", "endpoints", "SELECT repo_id, contract, symbol_id, direction FROM endpoints")
-sql("http_contract", "pages", "SELECT page_id, concat('http:', upper(trim(' get ')), ' ', @GROUP(url, '^https?://[^/?#]+([^?#]*)')) AS contract FROM pages")
+METHOD = "CASE page_id % 4 WHEN 0 THEN ' get ' WHEN 1 THEN 'Post' WHEN 2 THEN ' PUT' ELSE 'delete' END"
+sql("http_contract", "pages", f"SELECT page_id, concat('http:', upper(trim({METHOD})), ' ', coalesce(nullif(@SUB(@SUB(lower(@GROUP(url, '^https?://[^/?#]+([^?#]*)')), '/([0-9]+|[{{][^/]*[}}]|:[a-z_]+)', '/{{}}'), '/+$', ''), ''), '/')) AS contract FROM pages")
 sql("normalize_http", "pages", "SELECT page_id, @SUB(@SUB(lower(@GROUP(url, '^https?://[^/?#]+([^?#]*)')), '/[0-9]+', '/{}'), '/+$', '') AS path FROM pages")
 sql("pubsub_contract", "events", "SELECT DISTINCT concat('topic:', lower(trim(concat('  ', upper(event_type), ' ')))) AS topic FROM events")
 sql("normalize_repo", "pages", "SELECT page_id, lower(@SUB(@SUB(concat('git@', @GROUP(url, '^https?://([^/?#]+)'), ':team/repo', page_id, '.git'), '^[a-z]+@([^:]+):', '@1/'), '[.]git$', '')) AS repo FROM pages".replace("@1", "$1"), "SELECT page_id, lower(@SUB(@SUB(concat('git@', @GROUP(url, '^https?://([^/?#]+)'), ':team/repo', page_id, '.git'), '^[a-z]+@([^:]+):', '\\1/'), '[.]git$', '')) AS repo FROM pages")

@@ -99,7 +99,7 @@ def _bm25(name: str, boost: str, most: int):
     @query(name, with_ctes(["docs"], text))
     def run(spark, sf_dir):
         docs = frame(spark, sf_dir, "docs")
-        hits = search.bm25(search.postings(docs, "doc_id", "body"), TERMS, docs.select("doc_id"))
+        hits = search.bm25(docs, "doc_id", "body", TERMS)
         if boost:
             hits = hits.join(docs.select("doc_id", "kind"), "doc_id").select("doc_id", (F.col("score") + F.when(F.col("kind") == "src1", 2.5).otherwise(0.0)).alias("score"))
         hits = hits.select("doc_id", F.round("score", 6).alias("score"))

@@ -234,7 +234,12 @@ sql("result_bucket", "symbols feedback live lineitem", f"SELECT symbol_id, query
 sql("route_decorators", "pages", "SELECT page_id, upper(@GROUP(line, '^@[a-z]+[.]([a-z]+)[(]')) AS method, @GROUP(line, '[(].([^)]*).[)]') AS path FROM (SELECT page_id, concat('@app.', CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'delete' END, '(/items/', page_id, '/)') AS line FROM pages) AS p")
 sql("client_calls", "pages", "SELECT page_id, upper(@GROUP(line, 'requests[.]([a-z]+)[(]')) AS method, @GROUP(line, '(https?://[^) ]+)') AS url FROM (SELECT page_id, concat('r = requests.', CASE page_id % 2 WHEN 0 THEN 'get' ELSE 'put' END, '(', url, ' )') AS line FROM pages) AS p")
 sql("celery_emits", "events", "SELECT event_id, concat('topic:', @GROUP(line, '^([a-z_]+)[.](delay|apply_async)[(]')) AS topic FROM (SELECT event_id, concat(event_type, CASE event_id % 2 WHEN 0 THEN '.delay(' ELSE '.apply_async(' END, user_id, ')') AS line FROM events) AS e")
-sql("relative_import", "symbols", "SELECT symbol_id, concat(split_part(qname, '.', 1), '.', split_part(qname, '.', 2), '.', language) AS absolute FROM symbols")
+# one dot is the package of the module, each further one the package above; too many dots name nothing
+RAW = "CASE p_partkey % 5 WHEN 0 THEN '.' WHEN 1 THEN '.base' WHEN 2 THEN '..util.text' WHEN 3 THEN '....' ELSE 'json' END"
+MODULES = f"SELECT p_partkey AS part, concat(lower(p_type), '.', replace(p_brand, '#', ''), '.', replace(p_name, ' ', '_')) AS module, {RAW} AS raw FROM part"
+DOTS = "length(raw) - length(ltrim(raw, '.'))"
+sql("relative_import", "part", f"SELECT part, module, raw, CASE WHEN d = 0 OR d > size(parts) THEN NULL ELSE nullif(array_join(filter(concat(slice(parts, 1, size(parts) - d), array(rest)), x -> x <> ''), '.'), '') END AS absolute FROM (SELECT part, module, raw, length(raw) - length(ltrim('.', raw)) AS d, ltrim('.', raw) AS rest, split(module, '[.]') AS parts FROM ({MODULES}) AS m) AS r",
+    f"SELECT part, module, raw, CASE WHEN d = 0 OR d > len(parts) THEN NULL ELSE nullif(array_to_string(list_filter(list_concat(parts[1:len(parts) - d], [rest]), lambda x: x <> ''), '.'), '') END AS absolute FROM (SELECT part, module, raw, {DOTS} AS d, ltrim(raw, '.') AS rest, string_split(module, '.') AS parts FROM ({MODULES}) AS m) AS r")
 sql("dynamic_dispatch", "conversations", "SELECT conv_id, turn, text LIKE '%que%' AS dynamic FROM conversations")
 sql("disambiguate", "symbols", "SELECT symbol_id, CASE WHEN count(*) OVER (PARTITION BY file, split_part(split_part(qname, '.', 3), '_', 1)) > 1 THEN concat(split_part(split_part(qname, '.', 3), '_', 1), ':', start_line) ELSE split_part(split_part(qname, '.', 3), '_', 1) END AS name FROM symbols")
 for _lang, _rule in {"": "net.out", "_ts": "fs.read", "_rs": "env.set", "_go": "db.write", "_java": "log", "_cs": "throws", "_rb": "net.in", "_kt": "fs.write", "_sw": "env.read"}.items():

@@ -77,7 +77,8 @@ sql("supersede", "ledger", "SELECT entry_id, supersedes FROM ledger WHERE supers
 sql("supersede_anti_join", "live", "SELECT entry_id, symbol_id, kind FROM live")
 sql("ledger_list", "live", "SELECT symbol_id, entry_id, row_number() OVER (PARTITION BY symbol_id ORDER BY created_at DESC, entry_id) AS place FROM live")
 sql("conclusions_list", "live symbols", "SELECT s.qname, l.entry_id, l.kind, row_number() OVER (PARTITION BY s.qname ORDER BY l.created_at DESC, l.entry_id) AS place FROM live l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind IN ('hazard', 'known_bug')")
-sql("invariant_list", "live symbols", "SELECT s.qname, l.entry_id, l.summary FROM live l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind = 'invariant'")
+# a workspace's list has superseded entries too; that of one symbol has live ones
+sql("invariant_list", "ledger live symbols", "SELECT 'workspace' AS scope, s.qname, l.entry_id, l.summary FROM ledger l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind = 'invariant' UNION ALL SELECT 'symbol' AS scope, s.qname, l.entry_id, l.summary FROM live l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind = 'invariant' AND s.symbol_id = 'sym_100'")
 sql("feedback_mark", "feedback", "SELECT entry_id, created_at + INTERVAL 30 DAY AS expires_at FROM feedback WHERE verdict = 'noisy'")
 sql("feedback_promote", "feedback", "SELECT concat('own_', entry_id) AS entry_id, symbol_id, 'ownership' AS kind, 'truth' AS tag FROM feedback WHERE verdict = 'useful'")
 sql("scratch_promote", "events", "SELECT event_id, CASE WHEN value > 30 THEN 'promoted' WHEN value < 2 THEN 'discarded' ELSE 'draft' END AS status FROM events")
@@ -87,7 +88,8 @@ sql("repair_scan", "ledger symbols effects edges", "SELECT 'orphan-ledger' AS is
 sql("repair_fix", "edges symbols", "SELECT src, dst FROM edges WHERE src IN (SELECT symbol_id FROM symbols) AND dst IN (SELECT symbol_id FROM symbols)")
 sql("constraint_semi_join", "live", "SELECT DISTINCT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending')")
 sql("constraint_penalty", "symbols live", f"SELECT h.qname, h.score FROM ({SCORED}) AS h WHERE h.symbol_id NOT IN (SELECT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending'))")
-sql("anchor_filter", "live symbols", "SELECT qname, place FROM (SELECT s.qname, row_number() OVER (ORDER BY s.qname) AS place FROM symbols s JOIN (SELECT DISTINCT symbol_id FROM live WHERE kind IN ('invariant', 'hazard') AND summary LIKE '%1%') l ON l.symbol_id = s.symbol_id WHERE s.file NOT LIKE 'tests/%') AS t WHERE place <= 5")
+# ledger texts with a query's word on live symbols outside of tests, five a query
+sql("anchor_filter", "live symbols feedback", "SELECT query, qname, place FROM (SELECT query, qname, row_number() OVER (PARTITION BY query ORDER BY qname) AS place FROM (SELECT DISTINCT f.query, s.qname FROM (SELECT DISTINCT symbol_id, query FROM feedback) f JOIN (SELECT symbol_id, lower(concat(summary, ' ', kind)) AS text FROM live WHERE kind IN ('invariant', 'hazard')) l ON l.symbol_id = f.symbol_id JOIN symbols s ON s.symbol_id = l.symbol_id WHERE s.file NOT LIKE 'tests/%' AND (contains(l.text, 'purchase') OR contains(l.text, split_part(f.query, ' ', 1)) OR contains(l.text, split_part(f.query, ' ', 2)))) AS d) AS t WHERE place <= 5")
 sql("anchor_topup", "live symbols", f"SELECT qname, score FROM (SELECT qname, score * 1.0@D AS score FROM ({HITS}) AS h WHERE place <= 10 UNION ALL SELECT qname, 0.5@D AS score FROM (SELECT s.qname, row_number() OVER (ORDER BY s.qname) AS r FROM symbols s JOIN (SELECT DISTINCT symbol_id FROM live WHERE kind IN ('invariant', 'hazard')) l ON l.symbol_id = s.symbol_id WHERE s.qname NOT LIKE '%ring%' AND s.qname NOT LIKE '%red%') AS a WHERE r <= 5) AS t")
 sql("feedback_adjust", "symbols feedback", f"SELECT h.qname, round(h.score + 1.5@D * coalesce(f.useful, 0), 6) AS score FROM ({SCORED}) AS h LEFT JOIN (SELECT symbol_id, count(CASE WHEN verdict = 'useful' THEN 1 END) AS useful, count(CASE WHEN verdict IN ('noisy', 'wrong-layer', 'covered', 'diagnostic') THEN 1 END) AS bad FROM feedback WHERE query LIKE '%ring%' GROUP BY symbol_id) f ON f.symbol_id = h.symbol_id WHERE coalesce(f.bad, 0) < 12")
 sql("file_feedback", "symbols feedback", "SELECT s.file, max(CASE WHEN f.verdict = 'noisy' THEN 1 ELSE 0 END) = 1 AS suppress, count(CASE WHEN f.verdict = 'useful' THEN 1 END) AS boost FROM symbols s JOIN feedback f ON f.symbol_id = s.symbol_id GROUP BY s.file")
@@ -95,8 +97,11 @@ sql("feedback_explain", "symbols feedback", "SELECT qname, verdict, query FROM (
 sql("feedback_state", "feedback", "SELECT count(*) AS total, count(CASE WHEN query LIKE '%ring%' THEN 1 END) AS matched, count(CASE WHEN query LIKE '%ring%' AND verdict <> 'missing' THEN 1 END) AS applied FROM feedback")
 sql("intersect_tokens", "feedback", "SELECT DISTINCT query, split_part(query, ' ', 1) IN ('red', 'ring') OR split_part(query, ' ', 2) IN ('red', 'ring') AS matches FROM feedback")
 sql("union_all_tokens", "symbols", "SELECT 'ring' AS token, qname FROM symbols WHERE qname LIKE '%ring%' UNION ALL SELECT 'bolt' AS token, qname FROM symbols WHERE qname LIKE '%bolt%'")
-sql("union_candidates", "symbols", f"SELECT qname FROM ({HITS}) AS h WHERE place <= 20 UNION SELECT qname FROM symbols WHERE file LIKE '%brand7.py'")
-sql("broadened_search", "symbols", f"SELECT qname, score FROM ({SCORED}) AS h WHERE NOT (language = 'python' AND file LIKE 'views/%') AND (SELECT count(*) FROM ({SCORED}) AS p WHERE language = 'python' AND file LIKE 'views/%') < 100")
+# search hits, and symbols of files whose stem is asked for, if no hit covers the file
+sql("union_candidates", "symbols", f"SELECT qname, 'search' AS source FROM ({HITS}) AS h WHERE place <= 20 UNION ALL SELECT s.qname, 'stem' AS source FROM symbols s LEFT JOIN (SELECT DISTINCT file FROM ({HITS}) AS h WHERE place <= 20) c ON c.file = s.file WHERE c.file IS NULL AND @GROUP(s.file, '([^/]*)[.][a-z]+$') = 'brand7'")
+# where the filtered search has fewer than 100 hits, the search without filters adds those that it left out
+FILTERED = "language = 'python' AND file LIKE 'views/%'"
+sql("broadened_search", "symbols", f"SELECT h.qname, h.score FROM ({SCORED}) AS h LEFT JOIN (SELECT qname FROM ({SCORED}) AS p WHERE {FILTERED}) AS p ON p.qname = h.qname CROSS JOIN (SELECT count(*) AS n FROM ({SCORED}) AS p WHERE {FILTERED}) AS c WHERE p.qname IS NULL AND c.n < 100")
 sql("distinct_summary", "live", "SELECT kind, summary, min(entry_id) AS entry_id FROM live WHERE kind = 'invariant' GROUP BY kind, summary UNION ALL SELECT kind, summary, entry_id FROM live WHERE kind = 'hazard'")
 sql("df_per_token", "symbols", "SELECT token, count(DISTINCT file) AS n FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols UNION ALL SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file FROM symbols) AS t GROUP BY token")
 sql("ambiguous_tokens", "symbols", "SELECT token FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols UNION ALL SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file FROM symbols) AS t GROUP BY token HAVING count(DISTINCT file) > 25")
@@ -136,7 +141,7 @@ def golden_probe(spark, sf_dir):
 
 placed("probe_rank_lte", "symbols", f"SELECT qname, score FROM ({SCORED}) AS h", "score DESC, qname", "qname LIKE '%red_ring%'")
 sql("edit_precision", "lineitem", "SELECT l_orderkey, tp, fp, fn, round(CASE WHEN tp + fp = 0 THEN 0.0@D ELSE tp * 1.0@D / (tp + fp) END, 3) AS prec, round(CASE WHEN tp + fn = 0 THEN 0.0@D ELSE tp * 1.0@D / (tp + fn) END, 3) AS recall FROM (SELECT l_orderkey, count(CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN 1 END) AS tp, count(CASE WHEN l_returnflag = 'A' AND l_linestatus <> 'F' THEN 1 END) AS fp, count(CASE WHEN l_returnflag <> 'A' AND l_linestatus = 'F' THEN 1 END) AS fn FROM lineitem GROUP BY l_orderkey) AS t")
-sql("verify_window", "events", "SELECT a.event_id, count(b.event_id) AS n_near FROM events a LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts - INTERVAL 10 MINUTE AND a.ts + INTERVAL 10 MINUTE WHERE a.event_type = 'error' GROUP BY a.event_id")
+sql("verify_window", "events", "SELECT a.event_id, count(b.event_id) AS n_near FROM events a LEFT JOIN (SELECT event_id, user_id, ts FROM events WHERE event_type = 'view') b ON b.user_id = a.user_id AND b.ts BETWEEN a.ts - INTERVAL 10 SECOND AND a.ts + INTERVAL 10 SECOND WHERE a.event_type = 'error' GROUP BY a.event_id")
 SESSION = "SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 60 MINUTE THEN 0 ELSE 1 END AS opens FROM events"
 sql("debounce_watch", "events", f"SELECT user_id, session, count(*) AS n, max(ts) AS last_ts FROM (SELECT user_id, ts, CAST(sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS session FROM ({SESSION}) AS s) AS t GROUP BY user_id, session")
 CHECKS = "SELECT b.item_id, b.text AS query, min(d.doc_id) AS expected, count(d.doc_id) AS n FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id, b.text"

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tessera.shared.dir", None)
     if not conf:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.tessera.shared.dir", conf)
