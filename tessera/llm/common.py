@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import saved, shared_dir
+
 #: The columns that every stage of the pipeline keeps.
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -19,35 +19,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Where it is unset, as in tests on one machine, a folder under the temporary one is set for the session.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.tessera.shared.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.tessera.shared.dir", conf)
-    return conf
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: its lineage is cut and any executor can read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a saved() table that is no longer needed."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def remainder(ident: Column, n: int = 5) -> Column:
     """crc32 of the identifier's text modulo n; null for a null identifier."""
     return F.crc32(ident.cast("string").cast("binary")) % F.lit(n)
@@ -103,3 +74,6 @@ def without(df: DataFrame, keys: DataFrame) -> DataFrame:
         same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
     unclear = placed.join(slots, "__slot", "left_semi").join(other, same, "left_anti")
     return clear.unionByName(unclear).drop("__slot")
+
+
+__all__ = ["DOCUMENT", "documents", "numbered", "parts_for", "record", "remainder", "saved", "shared_dir", "thinned", "without"]
