@@ -549,3 +549,86 @@ def test_quality_verdicts_against_brute_force(spark):
             cuts[group[i]] = {c: cutoff(c, members(i)) for c in settings.margins}
         base = f.n_words < 50 or 100 * f.n_repeat_words > 50 * f.n_words
         assert kept == (not base and all(f[c] <= cuts[group[i]][c] for c in settings.margins)), i
+
+
+def _plain_matches(item, doc, settings):
+    """Matches of windows (item place, document place, size, folded) of two lists of (value, kind), by comparing all of them."""
+
+    def key(tokens, folded):
+        kinds = [0 if folded and k == decontaminate.NAME else k for _, k in tokens]
+        template = tuple(v if k == 0 else k for (v, _), k in zip(tokens, kinds))
+        enough = len({t for t, k in zip(template, kinds) if k == 0}) >= settings.literals
+        if enough:
+            return ("folded" if folded else "named", template)
+        return ("values", tuple(v for v, _ in tokens)) if folded else None
+
+    size = min(settings.window, len(item))
+    out = []
+    for folded in (False, True):
+        if size < settings.window and key(item, folded) and key(item, folded)[0] == "values" and len({v for v, _ in item}) < settings.literals:
+            continue
+        for i in range(len(item) - size + 1):
+            for j in range(len(doc) - size + 1):
+                a, b = key(item[i : i + size], folded), key(doc[j : j + size], folded)
+                if a is not None and a == b:
+                    out.append((i, j, size, folded))
+    return out
+
+
+def _plain_cover(item, doc, matches):
+    """The item's tokens in the matches, if its slots stand for the same values throughout."""
+    seen, there, back = set(), {}, {}
+    for i, j, n, folded in matches:
+        for k in range(n):
+            (ours, slot), (theirs, _) = item[i + k], doc[j + k]
+            seen.add(i + k)
+            if slot and not (folded and slot == decontaminate.NAME) and (there.setdefault((slot, ours), theirs) != theirs or back.setdefault((slot, theirs), ours) != ours):
+                return 0
+    return len(seen)
+
+
+def test_decontamination_against_brute_force(spark):
+    def canonical(text):
+        out = []
+        for t in (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in text.split()):
+            if t:
+                kind = decontaminate.NUMBER if re.search("[0-9]", t) else decontaminate.UNIT if lower(t) in decontaminate.UNITS else decontaminate.NAME if "A" <= t[0] <= "Z" else 0
+                out.append((lower(t), kind))
+        return out
+
+    r = random.Random(53)
+    words = ["rate", "of", "the", "apples", "how", "many", "left", "after", "gives", "takes"]
+    token = lambda: r.choice([r.choice(words), r.choice(words), r.choice(words), str(r.randrange(4)), r.choice(["Ann", "Bob"]), r.choice(["km", "h"])])
+    items = [(i, " ".join(token() for _ in range(r.choice([3, 5, 8, 14, 20])))) for i in range(25)]
+    rows = []
+    for i in range(120):
+        own = r.choice(items)[1].split()
+        swap = {str(k): str(r.randrange(5, 9)) for k in range(4)} | {"Ann": r.choice(["Ann", "Eve"])}
+        if r.random() < 0.5:
+            own = [swap.get(t, t) for t in own]
+        for _ in range(r.choice([0, 0, 1, 2, 3])):
+            at = r.randrange(len(own) + 1)
+            own[at : at + r.randint(0, 1)] = [token() for _ in range(r.randint(0, 2))]
+        rows.append((i, " ".join([*(token() for _ in range(r.randint(0, 12))), *own, *(token() for _ in range(r.randint(0, 12)))]), "en", "a"))
+    settings = decontaminate.Settings()
+    found = decontaminate.decontaminate(odd(spark, rows), spark.createDataFrame(items, "item_id long, text string"), settings).collect()
+    got = {x.doc_id: (set(x["items"]), round(x.cover, 9)) for x in found}
+    marked = 0
+    for i, text, _, _ in rows:
+        doc, want, best = canonical(text), set(), 0.0
+        for number, t in items:
+            item = canonical(t)
+            matches = _plain_matches(item, doc, settings)
+            bands = {(j - a) // settings.shift - k for a, j, _, _ in matches for k in (0, 1)}
+            cover = 0
+            for band in bands:
+                inside = [m for m in matches if (m[1] - m[0]) // settings.shift - band in (0, 1)]
+                for some in [inside, *([m for m in inside if m[1] - m[0] == d] for d in {m[1] - m[0] for m in inside})]:
+                    same = [m for m in some if all(item[m[0] + k][0] == doc[m[1] + k][0] for k in range(m[2]))]
+                    cover = max(cover, _plain_cover(item, doc, [m for m in some if not m[3]]), _plain_cover(item, doc, some), len({m[0] + k for m in same for k in range(m[2])}))
+            if cover and cover >= settings.cover * len(item):
+                want.add(number)
+                best = max(best, cover / len(item))
+        assert got[i] == (want, round(best, 9)), (i, text)
+        marked += bool(want)
+    assert 20 < marked < 120
