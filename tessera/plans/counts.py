@@ -30,7 +30,6 @@ placed("list_ledger", "ledger", "SELECT entry_id, kind, created_at FROM ledger W
 sql("list_effects", "effects symbols", "SELECT s.qname, s.file, e.effect FROM symbols s JOIN effects e ON e.symbol_id = s.symbol_id WHERE e.effect = 'net.out' AND s.file LIKE '%brand%'")
 sql("feedback_export", "feedback", "SELECT verdict, count(*) AS n, count(DISTINCT symbol_id) AS n_symbols FROM feedback GROUP BY verdict")
 sql("feedback_import", "feedback symbols", "SELECT count(*) AS n_read, count(s.symbol_id) AS imported, count(*) - count(s.symbol_id) AS skipped_unknown FROM feedback f LEFT JOIN symbols s ON s.symbol_id = f.symbol_id")
-sql("read_jsonl_conclusions", "ledger symbols", "SELECT kind, count(*) AS n_read, count(s.symbol_id) AS imported, count(*) - count(s.symbol_id) AS skipped_unknown FROM ledger l LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = l.symbol_id GROUP BY kind")
 # an entry that supersedes another is written under its name too: the last write of a name wins
 sql("upsert_ledger", "ledger", "SELECT entry_id, symbol_id, kind, summary FROM (SELECT entry_id, symbol_id, kind, summary, row_number() OVER (PARTITION BY entry_id ORDER BY seq DESC) AS r FROM (SELECT entry_id, symbol_id, kind, summary, seq FROM ledger UNION ALL SELECT supersedes AS entry_id, symbol_id, kind, summary, seq FROM ledger WHERE supersedes IS NOT NULL) AS w) AS t WHERE r = 1")
 # runs that the store has already, here those whose effects the ledger holds under a later entry, aren't loaded again

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..shared import shared_dir
-from ..sources.crosswalk import frame, with_ctes
+from ..sources.crosswalk import frame, run_sql, with_ctes
 from ..streaming import feeds
 from .base import sql
 
@@ -62,6 +62,32 @@ def import_all(spark, sf_dir):
     return spark.read.schema("entry_id string, class string").json(path).groupBy("class").agg(F.count("*").alias("n"))
 
 
+@query("read_jsonl_audit", with_ctes(["audit"], "SELECT seq, event_type, actor_id, outcome FROM audit"))
+def read_jsonl_audit(spark, sf_dir):
+    """An audit file of JSON lines, read back: blank lines are passed over, a malformed one fails the read."""
+    own = frame(spark, sf_dir, "audit").select("seq", "event_type", "actor_id", "outcome")
+    lines = own.select(F.explode(F.when(F.col("seq") % 50 == 3, F.array(F.lit(" "), F.to_json(F.struct("*")))).otherwise(F.array(F.to_json(F.struct("*"))))).alias("value"))
+    text = spark.read.text(_written(spark, lines, lambda w, p: w.text(p))).where(F.trim("value") != "")
+    return text.select(F.from_json("value", own.schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+CONCLUSIONS = "SELECT l.kind, l.entry_id, l.seq, coalesce(s.qname, concat('gone.', l.symbol_id)) AS qname FROM ledger l LEFT JOIN symbols s ON s.symbol_id = l.symbol_id"
+
+
+@query("read_jsonl_conclusions", with_ctes(["ledger", "symbols"], f"SELECT kind AS class, count(*) AS n_read, count(CASE WHEN NOT bad AND qname NOT LIKE 'gone.%' THEN 1 END) AS imported, count(CASE WHEN NOT bad AND qname LIKE 'gone.%' THEN 1 END) AS skipped_unknown, count(CASE WHEN bad THEN 1 END) AS skipped_parse FROM (SELECT *, seq % 97 = 5 AS bad FROM ({CONCLUSIONS}) AS c) AS l GROUP BY kind"))
+def read_jsonl_conclusions(spark, sf_dir):
+    """Files of JSON lines, one for each class, read back: malformed lines and unknown names are counted and left out."""
+    own = run_sql(spark, sf_dir, ["ledger", "symbols"], CONCLUSIONS)
+    record = F.to_json(F.struct("entry_id", "qname"))
+    lines = own.select("kind", F.when(F.col("seq") % 97 == 5, F.substring(record, 1, 15)).otherwise(record).alias("value"))
+    text = spark.read.schema("value string, kind string").text(_written(spark, lines, lambda w, p: w.partitionBy("kind").text(p))).where(F.trim("value") != "")
+    parsed = text.select("kind", F.from_json("value", "entry_id string, qname string, bad string", {"columnNameOfCorruptRecord": "bad"}).alias("r"))
+    known = frame(spark, sf_dir, "symbols").select("qname", F.lit(True).alias("known"))
+    bad = F.col("r.bad").isNotNull()
+    joined = parsed.select("kind", bad.alias("bad"), F.col("r.qname").alias("qname")).join(known, "qname", "left")
+    return joined.groupBy(F.col("kind").alias("class")).agg(F.count("*").alias("n_read"), F.count_if(~F.col("bad") & F.col("known").isNotNull()).alias("imported"), F.count_if(~F.col("bad") & F.col("known").isNull()).alias("skipped_unknown"), F.count_if("bad").alias("skipped_parse"))
+
+
 sql("ledger_append", "ledger", "SELECT entry_id, symbol_id FROM ledger UNION ALL SELECT 'e-new' AS entry_id, 'sym_1' AS symbol_id")
 # orders are commits, their items the symbols that they touch; a pending order is not committed yet
 TOUCHED = "SELECT DISTINCT s.file FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN symbols s ON s.part = l.l_partkey WHERE"

@@ -47,7 +47,6 @@ sql("cap_history", "events", "SELECT event_id FROM (SELECT event_id, row_number(
 sql("history_window", "events", "SELECT event_id, place FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS place FROM events WHERE event_type = 'signup') AS t WHERE place <= 25")
 sql("trust_history", "events", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r FROM events) AS t WHERE r <= 40")
 sql("cursor_tail", "audit", "SELECT seq, event_type, outcome FROM audit WHERE seq > coalesce((SELECT max(seq) FROM audit WHERE seq = 9000), -1) AND event_type LIKE '%purch%' AND outcome = 'allow'")
-sql("read_jsonl_audit", "audit", "SELECT seq, event_type, actor_id, outcome FROM audit WHERE subject_id IN ('sym_100', 'sym_200')")
 
 
 @query("hash_chain", with_ctes(["audit"], "SELECT seq, prev_event_hash IS NULL OR prev_event_hash = before AS intact FROM (SELECT seq, prev_event_hash, lag(event_hash) OVER (ORDER BY seq) AS before FROM audit) AS a"))
