@@ -20,12 +20,10 @@ least one, so a group of any size costs a comparison or two a
 member; whatever is then connected needs no further comparison.  The rest, pairs
 of one bucket that lie in different components, is compared too, each in the
 first bucket that both have.  Buckets in which more than `crowd` nodes are left
-are cut into blocks, whose nodes get `fine` more samples each; pairs are found
-block against block and compared if they agree in the share `fine_agree` of these
-too, about three deviations below the threshold.  So of a large group whose
-members are all somewhat alike only pairs near the threshold are compared.  Every
-link is verified by the weighted Jaccard similarity of the two whole texts, and
-the classes are the connected components.
+are cut into blocks that carry their texts, and the similarities of all pairs of
+two blocks are found at once, by products of matrices of the shingles; these are
+the same pairs and similarities.  Every link is verified by the weighted Jaccard
+similarity of the two whole texts, and the classes are the connected components.
 
 A text of fewer than `words` words is one shingle.  Null and empty texts are
 nobody's duplicate: such a row is its own class.  Null identifiers count as larger than
@@ -49,6 +47,8 @@ SLOTS = 1 << 16
 BLOCK = 1 << 13
 PARTS = 64
 FILTER_SLOTS = 1 << 20
+#: Shingles in a product of matrices.
+COLUMNS = 4096
 
 
 @dataclass(frozen=True)
@@ -60,10 +60,9 @@ class Settings:
     common: float = 0.01
     crowd: int = 64
     block: int = 512
+    block_bytes: int = 4 << 20
     extra: int = 37
     agree: float = 0.64
-    fine: int = 256
-    fine_agree: float = 0.73
 
     @property
     def samples(self) -> int:
@@ -149,15 +148,15 @@ def frequencies(texts: DataFrame, settings: Settings) -> Frequencies:
     return Frequencies(total.reshape(2, SLOTS).astype(np.float64), n, settings.common)
 
 
-def sample(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, k: int, begin: int = 0) -> np.ndarray:
-    """k consistent weighted samples of each text, from number `begin` on, as 64-bit hashes; 0 for a text without shingles."""
+def sample(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, k: int) -> np.ndarray:
+    """k consistent weighted samples of each text, as 64-bit hashes; 0 for a text without shingles."""
     out = np.zeros((texts, k), U64)
     if not len(h):
         return out
     first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
     sizes = np.diff(np.append(first, len(h)))
     log_w = np.log(weight)
-    for j in range(begin, begin + k):
+    for j in range(k):
         x = mix(h + U64((0x9E3779B97F4A7C15 * (2 * j + 1)) & 0xFFFFFFFFFFFFFFFF))
         r = _LOG12[(x & U64(0xFFF)).astype(np.int16)] + _LOG12[((x >> U64(12)) & U64(0xFFF)).astype(np.int16)]
         beta = ((x >> U64(24)) & U64(0xFFF)).astype(np.float32) * np.float32(1 / 4096)
@@ -168,7 +167,7 @@ def sample(owner: np.ndarray, h: np.ndarray, weight: np.ndarray, texts: int, k:
         hit = np.flatnonzero(score == np.repeat(least, sizes))
         which, at = np.unique(owner[hit], return_index=True)
         hit = hit[at]
-        out[which, j - begin] = mix(h[hit] ^ mix(t[hit].astype(np.int64).view(U64) + U64(j)))
+        out[which, j] = mix(h[hit] ^ mix(t[hit].astype(np.int64).view(U64) + U64(j)))
     return out
 
 
@@ -231,36 +230,52 @@ def agreement(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _in_blocks(least: int, fine_least: int):
-    """For applyInArrow: the pairs of two blocks of a bucket (or of one with itself) that lie in different components, have
-    this bucket as their first common one and agree in `least` samples and `fine_least` further ones."""
-
-    def lists(column: pa.ChunkedArray) -> np.ndarray:
-        flat = column.combine_chunks()
-        return flat.flatten().to_numpy().reshape(len(flat), -1)
-
-    def agreeing(samples: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(y)), np.int16)
-        for k in range(samples.shape[1]):
-            out += samples[x, k][:, None] == samples[y, k][None, :]
-        return out
+def similarities(texts: pa.Array, x: np.ndarray, y: np.ndarray, settings: Settings, freq: Frequencies) -> np.ndarray:
+    """The weighted Jaccard similarity of each text of x with each of y, both as indexes."""
+    owner, h, count = shingles(*buffers(texts), settings.words)
+    weight = freq.weights(h, np.ones(len(h), np.int32)).astype(np.float64)
+    total = np.bincount(owner, weight * count, len(texts))
+    # a shingle that a text has k times is k items, so that what two texts share is a product of 0 and 1
+    at = np.repeat(np.arange(len(h)), count)
+    number = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+    keys = mix(h[at] + number.astype(U64) * U64(0x9E3779B97F4A7C15))
+    columns, first, n = np.unique(keys, return_index=True, return_counts=True)
+    columns, worth = columns[n > 1], weight[at[first[n > 1]]]
+    place = np.minimum(np.searchsorted(columns, keys), max(len(columns) - 1, 0))
+    hit = np.flatnonzero(columns[place] == keys) if len(columns) else np.zeros(0, np.int64)
+    place, row = place[hit], owner[at[hit]]
+    order = np.argsort(place, kind="stable")
+    place, row = place[order], row[order]
+    both = np.zeros((len(x), len(y)))
+    for low in range(0, len(columns), COLUMNS):
+        some = slice(*np.searchsorted(place, (low, low + COLUMNS)))
+        m = np.zeros((len(texts), min(COLUMNS, len(columns) - low)))
+        m[row[some], place[some] - low] = 1
+        both += (m[x] * worth[low : low + COLUMNS]) @ m[y].T
+    return both / np.maximum(total[x][:, None] + total[y][None, :] - both, 1e-12)
+
+
+def _in_blocks(settings: Settings, shared):
+    """For applyInArrow: the links between two blocks of a bucket (or of one with itself) that lie in different components
+    and have this bucket as their first common one."""
 
     def run(key, table):
         bucket, i, j = (k.as_py() for k in key)
         block, comp = table.column("block").to_numpy(), table.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
-        sig, fine, bands = (lists(table.column(c)) for c in ("sig", "fine", "bands"))
+        flat = table.column("bands").combine_chunks()
+        bands = flat.flatten().to_numpy().reshape(len(flat), -1)
         x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = np.nonzero((agreeing(sig, x, y) >= least) & (comp[x][:, None] != comp[y][None, :]))
+        linked = similarities(table.column("text").combine_chunks(), x, y, settings, shared.value) >= settings.threshold - 1e-9
+        a, b = np.nonzero(linked & (comp[x][:, None] != comp[y][None, :]))
         a, b = x[a], y[b]
         if i == j:
             a, b = a[a < b], b[a < b]
-        first = np.zeros(len(a), bool)
-        for at in range(0, len(a), 1 << 14):
-            p, q = a[at : at + (1 << 14)], b[at : at + (1 << 14)]
-            same = bands[p] == bands[q]
-            first[at : at + (1 << 14)] = (bands[p, same.argmax(axis=1)] == bucket) & ((fine[p] == fine[q]).sum(axis=1) >= fine_least)
+        own = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 16):
+            p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            own[at : at + (1 << 16)] = bands[p, (bands[p] == bands[q]).argmax(axis=1)] == bucket
         node = table.column("node").combine_chunks()
-        return pa.table({"a": node.take(pa.array(a[first])), "b": node.take(pa.array(b[first]))})
+        return pa.table({"a": node.take(pa.array(a[own])), "b": node.take(pa.array(b[own]))})
 
     return run
 
@@ -272,7 +287,7 @@ class _Graph:
         self.docs, self.nodes, self.settings, self.freq = docs, nodes, settings, freq
         self.shared = docs.sparkSession.sparkContext.broadcast(freq)
         self.sigs = nodes.select("node", "sig")
-        self.least, self.fine_least = int(settings.agree * settings.samples), int(settings.fine_agree * settings.fine)
+        self.least = int(settings.agree * settings.samples)
 
     def texts(self, some: DataFrame) -> DataFrame:
         """(node, text) of some different nodes.  A broadcast of at most FILTER_SLOTS numbers thins the documents before the join."""
@@ -307,21 +322,6 @@ class _Graph:
         both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
         return saved(both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary"), "links")
 
-    def finer(self, some: DataFrame) -> DataFrame:
-        """(node, fine): the further samples of some different nodes."""
-        settings, shared = self.settings, self.shared
-
-        def run(batches):
-            for batch in batches:
-                for part, data, bounds in slices(batch, most=1 << 20):
-                    owner, h, count = shingles(data, bounds, settings.words)
-                    n = part.num_rows
-                    s = sample(owner, h, shared.value.weights(h, count), n, settings.fine, settings.samples)
-                    lists = _lists((s & U64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), np.zeros(n, bool))
-                    yield pa.RecordBatch.from_arrays([part.column("node"), lists], names=["node", "fine"])
-
-        return saved(self.texts(some).select("node", "text").mapInArrow(run, "node binary, fine array<int>"), "fine")
-
     def likely(self, pairs: DataFrame) -> DataFrame:
         """Distinct pairs whose samples agree often enough to be worth a comparison."""
         s = self.sigs
@@ -383,14 +383,14 @@ def classes(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc_
     cross = x.join(y, (F.col("bucket_x") == F.col("bucket_y")) & apart & (agreement("sig_x", "sig_y") >= graph.least))
     cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
 
-    blocks = F.ceil(F.col("n") / settings.block).cast("int")
-    large = left.where(crowded & ~F.col("node").isin(F.col("low"), F.col("high"))).withColumn("blocks", blocks)
-    large = large.join(graph.finer(large.select("node").distinct()), "node")
+    large = left.where(crowded & ~F.col("node").isin(F.col("low"), F.col("high"))).select("bucket", "node", "comp", "bands")
+    large = large.join(graph.texts(large.select("node").distinct()), "node")
+    blocks = F.ceil(F.greatest(F.count("*") / settings.block, F.sum(F.octet_length("text")) / settings.block_bytes)).cast("int")
+    large = large.join(large.groupBy("bucket").agg(blocks.alias("blocks")), "bucket")
     large = large.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "sig", "fine", "bands")
-    found = large.groupBy("bucket", "i", "j").applyInArrow(_in_blocks(graph.least, graph.fine_least), "a binary, b binary")
-    cross = cross.unionByName(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-    more = graph.verified(cross.distinct())
+    large = large.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "bands", "text")
+    found = large.groupBy("bucket", "i", "j").applyInArrow(_in_blocks(settings, graph.shared), "a binary, b binary")
+    more = saved(graph.verified(cross.distinct()).unionByName(found), "more")
     comp = components(saved(first.union(more), "links")) if not more.isEmpty() else comp
 
     named = nodes.select("node", "first_id", "copies").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
