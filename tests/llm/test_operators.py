@@ -250,7 +250,8 @@ def test_line_dedup_against_brute_force(spark, crowd):
 
 
 @pytest.mark.parametrize("threshold, crowd, hot", [(0.5, 256, 1 << 16), (0.5, 2, 1 << 16), (0.7, 3, 4), (0.8, 256, 3), (1.0, 2, 2)])
-def test_line_dedup_at_any_threshold(spark, threshold, crowd, hot):
+def test_line_dedup_at_any_threshold(spark, monkeypatch, threshold, crowd, hot):
+    monkeypatch.setattr(line_dedup, "CROWD_BLOCK", 2 * crowd + 4)  # words of both kinds
     r = random.Random(17)
     words = [f"w{i}" for i in range(9)]
     rows = [(i, "\n".join(" ".join(r.sample(words, r.randint(1, 5))) for _ in range(2)), "en", "a") for i in range(60)] + [(90, "a b c d", "en", "a"), (91, "a b c", "en", "a")]
