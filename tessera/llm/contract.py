@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..shipping import ship
-from . import decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, shard, token_counts, toxicity
+from . import decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, repair, shard, token_counts, toxicity
 
 _QUERIES = {
     "op1_lm_score": lm_score.op1_lm_score,
@@ -16,6 +16,7 @@ _QUERIES = {
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op13_conversation_repair": repair.op13_conversation_repair,
 }
 
 

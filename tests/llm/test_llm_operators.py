@@ -459,7 +459,7 @@ def test_quality_counts_and_verdicts(spark):
 
 
 def test_contract_registers_all():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in contract.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in contract.QUERIES) == list(range(1, 14))
 
 
 def test_components_against_brute_force(spark):
