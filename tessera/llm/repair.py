@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import saved
-from .turns import conversations, folded, key_of, placed
+from .turns import CRC_TABLE, conversations, crc_sql, folded, key_of, placed
 
 SPACE = " \t\n\x0b\x0c\r"
 #: More than any repair costs.
@@ -260,4 +260,48 @@ def repaired(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return out.select("conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in COUNTS), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.lit(hashlib.sha256().hexdigest())).alias("repaired_sha256"))
 
 
-__all__ = ["Repaired", "Settings", "damaged", "digests", "op13_conversation_repair", "repair", "repaired"]
+
+def _sql_plus(path: str, cost: str, sign: str, turn: str) -> str:
+    return f"CASE WHEN {path} IS NOT NULL THEN {{'c': {path}.c + {cost}, 'a': {path}.a || {sign}, 'o': list_append({path}.o, {turn})}} END"
+
+
+def _sql_put(path: str, name: str) -> str:
+    same = f"role[1] = '{name[0]}'"
+    return f"CASE WHEN NOT must THEN {_sql_plus(path, f'cut + CASE WHEN {same} THEN 0 ELSE 2 END', f"CASE WHEN {same} THEN 'K' ELSE 'R' END", f"CASE WHEN {same} THEN role ELSE '{name}' END || ':' || text")} END"
+
+
+def _sql_delete(path: str) -> str:
+    return f"CASE WHEN {path} IS NOT NULL THEN {{'c': {path}.c + 3, 'a': {path}.a || 'D', 'o': {path}.o}} END"
+
+
+_SQL_USER = f"list_min([s2, {', '.join(_sql_plus(p, '2', chr(39) + 'I' + chr(39), chr(39) + 'user:' + chr(39)) for p in ('s0', 's1', 's3'))}])"
+_SQL_ASSISTANT = f"list_min([s3, {_sql_plus('u', '2', chr(39) + 'I' + chr(39), chr(39) + 'assistant:' + chr(39))}])"
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+h AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fault FROM conversations, crc_table),
+d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+        unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+        regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS inked, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM d),
+t AS (SELECT *, inked = '' OR again AS must, CASE WHEN inked = '' OR again OR regexp_matches(inked, '[.!?]$') THEN 0 ELSE 1 END AS cut,
+        lag(role) OVER (PARTITION BY conv_id ORDER BY pos) AS behind FROM r),
+e AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (inked = '') AS blank, count(*) FILTER (inked <> '' AND again) AS duplicate, sum(cut) AS truncated,
+        count(*) FILTER (behind IS NOT NULL AND behind[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id),
+f AS (
+  SELECT conv_id, 0::BIGINT AS pos, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR[]) AS s1, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR[]) AS s2, NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR[]) AS s3
+  FROM (SELECT DISTINCT conv_id FROM conversations) AS q
+  UNION ALL
+  SELECT conv_id, pos, {_sql_delete("s0")},
+         list_min([{_sql_delete("s1")}, CASE WHEN NOT must AND role[1] = 's' THEN {_sql_plus("s0", "cut", "'K'", "role || ':' || text")} END]),
+         list_min([{_sql_delete("u")}, {_sql_put("b", "user")}]),
+         list_min([{_sql_delete("a")}, {_sql_put("u", "assistant")}])
+  FROM (SELECT *, list_min([s0, s1, a]) AS b FROM (SELECT *, {_SQL_ASSISTANT} AS a FROM (SELECT t.conv_id, t.pos, t.role, t.text, t.must, t.cut, s0, s1, s2, s3, {_SQL_USER} AS u FROM f JOIN t ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.pos = f.pos + 1) AS x) AS y) AS z),
+g AS (SELECT conv_id, list_min([s0, a]) AS best FROM (SELECT *, {_SQL_ASSISTANT} AS a FROM (SELECT *, {_SQL_USER} AS u FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) AS late FROM f) AS w WHERE late = 1) AS x) AS y)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       best.c::BIGINT AS cost, best.a AS audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM g LEFT JOIN e ON g.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+__all__ = ["OP13_SQL", "Repaired", "Settings", "damaged", "digests", "op13_conversation_repair", "repair", "repaired"]

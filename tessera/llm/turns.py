@@ -99,3 +99,12 @@ def folded(rows: DataFrame, key: str, order: list[str], state: Callable[[], obje
     arrow = {"long": pa.int64(), "string": pa.string()}
     schema = pa.schema([(key, pa.string()), *((n, arrow[part.split()[1]]) for n, part in zip(names, kind.split(", ")))])
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, f"{key} string, {kind}")
+
+
+#: For DuckDB, which has no CRC-32: a table of the remainders of one byte, and the CRC-32 of a text by it.
+CRC_TABLE = "crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i)) AS crc_t)"
+
+
+def crc_sql(text: str) -> str:
+    octets = f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295::BIGINT, list_reduce({octets}, lambda a, b: xor(crc_t[(xor(a, b) & 255) + 1], a // 256), 4294967295::BIGINT))"

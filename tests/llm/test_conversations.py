@@ -8,7 +8,7 @@ from itertools import pairwise
 
 import pytest
 
-from tessera.llm import repair
+from tessera.llm import chat_format, repair
 
 SCHEMA = "conv_id long, turn long, role string, text string, key string, pos int, block string, n long"
 
@@ -116,3 +116,75 @@ def test_repaired_rows_hold_the_texts(spark):
     got = sorted((r.key, r.pos, r.sub, r.role, r.text, r.edit) for r in found.rows.collect())
     assert got == [("=1", 0, 0, "user", "One.", "K"), ("=1", 1, 0, "assistant", "Two.", "R")]
     assert {r.key: (r.cost, r.audit) for r in found.report.collect()} == {"=1": (5, "KRD"), "=2": (3, "D")}
+
+
+def plain(rows):
+    """Rows in order with nulls as empty texts, by conversation."""
+    found = {}
+    for conv, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, (r[2] or "").encode(), (r[3] or "").encode())):
+        found.setdefault(conv, []).append((role or "", text or ""))
+    return found
+
+
+def windows_of(turns, s):
+    """(begin, end, shown, system) by a plain loop over the turns."""
+    tokens = [len(re.findall(r"[^\W\d_]+|\d+|[^\w\s]|_", t)) + s.marks for _, t in turns]
+    system = turns[0][0] == "system"
+    out, fill = [], 0
+    for i, n in enumerate(tokens):
+        if i % s.block and fill + n <= s.budget:
+            fill += n
+            out[-1][1] = i
+            continue
+        shown, head = i, tokens[0] * system
+        while i and i - shown < s.history_turns and shown > system and sum(tokens[shown - 1 : i]) <= min(s.history, s.budget - head - n):
+            shown -= 1
+        fill = n if i == 0 else head + sum(tokens[shown : i + 1])
+        out.append([i, i, shown, system and i > 0])
+    return out, tokens
+
+
+@pytest.mark.parametrize("settings", [chat_format.Settings(), chat_format.Settings(budget=30, history=14, history_turns=3), chat_format.Settings(budget=25, history=20, history_turns=2, block=4, salts=2), chat_format.Settings(budget=1, history=0, block=3)])
+def test_windows_against_brute_force(spark, settings):
+    rows = talk(5, 40, long=30) + ODD
+    got = {}
+    for r in chat_format.chat_format(table(spark, rows), settings).collect():
+        got.setdefault(r.key, []).append(r)
+    want = plain(rows)
+    assert len(got) == len(want)
+    for conv, turns in want.items():
+        own = sorted(got["" if conv is None else f"={conv}"], key=lambda r: r.begin)
+        spans, tokens = windows_of(turns, settings)
+        assert [(r.begin, r.end) for r in own] == [(a, b) for a, b, _, _ in spans]
+        learnt = []
+        for r, (a, b, shown, system) in zip(own, spans):
+            places = [0] * system + [*range(max(shown, int(system)), b + 1)]
+            read = chat_format.turns_of(r.formatted)
+            assert [x[:2] for x in read] == [turns[p] for p in places]
+            assert r.repeated == sum(p < a for p in places) and r.n_tokens == sum(tokens[p] for p in places)
+            assert r.n_tokens <= settings.budget or a == b and r.repeated <= 1
+            learnt += [chat_format.unescaped(r.formatted[m.begin : m.end]) for m in r["mask"]]
+            assert all(r.formatted[m.end :].startswith(chat_format.END) for m in r["mask"])
+        assert learnt == [t for role, t in turns if role == "assistant"]
+
+
+def test_formatted_conversations_read_back(spark):
+    rows = talk(6, 30) + ODD + chat_format.PLANTED
+    got = {r.conv_id: r for r in chat_format.digested(table(spark, rows)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for conv, turns in plain(rows).items():
+        loss = "".join(t for role, t in turns if role == "assistant")
+        r = got[conv]
+        assert (r.n_turns, r.loss_chars) == (len(turns), len(loss)) and r.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+    assert chat_format.digested(table(spark, [])).collect() == []
+
+
+def test_escapes_are_reversible(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice(["<", "|", "\\", "<|", "im_end|>", "\n", "a"]) for _ in range(r.randint(0, 12))) for _ in range(300)]
+    rows = [(i, 0, text, text) for i, text in enumerate(texts)]
+    for row in chat_format.chat_format(table(spark, rows)).collect():
+        ((role, text, _, _),) = chat_format.turns_of(row.formatted)
+        assert role == text == texts[int(row.key[1:])]
+        assert row.formatted.count("<|") == 2
