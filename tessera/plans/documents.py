@@ -1,13 +1,12 @@
-"""Chunking of documents and pages, postings, and BM25 search."""
+"""Chunking of documents and pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chunks, search
+from ..operators import chunks
 from ..registry import query
 from ..sources.crosswalk import frame, with_ctes
-from .base import sql
 
 # The SQL below cuts files into numbered lines and sums up where headings begin; the operators split by patterns.
 L = "SELECT path, content, @GROUP(path, '([^/]*)$') AS name, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS n FROM docfiles"
@@ -78,35 +77,3 @@ def is_doc_file(spark, sf_dir):
 @query("html_to_text", with_ctes(["pages"], f"SELECT page_id, {HTML.replace('content', 'html')} AS text FROM pages"))
 def html_to_text(spark, sf_dir):
     return frame(spark, sf_dir, "pages").select("page_id", chunks.html_text(F.col("html")).alias("text"))
-
-
-WORDS_S = "SELECT doc_id, explode(filter(split(lower(body), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> '')) AS term FROM docs"
-WORDS_D = "SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')) AS term FROM docs"
-POSTINGS = "SELECT term, doc_id, count(*) AS tf FROM ({words}) AS w GROUP BY term, doc_id"
-sql("fts_index_build", "docs", POSTINGS.format(words=WORDS_S), POSTINGS.format(words=WORDS_D))
-sql("docs_index_build", "docs", "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (" + WORDS_S + ") AS w GROUP BY term", "SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (" + WORDS_D + ") AS w GROUP BY term")
-TERMS = ["idiot", "que", "thing", "nicht", "ellas"]
-BM25 = f""", post AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term), len AS (SELECT doc_id, count(*) AS dl FROM words GROUP BY doc_id),
-st AS (SELECT (SELECT count(*) FROM docs) AS n, (SELECT count(*) FROM words) * 1.0::DOUBLE / (SELECT count(*) FROM docs) AS avgdl),
-df AS (SELECT term, count(*) AS df FROM post WHERE term IN ({", ".join(f"'{t}'" for t in TERMS)}) GROUP BY term),
-s AS (SELECT p.doc_id, sum(greatest(ln((st.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)), 1e-6::DOUBLE) * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l.dl / st.avgdl))) AS score
-  FROM post p JOIN df d USING (term) JOIN len l USING (doc_id) CROSS JOIN st GROUP BY p.doc_id)"""
-
-
-def _bm25(name: str, boost: str, most: int):
-    text = f"WITH words AS ({WORDS_D}){BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT s.doc_id, s.score{boost} AS score, row_number() OVER (ORDER BY round(s.score{boost}, 6) DESC, s.doc_id) AS r FROM s JOIN docs USING (doc_id)) AS t WHERE r <= {most}"
-
-    @query(name, with_ctes(["docs"], text))
-    def run(spark, sf_dir):
-        docs = frame(spark, sf_dir, "docs")
-        hits = search.bm25(docs, "doc_id", "body", TERMS)
-        if boost:
-            hits = hits.join(docs.select("doc_id", "kind"), "doc_id").select("doc_id", (F.col("score") + F.when(F.col("kind") == "src1", 2.5).otherwise(0.0)).alias("score"))
-        hits = hits.select("doc_id", F.round("score", 6).alias("score"))
-        return hits.orderBy(F.col("score").desc(), "doc_id").limit(most)
-
-
-_bm25("bm25_search", "", 50)
-_bm25("docs_search", "", 20)
-_bm25("hybrid_boost", " + CASE WHEN docs.kind = 'src1' THEN 2.5::DOUBLE ELSE 0::DOUBLE END", 50)
-_bm25("find_candidates", " + CASE WHEN docs.kind = 'src1' THEN 2.5::DOUBLE ELSE 0::DOUBLE END", 10)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from ..registry import query
+from ..shared import saved
 from ..sources.crosswalk import frame, run_sql, with_ctes
 from .base import sql
 
@@ -153,17 +154,23 @@ def effects_overview(spark, sf_dir):
     return out.withColumn("top", F.array_join(F.transform("top", lambda x: x["t"]), ","))
 
 
-LABELS = _walk("node", "other", 3, "SELECT DISTINCT node AS root FROM adjacent", "adjacent") + ", labels AS (SELECT root AS node, min(node) AS community FROM found GROUP BY root)"
-
-
-@query("communities", with_ctes(["edges", "adjacent"], LABELS + " SELECT node, community FROM labels"))
+@query("communities")
 def communities(spark, sf_dir):
-    return graph.label_components(frame(spark, sf_dir, "edges"), 3)
+    """Symbols by the community of calls that they belong to."""
+    return graph.communities(frame(spark, sf_dir, "edges"))
 
 
-@query("clusters_report", with_ctes(["edges", "adjacent"], LABELS + " SELECT community, count(*) AS n FROM labels GROUP BY community HAVING count(*) >= 2"))
+@query("clusters_report")
 def clusters_report(spark, sf_dir):
-    return communities(spark, sf_dir).groupBy("community").agg(F.count("*").alias("n")).where("n >= 2")
+    """Communities of two members at least: size, the package most members are in, and the member with the most calls."""
+    edges = frame(spark, sf_dir, "edges")
+    degree = edges.select(F.explode(F.array("src", "dst")).alias("symbol_id")).groupBy("symbol_id").agg(F.count("*").alias("degree"))
+    folder = F.regexp_extract("file", "^(.*)/[^/]*$", 1)
+    symbols = frame(spark, sf_dir, "symbols").select("symbol_id", "qname", F.when(folder == "", ".").otherwise(folder).alias("package"))
+    members = saved(graph.communities(edges).join(symbols, F.col("node") == F.col("symbol_id")).join(degree, "symbol_id").select("community", "qname", "package", "degree"), "members")
+    size = members.groupBy("community").agg(F.count("*").alias("n"), F.min(F.struct((-F.col("degree")).alias("d"), "qname")).alias("r")).where("n >= 2")
+    packages = members.groupBy("community", "package").agg(F.count("*").alias("n")).groupBy("community").agg(F.min(F.struct((-F.col("n")).alias("n"), "package")).alias("p"))
+    return size.join(packages, "community").select("community", "n", F.col("p.package").alias("package"), F.col("r.qname").alias("representative"))
 
 
 sql("edge_resolve_join", "edges symbols", "SELECT a.qname AS caller, b.qname AS callee, split_part(a.qname, '.', 1) = split_part(b.qname, '.', 1) AS intra FROM edges e JOIN (SELECT symbol_id, qname FROM symbols) a ON a.symbol_id = e.src JOIN (SELECT symbol_id, qname FROM symbols) b ON b.symbol_id = e.dst")

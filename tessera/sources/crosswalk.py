@@ -95,6 +95,26 @@ SELECT DISTINCT concat(CASE p_size % 13 WHEN 0 THEN 'App/Sources/' WHEN 1 THEN '
   CASE p_partkey % 17 WHEN 0 THEN 'Till' WHEN 1 THEN 'test_till' WHEN 2 THEN 'till_test' WHEN 3 THEN 'TillTests' WHEN 4 THEN 'TillTest' WHEN 5 THEN 'till.spec' WHEN 6 THEN 'TillSpec' WHEN 7 THEN 'till_spec' WHEN 8 THEN 'TillView' WHEN 9 THEN 'TillPreview' WHEN 10 THEN 'till.generated'
     WHEN 11 THEN 'MockTill' WHEN 12 THEN 'till_fake' WHEN 13 THEN 'TillViewControllerBase' WHEN 14 THEN 'TillOverlay' WHEN 15 THEN 'Contest' ELSE lower(replace(p_name, ' ', '_')) END,
   CASE p_partkey % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.rs' WHEN 3 THEN '.go' WHEN 4 THEN '.java' WHEN 5 THEN '.cs' WHEN 6 THEN '.rb' WHEN 7 THEN '.kt' ELSE '.swift' END) AS file FROM part"""),
+    # symbols with names in mixed case, and what is asked for: single words, phrases, words that many names share
+    "code": (["part"], """
+SELECT concat('sym_', p_partkey) AS symbol_id,
+       concat(lower(p_type), '.m', p_partkey, '.', CASE p_size % 6
+         WHEN 0 THEN concat(split_part(p_name, ' ', 1), upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2))
+         WHEN 1 THEN concat('refresh', upper(substring(p_name, 1, 1)), substring(split_part(p_name, ' ', 1), 2), upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2))
+         WHEN 2 THEN concat(split_part(p_name, ' ', 2), 'For', upper(substring(p_name, 1, 1)), substring(split_part(p_name, ' ', 1), 2))
+         WHEN 3 THEN concat(upper(p_type), 'State', upper(substring(split_part(p_name, ' ', 2), 1, 1)), substring(split_part(p_name, ' ', 2), 2))
+         WHEN 4 THEN concat('get', upper(substring(p_name, 1, 1)), substring(split_part(p_name, ' ', 1), 2), 'State') ELSE replace(p_name, ' ', '_') END) AS qname,
+       CASE p_partkey % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' ELSE 'rust' END AS language,
+       CASE p_size % 5 WHEN 0 THEN 'module' WHEN 1 THEN 'function' WHEN 2 THEN 'method' WHEN 3 THEN 'class' ELSE 'variable' END AS kind,
+       concat(CASE p_size % 10 WHEN 0 THEN 'tests/' WHEN 1 THEN 'scheduler/' WHEN 2 THEN 'views/' WHEN 3 THEN 'storage/' WHEN 4 THEN 'models/' WHEN 5 THEN 'docs/'
+                WHEN 6 THEN 'samples/' WHEN 7 THEN 'viewmodels/' ELSE 'src/' END, lower(p_type), '/', CASE WHEN p_partkey % 4 = 0 THEN concat(split_part(p_name, ' ', 1), 'Brand') ELSE 'brand' END, substring(p_brand, 7),
+              CASE p_partkey % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.rs' END) AS file,
+       p_size AS start_line, concat('def ', replace(p_name, ' ', '_'), '(self, ', lower(p_type), 'Size: int)') AS signature,
+       CASE WHEN p_size % 7 = 0 THEN NULL ELSE concat(p_name, ' for ', lower(p_type), '. Size ', p_size) END AS doc
+FROM part"""),
+    "asks": (["feedback", "part", "events"], """
+SELECT query FROM feedback UNION SELECT concat(split_part(p_name, ' ', 2), ' state') AS query FROM part UNION SELECT concat('refresh ', p_name) AS query FROM part
+UNION SELECT concat(split_part(p_name, ' ', 2), ' view') AS query FROM part UNION SELECT concat(event_type, ' note of the ', substring(event_type, 1, 4)) AS query FROM events"""),
     "policies": ([], """
 SELECT * FROM (VALUES (1, 'ledger.purchase', FALSE, 'human', NULL), (2, 'ledger.click', TRUE, NULL, 'user7'), (3, 'ledger.error.*', TRUE, NULL, NULL),
   (4, 'ledger.view', FALSE, NULL, NULL), (5, 'ledger.*', FALSE, NULL, 'user8'), (6, 'ledger.signup', TRUE, NULL, NULL)) AS t(pos, match_action, deny, require_approval, agent_id)"""),
@@ -156,9 +176,14 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run_sql(spark, sf_dir, LOGICAL[name][0], LOGICAL[name][1])
 
 
-def run_sql(spark: SparkSession, sf_dir: str, names: list[str], body: str) -> DataFrame:
-    """A query over base and logical tables, which are passed as DataFrames, not as views of the session."""
+def over(spark: SparkSession, body: str, **tables: DataFrame) -> DataFrame:
+    """A query over DataFrames by name, in the form with dialect marks."""
     text = render(body, duck=False).replace("{", "{{").replace("}", "}}")
-    for n in names:
+    for n in tables:
         text = re.sub(rf"(\b(?:FROM|JOIN)\s+|,\s*(?=\w+ (?:AS )?\w+ WHERE)){n}\b", rf"\g<1>{{{n}}}", text)
-    return spark.sql(text, **{n: frame(spark, sf_dir, n) for n in names if "{" + n + "}" in text})
+    return spark.sql(text, **{n: t for n, t in tables.items() if "{" + n + "}" in text})
+
+
+def run_sql(spark: SparkSession, sf_dir: str, names: list[str], body: str) -> DataFrame:
+    """A query over base and logical tables, which are passed as DataFrames, not as views of the session."""
+    return over(spark, body, **{n: frame(spark, sf_dir, n) for n in names})
