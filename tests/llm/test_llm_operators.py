@@ -489,7 +489,7 @@ def test_similarities_by_matrices_equal_the_pairwise_ones(monkeypatch):
     settings = near_dedup.Settings()
     counts = np.zeros((2, near_dedup.SLOTS))
     counts[:, ::3] = 25
-    freq = near_dedup.Frequencies(counts, 32, settings.common)
+    freq = near_dedup.Frequencies(counts, 32, settings)
     x, y = np.arange(0, 32), np.arange(5, 32)
     got = near_dedup.similarities(pa.array(texts), x, y, settings, freq)
     for i in x:
@@ -497,11 +497,24 @@ def test_similarities_by_matrices_equal_the_pairwise_ones(monkeypatch):
         assert got[i][y != i] == pytest.approx(want[y != i], abs=1e-6)  # a text is never compared with itself
 
 
+def test_document_frequencies_act_and_count_copies_once(spark):
+    rare = [prose(1000 + i, 60) for i in range(200)]
+    rows = [(i, f"{text} this passage stands in very many of the texts here", "en", "a") for i, text in enumerate(rare)] + [(900 + i, rare[0], "en", "a") for i in range(300)]
+    docs = odd(spark, rows)
+    keyed = docs.select("text", near_dedup.node_of(docs.text).alias("node"))
+    texts = sorted(r.text for r in near_dedup.different(keyed).collect())
+    assert texts == sorted({t for _, t, _, _ in rows})
+    freq = near_dedup.frequencies(near_dedup.different(keyed), near_dedup.Settings())
+    weigh = lambda text: freq.weights(*near_dedup.shingles(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), 5)[1:])
+    common, single = weigh("passage stands in very many of the texts"), weigh(rare[0])
+    assert common.max() < 0.55 < 0.6 < np.median(single)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
 def test_near_duplicates_of_the_tables_are_found(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     settings = near_dedup.Settings()
-    freq = near_dedup.frequencies(docs.select("text"), settings)
+    freq = near_dedup.frequencies(near_dedup.different(docs.select("text", near_dedup.node_of(docs.text).alias("node"))), settings)
     got = {x.doc_id: x.class_id for x in near_dedup.near_dedup(docs, settings).collect()}
     rows = docs.where(r"text RLIKE '[^\\x20\\x09-\\x0D]'").toArrow()
     ids, every = rows.column("doc_id").to_pylist(), np.arange(rows.num_rows)
