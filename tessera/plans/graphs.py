@@ -181,7 +181,6 @@ sql("owner_lookup_asof", "symbols", "SELECT file, line, qname FROM (SELECT f.fil
 sql("caller_invariant_join", "edges live", "SELECT DISTINCT e.dst AS candidate, l.summary FROM edges e JOIN (SELECT symbol_id, summary FROM live WHERE kind = 'invariant') l ON l.symbol_id = e.src WHERE e.src NOT IN ('sym_20', 'sym_40')")
 sql("lang_hint_lookup", "symbols", "SELECT name, qname FROM (SELECT @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') AS name, qname, row_number() OVER (PARTITION BY @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') ORDER BY CASE WHEN language = 'typescript' THEN 0 ELSE 1 END, qname) AS r FROM symbols) AS t WHERE r = 1")
 sql("definitions_lookup", "symbols", "SELECT qname FROM symbols WHERE qname = 'small_ring_0' OR qname LIKE '%.small_ring_0'")
-sql("test_gap", "symbols", "SELECT DISTINCT s.file FROM symbols s LEFT JOIN (SELECT DISTINCT @GROUP(file, '^tests/(.*)$') AS rest FROM symbols WHERE file LIKE 'tests/%') AS t ON t.rest = @SUB(s.file, '^[a-z]+/', '') WHERE s.file NOT LIKE 'tests/%' AND t.rest IS NULL")
 sql("rg_scan", "benchmark", "SELECT item_id, pos, line FROM (SELECT item_id, posexplode(split(text, '\\n')) AS (pos, line) FROM benchmark) AS b WHERE concat(' ', lower(line), ' ') LIKE '% the %'",
     "SELECT item_id, CAST(pos - 1 AS INTEGER) AS pos, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark) AS b WHERE concat(' ', lower(line), ' ') LIKE '% the %'")
 sql("aggregate_candidates", "symbols live effects", "SELECT s.language, count(DISTINCT s.symbol_id) AS n, count(DISTINCT CASE WHEN l.kind = 'invariant' THEN l.entry_id END) AS invariants, count(DISTINCT CASE WHEN l.kind = 'hazard' THEN l.entry_id END) AS hazards, count(DISTINCT e.effect) AS effects FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id LEFT JOIN effects e ON e.symbol_id = s.symbol_id GROUP BY s.language")
@@ -221,8 +220,6 @@ sql("ledger_text_agg", "live", "SELECT symbol_id, array_join(array_sort(collect_
 sql("unresolved_calls", "lineitem symbols", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem l LEFT JOIN (SELECT part, qname FROM symbols WHERE kind <> 'variable') s ON s.part = l.l_partkey WHERE s.part IS NULL")
 sql("dataflow_resolve", "lineitem", "SELECT a.l_orderkey, a.l_linenumber, a.l_partkey AS argument, b.l_partkey AS parameter FROM lineitem a JOIN lineitem b ON b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_returnflag = b.l_returnflag")
 sql("dead_code_anti_join", "symbols edges endpoints", f"SELECT s.qname, CASE WHEN s.doc IS NULL THEN 'undocumented' ELSE 'documented' END AS note FROM symbols s LEFT JOIN (SELECT DISTINCT dst FROM edges) e ON e.dst = s.symbol_id LEFT JOIN (SELECT DISTINCT replace(symbol_id, 'page.', 'sym_') AS handler FROM endpoints WHERE direction = 'inbound') h ON h.handler = s.symbol_id WHERE s.kind IN ('function', 'method') AND s.file NOT LIKE 'tests/%' AND e.dst IS NULL AND h.handler IS NULL AND @GROUP(s.qname, '([^.]*)$') <> 'main' AND @GROUP(s.qname, '(__[a-z]+__)$') = ''")
-STEM = "@GROUP(file, '([^/]*)[.][a-z]+$')"
-sql("test_files_for_source", "symbols", f"SELECT s.file AS source, t.file AS test FROM (SELECT DISTINCT file, {STEM} AS stem FROM symbols WHERE file NOT LIKE 'tests/%') AS s JOIN (SELECT DISTINCT file, {STEM} AS stem FROM symbols WHERE file LIKE 'tests/%') AS t ON substring(t.stem, 1, 5) = substring(s.stem, 1, 5) AND (contains(t.stem, s.stem) OR contains(s.stem, t.stem))")
 # a router is mounted on the one of the key below by ten, the first on none: the prefixes of a chain are put before each other
 MOUNT = """WITH RECURSIVE m AS (SELECT n_nationkey AS router, n_nationkey AS at, concat('/', lower(replace(n_name, ' ', '-'))) AS path, concat(',', n_nationkey, ',') AS seen FROM nation
 UNION ALL SELECT m.router, n.n_nationkey AS at, concat('/', lower(replace(n.n_name, ' ', '-')), m.path) AS path, concat(m.seen, n.n_nationkey, ',') AS seen

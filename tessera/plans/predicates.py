@@ -99,7 +99,8 @@ ASKS = "SELECT DISTINCT query FROM feedback"
 sql("query_names_file", "paths feedback", f"SELECT file, query, size(filter(words, w -> array_contains(split(query, ' '), w))) >= least(2, size(words)) AS named FROM (SELECT file, {WORDS_S} AS words FROM paths) AS p CROSS JOIN ({ASKS}) AS q",
     f"SELECT file, query, len(list_filter(words, lambda w: list_contains(string_split(query, ' '), w))) >= least(2, len(words)) AS named FROM (SELECT file, {WORDS_D} AS words FROM paths) AS p CROSS JOIN ({ASKS}) AS q")
 MOVED = "replace(replace(replace(file, '/Sources/', '/Tests/'), '/Source/', '/Tests/'), '/src/', '/tests/')"
-sql("propose_test_path", "symbols paths", f"SELECT file, concat(CASE WHEN {MOVED} <> file THEN @SUB({MOVED}, '/[^/]*$', '') ELSE 'Tests' END, '/', {STEM}, 'Tests.', @GROUP(file, '[.]([^./]*)$')) AS test_path FROM ({ALL_FILES}) AS f")
+PROPOSED = f"concat(CASE WHEN {MOVED} <> file THEN @SUB({MOVED}, '/[^/]*$', '') ELSE 'Tests' END, '/', {STEM}, 'Tests.', @GROUP(file, '[.]([^./]*)$'))"
+sql("propose_test_path", "symbols paths", f"SELECT file, {PROPOSED} AS test_path FROM ({ALL_FILES}) AS f")
 sql("test_role", "symbols", f"SELECT DISTINCT file, CASE WHEN {TEST} AND file LIKE '%brand1%' THEN 'diagnostic-test' WHEN {TEST} THEN 'fast-test' END AS role FROM symbols")
 sql("default_name", "pages", "SELECT page_id, @SUB(lower(@GROUP(url, '^https?://([^/?#]+)')), '[^a-z0-9_-]+', '-') AS name FROM pages")
 sql("clean_path", "symbols", "SELECT DISTINCT file, @SUB(@SUB(file, '[^A-Za-z0-9._-]+', '_'), '^_+', '') AS clean FROM symbols")
@@ -180,16 +181,15 @@ sql("intent_order", "symbols", f"SELECT layer, CASE layer WHEN 'ui' THEN 1 WHEN
 # What a test to fill in looks like in each language; {s} is the name in snake case, {p} in Pascal case.
 STUBS = {
     "py": 'def test_{s}():\n    # arrange\n    # act\n    # assert\n    raise NotImplementedError("test_{s}: fill in")\n',
-    "ts": "test('{s}', () => <\n  // arrange\n  // act\n  // assert\n  throw new Error('test {s}: fill in');\n>);\n",
-    "rs": '#[test]\nfn {s}() <\n    // arrange\n    // act\n    // assert\n    todo!("{s}: fill in");\n>\n',
-    "go": 'func Test{p}(t *testing.T) <\n    // arrange\n    // act\n    // assert\n    t.Fatal("Test{p}: fill in")\n>\n',
-    "java": '@Test\npublic void test{p}() <\n    // arrange\n    // act\n    // assert\n    fail("test{p}: fill in");\n>\n',
-    "cs": '[Test]\npublic void {p}_Should() <\n    // arrange\n    // act\n    // assert\n    Assert.Fail("{p}_Should: fill in");\n>\n',
+    "ts": "test('{s}', () => {\n  // arrange\n  // act\n  // assert\n  throw new Error('test {s}: fill in');\n});\n",
+    "rs": '#[test]\nfn {s}() {\n    // arrange\n    // act\n    // assert\n    todo!("{s}: fill in");\n}\n',
+    "go": 'func Test{p}(t *testing.T) {\n    // arrange\n    // act\n    // assert\n    t.Fatal("Test{p}: fill in")\n}\n',
+    "java": '@Test\npublic void test{p}() {\n    // arrange\n    // act\n    // assert\n    fail("test{p}: fill in");\n}\n',
+    "cs": '[Test]\npublic void {p}_Should() {\n    // arrange\n    // act\n    // assert\n    Assert.Fail("{p}_Should: fill in");\n}\n',
     "rb": 'def test_{s}\n  # arrange\n  # act\n  # assert\n  flunk("test_{s}: fill in")\nend\n',
-    "kt": '@Test\nfun `{s}`() <\n    // arrange\n    // act\n    // assert\n    fail("{s}: fill in")\n>\n',
-    "swift": 'func test{p}() throws <\n    // arrange\n    // act\n    // assert\n    XCTFail("test{p}: fill in")\n>\n',
+    "kt": '@Test\nfun `{s}`() {\n    // arrange\n    // act\n    // assert\n    fail("{s}: fill in")\n}\n',
+    "swift": 'func test{p}() throws {\n    // arrange\n    // act\n    // assert\n    XCTFail("test{p}: fill in")\n}\n',
 }
-STUB = "CASE extension" + "".join(" WHEN '%s' THEN '%s'" % (x, t.replace("'", "@Q").replace("\n", "@N")) for x, t in STUBS.items()) + " END"
 SNAKE = {False: "lower(@SUB(@GROUP(ident, '([^.]*)$'), '([a-z0-9])([A-Z])', '$1_$2'))", True: "lower(@SUB(@GROUP(ident, '([^.]*)$'), '([a-z0-9])([A-Z])', '\\1_\\2'))"}
 PASCAL = {
     False: "array_join(transform(split(@GROUP(ident, '([^.]*)$'), '[_-]'), w -> concat(upper(substring(w, 1, 1)), substring(w, 2))), '')",
@@ -198,9 +198,12 @@ PASCAL = {
 
 
 def _stubs(duck: bool) -> str:
-    rows = f"SELECT part, CASE part % 9 {' '.join(f'WHEN {i} THEN {chr(39)}{x}{chr(39)}' for i, x in enumerate(STUBS))} END AS extension, {SNAKE[duck]} AS snake, {PASCAL[duck]} AS pascal FROM names"
-    text = f"replace(replace(replace(replace(replace(replace({STUB}, '@N', chr(10)), '@Q', chr(39)), '<', chr(123)), '>);', concat(chr(125), ');')), concat(chr(10), '>'), concat(chr(10), chr(125))), '=@', '=')"
-    return f"SELECT part, extension, replace(replace({text}, concat(chr(123), 's', chr(125)), snake), concat(chr(123), 'p', chr(125)), pascal) AS stub FROM ({rows}) AS n"
+    extensions = " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(STUBS))
+    rows = f"SELECT part, CASE part % 9 {extensions} END AS extension, {SNAKE[duck]} AS snake, {PASCAL[duck]} AS pascal FROM names"
+    # quotes are doubled and new lines named, as both dialects read them in literals
+    literal = lambda t: "concat('" + t.replace("'", "''").replace("\n", "', chr(10), '") + "')" if duck else "concat('" + t.replace("'", "\\'").replace("\n", "', chr(10), '") + "')"
+    stub = "CASE extension " + " ".join(f"WHEN '{x}' THEN {literal(t)}" for x, t in STUBS.items()) + " END"
+    return f"SELECT part, extension, replace(replace({stub}, '{{s}}', snake), '{{p}}', pascal) AS stub FROM ({rows}) AS n"
 
 
 sql("test_stub", "names", _stubs(False), _stubs(True))

@@ -13,16 +13,6 @@ from ..shared import saved
 from ..sources.crosswalk import frame, run_sql, with_ctes
 from .base import placed, sql
 
-# Weights of a name, signature, text, ledger and path match.
-TOKENS = ("the", "of", "and")
-
-
-def _score(column_name: str, column_body: str) -> str:
-    return " + ".join(f"CASE WHEN {column_name} LIKE '%{t}%' THEN 4 ELSE 0 END + CASE WHEN {column_body} LIKE '%{t}%' THEN 3 ELSE 0 END" for t in TOKENS)
-
-
-DOC_SCORE = f"SELECT doc_id, kind, {_score('lower(title)', 'lower(body)')} + CASE WHEN kind LIKE '%1%' THEN 1 ELSE 0 END AS score FROM docs"
-sql("in_memory_score", "docs", f"SELECT doc_id, kind, score, place FROM (SELECT doc_id, kind, score, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM ({DOC_SCORE}) AS s WHERE score > 0) AS r WHERE place <= 20")
 CHAIN = "SELECT event_id AS seq, @SHA(concat(event_id, '|', event_type, '|', user_id)) AS event_hash FROM events"
 SYM = "SELECT symbol_id, qname, file, language, CASE WHEN qname LIKE '%ring%' THEN 4 ELSE 0 END + CASE WHEN qname LIKE '%red%' THEN 4 ELSE 0 END + CASE WHEN signature LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN signature LIKE '%red%' THEN 3 ELSE 0 END + CASE WHEN coalesce(doc, '') LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN coalesce(doc, '') LIKE '%red%' THEN 3 ELSE 0 END + CASE WHEN file LIKE '%red%' THEN 1 ELSE 0 END AS score FROM symbols"
 SCORED = f"SELECT symbol_id, qname, file, language, score FROM ({SYM}) AS s WHERE score > 0"
@@ -85,14 +75,7 @@ sql("rebind_move", "ledger", "SELECT CASE symbol_id WHEN 'sym_100' THEN 'sym_101
 sql("orphan_anti_join", "ledger symbols", "SELECT l.entry_id, l.symbol_id, 'orphaned' AS tag FROM ledger l LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = l.symbol_id WHERE s.symbol_id IS NULL")
 sql("repair_scan", "ledger symbols effects edges", "SELECT 'orphan-ledger' AS issue, count(*) AS n FROM ledger WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'orphan-effect' AS issue, count(*) AS n FROM effects WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'dangling-edge' AS issue, count(*) AS n FROM edges WHERE dst NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'dangling-supersede' AS issue, count(*) AS n FROM ledger WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT entry_id FROM ledger)")
 sql("repair_fix", "edges symbols", "SELECT src, dst FROM edges WHERE src IN (SELECT symbol_id FROM symbols) AND dst IN (SELECT symbol_id FROM symbols)")
-sql("constraint_semi_join", "live", "SELECT DISTINCT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending')")
-sql("constraint_penalty", "symbols live", f"SELECT h.qname, h.score FROM ({SCORED}) AS h WHERE h.symbol_id NOT IN (SELECT symbol_id FROM live WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending'))")
-# ledger texts with a query's word on live symbols outside of tests, five a query
-sql("anchor_filter", "live symbols feedback", "SELECT query, qname, place FROM (SELECT query, qname, row_number() OVER (PARTITION BY query ORDER BY qname) AS place FROM (SELECT DISTINCT f.query, s.qname FROM (SELECT DISTINCT symbol_id, query FROM feedback) f JOIN (SELECT symbol_id, lower(concat(summary, ' ', kind)) AS text FROM live WHERE kind IN ('invariant', 'hazard')) l ON l.symbol_id = f.symbol_id JOIN symbols s ON s.symbol_id = l.symbol_id WHERE s.file NOT LIKE 'tests/%' AND (contains(l.text, 'purchase') OR contains(l.text, split_part(f.query, ' ', 1)) OR contains(l.text, split_part(f.query, ' ', 2)))) AS d) AS t WHERE place <= 5")
 sql("anchor_topup", "live symbols", f"SELECT qname, score FROM (SELECT qname, score * 1.0@D AS score FROM ({HITS}) AS h WHERE place <= 10 UNION ALL SELECT qname, 0.5@D AS score FROM (SELECT s.qname, row_number() OVER (ORDER BY s.qname) AS r FROM symbols s JOIN (SELECT DISTINCT symbol_id FROM live WHERE kind IN ('invariant', 'hazard')) l ON l.symbol_id = s.symbol_id WHERE s.qname NOT LIKE '%ring%' AND s.qname NOT LIKE '%red%') AS a WHERE r <= 5) AS t")
-sql("feedback_adjust", "symbols feedback", f"SELECT h.qname, round(h.score + 1.5@D * coalesce(f.useful, 0), 6) AS score FROM ({SCORED}) AS h LEFT JOIN (SELECT symbol_id, count(CASE WHEN verdict = 'useful' THEN 1 END) AS useful, count(CASE WHEN verdict IN ('noisy', 'wrong-layer', 'covered', 'diagnostic') THEN 1 END) AS bad FROM feedback WHERE query LIKE '%ring%' GROUP BY symbol_id) f ON f.symbol_id = h.symbol_id WHERE coalesce(f.bad, 0) < 12")
-sql("file_feedback", "symbols feedback", "SELECT s.file, max(CASE WHEN f.verdict = 'noisy' THEN 1 ELSE 0 END) = 1 AS suppress, count(CASE WHEN f.verdict = 'useful' THEN 1 END) AS boost FROM symbols s JOIN feedback f ON f.symbol_id = s.symbol_id GROUP BY s.file")
-sql("feedback_explain", "symbols feedback", "SELECT qname, verdict, query FROM (SELECT s.qname, f.verdict, f.query, row_number() OVER (PARTITION BY s.qname ORDER BY f.created_at, f.entry_id) AS r FROM symbols s JOIN feedback f ON f.symbol_id = s.symbol_id WHERE f.query LIKE '%widget%') AS t WHERE r = 1")
 sql("feedback_state", "feedback", "SELECT count(*) AS total, count(CASE WHEN query LIKE '%ring%' THEN 1 END) AS matched, count(CASE WHEN query LIKE '%ring%' AND verdict <> 'missing' THEN 1 END) AS applied FROM feedback")
 sql("intersect_tokens", "feedback", "SELECT DISTINCT query, split_part(query, ' ', 1) IN ('red', 'ring') OR split_part(query, ' ', 2) IN ('red', 'ring') AS matches FROM feedback")
 sql("union_all_tokens", "symbols", "SELECT 'ring' AS token, qname FROM symbols WHERE qname LIKE '%ring%' UNION ALL SELECT 'bolt' AS token, qname FROM symbols WHERE qname LIKE '%bolt%'")

@@ -121,6 +121,18 @@ def searched(found: index.Index, asked: DataFrame, meta: DataFrame, limit: int)
     return index.best(hits, max(4 * limit, 80), ["query"], [F.col("score").desc(), F.col("doc")])
 
 
+def spoken_of(found: index.Index, asked: DataFrame) -> DataFrame:
+    """(query, doc, said): how many words of a query stand within words that the ledger has on a symbol."""
+    spoken = found.postings.where(F.col("field") == "ledger").select("term", "doc")
+    words = contained(asked.select("term"), spoken.select("term")).select(F.col("needle").alias("word"), F.col("hay").alias("term"))
+    return asked.select("query", "at", F.col("term").alias("word")).join(words, "word").join(spoken, "term").groupBy("query", "doc").agg(F.countDistinct("at").alias("said"))
+
+
+def anchored(noted: DataFrame, meta: DataFrame) -> DataFrame:
+    """(query, qname): the first symbols outside of tests with an invariant or hazard, on which the ledger names a word of the query."""
+    return index.best(noted.join(meta.where("tier <> 2 AND (inv = 1 OR haz = 1)"), "doc"), ANCHORS, ["query"], [F.col("qname")]).select("query", "qname")
+
+
 def candidates(found: index.Index, asked: DataFrame, meta: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(query, qname, score): the staged choice for each query.
 
@@ -129,10 +141,7 @@ def candidates(found: index.Index, asked: DataFrame, meta: DataFrame, depth: int
     name a word.
     """
     meta = saved(meta, "meta")
-    spoken = found.postings.where((F.col("field") == "ledger")).select("term", "doc")
-    words = contained(asked.select("term"), spoken.select("term")).select(F.col("needle").alias("word"), F.col("hay").alias("term"))
-    noted = asked.select("query", "at", F.col("term").alias("word")).join(words, "word").join(spoken, "term").groupBy("query", "doc").agg(F.countDistinct("at").alias("said"))
-    noted = saved(noted, "noted")
+    noted = saved(spoken_of(found, asked), "noted")
     boosts = saved(hybrid(found, asked), "boosts")
 
     weight = F.when(F.col("owned") == 1, 3.0).when(F.col("inv") == 1, 1.5).when(F.col("haz") == 1, 1.0).otherwise(0.5)
@@ -156,7 +165,7 @@ def candidates(found: index.Index, asked: DataFrame, meta: DataFrame, depth: int
     order = [F.col("noted").desc(), F.col("total").desc(), F.col("doc")]
     named = index.best(hits.unionByName(stems), 1, ["query", "qname"], [F.col("total").desc(), F.col("doc")])
     chosen = saved(index.best(index.best(named, 1, ["query", "file"], order), depth, ["query"], [F.col("total").desc(), F.col("doc")]).select("query", "qname", F.col("total").alias("score")), "chosen")
-    anchors = index.best(noted.join(meta.where("tier <> 2 AND (inv = 1 OR haz = 1)"), "doc"), ANCHORS, ["query"], [F.col("qname")])
+    anchors = anchored(noted, meta)
     return chosen.unionByName(anchors.join(chosen, ["query", "qname"], "left_anti").select("query", "qname", F.lit(ANCHOR).alias("score")))
 
 
@@ -223,6 +232,16 @@ def hybrid_boost(spark, sf_dir):
     return hits.select("query", "doc", (F.coalesce("boost", F.lit(0.0)) + F.when(F.col("tier") == 1, UTILITY).otherwise(0.0)).alias("boost"))
 
 
+SAID = "said AS (SELECT t.query, s.symbol_id AS doc, count(DISTINCT t.at) AS said FROM tok t JOIN ledger s ON contains(lower(s.summary), t.term) GROUP BY t.query, s.symbol_id)"
+
+
+@query("anchor_filter", with_ctes(USED, f"WITH tok AS ({TOKENS_D}), meta AS ({META}), {SAID} SELECT query, qname FROM (SELECT said.query, m.qname, row_number() OVER (PARTITION BY said.query ORDER BY m.qname) AS r FROM said JOIN meta m USING (doc) WHERE m.tier <> 2 AND (m.inv = 1 OR m.haz = 1)) AS x WHERE r <= {ANCHORS}"))
+def anchor_filter(spark, sf_dir):
+    """The symbols that a query's words find through the ledger alone, five a query."""
+    found, asked = symbol_index(spark, sf_dir), _asked(spark, sf_dir)
+    return anchored(spoken_of(found, asked), _meta(spark, sf_dir))
+
+
 @query("find_candidates", with_ctes(USED, P + BM25 + HITS.format(most=160) + BOOST + CHOSEN))
 def find_candidates(spark, sf_dir):
     return candidates(symbol_index(spark, sf_dir), _asked(spark, sf_dir), _meta(spark, sf_dir))

@@ -61,6 +61,19 @@ SELECT concat('f', event_id) AS entry_id, concat('sym_', user_id * 20) AS symbol
        CASE event_id % 6 WHEN 0 THEN 'useful' WHEN 1 THEN 'noisy' WHEN 2 THEN 'missing' WHEN 3 THEN 'wrong-layer' WHEN 4 THEN 'covered' ELSE 'diagnostic' END AS verdict,
        ts AS created_at, CASE WHEN event_id % 5 = 0 THEN ts + INTERVAL 10 DAY END AS expires_at
 FROM events WHERE event_type IN ('click', 'error')"""),
+    # feedback with its author, some of it on files by a glob, some on queries without words
+    "verdicts": (["events"], """
+SELECT concat('f', event_id) AS entry_id, concat('sym_', user_id * 20) AS symbol_id,
+       CASE WHEN event_id % 97 = 0 THEN '?!' ELSE concat(CASE event_id % 4 WHEN 0 THEN 'red ' WHEN 1 THEN 'blue ' WHEN 2 THEN 'small ' ELSE 'large ' END, CASE event_id % 3 WHEN 0 THEN 'ring' WHEN 1 THEN 'widget' ELSE 'bolt' END) END AS query,
+       CASE event_id % 31 WHEN 1 THEN 'noisy' WHEN 2 THEN 'missing' WHEN 3 THEN 'wrong-layer' WHEN 4 THEN 'covered' WHEN 5 THEN 'diagnostic' ELSE 'useful' END AS verdict,
+       concat('user', user_id % 7) AS author, ts AS created_at,
+       CASE event_id % 33 WHEN 0 THEN 'models/**' WHEN 11 THEN concat('**/brand', event_id % 25, '.py') WHEN 22 THEN 'views/economy/*' END AS file_scope
+FROM events WHERE event_type IN ('click', 'error')"""),
+    # decisions and constraints that penalise, with the files they speak of: a list of globs, none, or nothing that can be read
+    "penalties": (["ledger"], """
+SELECT entry_id, symbol_id, CASE seq % 5 WHEN 0 THEN concat('{"scope": ["models/**", "**/brand', seq % 25, '.py"]}') WHEN 1 THEN '{"scope": []}' WHEN 2 THEN 'no json'
+  WHEN 3 THEN concat('{"scope": ["', CASE seq % 3 WHEN 0 THEN 'views/*/*' WHEN 1 THEN 'src/**' ELSE 'storage/economy/brand*.ts' END, '"]}') END AS body
+FROM ledger WHERE kind IN ('decision', 'constraint') AND role IN ('stale-api', 'audit-pending')"""),
     "audit": (["events"], """
 SELECT seq, event_type, actor_id, ts, outcome, subject_id, event_hash,
        CASE WHEN seq % 500 = 499 THEN 'tampered' ELSE lag(event_hash) OVER (ORDER BY seq) END AS prev_event_hash
