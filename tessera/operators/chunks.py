@@ -44,24 +44,28 @@ def _chunk(title: Column, line: Column, body: Column) -> Column:
 
 
 def _sections(content: Column, head: str) -> Column:
-    """The content cut before each line that matches `head`, as (text, line)."""
-    breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    numbered = lambda parts: F.transform(parts, lambda t, i: F.struct(t.alias("text"), (F.lit(1) + F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, p: n + breaks(p))).alias("line")))
-    return F.transform(F.array(F.split(content, rf"(?m)^(?={head})")), lambda parts: numbered(parts))[0]  # cut once
+    """The content cut before each line that matches `head`, as (rows, line): the lines of each part and the number of its first."""
+
+    def cut(rows: Column) -> Column:
+        starts = F.array_compact(F.transform(rows, lambda x, i: F.when((i == 0) | x.rlike(head), i)))
+        part = lambda at: F.transform(at, lambda s, k: F.struct(F.slice(rows, s + 1, F.coalesce(F.get(at, k + 1), F.size(rows)) - s).alias("rows"), (s + 1).alias("line")))
+        return F.transform(F.array(starts), part)[0]  # the starts are found once
+
+    return F.transform(F.array(lines_of(content)), cut)[0]
 
 
 def markdown(path: Column, content: Column) -> Column:
     head = r"^[ \t]*#{1,3} [ \t]*\S"
 
     def chunk(s: Column) -> Column:
-        rows = lines_of(s["text"])
-        titled = s["text"].rlike(head)
+        rows = s["rows"]
+        titled = rows[0].rlike(head)
         title = F.when(titled, F.trim(F.regexp_replace(F.trim(rows[0]), "^#+", ""))).otherwise(F.lit(""))
         rest = F.when(titled, F.slice(rows, F.lit(2), F.greatest(F.size(rows), F.lit(1)))).otherwise(rows)
         body = F.trim(_joined(rest, lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("```"))))
         return _chunk(title, s["line"], body)
 
-    found = F.filter(F.transform(_sections(content, r"[ \t]*#{1,3} [ \t]*\S"), chunk), lambda c: (c["title"] != "") | (c["body"] != ""))
+    found = F.filter(F.transform(_sections(content, head), chunk), lambda c: (c["title"] != "") | (c["body"] != ""))
     whole = _chunk(F.regexp_replace(name_of(path), r"(.)[.][^.]*$", "$1"), F.lit(None), F.substring(content, 1, 2000))
     return F.when(F.size(found) > 0, found).otherwise(F.array(whole))
 
@@ -70,7 +74,7 @@ def toml(path: Column, content: Column) -> Column:
     name = name_of(path)
 
     def chunk(s: Column) -> Column:
-        rows = lines_of(s["text"])
+        rows = s["rows"]
         first = F.trim(rows[0])
         section = F.startswith(first, F.lit("[")) & F.endswith(first, F.lit("]"))
         title = F.when(section, F.concat(name, F.lit(" "), F.regexp_replace(first, r"^[\[\]]+|[\[\]]+$", ""))).otherwise(name)
@@ -78,7 +82,7 @@ def toml(path: Column, content: Column) -> Column:
         body = _joined(rest, lambda x: (F.trim(x) != "") & ~F.startswith(F.trim(x), F.lit("#")))
         return _chunk(title, F.when(section, s["line"]).otherwise(0), body)
 
-    found = F.filter(F.transform(_sections(content, r"[ \t]*\[.*\][ \t]*$"), chunk), lambda c: F.trim(c["body"]) != "")
+    found = F.filter(F.transform(_sections(content, r"^[ \t]*\[.*\][ \t]*$"), chunk), lambda c: F.trim(c["body"]) != "")
     return F.when(F.size(found) > 0, found).otherwise(F.array(_chunk(name, F.lit(None), F.substring(content, 1, 1000))))
 
 

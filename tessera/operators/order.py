@@ -40,3 +40,27 @@ def lagged(df: DataFrame, order: list[Column], value: str, name: str) -> DataFra
     first = F.row_number().over(w) == 1
     joined = own.join(F.broadcast(border), F.col("__part") == F.col("__p"))
     return joined.withColumn(name, F.when(first, F.col("__last")).otherwise(inner)).drop("__part", "__p", "__last")
+
+
+def carried(df: DataFrame, group: str, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with the latest value that is not null in the rows before, in the order and of the same group (not null).
+
+    No task holds a group: ranges of (group, order) hand on what their last group has come to, one row for each range.
+    """
+    own = ranged(df.withColumn("__value", F.struct(value.alias("v"))), [F.col(group), *order])
+    within = Window.partitionBy("__part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    held = F.when(F.col("__value.v").isNotNull(), F.col("__value"))
+    ends = own.groupBy("__part").agg(F.min(group).alias("low"), F.max(group).alias("high"))
+    ends = own.join(F.broadcast(ends.withColumnRenamed("__part", "__p")), F.col("__part") == F.col("__p"))  # one row for each range
+    last = ends.where(F.col(group) == F.col("high")).withColumn("__r", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    border = last.groupBy("__part", "low", "high").agg(F.max_by("__value", F.when(F.col("__value.v").isNotNull(), F.col("__r"))).alias("last")).collect()
+    handed, at, reached = [], None, None
+    for part, low, high, found in sorted(border, key=lambda r: r[0]):
+        handed.append((part, low, reached if low == at else None))
+        reached = found if found is not None and found["v"] is not None else reached if low == high == at else None
+        at = high
+    schema = df.sparkSession.createDataFrame([], own.select(F.col("__part").alias("__p"), F.col(group).alias("__low"), F.col("__value").alias("__before")).schema).schema
+    borders = df.sparkSession.createDataFrame(handed, schema)
+    joined = own.join(F.broadcast(borders), F.col("__part") == F.col("__p"))
+    first = F.coalesce(F.last(held, ignorenulls=True).over(within), F.when(F.col(group) == F.col("__low"), F.col("__before")))
+    return joined.withColumn(name, first["v"]).drop("__part", "__p", "__low", "__before", "__value")

@@ -45,8 +45,6 @@ LINE = "concat(entry_id, symbol_id, kind, summary, body, author)"
 sql("check_budget", "ledger", BUDGET.replace("OCTETS", f"octet_length({LINE})"), BUDGET.replace("OCTETS", f"strlen({LINE})"))
 sql("sidecar_prune", "ledger symbols", "SELECT DISTINCT symbol_id FROM ledger WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols)")
 # entries of symbols that moved are bound to where they went, those of unknown symbols wait
-MOVES = "SELECT concat('sym_', user_id * 20) AS old_id, max(concat('sym_', user_id * 20 + 1)) AS new_id FROM events WHERE event_type = 'signup' GROUP BY 1"
-sql("sidecar_hydrate", "ledger symbols events", f"SELECT CASE WHEN s.symbol_id IS NULL THEN 'waiting' WHEN m.old_id IS NOT NULL THEN 'rebound' ELSE 'loaded' END AS status, coalesce(m.new_id, l.symbol_id) AS symbol_id, count(*) AS n FROM ledger l LEFT JOIN ({MOVES}) m ON m.old_id = l.symbol_id LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = coalesce(m.new_id, l.symbol_id) GROUP BY 1, 2")
 sql("hydrate_verify", "ledger live", "SELECT coalesce(a.entry_id, b.entry_id) AS entry_id, CASE WHEN b.entry_id IS NULL THEN 'missing' WHEN a.entry_id IS NULL THEN 'extra' ELSE 'differs' END AS problem FROM ledger a FULL OUTER JOIN (SELECT entry_id, CASE WHEN seq % 90 = 0 THEN 'changed' ELSE summary END AS summary FROM live) b ON a.entry_id = b.entry_id WHERE a.entry_id IS NULL OR b.entry_id IS NULL OR a.summary <> b.summary")
 sql("count_rows", "symbols", "SELECT count(*) AS n FROM symbols")
 sql("annotated_count", "live", "SELECT count(DISTINCT symbol_id) AS n FROM live")

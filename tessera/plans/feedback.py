@@ -18,16 +18,22 @@ from .search import TOKENS_D, tokens
 POINTS = {"qname": 4, "signature": 3, "doc": 3, "ledger": 2, "file": 1}
 
 
-def scored(code: DataFrame, live: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query, symbol_id, qname, file, kind, score): symbols with a word of a query within one of their texts."""
-    texts = code.select("symbol_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lower(f).alias("hay")) for f in POINTS if f != "ledger"))).alias("t")).select("symbol_id", "t.*")
+def matched(code: DataFrame, live: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, at, term, symbol_id, field): the words of queries that stand within a symbol's texts or in what the ledger says of it."""
+    own = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.lower(f).alias("hay")) for f in POINTS if f != "ledger")))
+    texts = code.select("symbol_id", own.alias("t")).select("symbol_id", "t.*")
     texts = texts.unionByName(live.select("symbol_id", F.lit("ledger").alias("field"), F.lower("summary").alias("hay")))
     pairs = contained(asked.select("term"), texts.select("hay"))
-    hits = asked.join(pairs, F.col("term") == F.col("needle")).select("query", "at", "hay").join(texts, "hay").select("query", "at", "symbol_id", "field").distinct()
+    return asked.join(pairs, F.col("term") == F.col("needle")).select("query", "at", "term", "hay").join(texts, "hay").select("query", "at", "term", "symbol_id", "field").distinct()
+
+
+def scored(code: DataFrame, live: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query, symbol_id, qname, file, kind, score): symbols with a word of a query within one of their texts."""
     points = F.lit(0)
     for f, n in POINTS.items():
         points = F.when(F.col("field") == f, n).otherwise(points)
-    return hits.groupBy("query", "symbol_id").agg(F.sum(points).cast("double").alias("score")).join(code.select("symbol_id", "qname", "file", "kind"), "symbol_id")
+    hits = matched(code, live, asked).groupBy("query", "symbol_id").agg(F.sum(points).cast("double").alias("score"))
+    return hits.join(code.select("symbol_id", "qname", "file", "kind"), "symbol_id")
 
 
 def _scored(spark, sf_dir: str) -> DataFrame:

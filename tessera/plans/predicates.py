@@ -81,7 +81,6 @@ sql("low_signal_effect", "effects", "SELECT symbol_id, effect, low AND n > 1 AS
 
 
 sql("exclude_languages", "symbols", "SELECT qname FROM symbols WHERE lower(upper(language)) NOT IN ('rust', 'python')")
-sql("exclude_terms", "symbols feedback", "SELECT s.qname, f.query FROM symbols s CROSS JOIN (SELECT DISTINCT query FROM feedback) AS f WHERE NOT (contains(lower(s.qname), split_part(f.query, ' ', 2)) OR contains(lower(s.file), split_part(f.query, ' ', 2)) OR contains(coalesce(lower(s.doc), ''), split_part(f.query, ' ', 2)) OR contains(coalesce(lower(s.signature), ''), split_part(f.query, ' ', 2)))")
 
 
 sql("scratch_filter", "events", "SELECT event_id FROM events WHERE event_type = 'view' AND user_id = 7 AND ts + INTERVAL 20 DAY >= TIMESTAMP '2024-02-01 00:00:00'")
@@ -95,9 +94,6 @@ sql("test_command", "symbols", f"SELECT DISTINCT file, CASE WHEN NOT {TEST} THEN
 # words of a stem are cut at _, - and dots: it is in lower case before it is cut
 WORDS_S = f"filter(split(lower({STEM}), '[_.-]+'), w -> w <> '')"
 WORDS_D = f"list_filter(regexp_split_to_array(lower({STEM}), '[_.-]+'), lambda w: w <> '')"
-ASKS = "SELECT DISTINCT query FROM feedback"
-sql("query_names_file", "paths feedback", f"SELECT file, query, size(filter(words, w -> array_contains(split(query, ' '), w))) >= least(2, size(words)) AS named FROM (SELECT file, {WORDS_S} AS words FROM paths) AS p CROSS JOIN ({ASKS}) AS q",
-    f"SELECT file, query, len(list_filter(words, lambda w: list_contains(string_split(query, ' '), w))) >= least(2, len(words)) AS named FROM (SELECT file, {WORDS_D} AS words FROM paths) AS p CROSS JOIN ({ASKS}) AS q")
 MOVED = "replace(replace(replace(file, '/Sources/', '/Tests/'), '/Source/', '/Tests/'), '/src/', '/tests/')"
 PROPOSED = f"concat(CASE WHEN {MOVED} <> file THEN @SUB({MOVED}, '/[^/]*$', '') ELSE 'Tests' END, '/', {STEM}, 'Tests.', @GROUP(file, '[.]([^./]*)$'))"
 sql("propose_test_path", "symbols paths", f"SELECT file, {PROPOSED} AS test_path FROM ({ALL_FILES}) AS f")
@@ -218,22 +214,12 @@ HINTS = """SELECT symbol_id, concat_ws('; ', CASE WHEN length(sentence) > 12 THE
   CASE WHEN k BETWEEN 1 AND 4 THEN concat('verify effect of ', params, ' on output') END) AS hints FROM (ROWS) AS h"""
 sql("cold_hints", "symbols", HINTS.replace("ROWS", f"SELECT symbol_id, {FIRST_SENTENCE} AS sentence, size({LEAVES_S}) AS n, array_join({LEAVES_S}, ' ') AS words, size({PARAMS_S}) AS k, array_join({PARAMS_S}, ', ') AS params FROM symbols"),
     HINTS.replace("ROWS", f"SELECT symbol_id, {FIRST_SENTENCE} AS sentence, len({LEAVES_D}) AS n, array_to_string({LEAVES_D}, ' ') AS words, len({PARAMS_D}) AS k, array_to_string({PARAMS_D}, ', ') AS params FROM symbols"))
-# each word of a query has the first of name, file, signature and doc that holds it; then come the ledger's and recent edits' reasons
-QUERIES_OF = "SELECT DISTINCT query FROM feedback"
-WHERE_FOUND = "CASE WHEN contains(lower(s.qname), {w}) THEN concat('name:', {w}) WHEN contains(lower(s.file), {w}) THEN concat('file:', {w}) WHEN contains(coalesce(lower(s.signature), ''), {w}) THEN concat('sig:', {w}) WHEN contains(coalesce(lower(s.doc), ''), {w}) THEN concat('doc:', {w}) END"
 NOTES = "SELECT symbol_id, count(CASE WHEN kind = 'invariant' THEN 1 END) AS inv, count(CASE WHEN kind = 'hazard' THEN 1 END) AS haz, min(CASE WHEN kind = 'ownership' THEN summary END) AS owns, count(*) AS n FROM live GROUP BY symbol_id"
 HOT = "SELECT DISTINCT concat('sym_', l_partkey) AS symbol_id, 1 AS hot FROM lineitem WHERE l_linestatus = 'O' AND l_quantity > 49"
-REASONS = f"""SELECT s.symbol_id, s.file, q.query, coalesce(l.n, 0) > 0 AS has_ledger, h.hot IS NOT NULL AS is_hot, concat_ws(' ', {WHERE_FOUND.format(w="split_part(q.query, ' ', 1)")}, {WHERE_FOUND.format(w="split_part(q.query, ' ', 2)")},
-  CASE WHEN l.inv > 0 THEN concat('invariant-attached:', l.inv) END, CASE WHEN l.haz > 0 THEN concat('ledger:', l.haz, CASE WHEN l.haz = 1 THEN ' hazard' ELSE ' hazards' END) END,
-  CASE WHEN contains(lower(l.owns), split_part(q.query, ' ', 1)) OR contains(lower(l.owns), split_part(q.query, ' ', 2)) THEN concat('ownership:', replace(l.owns, ' ', '-')) END, CASE WHEN h.hot = 1 THEN 'recent-edit' END) AS reasons
-  FROM symbols s CROSS JOIN ({QUERIES_OF}) AS q LEFT JOIN ({NOTES}) AS l ON l.symbol_id = s.symbol_id LEFT JOIN ({HOT}) AS h ON h.symbol_id = s.symbol_id"""
-sql("explain_match", "symbols feedback live lineitem", f"SELECT symbol_id, query, reasons FROM ({REASONS}) AS r")
 HAS = {k: f"contains(concat(' ', reasons), ' {k}:')" for k in ("name", "file", "sig", "doc", "invariant-attached", "ledger", "ownership")}
 LABEL = f"""CASE WHEN {HAS['name']} AND {HAS['invariant-attached']} THEN 'strong: name match + invariant-attached' WHEN {HAS['name']} AND {HAS['ownership']} THEN 'strong: name match + ownership declaration'
   WHEN {HAS['name']} AND {HAS['ledger']} THEN 'strong: name match + hazard ledger entry' WHEN {HAS['name']} AND has_ledger THEN 'strong: name match + ledger entry' WHEN {HAS['name']} AND is_hot THEN 'moderate: name match + recently edited' WHEN {HAS['name']} THEN 'moderate: name match only'
   WHEN has_ledger AND {HAS['sig']} THEN 'moderate: signature match + ledger entry' WHEN has_ledger THEN 'moderate: ledger entry (indirect match)' WHEN {HAS['sig']} THEN 'weak: signature match only' WHEN {HAS['doc']} THEN 'weak: doc-only match' WHEN {HAS['file']} THEN 'weak: file path match only' ELSE 'weak: low-signal indirect match' END"""
-sql("confidence_reason", "symbols feedback live lineitem", f"SELECT symbol_id, query, {LABEL} AS reason FROM ({REASONS}) AS r")
-sql("result_bucket", "symbols feedback live lineitem", f"SELECT symbol_id, query, CASE WHEN {TIER} = 2 THEN 'test-only' WHEN has_ledger AND ({HAS['name']} OR is_hot) THEN 'core' WHEN has_ledger OR {HAS['name']} THEN 'relevant' WHEN is_hot OR {HAS['doc']} OR {HAS['file']} THEN 'peripheral' ELSE 'noisy' END AS bucket FROM ({REASONS}) AS r")
 sql("route_decorators", "pages", "SELECT page_id, upper(@GROUP(line, '^@[a-z]+[.]([a-z]+)[(]')) AS method, @GROUP(line, '[(].([^)]*).[)]') AS path FROM (SELECT page_id, concat('@app.', CASE page_id % 3 WHEN 0 THEN 'get' WHEN 1 THEN 'post' ELSE 'delete' END, '(/items/', page_id, '/)') AS line FROM pages) AS p")
 sql("client_calls", "pages", "SELECT page_id, upper(@GROUP(line, 'requests[.]([a-z]+)[(]')) AS method, @GROUP(line, '(https?://[^) ]+)') AS url FROM (SELECT page_id, concat('r = requests.', CASE page_id % 2 WHEN 0 THEN 'get' ELSE 'put' END, '(', url, ' )') AS line FROM pages) AS p")
 sql("celery_emits", "events", "SELECT event_id, concat('topic:', @GROUP(line, '^([a-z_]+)[.](delay|apply_async)[(]')) AS topic FROM (SELECT event_id, concat(event_type, CASE event_id % 2 WHEN 0 THEN '.delay(' ELSE '.apply_async(' END, user_id, ')') AS line FROM events) AS e")

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import order
+from ..operators.contain import contained
 from ..registry import query
 from ..shared import saved
 from ..sources.crosswalk import frame, run_sql, with_ctes
 from .base import placed, sql
 
-CHAIN = "SELECT event_id AS seq, @SHA(concat(event_id, '|', event_type, '|', user_id)) AS event_hash FROM events"
 SYM = "SELECT symbol_id, qname, file, language, CASE WHEN qname LIKE '%ring%' THEN 4 ELSE 0 END + CASE WHEN qname LIKE '%red%' THEN 4 ELSE 0 END + CASE WHEN signature LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN signature LIKE '%red%' THEN 3 ELSE 0 END + CASE WHEN coalesce(doc, '') LIKE '%ring%' THEN 3 ELSE 0 END + CASE WHEN coalesce(doc, '') LIKE '%red%' THEN 3 ELSE 0 END + CASE WHEN file LIKE '%red%' THEN 1 ELSE 0 END AS score FROM symbols"
 SCORED = f"SELECT symbol_id, qname, file, language, score FROM ({SYM}) AS s WHERE score > 0"
 HITS = f"SELECT symbol_id, qname, file, language, score, row_number() OVER (ORDER BY score DESC, qname) AS place FROM ({SCORED}) AS s"
@@ -38,17 +35,6 @@ sql("history_window", "events", "SELECT event_id, place FROM (SELECT event_id, r
 sql("trust_history", "events", "SELECT event_id, row_number() OVER (ORDER BY event_id) AS place FROM (SELECT event_id, row_number() OVER (ORDER BY event_id DESC) AS r FROM events) AS t WHERE r <= 40")
 sql("cursor_tail", "audit", "SELECT seq, event_type, outcome FROM audit WHERE seq > coalesce((SELECT max(seq) FROM audit WHERE seq = 9000), -1) AND event_type LIKE '%purch%' AND outcome = 'allow'")
 
-
-@query("hash_chain", with_ctes(["audit"], "SELECT seq, prev_event_hash IS NULL OR prev_event_hash = before AS intact FROM (SELECT seq, prev_event_hash, lag(event_hash) OVER (ORDER BY seq) AS before FROM audit) AS a"))
-def hash_chain(spark, sf_dir):
-    """Whether each record names the one before; ranges of the log hand their last record on."""
-    own = run_sql(spark, sf_dir, ["events"], CHAIN)
-    # the log as it was written: each record with the hash of the one before, one in 500 tampered with
-    log = order.lagged(own, [F.col("seq").asc()], "event_hash", "before")
-    prev = F.when(F.col("seq") % 500 == 499, F.lit("tampered")).otherwise(F.col("before"))
-    return log.select("seq", (prev.isNull() | (prev == F.col("before"))).alias("intact"))
-
-
 ACTION = "CASE role WHEN 'stale-api' THEN 'delete' WHEN 'diagnostic-test' THEN 'gate' WHEN 'fast-test' THEN 'run' ELSE 'review' END"
 placed("recipe_order", "live", f"SELECT entry_id, action, CASE action WHEN 'delete' THEN 0 WHEN 'move' THEN 1 WHEN 'gate' THEN 2 WHEN 'run' THEN 3 WHEN 'keep' THEN 4 ELSE 5 END AS _rank, _seq FROM (SELECT entry_id, seq AS _seq, {ACTION} AS action FROM live) AS t", "_rank, _seq")
 RULES = "CASE WHEN kind = 'mapping' THEN 1 WHEN kind IN ('constraint', 'decision') AND role = 'stale-api' THEN 2 WHEN kind IN ('ownership', 'concept') AND role = 'diagnostic-test' THEN 3 WHEN kind IN ('ownership', 'concept') AND role = 'fast-test' AND command IS NOT NULL THEN 4 ELSE 5 END"
@@ -61,8 +47,6 @@ VERDICT = "CASE WHEN d.pos IS NULL THEN 'no-match' WHEN p.require_approval IS NO
 sql("policy_match", "audit policies", f"SELECT seq, pos FROM ({DECIDE}) AS d")
 sql("policy_eval", "audit policies", f"SELECT d.seq, d.event_type, {VERDICT} AS decision FROM ({DECIDE}) AS d LEFT JOIN policies p ON p.pos = d.pos")
 sql("policy_gate_write", "audit policies", f"SELECT decision, count(*) AS n, decision <> 'deny' AS written FROM (SELECT {VERDICT} AS decision FROM ({DECIDE}) AS d LEFT JOIN policies p ON p.pos = d.pos) AS t GROUP BY decision")
-sql("effect_declare", "effects", "SELECT symbol_id, max(CASE WHEN effect IN ('net.out', 'process.spawn') THEN 1 ELSE 0 END) = 1 AS broadens FROM effects GROUP BY symbol_id")
-sql("supersede", "ledger", "SELECT entry_id, supersedes FROM ledger WHERE supersedes IS NOT NULL")
 sql("supersede_anti_join", "live", "SELECT entry_id, symbol_id, kind FROM live")
 sql("ledger_list", "live", "SELECT symbol_id, entry_id, row_number() OVER (PARTITION BY symbol_id ORDER BY created_at DESC, entry_id) AS place FROM live")
 sql("conclusions_list", "live symbols", "SELECT s.qname, l.entry_id, l.kind, row_number() OVER (PARTITION BY s.qname ORDER BY l.created_at DESC, l.entry_id) AS place FROM live l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind IN ('hazard', 'known_bug')")
@@ -70,8 +54,6 @@ sql("conclusions_list", "live symbols", "SELECT s.qname, l.entry_id, l.kind, row
 sql("invariant_list", "ledger live symbols", "SELECT 'workspace' AS scope, s.qname, l.entry_id, l.summary FROM ledger l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind = 'invariant' UNION ALL SELECT 'symbol' AS scope, s.qname, l.entry_id, l.summary FROM live l JOIN symbols s ON s.symbol_id = l.symbol_id WHERE l.kind = 'invariant' AND s.symbol_id = 'sym_100'")
 sql("feedback_mark", "feedback", "SELECT entry_id, created_at + INTERVAL 30 DAY AS expires_at FROM feedback WHERE verdict = 'noisy'")
 sql("feedback_promote", "feedback", "SELECT concat('own_', entry_id) AS entry_id, symbol_id, 'ownership' AS kind, 'truth' AS tag FROM feedback WHERE verdict = 'useful'")
-sql("scratch_promote", "events", "SELECT event_id, CASE WHEN value > 30 THEN 'promoted' WHEN value < 2 THEN 'discarded' ELSE 'draft' END AS status FROM events")
-sql("rebind_move", "ledger", "SELECT CASE symbol_id WHEN 'sym_100' THEN 'sym_101' WHEN 'sym_200' THEN 'sym_201' ELSE symbol_id END AS symbol_id, count(*) AS n FROM ledger GROUP BY 1")
 sql("orphan_anti_join", "ledger symbols", "SELECT l.entry_id, l.symbol_id, 'orphaned' AS tag FROM ledger l LEFT JOIN (SELECT symbol_id FROM symbols) s ON s.symbol_id = l.symbol_id WHERE s.symbol_id IS NULL")
 sql("repair_scan", "ledger symbols effects edges", "SELECT 'orphan-ledger' AS issue, count(*) AS n FROM ledger WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'orphan-effect' AS issue, count(*) AS n FROM effects WHERE symbol_id NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'dangling-edge' AS issue, count(*) AS n FROM edges WHERE dst NOT IN (SELECT symbol_id FROM symbols) UNION ALL SELECT 'dangling-supersede' AS issue, count(*) AS n FROM ledger WHERE supersedes IS NOT NULL AND supersedes NOT IN (SELECT entry_id FROM ledger)")
 sql("repair_fix", "edges symbols", "SELECT src, dst FROM edges WHERE src IN (SELECT symbol_id FROM symbols) AND dst IN (SELECT symbol_id FROM symbols)")
@@ -96,25 +78,30 @@ sql("confidence_warnings", "symbols", "SELECT 'ambiguous_term' AS warning, token
 sql("search_cli_boosts", "symbols live", f"SELECT h.qname, round(h.score + CASE WHEN l.owned = 1 THEN 5.0@D ELSE 0.0@D END + CASE WHEN l.inv = 1 THEN 1.5@D ELSE 0.0@D END, 6) AS score FROM ({SCORED}) AS h LEFT JOIN (SELECT symbol_id, max(CASE WHEN kind = 'ownership' THEN 1 ELSE 0 END) AS owned, max(CASE WHEN kind = 'invariant' THEN 1 ELSE 0 END) AS inv FROM live GROUP BY symbol_id) l ON l.symbol_id = h.symbol_id")
 
 
-def _holding(spark, sf_dir, text: str) -> DataFrame:
-    """(item_id, query, doc_id): documents that contain an item's text, found by the hash of a run of its inner words."""
-    items = frame(spark, sf_dir, "benchmark").select("item_id", F.expr(text).alias("query"))
+def _holding(spark, sf_dir: str, text: str) -> DataFrame:
+    """(item_id, query, doc_id): documents that contain an item's text, found by the hash of a run of its inner words.
+
+    Items of one or two words have no inner ones: they are looked for by their longest word among the different words of all
+    documents.  Only (document, key) moves; the texts are met again by the documents that a key has found.
+    """
     words = lambda c: F.split(c, r"\s+")
-    n = F.greatest(F.lit(1), F.least(F.lit(5), F.size(words("query")) - 2))
-    keyed = items.withColumns({"n": n, "key": F.xxhash64(F.concat_ws(" ", F.slice(words("query"), F.lit(2), n)))})
-    keyed = saved(keyed, "items")
-    sizes = [r[0] for r in keyed.where(F.size(words("query")) >= 3).select("n").distinct().collect()]  # at most 5
+    items = frame(spark, sf_dir, "benchmark").select("item_id", F.expr(text).alias("query")).withColumn("words", words("query"))
+    n = F.greatest(F.lit(1), F.least(F.lit(5), F.size("words") - 2))
+    items = saved(items.withColumns({"n": n, "key": F.xxhash64(F.concat_ws(" ", F.slice("words", F.lit(2), n))), "short": F.size("words") < 3}), "items")
+    long = items.where("NOT short")
+    sizes = sorted(r[0] for r in long.select("n").distinct().collect())  # at most 5
     docs = frame(spark, sf_dir, "documents").select("doc_id", "text")
-    found = []
-    for k in sizes:
-        every = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, F.lit(k)))))
-        runs = F.transform(F.array(words("text")), lambda w: every(w))[0]  # the words are cut once
-        hits = docs.select("doc_id", "text", F.explode(F.array_distinct(runs)).alias("key"))
-        found.append(hits.join(keyed.where((F.col("n") == k) & (F.size(words("query")) >= 3)), "key").where(F.contains("text", F.col("query"))).select("item_id", "query", "doc_id"))
-    # items of one or two words have no inner one; they are few and short
-    short = keyed.where(F.size(words("query")) < 3)
-    found.append(docs.join(F.broadcast(short), F.contains("text", F.col("query"))).select("item_id", "query", "doc_id"))
-    return reduce(DataFrame.unionByName, found)
+    run = lambda w, k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", F.slice(w, i, F.lit(k)))))
+    runs = F.transform(F.array(words("text")), lambda w: F.array_distinct(F.concat(*(run(w, k) for k in sizes))))[0] if sizes else F.array().cast("array<bigint>")
+    found = docs.select("doc_id", F.explode(runs).alias("key")).join(long.select("key", "item_id"), "key").select("doc_id", "item_id")
+    if not (short := items.where("short")).isEmpty():
+        longest = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
+        short = short.select("item_id", longest.alias("needle"))
+        every = docs.select("doc_id", F.explode(F.array_distinct(words("text"))).alias("hay"))
+        pairs = contained(short.select("needle"), every.select("hay")).join(short, "needle")
+        found = found.unionByName(every.join(pairs, "hay").select("doc_id", "item_id"))
+    found = saved(found.distinct(), "found").join(items.select("item_id", "query").distinct(), "item_id")
+    return docs.join(found, "doc_id").where(F.contains("text", F.col("query"))).select("item_id", "query", "doc_id")
 
 
 @query("golden_probe", "SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")

@@ -108,6 +108,12 @@ SELECT DISTINCT concat(CASE p_size % 13 WHEN 0 THEN 'App/Sources/' WHEN 1 THEN '
   CASE p_partkey % 17 WHEN 0 THEN 'Till' WHEN 1 THEN 'test_till' WHEN 2 THEN 'till_test' WHEN 3 THEN 'TillTests' WHEN 4 THEN 'TillTest' WHEN 5 THEN 'till.spec' WHEN 6 THEN 'TillSpec' WHEN 7 THEN 'till_spec' WHEN 8 THEN 'TillView' WHEN 9 THEN 'TillPreview' WHEN 10 THEN 'till.generated'
     WHEN 11 THEN 'MockTill' WHEN 12 THEN 'till_fake' WHEN 13 THEN 'TillViewControllerBase' WHEN 14 THEN 'TillOverlay' WHEN 15 THEN 'Contest' ELSE lower(replace(p_name, ' ', '_')) END,
   CASE p_partkey % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.rs' WHEN 3 THEN '.go' WHEN 4 THEN '.java' WHEN 5 THEN '.cs' WHEN 6 THEN '.rb' WHEN 7 THEN '.kt' ELSE '.swift' END) AS file FROM part"""),
+    # moves of symbols, some of them back to where they came from; what is written to the ledger, and by whom
+    "moves": (["events"], """
+SELECT event_id AS seq, concat('sym_', user_id * 20) AS src, concat('sym_', ((user_id * 3 + event_id) % 150) * 20) AS dst, ts AS made_at FROM events WHERE event_type = 'signup' AND event_id % 3 <> 1"""),
+    "proposals": (["events"], """
+SELECT concat('led_', substring(@SHA(concat(event_type, '|', event_id)), 1, 16)) AS entry_id, event_id AS seq, concat('sym_', user_id * 20) AS symbol_id, event_type AS kind, concat(event_type, ' of ', user_id) AS summary,
+       concat('ledger.', event_type) AS action, concat('user', user_id) AS actor FROM events"""),
     # symbols with names in mixed case, and what is asked for: single words, phrases, words that many names share
     "code": (["part"], """
 SELECT concat('sym_', p_partkey) AS symbol_id,
