@@ -53,7 +53,6 @@ sql("list_stats", "symbols effects", "SELECT 'language' AS dim, language AS name
 sql("degree", "adjacent", "SELECT node AS symbol_id, count(*) AS degree FROM adjacent GROUP BY node")
 sql("hotspots", "adjacent", "SELECT symbol_id, degree, place FROM (SELECT node AS symbol_id, count(*) AS degree, row_number() OVER (ORDER BY count(*) DESC, node) AS place FROM adjacent GROUP BY node) AS t WHERE place <= 20")
 sql("modal_value", "symbols", f"SELECT language, package, n FROM (SELECT language, {DIRECTORY} AS package, count(*) AS n, row_number() OVER (PARTITION BY language ORDER BY count(*) DESC, {DIRECTORY}) AS r FROM symbols GROUP BY language, {DIRECTORY}) AS t WHERE r = 1")
-sql("architecture_overview", "symbols edges", f"SELECT {DIRECTORY} AS package, count(*) AS n_symbols, count(DISTINCT language) AS n_languages, count(DISTINCT file) AS n_files, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS n_calls FROM symbols s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) d ON d.src = s.symbol_id GROUP BY 1")
 CALIB = "SELECT CASE user_id % 9 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' WHEN 3 THEN 'critical' WHEN 4 THEN 'core' WHEN 5 THEN 'partial' WHEN 6 THEN 'weak' WHEN 7 THEN 'noisy' ELSE 'other' END AS bucket, value < 15 AS passed FROM events"
 EXPECTED = "CASE bucket WHEN 'low' THEN 0.95@D WHEN 'medium' THEN 0.7@D WHEN 'high' THEN 0.45@D WHEN 'critical' THEN 0.2@D WHEN 'core' THEN 0.9@D WHEN 'strong' THEN 0.9@D WHEN 'relevant' THEN 0.9@D WHEN 'partial' THEN 0.65@D WHEN 'peripheral' THEN 0.65@D WHEN 'weak' THEN 0.25@D WHEN 'noisy' THEN 0.25@D END"
 RATES = f"SELECT bucket, count(*) AS n, CAST(sum(CASE WHEN passed THEN 1 ELSE 0 END) AS BIGINT) AS n_passed, round(avg(CASE WHEN passed THEN 1.0@D ELSE 0.0@D END), 4) AS rate FROM ({CALIB}) AS c GROUP BY bucket"

@@ -104,6 +104,4 @@ sql("grouping_sets", "symbols", "SELECT coalesce(language, '*') AS language, coa
 sql("lag_lead_sql", "ledger", "SELECT entry_id, lag(entry_id) OVER (PARTITION BY symbol_id ORDER BY seq) AS before, lead(entry_id) OVER (PARTITION BY symbol_id ORDER BY seq) AS after FROM ledger")
 sql("sidecar_lint", "symbols", "SELECT DISTINCT file, 'unknown extension' AS issue FROM symbols WHERE file NOT LIKE '%.py' AND file NOT LIKE '%.ts'")
 sql("ownership_signal", "orders", "SELECT file, author FROM (SELECT o_custkey AS file, o_orderpriority AS author, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY o_custkey, o_orderpriority) AS t WHERE r = 1")
-sql("search_report", "symbols live", "SELECT s.language, count(DISTINCT s.symbol_id) AS hits, count(l.entry_id) AS notes FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id WHERE s.qname LIKE '%ring%' GROUP BY s.language")
-sql("prepare_change_report", "symbols live effects", "SELECT s.file, count(DISTINCT s.symbol_id) AS n_symbols, count(DISTINCT CASE WHEN l.kind = 'invariant' THEN l.entry_id END) AS invariants, count(DISTINCT e.effect) AS effects FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id LEFT JOIN effects e ON e.symbol_id = s.symbol_id WHERE s.qname LIKE '%bolt%' GROUP BY s.file")
 sql("doc_and_symbol", "symbols docs", "SELECT 'symbol' AS what, count(*) AS n FROM symbols WHERE qname LIKE '%ring%' UNION ALL SELECT 'doc' AS what, count(*) AS n FROM docs WHERE lower(body) LIKE '%ring%'")

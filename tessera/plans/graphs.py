@@ -75,12 +75,6 @@ def since_bfs(spark, sf_dir):
     return _since(spark, sf_dir).groupBy("node").agg(F.min("depth").alias("depth"))
 
 
-@query("since_report", with_ctes(["edges", "symbols"], _walk("dst", "src", 3, CHANGED) + " SELECT s.language, count(DISTINCT f.node) AS n_symbols, count(DISTINCT s.file) AS n_files FROM found f JOIN symbols s ON s.symbol_id = f.node WHERE f.depth > 0 GROUP BY s.language"))
-def since_report(spark, sf_dir):
-    hit = _since(spark, sf_dir).join(frame(spark, sf_dir, "symbols"), F.col("node") == F.col("symbol_id"))
-    return hit.groupBy("language").agg(F.countDistinct("node").alias("n_symbols"), F.countDistinct("file").alias("n_files"))
-
-
 def _tests(spark, sf_dir, depth):
     tests = frame(spark, sf_dir, "symbols").where("file LIKE 'tests/%'").select("symbol_id", "qname")
     return graph.reach(graph.reverse(frame(spark, sf_dir, "edges")), _seeds(spark), depth).join(tests, F.col("node") == F.col("symbol_id"))
@@ -102,17 +96,6 @@ def layer_distribution(spark, sf_dir):
     return hit.groupBy(F.split_part("file", F.lit("/"), F.lit(1)).alias("layer")).agg(F.countDistinct("node").alias("n"))
 
 
-@query("impact_report", with_ctes(["edges", "symbols", "live"], _walk("dst", "src", 3, VALUES) + " SELECT f.root, count(DISTINCT f.node) AS n_callers, count(DISTINCT CASE WHEN s.file LIKE 'tests/%' THEN f.node END) AS n_tests, count(DISTINCT CASE WHEN l.kind IN ('invariant', 'hazard') THEN l.entry_id END) AS n_constraints FROM found f JOIN symbols s ON s.symbol_id = f.node LEFT JOIN live l ON l.symbol_id = f.node WHERE f.depth > 0 GROUP BY f.root"))
-def impact_report(spark, sf_dir):
-    hit = graph.reach(graph.reverse(frame(spark, sf_dir, "edges")), _seeds(spark), 3).join(frame(spark, sf_dir, "symbols").select("symbol_id", "file"), F.col("node") == F.col("symbol_id")).drop("symbol_id")
-    notes = frame(spark, sf_dir, "live").select("symbol_id", "entry_id", "kind")
-    return hit.join(notes, F.col("node") == notes["symbol_id"], "left").groupBy("root").agg(
-        F.countDistinct("node").alias("n_callers"),
-        F.countDistinct(F.when(F.col("file").like("tests/%"), F.col("node"))).alias("n_tests"),
-        F.countDistinct(F.when(F.col("kind").isin("invariant", "hazard"), F.col("entry_id"))).alias("n_constraints"),
-    )
-
-
 FIXPOINT = """WITH RECURSIVE have AS (SELECT symbol_id, effect FROM effects
 UNION SELECT e.src AS symbol_id, h.effect FROM have h JOIN edges e ON e.dst = h.symbol_id)
 , brought AS (SELECT e.src AS symbol_id, h.effect, min(e.dst) AS via FROM edges e JOIN have h ON h.symbol_id = e.dst GROUP BY e.src, h.effect)"""
@@ -184,7 +167,6 @@ sql("definitions_lookup", "symbols", "SELECT qname FROM symbols WHERE qname = 's
 sql("rg_scan", "benchmark", "SELECT item_id, pos, line FROM (SELECT item_id, posexplode(split(text, '\\n')) AS (pos, line) FROM benchmark) AS b WHERE concat(' ', lower(line), ' ') LIKE '% the %'",
     "SELECT item_id, CAST(pos - 1 AS INTEGER) AS pos, line FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM benchmark) AS b WHERE concat(' ', lower(line), ' ') LIKE '% the %'")
 sql("aggregate_candidates", "symbols live effects", "SELECT s.language, count(DISTINCT s.symbol_id) AS n, count(DISTINCT CASE WHEN l.kind = 'invariant' THEN l.entry_id END) AS invariants, count(DISTINCT CASE WHEN l.kind = 'hazard' THEN l.entry_id END) AS hazards, count(DISTINCT e.effect) AS effects FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id LEFT JOIN effects e ON e.symbol_id = s.symbol_id GROUP BY s.language")
-sql("context_for", "symbols edges live effects", "SELECT s.symbol_id, s.qname, coalesce(o.n, 0) AS n_callees, coalesce(i.n, 0) AS n_callers, coalesce(l.n, 0) AS n_entries, coalesce(e.n, 0) AS n_effects FROM symbols s LEFT JOIN (SELECT src, count(*) AS n FROM edges GROUP BY src) o ON o.src = s.symbol_id LEFT JOIN (SELECT dst, count(*) AS n FROM edges GROUP BY dst) i ON i.dst = s.symbol_id LEFT JOIN (SELECT symbol_id, count(*) AS n FROM live GROUP BY symbol_id) l ON l.symbol_id = s.symbol_id LEFT JOIN (SELECT symbol_id, count(*) AS n FROM effects GROUP BY symbol_id) e ON e.symbol_id = s.symbol_id")
 sql("checklist", "symbols live", "SELECT s.file, count(DISTINCT s.symbol_id) AS n, count(CASE WHEN l.kind = 'invariant' THEN 1 END) AS invariants FROM symbols s LEFT JOIN live l ON l.symbol_id = s.symbol_id WHERE s.qname LIKE '%ring%' GROUP BY s.file")
 
 
