@@ -112,7 +112,6 @@ MATCH = "SELECT o.symbol_id AS from_symbol, i.symbol_id AS to_symbol, o.contract
 sql("contract_match_join", "endpoints", MATCH)
 sql("federated_join", "endpoints", f"SELECT * FROM ({MATCH}) AS m WHERE cross_repo")
 sql("federated_impact", "endpoints live", f"SELECT DISTINCT m.contract, m.from_symbol, coalesce(h.n, 0) AS n_hazards FROM ({MATCH}) AS m LEFT JOIN (SELECT replace(symbol_id, 'sym_', 'page.') AS s, count(*) AS n FROM live WHERE kind IN ('hazard', 'invariant') GROUP BY 1) AS h ON h.s = m.from_symbol")
-sql("endpoints_flatten", "endpoints", "SELECT repo_id, contract, symbol_id, direction FROM endpoints")
 METHOD = "CASE page_id % 4 WHEN 0 THEN ' get ' WHEN 1 THEN 'Post' WHEN 2 THEN ' PUT' ELSE 'delete' END"
 sql("http_contract", "pages", f"SELECT page_id, concat('http:', upper(trim({METHOD})), ' ', coalesce(nullif(@SUB(@SUB(lower(@GROUP(url, '^https?://[^/?#]+([^?#]*)')), '/([0-9]+|[{{][^/]*[}}]|:[a-z_]+)', '/{{}}'), '/+$', ''), ''), '/')) AS contract FROM pages")
 sql("normalize_http", "pages", "SELECT page_id, @SUB(@SUB(lower(@GROUP(url, '^https?://[^/?#]+([^?#]*)')), '/[0-9]+', '/{}'), '/+$', '') AS path FROM pages")

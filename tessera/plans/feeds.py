@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..shared import shared_dir
+from ..shipping import ship
 from ..sources.crosswalk import frame, run_sql, with_ctes
-from ..streaming import feeds
+from ..streaming import feeds, polls
 from .base import sql
 
 
@@ -23,9 +24,23 @@ def subscribe_baseline(spark, sf_dir):
     return feeds.run_to_end(feeds.events(spark, sf_dir, after=500).select("event_id", "event_type"), "append")
 
 
-@query("live_events", "SELECT date_trunc('hour', ts) AS hour, count(*) AS n, CASE WHEN count(*) > 20 THEN 'resync' ELSE 'events' END AS kind FROM events GROUP BY 1")
+SPAN_MS = 3 * 86_400_000
+# DuckDB: polls that have ended by the last commit
+POLLED = f"""WITH c AS (SELECT *, epoch_ms(committed_at) // {SPAN_MS} AS poll FROM commits), n AS (SELECT source, poll, count(*) AS n FROM c GROUP BY source, poll HAVING (poll + 1) * {SPAN_MS} <= (SELECT max(epoch_ms(committed_at)) FROM commits))
+SELECT c.source, c.poll, c.kind, c.commit_id, c.summary FROM c JOIN n ON n.source = c.source AND n.poll = c.poll WHERE n.n <= {polls.LIMIT} AND c.kind NOT IN ('index', 'paired')
+UNION ALL SELECT c.source, c.poll, 'index_run' AS kind, NULL AS commit_id, concat(coalesce(arg_max(c.summary, c.commit_id) FILTER (c.informative), arg_min(c.summary, c.commit_id)), ' (', count(*), ' commits)') AS summary
+  FROM c JOIN n ON n.source = c.source AND n.poll = c.poll WHERE n.n <= {polls.LIMIT} AND c.kind = 'index' GROUP BY c.source, c.poll
+UNION ALL SELECT source, poll, 'resync' AS kind, NULL AS commit_id, 'more than {polls.LIMIT} commits since last poll' AS summary FROM n WHERE n > {polls.LIMIT}"""
+
+
+@query("live_events", with_ctes(["commits"], POLLED))
 def live_events(spark, sf_dir):
-    return feeds.run_to_end(feeds.coalesced(feeds.events(spark, sf_dir), 20), "complete")
+    """What each poll of each source tells, from a stream of commits."""
+    ship(spark)
+    commits = frame(spark, sf_dir, "commits").withColumnRenamed("committed_at", "at").withColumn("at", F.col("at").cast("timestamp"))
+    path = _written(spark, commits, lambda w, p: w.parquet(p))
+    with polls.provider(spark):
+        return feeds.run_to_end(polls.told(spark.readStream.schema(commits.schema).parquet(path), SPAN_MS), "append")
 
 
 def _written(spark, df, how):

@@ -158,7 +158,6 @@ def clusters_report(spark, sf_dir):
 
 sql("edge_resolve_join", "edges symbols", "SELECT a.qname AS caller, b.qname AS callee, split_part(a.qname, '.', 1) = split_part(b.qname, '.', 1) AS intra FROM edges e JOIN (SELECT symbol_id, qname FROM symbols) a ON a.symbol_id = e.src JOIN (SELECT symbol_id, qname FROM symbols) b ON b.symbol_id = e.dst")
 sql("suffix_join", "symbols", "SELECT suffix, min(qname) AS qname FROM (SELECT qname AS suffix, qname FROM symbols UNION ALL SELECT concat(split_part(qname, '.', 2), '.', split_part(qname, '.', 3)) AS suffix, qname FROM symbols UNION ALL SELECT split_part(qname, '.', 3) AS suffix, qname FROM symbols UNION ALL SELECT @SUB(split_part(qname, '.', 3), '_[0-9]+$', '') AS suffix, qname FROM symbols) AS t GROUP BY suffix HAVING count(*) = 1")
-sql("dataflow_flatten", "lineitem", "SELECT l_orderkey, count(*) AS n_edges, min(l_partkey) AS first_from FROM lineitem GROUP BY l_orderkey")
 sql("hunk_overlap_join", "symbols lineitem", "SELECT s.symbol_id, h.l_orderkey, h.l_linenumber FROM symbols s JOIN (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT) AS first_line, CAST(l_quantity AS INT) + 3 AS last_line FROM lineitem) h ON h.l_partkey = s.part WHERE s.start_line <= h.last_line AND s.end_line >= h.first_line")
 sql("owner_lookup_asof", "symbols", "SELECT file, line, qname FROM (SELECT f.file, f.line, s.qname, row_number() OVER (PARTITION BY f.file, f.line ORDER BY s.start_line DESC, s.qname) AS r FROM (SELECT DISTINCT file, start_line + 4 AS line FROM symbols) AS f JOIN symbols s ON s.file = f.file AND s.start_line <= f.line AND s.end_line >= f.line) AS t WHERE r = 1")
 sql("caller_invariant_join", "edges live", "SELECT DISTINCT e.dst AS candidate, l.summary FROM edges e JOIN (SELECT symbol_id, summary FROM live WHERE kind = 'invariant') l ON l.symbol_id = e.src WHERE e.src NOT IN ('sym_20', 'sym_40')")

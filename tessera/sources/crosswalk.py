@@ -85,6 +85,17 @@ SELECT page_id, concat('page.', page_id) AS symbol_id, @GROUP(url, '^https?://([
        concat('http:GET ', @SUB(lower(@GROUP(url, '^https?://[^/?#]+([^?#]*)')), '/[0-9]+', '/{}')) AS contract,
        CASE WHEN page_id % 2 = 0 THEN 'inbound' ELSE 'outbound' END AS direction, CASE WHEN page_id % 2 = 0 THEN 0.9@D ELSE 0.7@D END AS confidence
 FROM pages"""),
+    # registries as they are stored, a file of JSON for each page: contract, repository, symbol, endpoint; some files or levels are broken
+    "endpoint_trees": (["pages"], """
+SELECT page_id, CASE WHEN page_id % 19 = 0 THEN 'no json' WHEN page_id % 19 = 1 THEN '[1, {"a": 2}]' WHEN page_id % 19 = 2 THEN concat('{"h', page_id, '": 7}')
+  WHEN page_id % 19 = 3 THEN concat('{"h', page_id, '": {"', host, '": null, "other": {"s": "text"}}}') WHEN page_id % 19 = 4 THEN concat('{"h', page_id, '": {"', host, '": {"s1": {"symbol_id": "s1"}}}}') WHEN page_id % 19 = 5 THEN '' WHEN page_id % 19 = 6 THEN '{}'
+  ELSE concat('{"h', page_id % 40, '": {"', host, '": {"page.', page_id, '": {"symbol_id": "page.', page_id, '", "contract": "http:GET /p/', page_id % 40, '", "direction": "', CASE WHEN page_id % 2 = 0 THEN 'inbound' WHEN page_id % 23 = 1 THEN 'sideways' ELSE 'outbound' END, '", "confidence": ', CASE WHEN page_id % 11 = 0 THEN '"high"' ELSE '0.5' END, '}, "twin.', page_id, '": {"symbol_id": "twin.', page_id, '", "contract": "http:PUT /p", "direction": "inbound", "confidence": 1}}}, "x": {}}') END AS body
+FROM (SELECT page_id, @GROUP(url, '^https?://([^/?#]+)') AS host FROM pages) AS p"""),
+    # data flow: a symbol and the list of its edges
+    "flow_trees": (["lineitem"], """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 17 = 0 THEN '{"s": 1' WHEN l_partkey % 17 = 1 THEN concat('{"sym_', l_partkey, '": "none"}') WHEN l_partkey % 17 = 2 THEN concat('{"sym_', l_partkey, '": [{"param": "x"}, 3, null]}')
+  ELSE concat('{"sym_', l_partkey, '": [{"to_symbol_id": "sym_', l_suppkey, '", "param": "p', l_linenumber, '", "arg": "a"}, {"to_symbol_id": "sym_', l_partkey, '", "param": "q"}]}') END AS body
+FROM lineitem WHERE l_quantity > 45"""),
     "docs": (["documents"], """
 SELECT doc_id, source AS kind, split_part(text, chr(10), 1) AS title, text AS body FROM documents"""),
     "docfiles": (["conversations", "events", "part", "customer", "nation", "pages"], """
@@ -108,6 +119,11 @@ SELECT DISTINCT concat(CASE p_size % 13 WHEN 0 THEN 'App/Sources/' WHEN 1 THEN '
   CASE p_partkey % 17 WHEN 0 THEN 'Till' WHEN 1 THEN 'test_till' WHEN 2 THEN 'till_test' WHEN 3 THEN 'TillTests' WHEN 4 THEN 'TillTest' WHEN 5 THEN 'till.spec' WHEN 6 THEN 'TillSpec' WHEN 7 THEN 'till_spec' WHEN 8 THEN 'TillView' WHEN 9 THEN 'TillPreview' WHEN 10 THEN 'till.generated'
     WHEN 11 THEN 'MockTill' WHEN 12 THEN 'till_fake' WHEN 13 THEN 'TillViewControllerBase' WHEN 14 THEN 'TillOverlay' WHEN 15 THEN 'Contest' ELSE lower(replace(p_name, ' ', '_')) END,
   CASE p_partkey % 9 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.rs' WHEN 3 THEN '.go' WHEN 4 THEN '.java' WHEN 5 THEN '.cs' WHEN 6 THEN '.rb' WHEN 7 THEN '.kt' ELSE '.swift' END) AS file FROM part"""),
+    # commits of a few sources, one of them busy: of the index, of a pair of which the other is told, and all others
+    "commits": (["events"], """
+SELECT CASE WHEN user_id % 2 = 0 THEN 'main' ELSE concat('side', user_id % 10) END AS source, event_id AS commit_id, ts AS committed_at,
+       CASE event_type WHEN 'view' THEN 'index' WHEN 'purchase' THEN 'paired' WHEN 'click' THEN 'decision' WHEN 'signup' THEN 'effect_declared' ELSE 'commit' END AS kind,
+       concat(event_type, ' ', event_id) AS summary, event_id % 5 = 0 AS informative FROM events"""),
     # moves of symbols, some of them back to where they came from; what is written to the ledger, and by whom
     "moves": (["events"], """
 SELECT event_id AS seq, concat('sym_', user_id * 20) AS src, concat('sym_', ((user_id * 3 + event_id) % 150) * 20) AS dst, ts AS made_at FROM events WHERE event_type = 'signup' AND event_id % 3 <> 1"""),

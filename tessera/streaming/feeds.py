@@ -32,9 +32,3 @@ def run_to_end(stream: DataFrame, mode: str) -> DataFrame:
 def folded(stream: DataFrame) -> DataFrame:
     """Confirmations and contradictions of each user so far."""
     return stream.groupBy("user_id").agg(F.count_if(F.col("value") > 40).alias("contradictions"), F.count_if(F.col("value") < 10).alias("confirmations"))
-
-
-def coalesced(stream: DataFrame, most: int) -> DataFrame:
-    """Events of windows of an hour; a window with more than `most` becomes a resync."""
-    hourly = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", "1 hour").groupBy(F.window("at", "1 hour").alias("w")).agg(F.count("*").alias("n"))
-    return hourly.select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", F.when(F.col("n") > most, "resync").otherwise("events").alias("kind"))
