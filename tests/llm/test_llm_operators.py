@@ -350,6 +350,16 @@ def test_licenses_are_told_apart(spark):
     assert [got[i] for i in range(9)] == ["", "", "", "", "mit", "apache-2", "all-rights-reserved", "cc-by-nc", "gpl"]
 
 
+def test_words_of_another_license_count_against_a_match(spark):
+    wanted = {
+        "licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc", "This work is licensed under a Creative Commons Attribution 4.0 International License": "cc-by",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": "lgpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License": "agpl", "You can redistribute it and/or modify it under the terms of the GNU General Public License; this program is free software": "gpl",
+    }
+    rows = [(i, f"{prose(i, 50)} {t} {prose(-i, 50)}", "en", "a") for i, t in enumerate(wanted)]
+    assert [r.labels for r in license_scan.license_scan(odd(spark, rows)).orderBy("doc_id").collect()] == list(wanted.values())
+
+
 def test_license_scan_against_brute_force(spark):
     r = random.Random(31)
     words = sorted({w for t, *_ in license_scan.TEMPLATES for w in t.split()})
@@ -364,13 +374,13 @@ def test_license_scan_against_brute_force(spark):
     for i, t, _, _ in rows:
         w = t.split()
         labels = set(filter(None, got[i][1].split(",")))
-        for text, label, marks in license_scan.TEMPLATES:
+        for text, label, marks, nots in license_scan.TEMPLATES:
             n, span = set(text.split()), min(2 * len(text.split()), 32)
             for b in range(0, len(w), 32):
                 raw = w[b : b + 64]
                 for k in range(max(len(raw) - span, 0) + 1):
                     run = set(raw[k : k + span])
-                    if set(marks.split()) <= run and len(run & n) >= 0.8 * len(n) - 1e-9:
+                    if set(marks.split()) <= run and not run & set(nots.split()) and len(run & n) >= 0.8 * len(n) - 1e-9:
                         labels.add(label)
         assert got[i][0] == ",".join(sorted(labels))
 
