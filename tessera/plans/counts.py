@@ -27,7 +27,6 @@ placed("ledger_scan_symbol", "ledger", "SELECT entry_id, kind, summary, created_
 sql("effects_scan", "effects", "SELECT symbol_id, effect FROM effects")
 placed("list_symbols", "symbols", "SELECT qname, kind, file FROM symbols WHERE language = 'python' AND kind = 'function' AND file LIKE '%economy%'", "qname")
 placed("list_ledger", "ledger", "SELECT entry_id, kind, created_at FROM ledger WHERE kind = 'hazard'", "created_at DESC, entry_id")
-sql("list_effects", "effects symbols", "SELECT s.qname, s.file, e.effect FROM symbols s JOIN effects e ON e.symbol_id = s.symbol_id WHERE e.effect = 'net.out' AND s.file LIKE '%brand%'")
 sql("feedback_export", "feedback", "SELECT verdict, count(*) AS n, count(DISTINCT symbol_id) AS n_symbols FROM feedback GROUP BY verdict")
 sql("feedback_import", "feedback symbols", "SELECT count(*) AS n_read, count(s.symbol_id) AS imported, count(*) - count(s.symbol_id) AS skipped_unknown FROM feedback f LEFT JOIN symbols s ON s.symbol_id = f.symbol_id")
 # an entry that supersedes another is written under its name too: the last write of a name wins

@@ -112,6 +112,18 @@ def transitive_batched(spark, sf_dir):
     return transitive_effects(spark, sf_dir).groupBy("effect").agg(F.count("*").alias("n"))
 
 
+@query("list_effects", with_ctes(["edges", "effects", "symbols"], FIXPOINT + f" SELECT s.qname, s.file, e.effect, 'declared' AS origin, NULL AS via FROM symbols s JOIN effects e ON e.symbol_id = s.symbol_id WHERE s.file LIKE '%brand%' UNION ALL SELECT s.qname, s.file, b.effect, 'transitive' AS origin, v.qname AS via FROM brought b JOIN symbols s ON s.symbol_id = b.symbol_id LEFT JOIN symbols v ON v.symbol_id = b.via WHERE s.file LIKE '%brand%' AND {OWN}"))
+def list_effects(spark, sf_dir):
+    """The effects of each symbol of some files: its own, and those that calls bring, by the call that brings them."""
+    effects = frame(spark, sf_dir, "effects")
+    found = graph.inherited(frame(spark, sf_dir, "edges"), effects).withColumn("origin", F.lit("transitive"))
+    every = effects.select("symbol_id", "effect", F.lit(None).cast("string").alias("via"), F.lit("declared").alias("origin")).unionByName(found)
+    symbols = frame(spark, sf_dir, "symbols")
+    via = symbols.select(F.col("symbol_id").alias("via"), F.col("qname").alias("via_name"))
+    own = symbols.where("file LIKE '%brand%'").select("symbol_id", "qname", "file")
+    return every.join(own, "symbol_id").join(via, "via", "left").select("qname", "file", "effect", "origin", F.col("via_name").alias("via"))
+
+
 RADIUS = """WITH RECURSIVE walk AS (SELECT effect, symbol_id AS root, symbol_id AS node FROM effects
 UNION SELECT w.effect, w.root, e.src AS node FROM walk w JOIN edges e ON e.dst = w.node WHERE NOT EXISTS (SELECT 1 FROM effects d WHERE d.symbol_id = e.src AND d.effect = w.effect))
 , radius AS (SELECT effect, root, count(*) - 1 AS n FROM walk GROUP BY effect, root)"""

@@ -71,8 +71,6 @@ sql("df_per_token", "symbols", "SELECT token, count(DISTINCT file) AS n FROM (SE
 sql("ambiguous_tokens", "symbols", "SELECT token FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols UNION ALL SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file FROM symbols) AS t GROUP BY token HAVING count(DISTINCT file) > 25")
 sql("first_row_batch", "symbols", "SELECT token, file, qname FROM (SELECT split_part(split_part(qname, '.', 3), '_', 2) AS token, file, qname, row_number() OVER (PARTITION BY split_part(split_part(qname, '.', 3), '_', 2), file ORDER BY start_line, qname) AS r FROM symbols) AS t WHERE r = 1")
 sql("cooccurrence", "symbols", f"SELECT word, n, place FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS place FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS word, count(*) AS n FROM ({HITS}) AS h WHERE place <= 100 GROUP BY 1) AS c WHERE word NOT IN ('red', 'ring')) AS t WHERE place <= 3")
-sql("uncertainty", "symbols", "SELECT language, round(least(1.0@D, 0.2@D * least(2.0@D, ambiguous / 10.0@D) / 2 + 0.25@D * (1.0@D - documented) + 0.2@D * tests), 6) AS uncertainty FROM (SELECT language, count(DISTINCT split_part(qname, '.', 1)) AS ambiguous, avg(CASE WHEN doc IS NULL THEN 0.0@D ELSE 1.0@D END) AS documented, avg(CASE WHEN file LIKE 'tests/%' THEN 1.0@D ELSE 0.0@D END) AS tests FROM symbols GROUP BY language) AS u")
-sql("possible_misses", "symbols", f"SELECT language, count(*) AS n, CASE WHEN count(*) < 5 THEN 'few hits' WHEN count(CASE WHEN file LIKE 'views/%' THEN 1 END) = 0 THEN 'no view code' ELSE 'none' END AS warning FROM ({SCORED}) AS h GROUP BY language")
 sql("better_queries", "symbols", f"SELECT package, CASE WHEN n > 30 THEN 'add a second word' WHEN n = 1 THEN 'drop a word' ELSE 'fine' END AS advice FROM (SELECT split_part(file, '/', 2) AS package, count(*) AS n FROM ({SCORED}) AS h GROUP BY 1) AS p")
 sql("confidence_warnings", "symbols", "SELECT 'ambiguous_term' AS warning, token AS subject FROM (SELECT split_part(split_part(qname, '.', 3), '_', 1) AS token, file FROM symbols) AS t GROUP BY token HAVING count(DISTINCT file) > 100 UNION ALL SELECT 'sparse_index' AS warning, language AS subject FROM symbols GROUP BY language HAVING count(*) < 100")
 sql("search_cli_boosts", "symbols live", f"SELECT h.qname, round(h.score + CASE WHEN l.owned = 1 THEN 5.0@D ELSE 0.0@D END + CASE WHEN l.inv = 1 THEN 1.5@D ELSE 0.0@D END, 6) AS score FROM ({SCORED}) AS h LEFT JOIN (SELECT symbol_id, max(CASE WHEN kind = 'ownership' THEN 1 ELSE 0 END) AS owned, max(CASE WHEN kind = 'invariant' THEN 1 ELSE 0 END) AS inv FROM live GROUP BY symbol_id) l ON l.symbol_id = h.symbol_id")
