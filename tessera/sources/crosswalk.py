@@ -149,7 +149,8 @@ SELECT concat('sym_', p_partkey) AS symbol_id,
 FROM part"""),
     "asks": (["feedback", "part", "events"], """
 SELECT query FROM feedback UNION SELECT concat(split_part(p_name, ' ', 2), ' state') AS query FROM part UNION SELECT concat('refresh ', p_name) AS query FROM part
-UNION SELECT concat(split_part(p_name, ' ', 2), ' view') AS query FROM part UNION SELECT concat(event_type, ' note of the ', substring(event_type, 1, 4)) AS query FROM events"""),
+UNION SELECT concat(split_part(p_name, ' ', 2), ' view') AS query FROM part UNION SELECT concat(event_type, ' note of the ', substring(event_type, 1, 4)) AS query FROM events
+UNION SELECT concat(split_part(p_name, ' ', 2), CASE p_size % 5 WHEN 0 THEN ' network' WHEN 1 THEN ' engine' WHEN 2 THEN ' service' WHEN 3 THEN ' schema' ELSE ' queue' END) AS query FROM part WHERE p_size < 12"""),
     "policies": ([], """
 SELECT * FROM (VALUES (1, 'ledger.purchase', FALSE, 'human', NULL), (2, 'ledger.click', TRUE, NULL, 'user7'), (3, 'ledger.error.*', TRUE, NULL, NULL),
   (4, 'ledger.view', FALSE, NULL, NULL), (5, 'ledger.*', FALSE, NULL, 'user8'), (6, 'ledger.signup', TRUE, NULL, NULL)) AS t(pos, match_action, deny, require_approval, agent_id)"""),
