@@ -9,6 +9,7 @@ from ..operators.contain import contained
 from ..registry import query
 from ..shared import saved
 from ..sources.crosswalk import frame, over, run_sql, with_ctes
+from .base import sql
 from .feedback import SCORED, matched, scored
 from .predicates import HAS, HOT, LABEL, NOTES, TIER, WORDS_D, WORDS_S
 from .search import tokens
@@ -78,9 +79,9 @@ def exclude_terms(spark, sf_dir):
     return hits.join(gone, ["query", "symbol_id"], "left_anti").select("query", "qname")
 
 
-@query("query_names_file", with_ctes(["paths", "asks"], f"SELECT file, query FROM (SELECT file, {WORDS_D} AS words FROM paths) AS p CROSS JOIN (SELECT DISTINCT query FROM asks) AS q WHERE len(words) > 0 AND len(list_filter(words, lambda w: list_contains(string_split(query, ' '), w))) >= least(2, len(words))"))
-def query_names_file(spark, sf_dir):
-    """The files that a query names: with all words of their name, or two of them."""
-    files = run_sql(spark, sf_dir, ["paths"], f"SELECT file, {WORDS_S} AS words FROM paths").select("file", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
-    asked = frame(spark, sf_dir, "asks").select("query", F.explode(F.array_distinct(F.split("query", " "))).alias("word")).distinct()
-    return files.join(asked, "word").groupBy("file", "query", "n").agg(F.count("*").alias("hits")).where(F.col("hits") >= F.least(F.lit(2), F.col("n"))).select("file", "query")
+# A file is named by all words of its name, or two of them.
+NAMED = "SELECT file, query, {hits} >= least(2, {n}) AS named FROM (SELECT file, {words} AS words FROM paths) AS p CROSS JOIN (SELECT DISTINCT query FROM asks) AS q"
+sql(
+    "query_names_file", "paths asks", NAMED.format(hits="size(filter(words, w -> array_contains(split(query, ' '), w)))", n="size(words)", words=WORDS_S),
+    NAMED.format(hits="len(list_filter(words, lambda w: list_contains(string_split(query, ' '), w)))", n="len(words)", words=WORDS_D),
+)
