@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.contain import contained
+from ..operators import answers
 from ..registry import query
 from ..shared import saved
 from ..sources.crosswalk import frame, over, run_sql, with_ctes
 from .base import sql
-from .feedback import SCORED, matched, scored
+from .feedback import FIELDS, LEDGER, SCORED, held, matched, scored
 from .predicates import HAS, HOT, LABEL, NOTES, TIER, WORDS_D, WORDS_S
 from .search import tokens
 
@@ -18,21 +18,21 @@ LABELS = {"qname": "name", "file": "file", "signature": "sig", "doc": "doc"}
 TABLES = ["code", "live", "asks", "lineitem"]
 
 
+#: The label of a word by the mask of the texts that hold it, the first that does.
+LABELED = [next((label for f, label in LABELS.items() if mask >> FIELDS.index(f) & 1), None) for mask in range(2 * LEDGER)]
+
+
 def reasons(code: DataFrame, live: DataFrame, asked: DataFrame, hot: DataFrame, notes: DataFrame) -> DataFrame:
     """(query, symbol_id, file, has_ledger, is_hot, reasons): each word of the query by the first text that holds it, then what the ledger and recent edits say."""
-    hits = saved(matched(code, live, asked), "matched")
-    kind = F.create_map(*(F.lit(x) for i, f in enumerate(LABELS) for x in (f, i)))
-    label = F.create_map(*(F.lit(x) for f in LABELS.items() for x in f))
-    first = hits.where(F.col("field").isin(list(LABELS))).groupBy("query", "at", "term", "symbol_id").agg(F.min(F.struct(kind[F.col("field")].alias("k"), "field")).alias("f"))
-    words = first.groupBy("query", "symbol_id").agg(F.array_sort(F.collect_list(F.struct("at", F.concat_ws(":", label[F.col("f.field")], "term").alias("t")))).alias("words"))  # one for each word of the query
-    owns = live.where("kind = 'ownership'").select("symbol_id", F.lower("summary").alias("hay"), "summary", "created_at", "entry_id")
-    said = asked.join(contained(asked.select("term"), owns.select("hay")), F.col("term") == F.col("needle")).select("query", "hay").distinct().join(owns, "hay")
-    newest = F.min(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("t"), "entry_id", "summary"))
-    own = said.groupBy("query", "symbol_id").agg(newest.alias("own")).select("query", "symbol_id", F.array_join(F.slice(F.split(F.trim("own.summary"), r"\s+"), 1, 4), "-").alias("owned"))
-    every = hits.select("query", "symbol_id").distinct().join(code.select("symbol_id", "file"), "symbol_id")
-    wide = every.join(words, ["query", "symbol_id"], "left").join(own, ["query", "symbol_id"], "left").join(notes, "symbol_id", "left").join(hot, "symbol_id", "left")
+    symbols = code.select("symbol_id", "file").join(held(code, live, asked), "symbol_id").join(notes, "symbol_id", "left").join(hot, "symbol_id", "left")
+    wide = answers.answered(symbols, answers.worded(asked))
+    labels = F.array(*(F.lit(x).cast("string") for x in LABELED))
+    label = lambda mask: F.element_at(labels, mask + 1)
+    words = F.filter(F.transform(F.arrays_zip("words", "masks"), lambda w: F.concat(label(w["masks"]), F.lit(":"), w["words"])), lambda t: t.isNotNull())  # one for each word of the query
+    newest = F.array_min(F.transform("words", lambda w: F.try_element_at("own", w)))
+    wide = wide.withColumn("owned", F.array_join(F.slice(F.split(F.trim(newest["summary"]), r"\s+"), 1, 4), "-"))
     text = F.concat_ws(
-        " ", F.nullif(F.array_join(F.transform("words", lambda w: w["t"]), " "), F.lit("")),
+        " ", F.nullif(F.array_join(words, " "), F.lit("")),
         F.when(F.col("inv") > 0, F.concat(F.lit("invariant-attached:"), "inv")),
         F.when(F.col("haz") > 0, F.concat(F.lit("ledger:"), "haz", F.when(F.col("haz") == 1, " hazard").otherwise(" hazards"))),
         F.concat(F.lit("ownership:"), "owned"), F.when(F.col("hot") == 1, "recent-edit"),
