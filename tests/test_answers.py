@@ -32,7 +32,7 @@ def test_each_query_is_answered_once(spark):
 
 def test_pairs_are_not_dealt_out(spark):
     """The rows that go to the result are made after the last exchange of symbols, by a join with queries that are broadcast."""
-    for name in ("explain_match", "confidence_reason", "result_bucket", "constraint_penalty"):
+    for name in ("explain_match", "confidence_reason", "result_bucket", "constraint_penalty", "file_feedback"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         made = plan[: plan.index("Generate explode(map_keys")]
         assert "Aggregate" not in made and "Distinct" not in made, name
