@@ -11,17 +11,18 @@ absent and halving the gap.  The smoothed probability of a token w after v is
 which sums to one over the vocabulary and the unknown token up to quantisation.
 A text's end is a token and serves as the context of its first word.
 
-The corpus is counted in parts by ranges of the hash: workers send a part's keys
-packed, and one pass over a part sums them, sets the part's bits (`bits_per_key`
-for each insertion, so the filter grows with the corpus) and hands out the exact
-counts of tokens.  A part holds different n-grams only, each once a worker's
-portion, so no frequent n-gram makes one large.  As long as the filter takes no
-more than `broadcast_bytes` it is broadcast; beyond that the texts' n-grams are
-shuffled to the parts and probed there, which gives the same scores.
+The corpus is counted in parts by ranges of the hash.  Workers go through all
+texts in portions of about `PORTION` bytes and send each part the portion's
+different keys in it, with their counts in training texts (0: the key is only
+asked for).  One pass over a part sums the counts, sets the part's bits
+(`bits_per_key` for each insertion, so the filter grows with the corpus), probes
+them for every key and answers each portion with the levels of its keys, in their
+order, and the exact counts of its tokens.  The texts then meet the answers of
+their portion.  So the n-grams are shuffled once, each once a portion; the filter
+is never gathered in one place, and no frequent n-gram makes a part large.
 
 The `heavy` most frequent tokens at most, and as many pairs of these, are
-broadcast with their exact counts; so what is shuffled has no hot keys.  The
-unigram base is exact: the other tokens' counts are joined by shuffle.
+broadcast with their exact counts.  The unigram base is exact.
 
 Tokens and pairs are known by 63 bits of hash.
 
@@ -42,30 +43,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import numbered, parts_for, record, remainder, saved
-from .textbatch import U64, Tokens, mix, signed, slices, tokenize
+from .textbatch import U64, Tokens, buffers, mix, signed, slices, tokenize
 
 PROBES = 6
 END = U64(0x5E5E5E5E5E5E5E5D)  # odd, as all tokens
-FLUSH = 2_000_000
-#: Parts to which the texts' n-grams are dealt at once.
+#: Bytes of text in a portion.
+PORTION = 8 << 20
+#: Parts at most.
 WIDE = 1 << 13
 #: Kinds of n-grams and the base of each one's scale of counts.
 TOKEN, PAIR = 0, 1
 BASES = {TOKEN: 1.25, PAIR: 1.5}
-#: Kinds of rows of a counted corpus: tokens and frequent pairs with their counts, and the filter's bits.
-TOKENS, PAIRS, BITS = 0, 1, 2
+#: Kinds of rows of a counted corpus: tokens and frequent pairs with their counts, and the parts' answers to portions.
+TOKENS, PAIRS, ANSWERS = 0, 1, 2
 #: The least count of a pair that may be broadcast.
 FREQUENT = 64
 
-COUNTED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
-PACKED = pa.schema([("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+COUNTED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("portion", pa.int64()), ("levels", pa.binary()), ("counts", pa.binary())])
+ASKED = pa.schema([("part", pa.int32()), ("portion", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+TEXTS = "portion long, doc_id {}, held_out boolean, text string"
 
 
 @dataclass(frozen=True)
 class Settings:
     prior: float = 16.0
     bits_per_key: int = 10
-    broadcast_bytes: int = 128 << 20
+    broadcast_bytes: int = 128 << 20  # no longer looked at: the filter is not broadcast at any size
     heavy: int = 1 << 19
     part_bytes: int = 1 << 20
 
@@ -87,56 +90,63 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys >> U64(32)) * U64(parts) >> U64(32)).astype(np.int64)
 
 
-def sums(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys in order, and the sum of n for each."""
-    if not len(keys):
-        return keys, n
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(n[order], first)
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers of 64 bits by their first bytes, then their second bytes and so on, which compresses well where they are small."""
+    return numbers.astype(U64).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def packed(keys: np.ndarray, n: np.ndarray, parts: int):
-    """Record batches of the keys and counts of each part; keys are in order.  A count beyond 32 bits takes several places."""
-    while len(keys):
-        part = part_of(keys, parts)
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        ends = np.append(first[1:], len(keys))
-        here = np.minimum(n, 0xFFFFFFFF).astype(np.uint32)
-        for i in range(0, len(first), 4096):
-            some = [slice(x, y) for x, y in zip(first[i : i + 4096], ends[i : i + 4096])]
-            yield record(PACKED, part[first[i : i + 4096]], [keys[s].tobytes() for s in some], [here[s].tobytes() for s in some])
-        n = n - here
-        keys, n = keys[n > 0], n[n > 0]
+def unplaned(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(U64).ravel()
 
 
-def count_ngrams(parts: int):
-    """For mapInArrow: the keys of each part and their counts, packed, over up to FLUSH tokens."""
+def portions(batches, number):
+    """The slices of a task's rows as (portion, rows, bytes, bounds); a portion ends with the slice that fills it."""
+    held = 0
+    for batch in batches:
+        for part, data, bounds in slices(batch):
+            yield number, part, data, bounds
+            held += len(data) + part.num_rows
+            if held >= PORTION:
+                number, held = number + 1, 0
 
-    def run(batches):
-        cur, ctx, held = [], [], 0
 
-        def flush():
-            a, b = np.concatenate(cur), np.concatenate(ctx)
-            for keys in (a, pair_key(b, a)):
-                yield from packed(*np.unique(keys, return_counts=True), parts)
+def asked(parts: int):
+    """For mapInArrow: a portion's different keys in each part, in order, and how often training texts hold them."""
 
-        for batch in batches:
-            for _, data, bounds in slices(batch):
-                a, b, _ = sequence(tokenize(data, bounds))
-                cur.append(a)
-                ctx.append(b)
-                held += len(a)
-                if held >= FLUSH:
-                    yield from flush()
-                    cur, ctx, held = [], [], 0
-        if held:
-            yield from flush()
+    def flush(portion, cur, ctx, train):
+        cur, ctx, train = (np.concatenate(x) for x in (cur, ctx, train))
+        keys, back = grouped(np.concatenate([cur, pair_key(ctx, cur)]))
+        n = np.bincount(back[np.concatenate([train, train])], minlength=len(keys))
+        part = part_of(keys, parts)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        ends = np.append(first[1:], len(keys))
+        for i in range(0, len(first), 256):
+            some = [slice(x, y) for x, y in zip(first[i : i + 256], ends[i : i + 256])]
+            yield record(ASKED, part[first[i : i + 256]], np.full(len(some), portion), [planes(np.diff(keys[x], prepend=U64(0))) for x in some], [planes(n[x]) for x in some])
+
+    def run(batches, number):
+        now, held = None, ([], [], [])
+        for portion, part, data, bounds in portions(batches, number):
+            if portion != now and held[0]:
+                yield from flush(now, *held)
+                held = ([], [], [])
+            now = portion
+            cur, ctx, off = sequence(tokenize(data, bounds))
+            train = ~part.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+            for x, y in zip(held, (cur, ctx, np.repeat(train, np.diff(off)))):
+                x.append(y)
+        if held[0]:
+            yield from flush(now, *held)
 
     return run
 
 
+def placed(batches, number):
+    """For mapInArrow: rows with their portion."""
+    for portion, part, _, _ in portions(batches, number):
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, portion)), *part.columns], names=["portion", *part.schema.names])
+
+
 def levels(kind: int, count: np.ndarray) -> np.ndarray:
     """The step of the kind's scale in which a count lies, from 1."""
     return (np.floor(np.log(count) / math.log(BASES[kind]) + 1e-9) + 1).astype(np.int32)
@@ -214,56 +224,43 @@ class Filter:
         return low
 
 
-def regrouped(parts: int):
-    """For mapInArrow: packed rows of few wide parts as packed rows of many."""
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            keys = np.frombuffer(b"".join(k for k, _ in held), U64)
-            yield from packed(*sums(keys, np.frombuffer(b"".join(c for _, c in held), np.uint32).astype(np.int64)), parts)
-
-        for batch in batches:
-            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist()):
-                held.append((keys, counts))
-                size += len(counts) // 4
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if held:
-            yield from flush()
-
-    return run
-
-
-def count_parts(texts: DataFrame, parts: int, settings: Settings) -> DataFrame:
-    """(kind, part, key, n, bits) of the corpus, written: exact counts of tokens, those of frequent pairs, and the filter."""
+def count_parts(docs: DataFrame, parts: int, settings: Settings) -> DataFrame:
+    """(kind, part, key, n, portion, levels, counts) of the corpus, written: exact counts of tokens, those of frequent pairs, and the answers to portions."""
 
     def gathered(batches):
-        held: dict[int, list[tuple[bytes, bytes]]] = {}
+        held: dict[int, list[tuple[int, bytes, bytes]]] = {}
         for batch in batches:
-            for part, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                held.setdefault(part, []).append((keys, counts))
+            for part, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.setdefault(part, []).append(row)
         for part in sorted(held):
             some = held.pop(part)
-            keys, n = sums(np.frombuffer(b"".join(k for k, _ in some), U64), np.frombuffer(b"".join(c for _, c in some), np.uint32).astype(np.int64))
+            portion = [p for p, _, _ in some]
+            own = [np.cumsum(unplaned(k), dtype=U64) for _, k, _ in some]
+            uniq, back = grouped(np.concatenate(own))
+            n = np.bincount(back, np.concatenate([unplaned(c) for _, _, c in some]), len(uniq)).astype(np.int64)
+            ends = np.cumsum([len(k) for k in own])
+            del some, own
+            there = n > 0
+            keys, times = uniq[there], n[there]
             odd = keys & U64(1) > 0
-            level = np.where(odd, levels(TOKEN, n), levels(PAIR, n))
+            level = np.where(odd, levels(TOKEN, times), levels(PAIR, times))
             bits = np.zeros(max(8, -(-int(level.sum()) * settings.bits_per_key // 8) * 8), bool)
             insert(bits, keys, level)
-            yield record(COUNTED, [BITS], [part], pa.nulls(1, pa.int64()), [len(keys)], [np.packbits(bits, bitorder="little").tobytes()])
-            for kind, pick in ((TOKENS, odd), (PAIRS, ~odd & (n >= FREQUENT))):
+            for kind, pick in ((TOKENS, odd), (PAIRS, ~odd & (times >= FREQUENT))):
                 for i in range(0, int(pick.sum()), 100_000):
-                    k, c = keys[pick][i : i + 100_000], n[pick][i : i + 100_000]
-                    yield record(COUNTED, np.full(len(k), kind, np.int32), np.full(len(k), part, np.int32), signed(k), c, pa.nulls(len(k), pa.binary()))
-
-    ddl = "part int, keys binary, counts binary"
-    raw = texts.select("text").mapInArrow(count_ngrams(min(parts, WIDE)), ddl)
-    if parts > WIDE:  # else a row would hold few keys
-        raw = raw.repartition(WIDE, "part").mapInArrow(regrouped(parts), ddl)
+                    k, c = keys[pick][i : i + 100_000], times[pick][i : i + 100_000]
+                    none = pa.nulls(len(k), pa.binary())
+                    yield record(COUNTED, np.full(len(k), kind, np.int32), np.full(len(k), part, np.int32), signed(k), c, pa.nulls(len(k), pa.int64()), none, none)
+            found = Filter(pa.table({"part": pa.array([0], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())}), 1).probe(uniq).astype(np.uint8)
+            token = uniq & U64(1) > 0
+            spans = [back[x:y] for x, y in zip(np.append(0, ends), ends)]
+            for i in range(0, len(spans), 256):
+                here, none = spans[i : i + 256], pa.nulls(len(spans[i : i + 256]), pa.int64())
+                yield record(COUNTED, np.full(len(here), ANSWERS, np.int32), np.full(len(here), part, np.int32), none, none, portion[i : i + 256], [found[x].tobytes() for x in here], [planes(n[x[token[x]]]) for x in here])
+
+    raw = docs.mapInArrow(numbered(asked(parts)), "part int, portion long, keys binary, counts binary")
     dealt = raw.repartition(max(1, parts // 4), "part")
-    return saved(dealt.mapInArrow(gathered, "kind int, part int, key long, n long, bits binary"), "ngrams")
+    return saved(dealt.mapInArrow(gathered, "kind int, part int, key long, n long, portion long, levels binary, counts binary"), "ngrams")
 
 
 def most_frequent(counts: DataFrame, settings: Settings, least: int | None = None) -> tuple[np.ndarray, np.ndarray, int | None]:
@@ -303,12 +300,13 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    """A fitted model: exact token counts, N, V, and the filter, broadcast or as a table of parts."""
+    """A model fitted to the texts (doc_id, held_out, text) that are not held out: exact token counts, N, V, and what the filter says of each portion."""
 
-    def __init__(self, texts: DataFrame, settings: Settings):
-        self.settings = settings
-        self.parts = parts_for(texts, settings.part_bytes)
-        counted = count_parts(texts, self.parts, settings)
+    def __init__(self, docs: DataFrame, settings: Settings):
+        if "Exchange" in docs._jdf.queryExecution().executedPlan().toString():  # a shuffle may give other portions when it runs again
+            docs = saved(docs, "texts")
+        self.docs, self.settings = docs, settings
+        counted = count_parts(docs, min(parts_for(docs, settings.part_bytes), WIDE), settings)
         self.tokens = counted.where(F.col("kind") == TOKENS).select("key", "n")
         total = self.tokens.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
         self.v, self.n = total.v, total.n
@@ -316,157 +314,54 @@ class Model:
         # a pair's tokens are at least as frequent as the pair, so those of a heavy pair are heavy
         pairs = most_frequent(counted.where(F.col("kind") == PAIRS), settings, step)[:2] if step is not None else (np.zeros(0, U64), np.zeros(0))
         self.heavy = (*heavy, *pairs)
-        self.filter = counted.where(F.col("kind") == BITS).select("part", "bits")
-        size = self.filter.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-        self.small = size <= settings.broadcast_bytes
-        self.bits = None
-        if self.small:
-            self.bits = Filter(self.filter.toArrow(), self.parts)
+        self.answers = counted.where(F.col("kind") == ANSWERS).select("portion", "part", "levels", "counts")
 
     @property
     def floor(self) -> float:
         return self.n + 0.5 * (self.v + 1)
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """docs (doc_id, held_out, text) with n_tokens, n_known, base_score, score."""
-        spark = docs.sparkSession
-        shared = spark.sparkContext.broadcast((*self.heavy, self.bits))
-        n, floor, prior, small = self.n, self.floor, self.settings.prior, self.small
-        token_counts, pair_counts = typical(TOKEN), typical(PAIR)
-        rows = pa.schema([("row", pa.int64()), ("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("held_out", pa.bool_()), ("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    def scores(self) -> DataFrame:
+        """The documents (doc_id, held_out) with n_tokens, n_known, train_tokens, base_score, score."""
+        shared = self.docs.sparkSession.sparkContext.broadcast(self.heavy)
+        n, floor, prior = self.n, self.floor, self.settings.prior
+        token_levels, pair_levels = typical(TOKEN), typical(PAIR)
+        ident = self.docs.schema["doc_id"].dataType
+        rows = pa.schema([("doc_id", to_arrow_type(ident)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-        def one(part, data, bounds, number):  # what a slice takes is free before the next one
-            tokens, times, pairs, pair_times, bits = shared.value
+        def scored(answers: pa.Table, texts: pa.Table) -> pa.Table:
+            tokens, times, pairs, pair_times = shared.value
+            order = np.argsort(answers.column("part").to_numpy())
+            lists = [answers.column(c).to_pylist() for c in ("levels", "counts")]
+            level = np.frombuffer(b"".join(lists[0][i] for i in order), np.uint8)
+            exact = np.concatenate([unplaned(lists[1][i]) for i in order] or [np.zeros(0, U64)]).astype(np.float64)
+            data, bounds = buffers(texts.column("text"))
             cur, ctx, off = sequence(tokenize(data, bounds))
-            size = part.num_rows
+            size, places = texts.num_rows, len(cur)
             owner = np.repeat(np.arange(size), np.diff(off))
-            uniq, inv = grouped(cur)
-            count, is_heavy = look_up(tokens, times, uniq)
-            logs = np.where(is_heavy, np.log10((count + 0.5) / floor), 0.0)
-            frequent = is_heavy[inv]
-            base = np.bincount(owner, logs[inv], size)
-            known = np.bincount(owner[frequent], minlength=size)
-            row, ids, out = number + np.arange(size), part.column(0), part.column(1)
-            rare = np.flatnonzero(~frequent)
-            if len(rare):  # equal tokens of a text make one row
-                order = rare[np.lexsort((inv[rare], owner[rare]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (inv[order[1:]] != inv[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-                first = np.flatnonzero(new)
-                again = np.diff(np.append(first, len(order)))
-                o = order[first]
-                yield record(rows, row[owner[o]], ids.take(pa.array(owner[o])), out.take(pa.array(owner[o])), np.ones(len(o), np.int32), signed(cur[o]), again, np.zeros(len(o), np.int64), np.zeros(len(o)), np.zeros(len(o)))
-            score = np.zeros(size)
-            if small:
-                rare = np.flatnonzero(~is_heavy)
-                count[rare] = token_counts[bits.probe(uniq[rare])]
-                # the token before: that of the place before, or the end
-                c_ctx = np.empty(len(cur))
-                c_ctx[1:] = count[inv[:-1]]
-                c_ctx[off[:-1]] = count[np.searchsorted(uniq, END)]
-                keys, back = grouped(pair_key(ctx, cur))
-                c_pair, hit = look_up(pairs, pair_times, keys)
-                rest = np.flatnonzero(~hit)
-                c_pair[rest] = pair_counts[bits.probe(keys[rest])]
-                score = np.bincount(owner, log_prob(prior, c_pair[back], c_ctx, count[inv], floor), size)
-            yield record(rows, row, ids, out, np.zeros(size, np.int32), signed(mix(row.astype(U64))), np.diff(off), known, base, score)
-
-        def scored(batches, number):
-            for batch in batches:
-                for part, data, bounds in slices(batch):
-                    yield from one(part, data, bounds, number)
-                    number += part.num_rows
-
-        ddl = f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, kind int, key long, n long, known long, base double, score double"
-        parts = docs.select("doc_id", "held_out", "text").mapInArrow(numbered(scored), ddl)
-        rare = F.col("kind") == 1
-        counted = parts.join(self.tokens.toDF("t_key", "c"), rare & (F.col("key") == F.col("t_key")), "left")
-        out = counted.groupBy("row").agg(
-            F.first("doc_id").alias("doc_id"),
-            F.first("held_out").alias("held_out"),
-            F.sum(F.when(~rare, F.col("n"))).alias("n_tokens"),
-            F.sum(F.when(rare & F.col("c").isNotNull(), F.col("n")).otherwise(F.col("known"))).alias("n_known"),
-            F.lit(n).cast("long").alias("train_tokens"),
-            F.sum(F.when(rare, F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(floor)))).otherwise(F.col("base"))).alias("base_score"),
-            F.sum("score").alias("score"),
-        )
-        if not self.small:
-            out = out.drop("score").join(self._shuffled(docs), "row")
-        return out
-
-    def _shuffled(self, docs: DataFrame) -> DataFrame:
-        """(row, score) by probes at the parts' place, for a filter too large to broadcast.
-
-        Heavy pairs and tokens are resolved by the broadcast counts, so a key that is shuffled is no more frequent than they are.
-        """
-        shared = docs.sparkSession.sparkContext.broadcast(self.heavy)
-        floor, prior, parts = self.floor, self.settings.prior, self.parts
-        token_counts, pair_counts = typical(TOKEN), typical(PAIR)
-        grams = pa.schema([("row", pa.int64()), ("pair", pa.int64()), ("ctx", pa.int64()), ("cur", pa.int64()), ("n", pa.int64()), ("score", pa.float64())])
-
-        def split(batches, number):
-            tokens, times, pairs, pair_times = shared.value
-            for batch in batches:
-                for part, data, bounds in slices(batch):
-                    cur, ctx, off = sequence(tokenize(data, bounds))
-                    size = part.num_rows
-                    owner = np.repeat(np.arange(size), np.diff(off))
-                    key = pair_key(ctx, cur)
-                    c_pair, hit = look_up(pairs, pair_times, key)
-                    logs = log_prob(prior, c_pair[hit], look_up(tokens, times, ctx[hit])[0], look_up(tokens, times, cur[hit])[0], floor)
-                    none = pa.nulls(size, pa.int64())
-                    yield record(grams, number + np.arange(size), none, none, none, np.zeros(size, np.int64), np.bincount(owner[hit], logs, size))
-                    rest = np.flatnonzero(~hit)
-                    order = rest[np.lexsort((key[rest], owner[rest]))]
-                    new = np.ones(len(order), bool)
-                    new[1:] = (key[order[1:]] != key[order[:-1]]) | (owner[order[1:]] != owner[order[:-1]])
-                    first = np.flatnonzero(new)
-                    at = order[first]
-                    yield record(grams, number + owner[at], signed(key[at]), signed(ctx[at]), signed(cur[at]), np.diff(np.append(first, len(order))), np.zeros(len(at)))
-                    number += size
-
-        def resolved(batches):
-            """The counts of heavy tokens, null for the others."""
-            tokens, times, _, _ = shared.value
-            for batch in batches:
-                counts = []
-                for name in ("ctx", "cur"):
-                    c, hit = look_up(tokens, times, batch.column(name).to_numpy().view(U64))
-                    counts.append(pa.array(c, mask=~hit))
-                yield pa.RecordBatch.from_arrays([batch.column("pair"), batch.column("ctx"), batch.column("cur"), *counts], names=["pair", "ctx", "cur", "n_ctx", "n_cur"])
-
-        def placed(batches):
-            for batch in batches:
-                part = part_of(batch.column(0).to_numpy().view(U64), parts).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(part), batch.column(0)], names=["part", "key"])
-
-        def probed(left, right):
-            own = Filter(pa.table({"part": pa.array(np.zeros(right.num_rows, np.int32)), "bits": right.column("bits")}), 1)
-            return pa.table({"key": left.column("key"), "level": pa.array(own.probe(left.column("key").to_numpy().view(U64)), pa.int32())})
-
-        rows = saved(docs.select("doc_id", "held_out", "text").mapInArrow(numbered(split), "row long, pair long, ctx long, cur long, n long, score double"), "grams")
-        own = rows.where("pair is not null").groupBy("pair").agg(F.first("ctx").alias("ctx"), F.first("cur").alias("cur"))
-        own = saved(own.mapInArrow(resolved, "pair long, ctx long, cur long, n_ctx double, n_cur double"), "pairs")
-        open_ = lambda c: F.when(F.col(f"n_{c}").isNull(), F.col(c))
-        keys = own.select(F.explode(F.array_compact(F.array("pair", open_("ctx"), open_("cur")))).alias("key")).distinct()
-        found = keys.mapInArrow(placed, "part int, key long").groupBy("part").cogroup(self.filter.groupBy("part")).applyInArrow(probed, "key long, level int")
-        found = saved(found.where("level > 0"), "levels")
-        own = own.join(found.toDF("pair", "q_pair"), "pair", "left")
-        for c in ("ctx", "cur"):
-            # resolved rows are dealt by their pair and match nothing
-            known = found.toDF(f"k_{c}", f"q_{c}")
-            own = own.withColumn(f"j_{c}", F.coalesce(open_(c), "pair"))
-            own = own.join(known, F.col(f"n_{c}").isNull() & (F.col(f"j_{c}") == F.col(f"k_{c}")), "left").drop(f"j_{c}", f"k_{c}")
-
-        def judged(batches):
-            for batch in batches:
-                q = {c: batch.column(f"q_{c}").fill_null(0).to_numpy() for c in ("pair", "ctx", "cur")}
-                c_ctx, c_cur = (np.where(np.isnan(x := batch.column(f"n_{c}").to_numpy(zero_copy_only=False).astype(np.float64)), token_counts[q[c]], x) for c in ("ctx", "cur"))
-                yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(log_prob(prior, pair_counts[q["pair"]], c_ctx, c_cur, floor))], names=["pair", "logs"])
-
-        logs = own.select("pair", "q_pair", "q_ctx", "q_cur", "n_ctx", "n_cur").mapInArrow(judged, "pair long, logs double")
-        rest = rows.where("pair is not null").join(logs, "pair").select("row", (F.col("n") * F.col("logs")).alias("score"))
-        return rows.where("pair is null").select("row", "score").unionByName(rest).groupBy("row").agg(F.sum("score").alias("score"))
+            keys, back = grouped(np.concatenate([cur, pair_key(ctx, cur)]))
+            odd = keys & U64(1) > 0
+            if len(keys) != len(level) or int(odd.sum()) != len(exact):
+                raise ValueError("the texts came in other portions than those that were counted")
+            count = np.zeros(len(keys))
+            count[odd] = exact
+            logs = np.log10((count + 0.5) / floor)
+            base = np.bincount(owner, logs[back[:places]], size)
+            known = np.bincount(owner[count[back[:places]] > 0], minlength=size)
+            seen = np.where(odd, token_levels[level], pair_levels[level])
+            for kind, *heavy in ((odd, tokens, times), (~odd, pairs, pair_times)):
+                value, hit = look_up(*heavy, keys[kind])
+                seen[kind] = np.where(hit, value, seen[kind])
+            # the token before: that of the place before, or the end
+            c_cur, c_ctx = seen[back[:places]], np.empty(places)
+            c_ctx[1:] = c_cur[:-1]
+            c_ctx[off[:-1]] = seen[np.searchsorted(keys, END)]
+            score = np.bincount(owner, log_prob(prior, seen[back[places:]], c_ctx, c_cur, floor), size)
+            out = [texts.column("doc_id").combine_chunks(), texts.column("held_out").combine_chunks(), pa.array(np.diff(off)), pa.array(known), pa.array(np.full(size, n, np.int64)), pa.array(base), pa.array(score)]
+            return pa.Table.from_arrays(out, schema=rows)
+
+        texts = self.docs.mapInArrow(numbered(placed), TEXTS.format(ident.simpleString()))
+        ddl = f"doc_id {ident.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        return self.answers.groupBy("portion").cogroup(texts.groupBy("portion")).applyInArrow(scored, ddl)
 
 
 def log_prob(prior: float, c_pair: np.ndarray, c_ctx: np.ndarray, c_cur: np.ndarray, floor: float) -> np.ndarray:
@@ -479,7 +374,7 @@ def lm_score(docs: DataFrame, settings: Settings = Settings(), ident: str = "doc
     Returns a row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
     """
     own = docs.select(F.col(ident).alias("doc_id"), F.coalesce(remainder(F.col(ident)) == part, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    return Model(own.where(~F.col("held_out")).select("text"), settings).score(own).drop("row")
+    return Model(own, settings).scores()
 
 
 def op1_lm_score(spark, sf_dir):
