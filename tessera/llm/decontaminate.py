@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +53,8 @@ UNITS = (
 NUMBER, UNIT, NAME = 1, 2, 3
 #: Added to the hashes of folded windows and of windows of values.
 FOLDED, VALUES = U64(0x2545F4914F6CDD1D), U64(0x5851F42D4C957F2D)
+#: Matches that a worker turns into Python objects together, about; a group is taken whole.
+MATCHES = 1 << 10
 
 
 @dataclass(frozen=True)
@@ -202,11 +205,21 @@ def _covered(matches: list[dict]) -> tuple[set[int], bool]:
     return seen, fits
 
 
+def _portions(batch: pa.RecordBatch, most: int):
+    """The batch's groups in portions of about `most` matches."""
+    ends = np.cumsum(pc.list_value_length(batch.column("matches")).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _aligned(settings: Settings):
     """For mapInArrow: which groups of matches cover enough of their item with consistent slots."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (portion for whole in batches for portion in _portions(whole, MATCHES)):
             cover, ok = [], []
             for total, matches in zip(batch.column("total").to_pylist(), batch.column("matches").to_pylist()):
                 found = [0]

@@ -4,12 +4,14 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import contract, decontaminate, license_scan, line_dedup, lm_score, mix_sources, near_dedup, quality_rules, shard, textbatch, token_counts, toxicity
@@ -671,3 +673,18 @@ def test_decontamination_against_brute_force(spark):
         assert got[i] == (want, round(best, 9)), (i, text)
         marked += bool(want)
     assert 20 < marked < 120
+
+
+def test_groups_of_matches_are_judged_in_portions():
+    match = {"at": 0, "diagonal": 5, "folded": False, "vals": list(range(6)), "slots": [0] * 6, "d_vals": list(range(6))}
+    groups = [[match | {"at": k % 20} for k in range(64)] for _ in range(600)] + [[match]]
+    total = [25] * 600 + [60]
+    batch = pa.RecordBatch.from_pydict({"row": pa.array(range(601)), "item_id": pa.array(range(601)), "total": pa.array(total, pa.int32()), "matches": pa.array(groups)})
+    del groups
+    tracemalloc.start()
+    out = pa.Table.from_batches(decontaminate._aligned(decontaminate.Settings())([batch.slice(100), batch.slice(0, 100)])).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(r["row"] for r in out) == list(range(601))
+    assert all(r["ok"] == (r["row"] < 600) for r in out) and {r["cover"] for r in out} == {1.0, 0.1}
+    assert peak < 4 << 20
