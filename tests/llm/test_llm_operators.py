@@ -688,3 +688,26 @@ def test_groups_of_matches_are_judged_in_portions():
     assert sorted(r["row"] for r in out) == list(range(601))
     assert all(r["ok"] == (r["row"] < 600) for r in out) and {r["cover"] for r in out} == {1.0, 0.1}
     assert peak < 4 << 20
+
+
+def test_near_copies_that_share_a_word_are_dealt_as_crowds():
+    """op4: a word of up to `crowd` near copies gave a row for each two of them."""
+    r = random.Random(4)
+    near = [(1, 100 + k, 20, 0, 5, 0) for k in range(60)]
+    far = [(2, 300 + k, 20, 0, r.getrandbits(63), r.getrandbits(31)) for k in range(60)]
+    few = [(3, 500 + k, 20, 0, 5, 0) for k in range(20)]
+    found = np.array([*near, *far, *few], line_dedup.POSTING)
+    assert line_dedup.dense(found, 0.8).tolist() == [1, 3]
+    settings = line_dedup.Settings()
+    rows = pa.RecordBatch.from_pydict({"part": pa.array([0, 0]), "data": pa.array([found[:90].tobytes(), found[90:].tobytes()], pa.binary())})
+    out = pa.Table.from_batches(line_dedup.matched(settings)([rows]))
+    pairs = [(x["a"], x["b"]) for x in out.to_pylist() if x["a"] is not None]
+    crowd = [(x["token"], x["node"]) for x in out.to_pylist() if x["a"] is None]
+    want = {(a, b) for a, b in line_dedup_pairs(far) | line_dedup_pairs(few)}
+    assert sorted(crowd) == [(1, 100 + k) for k in range(60)]
+    assert set(pairs) == want and len(pairs) == len(want) and len(want) >= 190
+
+
+def line_dedup_pairs(postings):
+    odd = lambda x, y: (x[4] ^ y[4]).bit_count() + (x[5] ^ y[5]).bit_count()
+    return {(x[1], y[1]) for x in postings for y in postings if x[1] < y[1] and odd(x, y) <= 40 - 2 * 18}
