@@ -708,6 +708,30 @@ def test_near_copies_that_share_a_word_are_dealt_as_crowds():
     assert set(pairs) == want and len(pairs) == len(want) and len(want) >= 190
 
 
+@pytest.mark.parametrize("block", [1024, 48])
+def test_links_of_near_copies_are_counted_where_they_are_found(spark, monkeypatch, block):
+    """op4: near copies that the earliest line doesn't match gave a row for each two of them, joined four times."""
+    monkeypatch.setattr(line_dedup, "CROWD_BLOCK", block)
+    made, saved = {}, line_dedup.saved
+
+    def counted(df, name):
+        out = saved(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "saved", counted)
+    base = [f"b{i}" for i in range(20)]
+    rows = [(0, " ".join([*base[3:], "the", "first", "line"]), "en", "a")]
+    rows += [(i, " ".join(w if k != i % 20 else f"x{i}" for k, w in enumerate(base)), "en", "a") for i in range(1, 151)]
+    rows += [(i, " ".join(f"y{i * 7 % 50 + k}" for k in range(12)), "en", "a") for i in range(151, 200)]
+    got = {x.doc_id: (x.n_links, x.n_removed, x.class_id) for x in line_dedup.line_dedup(odd(spark, rows)).collect()}
+    sets = {i: frozenset(t.split()) for i, t, _, _ in rows}
+    links = {i: [j for j, o in sets.items() if j != i and len(s & o) >= 0.8 * len(s | o) - 1e-9] for i, s in sets.items()}
+    assert {i: x[:2] for i, x in got.items()} == {i: (len(x), int(any(j < i for j in x))) for i, x in links.items()}
+    assert {x[2] for i, x in got.items() if 0 < i < 151} == {1} and len(links[1]) >= 140
+    assert max(made.values()) <= 10 * len(rows)
+
+
 def line_dedup_pairs(postings):
     odd = lambda x, y: (x[4] ^ y[4]).bit_count() + (x[5] ^ y[5]).bit_count()
     return {(x[1], y[1]) for x in postings for y in postings if x[1] < y[1] and odd(x, y) <= 40 - 2 * 18}
