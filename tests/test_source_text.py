@@ -1,10 +1,12 @@
 """Queries over source text read the tables: a file for each part, a diff for each line item, a log for each order."""
 
+import ast
 import re
 
 import pytest
 
 from tessera import plans
+from tessera.adapters import python_source
 from tessera.plans import source_text
 from tessera.registry import QUERIES
 
@@ -63,3 +65,22 @@ def test_python_calls_arguments_and_diffs(spark):
     want = {k for k, (a, b) in spans.items() if any(a <= last and b >= first for first, last in by.get(k[0], ()))}
     got = [(r.file, r.qname) for r in QUERIES["annotate_report"](spark, DATA).collect()]
     assert set(got) == want and len(got) == len(want) and want
+
+
+@pytest.mark.parametrize("name", ["call_extract"])
+def test_parsed_names_are_not_broadcast(spark, name):
+    assert "BroadcastExchange" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_calls_are_those_that_unparse_gives():
+    for text in ("f()", "a.b.c()", "a().b()", "x[0]()", "'s'.join(y)", "True()", "1 .real()", "(lambda: 1)()", "(a + b)()", "...()"):
+        call = ast.parse(text, mode="eval").body
+        name = ast.unparse(call.func)
+        assert python_source._called(call) == (name if name.replace(".", "").replace("_", "").isalnum() else None)
+
+
+def test_calls_are_resolved_by_imports_then_own_names_then_self(spark):
+    sources = [("p/a.py", "from .b import f as g\nimport q\ndef h():\n    g()\n    q.r()\n    h()\nclass C:\n    def m(self):\n        self.m()\n        h()\n"), ("p/b.py", "def f():\n    f()\n"), ("p/c.py", "def (:")]
+    files = spark.createDataFrame(sources, "file string, source string")
+    found = {(r.caller, r.callee, r.line, r.target) for r in source_text.resolved(files).collect()}
+    assert found == {("p.a.h", "g", 4, "p.b.f"), ("p.a.h", "h", 6, "p.a.h"), ("p.a.C.m", "self.m", 9, "p.a.C.m"), ("p.a.C.m", "h", 10, "p.a.h"), ("p.b.f", "f", 2, "p.b.f")}
