@@ -67,7 +67,7 @@ def test_python_calls_arguments_and_diffs(spark):
     assert set(got) == want and len(got) == len(want) and want
 
 
-@pytest.mark.parametrize("name", ["call_extract"])
+@pytest.mark.parametrize("name", ["call_extract", "index_pipeline"])
 def test_parsed_names_are_not_broadcast(spark, name):
     assert "BroadcastExchange" not in QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
 
