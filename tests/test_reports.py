@@ -1,6 +1,9 @@
 """Nested registries with broken levels, and reports whose blocks are cut."""
 
+from tessera import plans
 from tessera.operators import report, trees
+from tessera.plans import reports
+from tessera.registry import QUERIES
 
 WHOLE = '{"symbol_id": "s", "contract": "c", "direction": "inbound", "confidence": 0.5}'
 
@@ -27,3 +30,22 @@ def test_blocks_are_cut_and_keys_without_rows_stay(spark):
     two = spark.createDataFrame([("a", 1, "t"), ("z", 1, "u")], "key string, ord int, item string")
     got = {r.key: (r.n, list(r.one), list(r.two)) for r in report.assembled(keys, {"one": (one, 3), "two": (two, 9)}).collect()}
     assert got == {"a": (1, ["i0", "i10", "i15"], ["t"]), "b": (2, ["x"], []), "c": (3, [], [])}
+
+
+def test_a_search_is_ranked_judged_and_doubted(spark):
+    plans.load()
+    rows = QUERIES["search_report"](spark, "/root/testdata/sf0.001").collect()
+    own = {tuple(r) for r in QUERIES["uncertainty"](spark, "/root/testdata/sf0.001").select("query").collect()}
+    assert {(r.key,) for r in rows} == own and all(len(r.uncertainty) == 1 for r in rows)
+    names = {r.key: [s.removesuffix(" noted") for s in r.symbols_] for r in rows}
+    assert any(r.feedback_suppressed for r in rows) and any(r.ambiguous_terms for r in rows) and any(r.boosted_outranked for r in rows)
+    for r in rows:
+        assert not set(r.feedback_suppressed) & set(names[r.key]) and not set(r.boosted_outranked) & set(names[r.key][:5])
+        assert {f"ambiguous_term {t}" for t in r.ambiguous_terms} <= set(r.confidence_warnings)
+
+
+def test_a_hit_counts_by_name_and_ledger(spark):
+    shape = "score double, boost double, tier int, said int, owned int, inv int, overlap int, kind string, asks_state boolean"
+    given = [(1.0, 2.0, 0, 1, 1, 0, 2, "class", False), (1.0, 0.0, 1, 0, 1, 0, 1, "method", False), (1.0, 0.0, 0, 0, 1, 0, 0, "class", False), (1.0, 0.0, 0, 0, 0, 1, 1, "class", False), (1.0, 0.0, 0, 0, 0, 0, 2, "class", False), (1.0, 0.0, 0, 0, 0, 0, 2, "class", True)]
+    found = spark.createDataFrame(given, shape).selectExpr(f"{reports.TOTAL.replace('@D', 'D')} AS total")
+    assert [r.total for r in found.collect()] == [9.0, 2.5, 3.0, 2.5, 0.2, 1.0]
